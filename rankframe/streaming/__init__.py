@@ -1,0 +1,6 @@
+"""Streaming.
+
+The workloads rebuilt here are offline: no operator needs event time, watermarks or state, so
+this package holds no operator. Lexical scoring is plain joins and aggregations and can be fed
+from a stream with ``foreachBatch`` (each micro-batch of queries is an ordinary DataFrame).
+"""
