@@ -3,6 +3,7 @@ from .text import (
     WHITESPACE_RUN,
     bigrams,
     combine_title_and_chunk,
+    explode_tokens,
     pool_doc_id,
     seeded_key,
     strip,
@@ -12,6 +13,6 @@ from .text import (
 from .vectors import count_nonzero, dot, l2_norm, l2_normalize
 
 __all__ = [
-    "WHITESPACE_CLASS", "WHITESPACE_RUN", "bigrams", "combine_title_and_chunk", "pool_doc_id",
+    "WHITESPACE_CLASS", "WHITESPACE_RUN", "bigrams", "combine_title_and_chunk", "explode_tokens", "pool_doc_id",
     "seeded_key", "strip", "token_pairs", "tokenize", "count_nonzero", "dot", "l2_norm", "l2_normalize",
 ]

@@ -22,8 +22,21 @@ def _c(col: Column | str) -> Column:
 
 
 def tokenize(text: Column | str) -> Column:
-    """Whitespace tokens like ``str.split()``: no empty tokens, case and punctuation kept."""
-    return F.filter(F.split(_c(text), WHITESPACE_RUN), lambda t: t != F.lit(""))
+    """Whitespace tokens like ``str.split()``: no empty tokens, case and punctuation kept.
+
+    ``array_remove`` (not a lambda ``filter``) keeps the expression inside generated code.
+    """
+    return F.array_remove(F.split(_c(text), WHITESPACE_RUN), "")
+
+
+def explode_tokens(tokens: Column | str) -> Column:
+    """``explode_outer`` of a token array; callers drop the null row of an empty array.
+
+    Plain ``explode`` makes Catalyst infer ``size(tokens) > 0`` and push it under the
+    exchange that balances the input, which tokenises every document a second time inside the
+    scan task. The outer form infers nothing.
+    """
+    return F.explode_outer(_c(tokens))
 
 
 def strip(text: Column | str) -> Column:

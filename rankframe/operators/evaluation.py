@@ -155,9 +155,10 @@ def mean_metrics(
     """Mean of each measure over all judged queries, one row per group."""
     measures = measures or DEFAULT_MEASURES
     per_q = per_query_metrics(run, qrels, measures, group_cols, score_col, tie, gains, fill_missing=False)
-    n_judged = prepare_qrels(qrels).agg(F.countDistinct("query_id").alias("_nq")).withColumn("_k", F.lit(0))
-    sums = per_q.groupBy(*group_cols).agg(*[F.sum(n).alias(n) for n in measures]).withColumn("_k", F.lit(0))
-    return sums.join(F.broadcast(n_judged), "_k").select(*group_cols, *[(F.col(n) / F.col("_nq")).alias(n) for n in measures])
+    # the number of judged queries is one scalar (a small job over the qrels)
+    n_judged = prepare_qrels(qrels).select("query_id").distinct().count()
+    sums = per_q.groupBy(*group_cols).agg(*[F.sum(n).alias(n) for n in measures])
+    return sums.select(*group_cols, *[(F.col(n) / F.lit(float(max(n_judged, 1)))).alias(n) for n in measures])
 
 
 def evaluate_run(run: DataFrame, qrels: DataFrame, measures: dict[str, Measure] | None = None, **kw) -> DataFrame:

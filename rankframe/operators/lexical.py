@@ -20,13 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import explode_tokens, tokenize
 from ..plans.broadcast import checked_broadcast
 from ..plans.ordinals import global_ordinal
 from .ranking import make_ranked_run
 
 Tokenizer = Callable[[Column], Column]
-_CONST = "_rf_coll"
 _ROW = "_rf_row"
 
 
@@ -37,12 +36,8 @@ class BM25Params:
     epsilon: float = 0.25
 
 
-def _keys(collection_cols: Sequence[str]) -> list[str]:
-    return list(collection_cols) if collection_cols else [_CONST]
-
-
-def _with_keys(df: DataFrame, collection_cols: Sequence[str]) -> DataFrame:
-    return df if collection_cols else df.withColumn(_CONST, F.lit(0))
+def _qkeys(keys: Sequence[str]) -> list[str]:
+    return list(keys) + ([] if "query_id" in keys else ["query_id"])
 
 
 def tokenized_docs(
@@ -53,11 +48,9 @@ def tokenized_docs(
     row_col: str | None = None,
 ) -> DataFrame:
     """(keys, doc_id, _rf_row, tokens, dl). ``row_col`` separates repeated ids inside a collection."""
-    keys = _keys(collection_cols)
-    d = _with_keys(docs, collection_cols)
     row = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
-    return d.select(
-        *keys,
+    return docs.select(
+        *collection_cols,
         F.col("doc_id").cast("string").alias("doc_id"),
         row.alias(_ROW),
         tokenizer(F.col(text_col)).alias("tokens"),
@@ -71,56 +64,123 @@ def query_terms(
     text_col: str = "text",
 ) -> DataFrame:
     """(keys, query_id, term, qtf): repeated query terms count repeatedly."""
-    keys = _keys(collection_cols)
-    q = _with_keys(queries, collection_cols).withColumn("query_id", F.col("query_id").cast("string"))
-    qcols = keys + ([] if "query_id" in keys else ["query_id"])
+    qk = _qkeys(collection_cols)
+    q = queries.withColumn("query_id", F.col("query_id").cast("string"))
     return (
-        q.select(*qcols, F.explode(tokenizer(F.col(text_col))).alias("term"))
-        .groupBy(*qcols, "term")
+        q.select(*qk, explode_tokens(tokenizer(F.col(text_col))).alias("term"))
+        .filter(F.col("term").isNotNull())
+        .groupBy(*qk, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
 
 
+def vocabulary(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> DataFrame:
+    """One pass over the collection: (keys, term, df, tot).
+
+    Each document contributes its distinct terms (df) and one extra row with a null term that
+    carries its length, so the null-term row of a collection holds ``df = n_docs`` and
+    ``tot = total tokens``. The partial aggregation runs map-side; the shuffle carries one row
+    per (partition, term).
+    """
+    items = F.concat(
+        F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("c"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").cast("long").alias("c"))),
+    )
+    return (
+        tok_docs.select(*collection_cols, F.inline_outer(items))
+        .groupBy(*collection_cols, "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tot"))
+    )
+
+
+@dataclass
+class LexicalIndex:
+    """Per-term statistics of one or many collections.
+
+    ``terms``: (keys, term, df) and, for BM25, ``idf``; ``stats``: (keys, n_docs, avgdl) as a
+    DataFrame when there are collection keys, else ``None`` and the scalars ``n_docs``/``avgdl``.
+    """
+
+    keys: list[str]
+    terms: DataFrame
+    stats: DataFrame | None
+    n_docs: float | None = None
+    avgdl: float | None = None
+
+    def with_stats(self, df: DataFrame) -> DataFrame:
+        if self.keys:
+            return df.join(self.stats, self.keys)
+        return df.withColumn("n_docs", F.lit(self.n_docs)).withColumn("avgdl", F.lit(self.avgdl))
+
+
+def build_index(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> LexicalIndex:
+    """Vocabulary plus collection statistics.
+
+    With no collection key the vocabulary is checkpointed to the shared checkpoint folder (it
+    is read again for the idf of query terms) and the two scalars are read from its null-term
+    row. With keys everything stays lazy and statistics are joined on the keys.
+    """
+    keys = list(collection_cols)
+    vocab = vocabulary(tok_docs, keys)
+    if keys:
+        stats = vocab.filter(F.col("term").isNull()).select(
+            *keys, F.col("df").alias("n_docs"), (F.col("tot") / F.col("df")).alias("avgdl")
+        )
+        return LexicalIndex(keys, vocab.filter(F.col("term").isNotNull()).select(*keys, "term", "df"), stats)
+    vocab = vocab.checkpoint(eager=True)
+    row = vocab.filter(F.col("term").isNull()).select("df", "tot").first()
+    n_docs, tot = (row["df"], row["tot"]) if row else (0, 0)
+    avgdl = (tot / n_docs) if n_docs else 0.0
+    return LexicalIndex(keys, vocab.filter(F.col("term").isNotNull()).select("term", "df"), None, float(n_docs), float(avgdl))
+
+
 def collection_stats(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> DataFrame:
     """(keys, n_docs, avgdl) per collection."""
-    keys = _keys(collection_cols)
-    return tok_docs.groupBy(*keys).agg(
+    return tok_docs.groupBy(*collection_cols).agg(
         F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")
     )
 
 
 def document_frequencies(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> DataFrame:
     """(keys, term, df): number of documents containing the term."""
-    keys = _keys(collection_cols)
     return (
-        tok_docs.select(*keys, F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy(*keys, "term")
+        tok_docs.select(*collection_cols, explode_tokens(F.array_distinct("tokens")).alias("term"))
+        .filter(F.col("term").isNotNull())
+        .groupBy(*collection_cols, "term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
 
 
-def bm25_idf(tok_docs: DataFrame, collection_cols: Sequence[str] = (), epsilon: float = 0.25) -> DataFrame:
-    """(keys, term, idf) with the epsilon floor, and the collection stats columns.
+def bm25_idf(index: LexicalIndex, epsilon: float = 0.25) -> tuple[DataFrame, float | None]:
+    """(keys, term, idf, avgdl) with the epsilon floor.
 
     raw = ln(n - df + .5) - ln(df + .5); a negative raw idf becomes epsilon times the mean raw
-    idf over the whole vocabulary of the collection.
+    idf over the whole vocabulary of the collection (negative entries included).
     """
-    keys = _keys(collection_cols)
-    stats = collection_stats(tok_docs, collection_cols)
-    dfs = document_frequencies(tok_docs, collection_cols).join(stats, keys)
-    raw = dfs.withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(*keys).agg(F.avg("raw_idf").alias("mean_raw_idf"))
-    return raw.join(mean, keys).withColumn(
-        "idf",
-        F.when(F.col("raw_idf") < 0, F.lit(epsilon) * F.col("mean_raw_idf")).otherwise(F.col("raw_idf")),
+    keys = index.keys
+    raw = index.with_stats(index.terms).withColumn(
+        "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    )
+    m = None
+    if keys:
+        mean = raw.groupBy(*keys).agg(F.avg("raw_idf").alias("mean_raw_idf"))
+        raw = raw.join(mean, keys)
+    else:
+        m = raw.agg(F.avg("raw_idf")).first()[0]
+        m = float(m) if m is not None else 0.0
+        raw = raw.withColumn("mean_raw_idf", F.lit(m))
+    out = raw.select(
+        *keys, "term", "avgdl",
+        F.when(F.col("raw_idf") < 0, F.lit(epsilon) * F.col("mean_raw_idf")).otherwise(F.col("raw_idf")).alias("idf"),
     )
+    return out, m
 
 
 def matched_postings(tok_docs: DataFrame, qterms: DataFrame, collection_cols: Sequence[str] = ()) -> DataFrame:
     """(keys, doc_id, _rf_row, term, tf, dl) for query terms only."""
-    keys = _keys(collection_cols)
+    keys = list(collection_cols)
     wanted = checked_broadcast(qterms.select(*keys, "term").distinct())
-    occ = tok_docs.select(*keys, "doc_id", _ROW, "dl", F.explode("tokens").alias("term"))
+    occ = tok_docs.select(*keys, "doc_id", _ROW, "dl", explode_tokens("tokens").alias("term"))
     return (
         occ.join(wanted, keys + ["term"], "left_semi")
         .groupBy(*keys, "doc_id", _ROW, "term")
@@ -128,14 +188,33 @@ def matched_postings(tok_docs: DataFrame, qterms: DataFrame, collection_cols: Se
     )
 
 
-def _scored_pairs(tok_docs, queries, collection_cols, tokenizer, epsilon, query_text_col="text"):
-    """Query terms joined to their postings, with idf and avgdl attached."""
-    keys = _keys(collection_cols)
-    qt = query_terms(queries, collection_cols, tokenizer, query_text_col)
-    idf = bm25_idf(tok_docs, collection_cols, epsilon).select(*keys, "term", "idf", "avgdl")
+def _scored_pairs(tok_docs, queries, collection_cols, tokenizer, epsilon, index=None):
+    """Query terms joined to their postings, with idf and avgdl attached; also the mean raw
+    idf (shared collection only, else ``None``)."""
+    keys = list(collection_cols)
+    qt = query_terms(queries, keys, tokenizer)
+    index = index or build_index(tok_docs, keys)
+    idf, mean = bm25_idf(index, epsilon)
     qt_idf = qt.join(idf, keys + ["term"])
-    post = matched_postings(tok_docs, qt, collection_cols)
-    return post.join(checked_broadcast(qt_idf), keys + ["term"])
+    post = matched_postings(tok_docs, qt, keys)
+    return post.join(checked_broadcast(qt_idf), keys + ["term"]), mean
+
+
+def first_documents(tok_docs: DataFrame, k: int) -> list[tuple[str, int]]:
+    """The k smallest (doc_id, row) of a shared collection (a bounded top-k, read once)."""
+    rows = tok_docs.select("doc_id", _ROW).orderBy("doc_id", _ROW).limit(k).collect()
+    return [(r["doc_id"], r[_ROW]) for r in rows]
+
+
+def zero_candidates(queries: DataFrame, first_docs: list[tuple[str, int]]) -> DataFrame | None:
+    """(query_id, doc_id, _rf_row) for every query and each of the given documents.
+
+    The document list is a bounded literal, expanded per query by a generator (no join).
+    """
+    if not first_docs:
+        return None
+    arr = F.array(*[F.struct(F.lit(d).alias("doc_id"), F.lit(r).cast("long").alias(_ROW)) for d, r in first_docs])
+    return queries.select(F.col("query_id").cast("string").alias("query_id")).distinct().select("query_id", F.inline(arr))
 
 
 def bm25_contribution(k1: Column | float, b: Column | float) -> Column:
@@ -153,15 +232,27 @@ def bm25_scores(
     tokenizer: Tokenizer = tokenize,
     doc_row_col: str | None = None,
     tok_docs: DataFrame | None = None,
-) -> DataFrame:
-    """(keys, query_id, doc_id, _rf_row, score) for documents sharing at least one query term."""
-    keys = _keys(collection_cols)
+    zero_fill_k: int | None = None,
+) -> tuple[DataFrame, bool]:
+    """(keys, query_id, doc_id, _rf_row, score) for documents sharing a query term.
+
+    With ``zero_fill_k`` on a shared collection whose scores cannot be negative (mean raw idf
+    >= 0), the first k documents in doc_id order are added to every query with a zero
+    contribution before the one aggregation. That is exact: the zero-score part of a top k
+    never reaches past the k-th document in doc_id order. Returns (scores, filled).
+    """
+    keys = list(collection_cols)
     td = tok_docs if tok_docs is not None else tokenized_docs(docs, collection_cols, tokenizer, row_col=doc_row_col)
-    pairs = _scored_pairs(td, queries, collection_cols, tokenizer, params.epsilon)
-    qk = keys + ([] if "query_id" in keys else ["query_id"])
-    return pairs.groupBy(*qk, "doc_id", _ROW).agg(
-        F.sum(bm25_contribution(params.k1, params.b)).alias("score")
-    )
+    pairs, mean = _scored_pairs(td, queries, collection_cols, tokenizer, params.epsilon)
+    qk = _qkeys(keys)
+    contrib = pairs.select(*qk, "doc_id", _ROW, bm25_contribution(params.k1, params.b).alias("c"))
+    filled = False
+    if zero_fill_k and not keys and mean is not None and mean >= 0:
+        cands = zero_candidates(queries, first_documents(td, zero_fill_k))
+        if cands is not None:
+            contrib = contrib.unionByName(cands.withColumn("c", F.lit(0.0)))
+        filled = True
+    return contrib.groupBy(*qk, "doc_id", _ROW).agg(F.sum("c").alias("score")), filled
 
 
 def fill_zero_scores(
@@ -182,9 +273,9 @@ def fill_zero_scores(
     per-collection document ordinal turns them into ids. Exact, and linear in the output.
     ``parts`` (columns ``part_cols``) repeats the fill for each parameter combination.
     """
-    keys = _keys(collection_cols)
-    qk = keys + ([] if "query_id" in keys else ["query_id"])
-    q = _with_keys(queries, collection_cols).select(*qk).withColumn("query_id", F.col("query_id").cast("string")).distinct()
+    keys = list(collection_cols)
+    qk = _qkeys(keys)
+    q = queries.withColumn("query_id", F.col("query_id").cast("string")).select(*qk).distinct()
     if parts is not None:
         grid = [F.struct(*[F.lit(v).alias(c) for c, v in zip(part_cols, row)]) for row in parts]
         q = q.select(*qk, F.explode(F.array(*grid)).alias("_rf_p")).select(*qk, *[F.col(f"_rf_p.{c}").alias(c) for c in part_cols])
@@ -197,8 +288,10 @@ def fill_zero_scores(
         .filter(F.col("_rf_pos") < top_k)
     )
     ords = global_ordinal(tok_docs.select(*keys, "doc_id", _ROW), keys + ["doc_id", _ROW], out="_rf_g")
-    first = ords.groupBy(*keys).agg(F.min("_rf_g").alias("_rf_first"))
-    ords = ords.join(first, keys).select(*keys, "doc_id", _ROW, (F.col("_rf_g") - F.col("_rf_first") + 1).alias("_rf_ord"))
+    if keys:
+        first = ords.groupBy(*keys).agg(F.min("_rf_g").alias("_rf_first"))
+        ords = ords.join(first, keys).withColumn("_rf_g", F.col("_rf_g") - F.col("_rf_first") + 1)
+    ords = ords.select(*keys, "doc_id", _ROW, F.col("_rf_g").alias("_rf_ord"))
     cand = need.select(*part_cols, *qk, F.explode(F.sequence(F.lit(1), F.lit(top_k) + F.col("_rf_m"))).alias("_rf_ord"))
     fill = (
         cand.join(ords, keys + ["_rf_ord"])
@@ -233,23 +326,29 @@ def bm25_search(
 ) -> DataFrame:
     """BM25 (Okapi, epsilon floor) run: query_id, Q0, doc_id, rank, score, run_name."""
     td = tokenized_docs(docs, collection_cols, tokenizer, row_col=doc_row_col)
-    scores = bm25_scores(docs, queries, BM25Params(k1, b, epsilon), collection_cols, tokenizer, tok_docs=td)
-    if fill_zeros and top_k:
+    scores, filled = bm25_scores(
+        docs, queries, BM25Params(k1, b, epsilon), collection_cols, tokenizer, tok_docs=td,
+        zero_fill_k=top_k if fill_zeros else None,
+    )
+    if fill_zeros and top_k and not filled:
         scores = fill_zero_scores(scores, td, queries, top_k, collection_cols)
     return _finish_run(scores, top_k, run_name, collection_cols, score_digits=score_digits)
 
 
 # ---------------------------------------------------------------- TF-IDF
 
-def tfidf_weights(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Smooth idf ``ln((1+n)/(1+df)) + 1`` per term and L2 norms of the document vectors."""
-    keys = _keys(collection_cols)
-    stats = collection_stats(tok_docs, collection_cols)
-    idf = document_frequencies(tok_docs, collection_cols).join(stats, keys).select(
-        *keys, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")
-    )
+def tfidf_weights(tok_docs: DataFrame, collection_cols: Sequence[str] = (), index: LexicalIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """Smooth idf ``ln((1+n)/(1+df)) + 1`` per term and L2 norms of the document vectors.
+
+    The norms need every term of every document, so this is the one place that builds the full
+    postings (one shuffle of distinct (doc, term) pairs after a map-side count).
+    """
+    keys = list(collection_cols)
+    index = index or build_index(tok_docs, keys)
+    idf = index.with_stats(index.terms).select(*keys, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     postings = (
-        tok_docs.select(*keys, "doc_id", _ROW, F.explode("tokens").alias("term"))
+        tok_docs.select(*keys, "doc_id", _ROW, explode_tokens("tokens").alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(*keys, "doc_id", _ROW, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -267,23 +366,38 @@ def tfidf_scores(
     collection_cols: Sequence[str] = (),
     tokenizer: Tokenizer = tokenize,
     tok_docs: DataFrame | None = None,
+    zero_fill_k: int | None = None,
 ) -> DataFrame:
-    """(keys, query_id, doc_id, _rf_row, score): cosine of raw-tf x smooth-idf vectors."""
-    keys = _keys(collection_cols)
+    """(keys, query_id, doc_id, _rf_row, score): cosine of raw-tf x smooth-idf vectors.
+
+    Cosine scores are never negative, so zero fill on a shared collection is the first
+    ``zero_fill_k`` documents per query, added before the aggregation (see ``bm25_scores``).
+    """
+    keys = list(collection_cols)
     td = tok_docs if tok_docs is not None else tokenized_docs(docs, collection_cols, tokenizer)
-    idf, norms = tfidf_weights(td, collection_cols)
-    qt = query_terms(queries, collection_cols, tokenizer).join(idf, keys + ["term"])  # unknown terms drop
-    qk = keys + ([] if "query_id" in keys else ["query_id"])
+    idf, norms = tfidf_weights(td, keys)
+    qt = query_terms(queries, keys, tokenizer).join(idf, keys + ["term"])  # unknown terms drop
+    qk = _qkeys(keys)
     qnorm = qt.groupBy(*qk).agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qnorm"))
     qw = qt.join(qnorm, qk).select(*qk, "term", (F.col("qtf") * F.col("idf") * F.col("idf") / F.col("qnorm")).alias("qw"))
-    post = matched_postings(td, qt.select(*qk, "term"), collection_cols)
-    return (
-        post.join(checked_broadcast(qw), keys + ["term"])
-        .groupBy(*qk, "doc_id", _ROW)
-        .agg(F.sum(F.col("qw") * F.col("tf")).alias("dot"))
+    post = matched_postings(td, qt.select(*qk, "term"), keys)
+    contrib = post.join(checked_broadcast(qw), keys + ["term"]).select(*qk, "doc_id", _ROW, (F.col("qw") * F.col("tf")).alias("c"))
+    scores = (
+        contrib.groupBy(*qk, "doc_id", _ROW)
+        .agg(F.sum("c").alias("dot"))
         .join(norms, keys + ["doc_id", _ROW])
         .select(*qk, "doc_id", _ROW, (F.col("dot") / F.col("dnorm")).alias("score"))
     )
+    if zero_fill_k and not keys:
+        cands = zero_candidates(queries, first_documents(td, zero_fill_k))
+        if cands is not None:
+            # unmatched candidates score 0; matched ones keep their score
+            scores = (
+                scores.unionByName(cands.withColumn("score", F.lit(0.0)))
+                .groupBy(*qk, "doc_id", _ROW)
+                .agg(F.max("score").alias("score"))
+            )
+    return scores
 
 
 def tfidf_search(
@@ -298,7 +412,8 @@ def tfidf_search(
 ) -> DataFrame:
     """TF-IDF (raw tf, smooth idf, L2 both sides, dot) run."""
     td = tokenized_docs(docs, collection_cols, tokenizer)
-    scores = tfidf_scores(docs, queries, collection_cols, tokenizer, tok_docs=td)
-    if fill_zeros and top_k:
+    shared = fill_zeros and top_k and not collection_cols
+    scores = tfidf_scores(docs, queries, collection_cols, tokenizer, tok_docs=td, zero_fill_k=top_k if shared else None)
+    if fill_zeros and top_k and not shared:
         scores = fill_zero_scores(scores, td, queries, top_k, collection_cols)
     return _finish_run(scores, top_k, run_name, collection_cols, score_digits=score_digits)

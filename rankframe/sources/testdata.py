@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import explode_tokens, tokenize
 from ..plans.broadcast import checked_broadcast
 
 # A short English function-word list used as the stopword set.
@@ -23,16 +23,34 @@ STOPWORDS = [
 ]
 
 
+def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a table read from only a few files over all cores.
+
+    Parquet splits at row-group boundaries, so a table stored as one large row group is read
+    by a single task. When the table has fewer input files than the cluster has cores (a small
+    table), a repartition costs little and parallelises the tokenisation; hashing on ``key``
+    (the document id) also tells Spark the rows are clustered by it, so per-document
+    aggregations downstream need no exchange, as with a collection stored bucketed by id.
+    Large tables arrive in many files and are left alone: their text is never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        return df.repartition(cores, key) if key else df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def load_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.col("source").alias("title"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
+    return balanced(docs, "doc_id")
 
 
 def load_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +82,7 @@ def derive_qrels(docs: DataFrame, queries: DataFrame, min_share: float = 0.5) ->
     d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").withColumn(
         "d_terms", F.array_distinct(tokenize("text"))
     )
-    dt = d.select("doc_id", F.explode("d_terms").alias("term"))
+    dt = d.select("doc_id", explode_tokens("d_terms").alias("term")).filter(F.col("term").isNotNull())
     dfreq = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qt = q.filter(F.col("n") > 0).select("query_id", "n", "t", F.explode("q_terms").alias("term"))
     qt = qt.join(dfreq, "term", "left").fillna(0, ["df"])
