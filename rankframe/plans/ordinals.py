@@ -5,7 +5,10 @@ executor holding the whole table, so the two helpers here split the work:
 
 * ``global_ordinal`` range-partitions on the sort key, numbers rows inside each partition with
   ``monotonically_increasing_id`` after a local sort (no extra exchange), and adds the sizes of
-  all earlier partitions (a table with one row per partition).
+  all earlier partitions (a table with one row per partition). The numbered partitions are
+  materialised once with a reliable ``checkpoint()`` (shared checkpoint folder): the sizes and
+  the rows must come from the same partitioning, and a recomputed range partitioning (other
+  sample, other bounds) would not be; it also cuts the lineage for executor loss.
 * ``prefix_sums`` cuts an already-numbered table into fixed-size buckets, takes running sums per
   bucket and adds the totals of earlier buckets (one row per bucket).
 """
@@ -36,6 +39,7 @@ def global_ordinal(
         # within a partition the id counts rows from 0 in sorted order; the partition index
         # sits in the upper bits
         .withColumn(_LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
+        .checkpoint(eager=True)
     )
     sizes = local.groupBy(_PID).agg(F.count(F.lit(1)).alias(_N))
     # one row per partition: an unpartitioned window over it is harmless

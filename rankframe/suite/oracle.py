@@ -41,3 +41,97 @@ WITH {S.bm25_scores()},
 {S.QRELS},
 {S.evaluate("run", "qrels", "ev", per_query=True)}
 SELECT * FROM ev"""
+
+
+# ------------------------------------------------------------------ statistics
+from ..sources.testdata import STOPWORDS  # noqa: E402
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+_WORDS = f"""
+s_d AS (SELECT doc_id, {S.tok('text')} AS toks FROM ({S.DOCS})),
+s_w AS (SELECT unnest(toks) AS word FROM s_d),
+s_tf AS (SELECT word, CAST(count(*) AS BIGINT) AS count, word IN ({_STOP}) AS is_stopword FROM s_w GROUP BY word)"""
+
+ORACLE["collection_stats"] = f"""
+WITH {_WORDS}
+SELECT (SELECT count(*) FROM s_d) AS n_docs,
+       (SELECT CAST(sum(len(toks)) AS BIGINT) FROM s_d) AS total_words,
+       round((SELECT sum(len(toks)) FROM s_d) / (SELECT count(*) FROM s_d), 6) AS avg_doc_len,
+       (SELECT count(*) FROM s_tf) AS unique_words,
+       round((SELECT avg(length(word)) FROM s_tf), 6) AS avg_unique_word_len,
+       round((SELECT avg(length(word)) FROM s_w), 6) AS avg_word_len"""
+
+ORACLE["term_freq"] = f"""
+WITH {_WORDS}
+SELECT * FROM s_tf"""
+
+ORACLE["stopword_coverage"] = f"""
+WITH {_WORDS}
+SELECT CAST(sum(CASE WHEN is_stopword THEN count ELSE 0 END) AS BIGINT) AS stop_occurrences,
+       CAST(sum(count) AS BIGINT) AS total_occurrences,
+       round(100.0 * sum(CASE WHEN is_stopword THEN count ELSE 0 END) / sum(count), 6) AS stop_percent
+FROM s_tf"""
+
+ORACLE["top_words"] = f"""
+WITH {_WORDS}
+SELECT 'top_nonstop' AS list, word, count FROM (SELECT * FROM s_tf ORDER BY count DESC, word LIMIT 30) WHERE NOT is_stopword
+UNION ALL
+SELECT 'expansion' AS list, word, count FROM (SELECT * FROM s_tf WHERE NOT is_stopword ORDER BY count DESC, word LIMIT 15)"""
+
+ORACLE["zipf"] = f"""
+WITH {_WORDS},
+z_all AS (SELECT 'all' AS list, row_number() OVER (ORDER BY count DESC, word) AS rank, word, count FROM s_tf),
+z_ns AS (SELECT 'no_stop' AS list, row_number() OVER (ORDER BY count DESC, word) AS rank, word, count FROM s_tf WHERE NOT is_stopword)
+SELECT list, rank, word, count, round((SELECT max(count) FROM z_all) / rank, 6) AS ideal FROM z_all
+UNION ALL
+SELECT list, rank, word, count, round((SELECT max(count) FROM z_ns) / rank, 6) AS ideal FROM z_ns"""
+
+ORACLE["bigrams"] = f"""
+WITH bg_d AS (SELECT {S.tok('text')} AS toks FROM ({S.DOCS})),
+bg_p AS (SELECT toks[i] AS w1, toks[i + 1] AS w2 FROM (SELECT toks, unnest(range(1, len(toks))) AS i FROM bg_d)),
+bg_c AS (SELECT w1 || '_' || w2 AS bigram, count(*) AS count,
+                bool_and(w1 NOT IN ({_STOP}) AND w2 NOT IN ({_STOP})) AS keep FROM bg_p GROUP BY bigram)
+SELECT 'all' AS list, bigram, count FROM bg_c
+UNION ALL
+SELECT 'no_stop' AS list, bigram, count FROM bg_c WHERE keep"""
+
+_HEAPS = f"""
+h_d AS (SELECT row_number() OVER (ORDER BY CAST(doc_id AS BIGINT)) AS ord, {S.tok('text')} AS toks FROM ({S.DOCS})),
+h_d2 AS (SELECT ord, toks, len(toks) AS dl, sum(len(toks)) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) - len(toks) AS off FROM h_d),
+h_occ AS (SELECT ord, off + i - 1 AS gpos, toks[i] AS word FROM (SELECT ord, off, toks, unnest(range(1, len(toks) + 1)) AS i FROM h_d2)),
+h_perm AS (SELECT word, row_number() OVER (ORDER BY md5('42:' || CAST(gpos AS VARCHAR)), gpos) - 1 AS slot FROM h_occ),
+h_dealt AS (SELECT o.ord, p.word FROM h_perm p JOIN h_occ o ON p.slot = o.gpos),
+h_src AS (SELECT 'original' AS variant, ord, word FROM h_occ UNION ALL SELECT 'shuffled' AS variant, ord, word FROM h_dealt),
+h_first AS (SELECT variant, word, min(ord) AS ord FROM h_src GROUP BY variant, word),
+h_new AS (SELECT variant, ord, count(*) AS n FROM h_first GROUP BY variant, ord),
+h_v AS (SELECT * FROM (VALUES ('original'), ('shuffled')) t(variant)),
+heaps AS (SELECT v.variant, d.ord,
+       CAST(sum(d.dl) OVER (PARTITION BY v.variant ORDER BY d.ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_words,
+       CAST(sum(coalesce(n.n, 0)) OVER (PARTITION BY v.variant ORDER BY d.ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unique_words
+  FROM h_v v CROSS JOIN h_d2 d LEFT JOIN h_new n ON n.variant = v.variant AND n.ord = d.ord)"""
+
+ORACLE["heaps"] = f"""
+WITH {_HEAPS}
+SELECT * FROM heaps"""
+
+ORACLE["heaps_fit"] = f"""
+WITH {_HEAPS}
+SELECT variant, round(regr_slope(ln(unique_words), ln(total_words)), 6) AS beta,
+       round(exp(regr_intercept(ln(unique_words), ln(total_words))), 6) AS K
+FROM heaps GROUP BY variant"""
+
+_QSTATS = f"""
+{S.QRELS},
+qs_q AS (SELECT query_id, len({S.tok('text')}) AS query_length_words FROM ({S.QUERIES})),
+qs_r AS (SELECT query_id, count(DISTINCT doc_id) AS relevant_docs_count FROM qrels WHERE relevance <> 0 GROUP BY query_id),
+qs AS (SELECT q.query_id, CAST(q.query_length_words AS INTEGER) AS query_length_words,
+              coalesce(r.relevant_docs_count, 0) AS relevant_docs_count FROM qs_q q LEFT JOIN qs_r r USING (query_id))"""
+
+ORACLE["query_stats"] = f"""
+WITH {_QSTATS}
+SELECT count(DISTINCT query_id) AS n_queries, round(avg(query_length_words), 6) AS avg_query_len,
+       round(avg(relevant_docs_count), 6) AS avg_relevant_docs FROM qs"""
+
+ORACLE["query_stats_per_query"] = f"""
+WITH {_QSTATS}
+SELECT * FROM qs"""

@@ -70,3 +70,78 @@ QUERIES: dict[str, QueryFn] = {
     "bm25_eval": bm25_eval,
     "bm25_eval_per_query": bm25_eval_per_query,
 }
+
+
+# ------------------------------------------------------------------ statistics
+from ..operators import stats as ST  # noqa: E402
+from ..sources.testdata import STOPWORDS  # noqa: E402
+
+
+def collection_stats(spark, sf):
+    """A1: basic collection statistics."""
+    return rounded(ST.collection_stats(load_docs(spark, sf)))
+
+
+def term_freq(spark, sf):
+    """A4 + P6: frequency list with stopword flag."""
+    return ST.term_frequencies(load_docs(spark, sf), STOPWORDS)
+
+
+def stopword_coverage(spark, sf):
+    """A5."""
+    return rounded(ST.stopword_coverage(load_docs(spark, sf), STOPWORDS))
+
+
+def top_words(spark, sf):
+    """Top-30 non-stopwords and stoplist candidates."""
+    return ST.top_words(load_docs(spark, sf), STOPWORDS)
+
+
+def zipf(spark, sf):
+    """Zipf ranks and ideal curve, with and without stopwords."""
+    return rounded(ST.zipf(load_docs(spark, sf), STOPWORDS))
+
+
+def bigrams(spark, sf):
+    """A11 + W7: bigram frequency lists."""
+    return ST.bigram_frequencies(load_docs(spark, sf), STOPWORDS)
+
+
+def _docs_in_order(spark, sf):
+    return load_docs(spark, sf).withColumn("doc_no", F.col("doc_id").cast("long"))
+
+
+def heaps(spark, sf):
+    """A8 + A9 + W6: Heaps curves of the collection and of its seeded shuffle."""
+    return ST.heaps_curve(_docs_in_order(spark, sf), "doc_no", seed=42)
+
+
+def heaps_fit(spark, sf):
+    """A10: Heaps fit (beta, K) per variant."""
+    return rounded(ST.heaps_fit(ST.heaps_curve(_docs_in_order(spark, sf), "doc_no", seed=42)))
+
+
+def query_stats(spark, sf):
+    """A2 + A3 + J1 + P4: query statistics summary."""
+    docs, queries = _io(spark, sf)
+    return rounded(ST.query_stats(queries, derive_qrels(docs, queries))[0])
+
+
+def query_stats_per_query(spark, sf):
+    """A2: per-query length and distinct relevant documents (0 when none)."""
+    docs, queries = _io(spark, sf)
+    return ST.query_stats(queries, derive_qrels(docs, queries))[1]
+
+
+QUERIES.update({
+    "collection_stats": collection_stats,
+    "term_freq": term_freq,
+    "stopword_coverage": stopword_coverage,
+    "top_words": top_words,
+    "zipf": zipf,
+    "bigrams": bigrams,
+    "heaps": heaps,
+    "heaps_fit": heaps_fit,
+    "query_stats": query_stats,
+    "query_stats_per_query": query_stats_per_query,
+})
