@@ -111,10 +111,12 @@ def per_query_metrics(
     n_rel = qr.groupBy("query_id").agg(*[F.count_if(F.col("relevance") >= lv).alias(f"_R{lv}") for lv in rels])
     wi = Window.partitionBy("query_id").orderBy(_gain(F.col("relevance"), gains).desc(), F.col("doc_id"))
     cutoffs = {m.cutoff for m in measures.values() if m.kind == "nDCG"}
-    ideal = qr.withColumn("_ir", F.row_number().over(wi)).withColumn("_ig", _gain(F.col("relevance"), gains) / F.log2(F.col("_ir") + 1))
-    idcg = ideal.groupBy("query_id").agg(
-        *[F.sum(F.when(F.col("_ir") <= c, F.col("_ig")) if c else F.col("_ig")).alias(f"_idcg{c}") for c in cutoffs]
-    )
+    idcg = None
+    if cutoffs:
+        ideal = qr.withColumn("_ir", F.row_number().over(wi)).withColumn("_ig", _gain(F.col("relevance"), gains) / F.log2(F.col("_ir") + 1))
+        idcg = ideal.groupBy("query_id").agg(
+            *[F.sum(F.when(F.col("_ir") <= c, F.col("_ig")) if c else F.col("_ig")).alias(f"_idcg{c}") for c in cutoffs]
+        )
 
     aggs = []
     for name, m in measures.items():
@@ -127,7 +129,9 @@ def per_query_metrics(
             aggs.append(F.sum(F.when(within, gain / disc).otherwise(0.0)).alias(f"_dcg_{name}"))
         else:
             raise ValueError(m.kind)
-    per_q = r.groupBy(*group_cols, "query_id").agg(*aggs).join(n_rel, "query_id").join(idcg, "query_id", "left")
+    per_q = r.groupBy(*group_cols, "query_id").agg(*aggs).join(n_rel, "query_id")
+    if idcg is not None:
+        per_q = per_q.join(idcg, "query_id", "left")
     outs = []
     for name, m in measures.items():
         if m.kind == "P":

@@ -91,8 +91,10 @@ def derive_qrels(docs: DataFrame, queries: DataFrame, min_share: float = 0.5) ->
     cands = prefix.select("query_id", "term").join(dt, "term").select("query_id", "doc_id").distinct()
     cands = checked_broadcast(cands.join(q.select("query_id", "q_text", "q_terms", "t"), "query_id"))
     checked = d.join(cands, "doc_id").withColumn("shared", F.size(F.array_intersect("q_terms", "d_terms")))
-    return checked.filter(F.col("shared") >= F.col("t")).select(
+    out = checked.filter(F.col("shared") >= F.col("t")).select(
         "query_id",
         "doc_id",
         F.when(F.col("text").contains(F.col("q_text")), F.lit(2)).otherwise(F.lit(1)).alias("relevance"),
     )
+    # judgements are small and read by every evaluation branch: materialise once
+    return out.checkpoint(eager=True)

@@ -135,3 +135,70 @@ SELECT count(DISTINCT query_id) AS n_queries, round(avg(query_length_words), 6)
 ORACLE["query_stats_per_query"] = f"""
 WITH {_QSTATS}
 SELECT * FROM qs"""
+
+
+# ------------------------------------------------------------------ grids and splits
+from .queries import GRID, GRID_B  # noqa: E402
+
+_SPLIT = f"""
+sp_q AS (SELECT query_id, text FROM ({S.QUERIES})),
+sp_r AS (SELECT query_id, row_number() OVER (ORDER BY md5('42:' || query_id), query_id) AS o FROM (SELECT DISTINCT query_id FROM sp_q)),
+sp AS (SELECT q.query_id, q.text, CASE WHEN r.o <= floor((SELECT count(*) FROM sp_r) * 0.1) THEN 'vali' ELSE 'train' END AS split
+       FROM sp_q q JOIN sp_r r USING (query_id))"""
+
+ORACLE["query_split"] = f"""
+WITH {_SPLIT}
+SELECT query_id, split FROM sp"""
+
+_GRID_VALUES = ", ".join(f"({k1}, {b})" for k1, b in GRID)
+
+
+def _grid_runs(split: str, top_k: int, grid_values: str = _GRID_VALUES) -> str:
+    return f"""
+{S.bm25_scores(queries=f"SELECT query_id, text FROM sp WHERE split = '{split}'", prefix='g')},
+g_grid AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (VALUES {grid_values}) t(k1, b)),
+g_sc2 AS (SELECT g_grid.k1, g_grid.b, query_id, doc_id,
+             sum(qtf * idf * tf * (g_grid.k1 + 1) / (tf + g_grid.k1 * (1 - g_grid.b + g_grid.b * dl / avgdl))) AS score
+          FROM g_qt JOIN g_idf USING (term) JOIN g_tf USING (term) CROSS JOIN g_st CROSS JOIN g_grid
+          GROUP BY g_grid.k1, g_grid.b, query_id, doc_id),
+g_all AS (SELECT gg.k1, gg.b, qq.query_id, dd.doc_id, round(coalesce(s.score, 0.0), 6) AS score
+          FROM (SELECT DISTINCT query_id FROM sp WHERE split = '{split}') qq CROSS JOIN g_d2 dd CROSS JOIN g_grid gg
+          LEFT JOIN g_sc2 s ON s.query_id = qq.query_id AND s.doc_id = dd.doc_id AND s.k1 = gg.k1 AND s.b = gg.b),
+g_run AS (SELECT k1, b, query_id, doc_id, score,
+                 'bm25_k1_' || CAST(k1 AS VARCHAR) || '_b_' || CAST(b AS VARCHAR) AS run_name
+          FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY score DESC, doc_id) AS rank FROM g_all)
+          WHERE rank <= {top_k})"""
+
+
+_GRID_LONG = f"""
+{_SPLIT},
+{_grid_runs('vali', 10)},
+{S.QRELS},
+{S.evaluate("g_run", "qrels", "gl", group=["k1", "b"], measures=[("P@10", "P", 10)], digits=12)}"""
+
+ORACLE["bm25_grid"] = f"""
+WITH {_GRID_LONG}
+SELECT k1, b, round("P@10", 6) AS "P@10" FROM gl"""
+
+ORACLE["bm25_grid_pivot"] = f"""
+WITH {_GRID_LONG}
+SELECT k1, {", ".join(f'max(CASE WHEN b = {b} THEN round("P@10", 4) END) AS "b={float(b)}"' for b in GRID_B)}
+FROM gl GROUP BY k1"""
+
+ORACLE["bm25_grid_marginals"] = f"""
+WITH {_GRID_LONG},
+gm AS (SELECT k1, b, round("P@10", 4) AS m FROM gl)
+SELECT k1, b, 'cell' AS kind, round(m, 6) AS value FROM gm
+UNION ALL SELECT k1, NULL, 'row_mean', round(avg(m), 6) FROM gm GROUP BY k1
+UNION ALL SELECT NULL, b, 'col_mean', round(avg(m), 6) FROM gm GROUP BY b"""
+
+ORACLE["bm25_grid_best"] = f"""
+WITH {_GRID_LONG}
+SELECT k1, b, round("P@10", 4) AS "P@10" FROM gl ORDER BY round("P@10", 4) DESC, k1, b LIMIT 2"""
+
+ORACLE["bm25_tuned_eval"] = f"""
+WITH {_GRID_LONG},
+best AS (SELECT k1, b FROM gl ORDER BY round("P@10", 4) DESC, k1, b LIMIT 2),
+{_grid_runs('train', 100, "(0, 0)").replace("g_grid AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (VALUES (0, 0)) t(k1, b))", "g_grid AS (SELECT * FROM best)").replace("g_", "t_")},
+{S.evaluate("t_run", "qrels", "te", group=["run_name"], measures=S.RUN_MEASURES, digits=4)}
+SELECT * FROM te"""

@@ -145,3 +145,70 @@ QUERIES.update({
     "query_stats": query_stats,
     "query_stats_per_query": query_stats_per_query,
 })
+
+
+# ------------------------------------------------------------------ grids and splits
+from ..operators import splits as SP  # noqa: E402
+from ..operators import tuning as TU  # noqa: E402
+from ..operators.evaluation import RUN_MEASURES, Measure, evaluate_runs  # noqa: E402
+
+# The BM25 grid of the tuning experiment.
+GRID_K1 = [0.6, 0.9, 1.2, 1.5, 1.8, 2.1]
+GRID_B = [0.0, 0.25, 0.5, 0.75, 1.0]
+GRID = [(k1, b) for k1 in GRID_K1 for b in GRID_B]
+
+
+def _split_queries(spark, sf):
+    docs, queries = _io(spark, sf)
+    return docs, SP.query_split(queries, "query_id", share=0.1, seed=42)
+
+
+def query_split(spark, sf):
+    """C6 + U4: query-level validation split (md5-seeded)."""
+    _, q = _split_queries(spark, sf)
+    return q.select("query_id", "split")
+
+
+def _grid_long(spark, sf):
+    docs, q = _split_queries(spark, sf)
+    vali = q.filter(F.col("split") == "vali").drop("split")
+    return TU.grid_search_bm25(docs, vali, derive_qrels(docs, q), GRID, "P@10", Measure("P", 10), top_k=10, score_digits=DIGITS)
+
+
+def bm25_grid(spark, sf):
+    """R5 + J10: P@10 of every (k1, b) cell on the validation queries."""
+    return rounded(_grid_long(spark, sf))
+
+
+def bm25_grid_pivot(spark, sf):
+    """Grid pivot, rounded to 4 decimals."""
+    return TU.grid_pivot(_grid_long(spark, sf), "P@10", GRID_B)
+
+
+def bm25_grid_marginals(spark, sf):
+    """Cells, row means and column means (grouping sets)."""
+    return rounded(TU.grid_marginals(_grid_long(spark, sf), "P@10"))
+
+
+def bm25_grid_best(spark, sf):
+    """Best two cells."""
+    return TU.grid_best(_grid_long(spark, sf), "P@10", 2)
+
+
+def bm25_tuned_eval(spark, sf):
+    """R6 + E8: the best two cells re-run on the training (non-validation) queries, evaluated."""
+    docs, q = _split_queries(spark, sf)
+    best = TU.grid_best(_grid_long(spark, sf), "P@10", 2)
+    test = q.filter(F.col("split") == "train").drop("split")
+    runs = TU.tuned_runs(docs, test, best, top_k=100, score_digits=DIGITS)
+    return rounded(evaluate_runs(runs, derive_qrels(docs, q), RUN_MEASURES, digits=4))
+
+
+QUERIES.update({
+    "query_split": query_split,
+    "bm25_grid": bm25_grid,
+    "bm25_grid_pivot": bm25_grid_pivot,
+    "bm25_grid_marginals": bm25_grid_marginals,
+    "bm25_grid_best": bm25_grid_best,
+    "bm25_tuned_eval": bm25_tuned_eval,
+})
