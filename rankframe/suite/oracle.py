@@ -202,3 +202,112 @@ best AS (SELECT k1, b FROM gl ORDER BY round("P@10", 4) DESC, k1, b LIMIT 2),
 {_grid_runs('train', 100, "(0, 0)").replace("g_grid AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (VALUES (0, 0)) t(k1, b))", "g_grid AS (SELECT * FROM best)").replace("g_", "t_")},
 {S.evaluate("t_run", "qrels", "te", group=["run_name"], measures=S.RUN_MEASURES, digits=4)}
 SELECT * FROM te"""
+
+
+# ------------------------------------------------------------------ dense, re-ranking, fusion
+from .queries import EMBED_DIM, RERANK_KS, SWEEP_DIMS  # noqa: E402
+
+
+def _hashed(src: str, dim: int, out: str) -> str:
+    """CTE ``out(id, embedding FLOAT[])`` for a source with columns (id, text)."""
+    return f"""
+{out}_src AS ({src}),
+{out}_t AS (SELECT id, unnest({S.tok('text')}) AS t FROM {out}_src),
+{out}_c AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS bk, CAST(count(*) AS DOUBLE) AS n FROM {out}_t GROUP BY ALL),
+{out}_n AS (SELECT id, sqrt(sum(n * n)) AS nrm FROM {out}_c GROUP BY id),
+{out} AS (SELECT i.id, list(CAST(CASE WHEN nn.nrm > 0 THEN coalesce(c.n, 0.0) / nn.nrm ELSE 0.0 END AS FLOAT) ORDER BY r.bk) AS embedding
+          FROM (SELECT DISTINCT id FROM {out}_src) i CROSS JOIN (SELECT unnest(range({dim})) AS bk) r
+          LEFT JOIN {out}_c c ON c.id = i.id AND c.bk = r.bk LEFT JOIN {out}_n nn ON nn.id = i.id
+          GROUP BY i.id)"""
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
+
+
+_DOC_SRC = f"SELECT doc_id AS id, text FROM ({S.DOCS})"
+_Q_SRC = f"SELECT query_id AS id, text FROM ({S.QUERIES})"
+
+ORACLE["dense_embed"] = f"""
+WITH {_hashed(_DOC_SRC, EMBED_DIM, "hd")}
+SELECT id, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM hd"""
+
+
+def _dense_run(dim: int, k: int, name: str, out: str) -> str:
+    return f"""
+{_hashed(_DOC_SRC, dim, out + "_dv")},
+{_hashed(_Q_SRC, dim, out + "_qv")},
+{out} AS (SELECT query_id, 'Q0' AS "Q0", doc_id, CAST(rank AS INTEGER) AS rank, score, '{name}' AS run_name FROM (
+    SELECT q.id AS query_id, d.id AS doc_id, round({_dot('q.embedding', 'd.embedding')}, 6) AS score,
+           row_number() OVER (PARTITION BY q.id ORDER BY round({_dot('q.embedding', 'd.embedding')}, 6) DESC, d.id) AS rank
+    FROM {out}_qv q CROSS JOIN {out}_dv d) WHERE rank <= {k})"""
+
+
+ORACLE["dense_top10"] = f"""
+WITH {_dense_run(EMBED_DIM, 10, "dense", "dr")}
+SELECT * FROM dr"""
+
+_CANDS = lambda k: f"""{S.bm25_scores()},
+{S.ranked_all_pairs("b_sc", "b_d2", S.QUERIES, k, "bm25", "run")},
+{_hashed(_DOC_SRC, EMBED_DIM, "cv_d")},
+{_hashed(_Q_SRC, EMBED_DIM, "cv_q")}"""
+
+ORACLE["biencoder_pairs"] = f"""
+WITH {_CANDS(20)}
+SELECT r.*, round({_dot('q.embedding', 'd.embedding')}, 6) AS dense_score
+FROM run r LEFT JOIN cv_q q ON q.id = r.query_id LEFT JOIN cv_d d ON d.id = r.doc_id"""
+
+_KS = ", ".join(str(k) for k in RERANK_KS)
+ORACLE["rerank_sweep"] = f"""
+WITH {_CANDS(100)},
+{S.QRELS},
+rr_min AS (SELECT min(n) AS m FROM (SELECT query_id, count(*) AS n FROM run GROUP BY query_id)),
+rr_ks AS (SELECT k FROM (SELECT unnest([{_KS}]) AS k) WHERE k <= (SELECT m FROM rr_min)
+          UNION ALL SELECT m FROM rr_min WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest([{_KS}]) AS k) WHERE k <= (SELECT m FROM rr_min))),
+rr_c AS (SELECT * FROM run WHERE rank <= (SELECT max(k) FROM rr_ks)),
+rr_s AS (SELECT query_id, doc_id, rank,
+           round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ds)) / len(qs) ELSE 0 END
+               + CASE WHEN len(ds) > 0 THEN len(list_intersect(qs, ds)) / len(ds) ELSE 0 END * 0.001, 6) AS rerank_score
+         FROM (SELECT c.query_id, c.doc_id, c.rank, list_distinct({S.tok('q.text')}) AS qs, list_distinct({S.tok('d.text')}) AS ds
+               FROM rr_c c LEFT JOIN ({S.QUERIES}) q USING (query_id) LEFT JOIN ({S.DOCS}) d USING (doc_id))),
+rr_r AS (SELECT k.k, s.query_id, s.doc_id, s.rerank_score AS score FROM rr_s s CROSS JOIN rr_ks k WHERE s.rank <= k.k),
+{S.evaluate("rr_r", "qrels", "rre", group=["k"])}
+SELECT * FROM rre"""
+
+ORACLE["dense_sweep"] = "WITH " + ",\n".join(
+    [_dense_run(d, 20, f"dense_hash{d}", f"ds{d}") for d in SWEEP_DIMS] + [S.QRELS]
+    + [S.evaluate(f"ds{d}", "qrels", f"dse{d}") for d in SWEEP_DIMS]
+) + "\n" + "\nUNION ALL\n".join(f"SELECT 'hash{d}' AS model, * FROM dse{d}" for d in SWEEP_DIMS)
+
+_MIX = f"""{_CANDS(50)},
+{S.QRELS},
+{_SPLIT},
+mx_c AS (SELECT r.query_id, r.doc_id, r.rank, r.score, round({_dot('q.embedding', 'd.embedding')}, 6) AS dense_score, sp.split
+         FROM run r LEFT JOIN cv_q q ON q.id = r.query_id LEFT JOIN cv_d d ON d.id = r.doc_id JOIN sp USING (query_id)),
+mx_n AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w > 0
+                   THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.0 END AS bn
+         FROM mx_c WINDOW w AS (PARTITION BY query_id)),
+mx_a AS (SELECT i / 20 AS alpha FROM range(21) t(i)),
+mx_t AS (SELECT a.alpha, n.query_id, n.doc_id, round(a.alpha * n.bn + (1 - a.alpha) * n.dense_score, 6) AS score
+         FROM mx_n n CROSS JOIN mx_a a WHERE n.split = 'train'),
+mx_tr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rk FROM mx_t) WHERE rk <= 20),
+{S.evaluate("mx_tr", "qrels", "mxe", group=["alpha"], measures=[("nDCG@20", "nDCG", 20)], digits=12)}"""
+
+ORACLE["mixture_tune"] = f"""
+WITH {_MIX}
+SELECT alpha, round("nDCG@20", 6) AS "nDCG@20" FROM mxe"""
+
+ORACLE["mixture_report"] = f"""
+WITH {_MIX},
+mx_best AS (SELECT alpha FROM mxe ORDER BY "nDCG@20" DESC, alpha LIMIT 1),
+mx_v AS (SELECT * FROM mx_n WHERE split = 'vali'),
+m_bm25 AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS r FROM mx_v) WHERE r <= 20),
+m_dense AS (SELECT query_id, doc_id, dense_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, doc_id) AS r FROM mx_v) WHERE r <= 20),
+m_mix AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(b.alpha * bn + (1 - b.alpha) * dense_score, 6) AS score,
+            row_number() OVER (PARTITION BY query_id ORDER BY round(b.alpha * bn + (1 - b.alpha) * dense_score, 6) DESC, doc_id) AS r
+          FROM mx_v CROSS JOIN mx_best b) WHERE r <= 20),
+{S.evaluate("m_bm25", "qrels", "e1")},
+{S.evaluate("m_dense", "qrels", "e2")},
+{S.evaluate("m_mix", "qrels", "e3")}
+SELECT 'BM25' AS method, * FROM e1 UNION ALL SELECT 'Dense', * FROM e2
+UNION ALL SELECT 'Mixture a=' || printf('%.2f', (SELECT alpha FROM mx_best)), * FROM e3"""

@@ -212,3 +212,112 @@ QUERIES.update({
     "bm25_grid_best": bm25_grid_best,
     "bm25_tuned_eval": bm25_tuned_eval,
 })
+
+
+# ------------------------------------------------------------------ dense, re-ranking, fusion
+from ..operators import dense as DN  # noqa: E402
+from ..operators import fusion as FU  # noqa: E402
+from ..operators.ranking import top_k_per_query  # noqa: E402
+
+EMBED_DIM = 64
+# Re-rank depths and the "encoders" of the dense sweep (hashed dimensions).
+RERANK_KS = [10, 20, 50, 100]
+SWEEP_DIMS = [32, 64]
+
+
+def _vecs(spark, sf, dim=EMBED_DIM):
+    docs, queries = _io(spark, sf)
+    dv = DN.hashed_embeddings(docs, "doc_id", "text", dim).withColumnRenamed("id", "doc_id")
+    qv = DN.hashed_embeddings(queries, "query_id", "text", dim).withColumnRenamed("id", "query_id")
+    return docs, queries, dv, qv
+
+
+def dense_embed(spark, sf):
+    """Hashed bag-of-words embeddings of all documents (unit length, float32)."""
+    return rounded(DN.hashed_embeddings(load_docs(spark, sf), "doc_id", "text", EMBED_DIM))
+
+
+def dense_top10(spark, sf):
+    """Exact dense top 10 per query over all documents."""
+    _, _, dv, qv = _vecs(spark, sf)
+    return DN.dense_search(dv, qv, top_k=10, run_name="dense", score_digits=DIGITS)
+
+
+def _candidates(spark, sf, k=50):
+    docs, queries, dv, qv = _vecs(spark, sf)
+    run = bm25_search(docs, queries, top_k=k, run_name="bm25", score_digits=DIGITS)
+    return docs, queries, dv, qv, run
+
+
+def biencoder_pairs(spark, sf):
+    """R9 + J4 + J5: dense score of every BM25 top-20 candidate pair."""
+    _, _, dv, qv, run = _candidates(spark, sf, 20)
+    return rounded(DN.score_pairs_biencoder(run, qv, dv))
+
+
+def rerank_sweep(spark, sf):
+    """R10 + R11 + A18 + W2 + J3: candidates scored once, re-ranked and evaluated per depth."""
+    docs, queries, _, _, run = _candidates(spark, sf, 100)
+    from ..operators.stats import admissible_ks
+    ks = admissible_ks(run, RERANK_KS).first()["ks"]
+    cands = top_k_per_query(run, max(ks))
+    scored = DN.score_pairs_cross(cands, queries, docs).withColumn("rerank_score", F.round("rerank_score", DIGITS))
+    reranked = DN.rerank_sweep(scored, ks)
+    qr = derive_qrels(docs, queries)
+    return rounded(mean_metrics(reranked, qr, DEFAULT_MEASURES, group_cols=["k"]))
+
+
+def dense_sweep(spark, sf):
+    """Dense runs for each encoder (hashed dimension), evaluated."""
+    docs, queries = _io(spark, sf)
+    qr = derive_qrels(docs, queries)
+    out = None
+    for dim in SWEEP_DIMS:
+        dv = DN.hashed_embeddings(docs, "doc_id", "text", dim).withColumnRenamed("id", "doc_id")
+        qv = DN.hashed_embeddings(queries, "query_id", "text", dim).withColumnRenamed("id", "query_id")
+        run = DN.dense_search(dv, qv, top_k=20, run_name=f"dense_hash{dim}", score_digits=DIGITS)
+        m = mean_metrics(run, qr, DEFAULT_MEASURES).withColumn("model", F.lit(f"hash{dim}"))
+        out = m if out is None else out.unionByName(m)
+    return rounded(out.select("model", *DEFAULT_MEASURES))
+
+
+def _scored_candidates(spark, sf):
+    docs, queries, dv, qv, run = _candidates(spark, sf, 50)
+    split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
+    scored = DN.score_pairs_biencoder(run, qv, dv).withColumn("dense_score", F.round("dense_score", DIGITS)).join(split, "query_id")
+    return docs, queries, scored, derive_qrels(docs, queries)
+
+
+def mixture_tune(spark, sf):
+    """F2 + W4: nDCG@20 per alpha on the training queries."""
+    _, _, scored, qr = _scored_candidates(spark, sf)
+    return rounded(FU.tune_alpha(scored.filter(F.col("split") == "train"), qr, score_digits=DIGITS))
+
+
+def mixture_report(spark, sf):
+    """F1 + F3 + E11 + U1: BM25@20, dense@20 and mixture@20 (tuned alpha) on the validation
+    queries, one report row per method."""
+    _, _, scored, qr = _scored_candidates(spark, sf)
+    alpha = FU.best_alpha(FU.tune_alpha(scored.filter(F.col("split") == "train"), qr, score_digits=DIGITS))
+    test = scored.filter(F.col("split") == "vali")
+    _, mix_run = FU.apply_mixture(test, alpha, top_k=20, run_name="mixture", score_digits=DIGITS)
+    dense_run = make_ranked_run(test, "dense_score", "dense", 20)
+    bm25_run = top_k_per_query(test, 20)
+    rows = None
+    for method, run in (("BM25", bm25_run), ("Dense", dense_run), (f"Mixture a={alpha:.2f}", mix_run)):
+        m = mean_metrics(run, qr, DEFAULT_MEASURES).withColumn("method", F.lit(method))
+        rows = m if rows is None else rows.unionByName(m)
+    return rounded(rows.select("method", *DEFAULT_MEASURES))
+
+
+from ..operators.ranking import make_ranked_run  # noqa: E402
+
+QUERIES.update({
+    "dense_embed": dense_embed,
+    "dense_top10": dense_top10,
+    "biencoder_pairs": biencoder_pairs,
+    "rerank_sweep": rerank_sweep,
+    "dense_sweep": dense_sweep,
+    "mixture_tune": mixture_tune,
+    "mixture_report": mixture_report,
+})
