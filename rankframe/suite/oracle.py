@@ -311,3 +311,40 @@ m_mix AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(b.
 {S.evaluate("m_mix", "qrels", "e3")}
 SELECT 'BM25' AS method, * FROM e1 UNION ALL SELECT 'Dense', * FROM e2
 UNION ALL SELECT 'Mixture a=' || printf('%.2f', (SELECT alpha FROM mx_best)), * FROM e3"""
+
+
+# ------------------------------------------------------------------ lexical features, LTR frame
+_FEAT = f"""{_CANDS(20)},
+fc AS (SELECT r.*, round({_dot('q.embedding', 'd.embedding')}, 6) AS dense_score
+       FROM run r LEFT JOIN cv_q q ON q.id = r.query_id LEFT JOIN cv_d d ON d.id = r.doc_id),
+f_qt AS (SELECT b_qt.query_id, b_qt.term, b_qt.qtf, coalesce(b_idf.idf, 0.0) AS idf FROM b_qt LEFT JOIN b_idf USING (term)),
+f_pq AS (SELECT query_id, CAST(sum(qtf) AS INTEGER) AS query_len, sum(qtf * idf) AS idf_sum, max(idf) AS idf_max, count(*) AS nq FROM f_qt GROUP BY query_id),
+f_occ AS (SELECT doc_id, i - 1 AS pos, toks[i] AS term FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM b_d2 WHERE doc_id IN (SELECT doc_id FROM fc))),
+f_hits AS (SELECT p.query_id, p.doc_id, t.term, any_value(t.qtf) AS qtf, count(*) AS tf, min(o.pos) AS p0, max(o.pos) AS p1
+           FROM (SELECT DISTINCT query_id, doc_id FROM fc) p JOIN f_qt t USING (query_id) JOIN f_occ o ON o.doc_id = p.doc_id AND o.term = t.term
+           GROUP BY p.query_id, p.doc_id, t.term),
+f_pp AS (SELECT query_id, doc_id, sum(qtf * tf) AS tf_sum, max(tf) AS tf_max, count(*) AS m, max(p1) - min(p0) AS span FROM f_hits GROUP BY query_id, doc_id),
+feat AS (SELECT fc.*, CAST(d.dl AS INTEGER) AS doc_len, coalesce(pq.query_len, 0) AS query_len,
+           CAST(coalesce(pp.tf_sum, 0) AS DOUBLE) AS tf_sum, CAST(coalesce(pp.tf_max, 0) AS DOUBLE) AS tf_max,
+           coalesce(pq.idf_sum, 0.0) AS idf_sum, coalesce(pq.idf_max, 0.0) AS idf_max,
+           CASE WHEN pq.nq > 0 THEN coalesce(pp.m, 0) / pq.nq ELSE 0.0 END AS matched_terms_ratio,
+           CAST(CASE WHEN pp.m > 1 THEN pp.span ELSE 0 END AS INTEGER) AS min_span
+         FROM fc LEFT JOIN b_d2 d USING (doc_id) LEFT JOIN f_pq pq USING (query_id) LEFT JOIN f_pp pp USING (query_id, doc_id))"""
+
+ORACLE["lexical_features"] = f"""
+WITH {_FEAT}
+SELECT query_id, doc_id, doc_len, query_len, round(tf_sum, 6) AS tf_sum, round(tf_max, 6) AS tf_max, round(idf_sum, 6) AS idf_sum,
+       round(idf_max, 6) AS idf_max, round(matched_terms_ratio, 6) AS matched_terms_ratio, min_span FROM feat"""
+
+ORACLE["ltr_frame"] = f"""
+WITH {_FEAT},
+{S.QRELS},
+lf AS (SELECT f.*, CASE WHEN max(score) OVER w - min(score) OVER w > 0 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.0 END AS bm25_norm,
+              coalesce(q.relevance, 0) AS relevance
+       FROM feat f LEFT JOIN (SELECT query_id, doc_id, max(relevance) AS relevance FROM qrels GROUP BY ALL) q USING (query_id, doc_id)
+       WINDOW w AS (PARTITION BY f.query_id))
+SELECT CAST(dense_rank() OVER (ORDER BY query_id) - 1 AS BIGINT) AS group_id, query_id, doc_id, relevance,
+       CAST(relevance > 0 AS INTEGER) AS binary_label,
+       list_transform([bm25_norm, dense_score, tf_sum, tf_max, idf_sum, idf_max, doc_len, query_len, matched_terms_ratio, min_span],
+                      lambda x: round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 4)) AS features
+FROM lf"""

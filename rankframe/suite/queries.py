@@ -321,3 +321,30 @@ QUERIES.update({
     "mixture_tune": mixture_tune,
     "mixture_report": mixture_report,
 })
+
+
+# ------------------------------------------------------------------ lexical features, LTR frame
+from ..operators import features as FE  # noqa: E402
+
+
+def _feature_candidates(spark, sf):
+    docs, queries, dv, qv, run = _candidates(spark, sf, 20)
+    scored = DN.score_pairs_biencoder(run, qv, dv).withColumn("dense_score", F.round("dense_score", DIGITS))
+    return docs, queries, FE.extract_lexical_features(scored, docs, queries)
+
+
+def lexical_features(spark, sf):
+    """L1-L6 + J6 + J7: lexical features of every BM25 top-20 candidate."""
+    _, _, f = _feature_candidates(spark, sf)
+    return rounded(f.select("query_id", "doc_id", "doc_len", "query_len", *FE.PAIR_FEATURES))
+
+
+def ltr_frame(spark, sf):
+    """L7 + W4 + W5 + J2 + P7: the learning-to-rank frame (features array, label, group ids)."""
+    docs, queries, f = _feature_candidates(spark, sf)
+    fr = FE.ltr_frame(f, derive_qrels(docs, queries))
+    return fr.select("group_id", "query_id", "doc_id", "relevance", (F.col("relevance") > 0).cast("int").alias("binary_label"),
+                     F.transform("features", lambda x: F.round(x.cast("double"), 4)).alias("features"))
+
+
+QUERIES.update({"lexical_features": lexical_features, "ltr_frame": ltr_frame})
