@@ -348,3 +348,60 @@ SELECT CAST(dense_rank() OVER (ORDER BY query_id) - 1 AS BIGINT) AS group_id, qu
        list_transform([bm25_norm, dense_score, tf_sum, tf_max, idf_sum, idf_max, doc_len, query_len, matched_terms_ratio, min_span],
                       lambda x: round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 4)) AS features
 FROM lf"""
+
+
+# ------------------------------------------------------------------ LETOR and learning to rank
+from .queries import LINEAR_WEIGHTS  # noqa: E402
+
+_F32 = lambda c: f"CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS FLOAT)"  # decimal text -> float, as parsed
+_LAB = "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END"
+_LETOR = f"""
+lt AS (SELECT l_linenumber AS row_id, CAST({_LAB} AS FLOAT) AS label, l_orderkey AS group_id,
+              [{_F32('l_quantity')}, {_F32('l_extendedprice')}, {_F32('l_discount')}, {_F32('l_tax')}] AS features FROM lineitem)"""
+
+ORACLE["letor_parse"] = f"""
+WITH {_LETOR}
+SELECT row_id, round(label, 6) AS label, group_id, list_transform(features, lambda x: CAST(x AS DOUBLE)) AS features FROM lt"""
+
+_SPARSE = f"""
+ls AS (SELECT l_linenumber AS row_id, CAST({_LAB} AS FLOAT) AS label, l_orderkey AS group_id,
+              [{_F32('l_quantity')}, {_F32('l_extendedprice')}, {_F32('l_discount')}, {_F32('l_tax')}, CAST(0 AS FLOAT), CAST(0 AS FLOAT)] AS features FROM lineitem)"""
+
+ORACLE["letor_sparse_parse"] = f"""
+WITH {_SPARSE}
+SELECT row_id, round(label, 6) AS label, group_id, list_transform(features, lambda x: CAST(x AS DOUBLE)) AS features FROM ls"""
+
+_FOLDS = f"""{_LETOR},
+fg AS (SELECT group_id, row_number() OVER (ORDER BY md5('42:' || CAST(group_id AS VARCHAR)), group_id) AS o FROM (SELECT DISTINCT group_id FROM lt)),
+fp AS (SELECT group_id, CAST(floor((o - 1) * 5 / (SELECT count(*) FROM fg)) + 1 AS INTEGER) AS part FROM fg),
+lp AS (SELECT lt.*, fp.part FROM lt JOIN fp USING (group_id))"""
+
+ORACLE["ltr_fold_overview"] = f"""
+WITH {_FOLDS},
+fm AS (SELECT f AS fold, p AS part, CASE WHEN p = f THEN 'test' WHEN p = f % 5 + 1 THEN 'vali' ELSE 'train' END AS split
+       FROM range(1, 6) a(f) CROSS JOIN range(1, 6) b(p))
+SELECT CAST(fm.fold AS INTEGER) AS fold, fm.split, count(*) AS n_docs, count(DISTINCT group_id) AS n_queries,
+       count_if(CAST(label AS INTEGER) = 0) AS label_0, count_if(CAST(label AS INTEGER) = 1) AS label_1, count_if(CAST(label AS INTEGER) = 2) AS label_2,
+       CAST(max(len(features)) AS INTEGER) AS n_features
+FROM lp JOIN fm USING (part) GROUP BY fm.fold, fm.split
+UNION ALL
+SELECT 0, 'full', count(*), count(DISTINCT group_id), count_if(CAST(label AS INTEGER) = 0), count_if(CAST(label AS INTEGER) = 1),
+       count_if(CAST(label AS INTEGER) = 2), CAST(max(len(features)) AS INTEGER) FROM lp"""
+
+ORACLE["ltr_describe"] = f"""
+WITH {_SPARSE},
+pg AS (SELECT group_id, count(*) AS n FROM ls GROUP BY group_id)
+SELECT count(*) AS n_docs, CAST(max(len(features)) AS INTEGER) AS n_features,
+       round(avg(len(list_filter(features, lambda v: v <> 0))), 6) AS mean_nonzero_features,
+       count(DISTINCT label) AS n_labels, round(100.0 * avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END), 6) AS pct_label_0,
+       (SELECT count(*) FROM pg) AS n_queries, round((SELECT avg(n) FROM pg), 6) AS mean_docs_per_query, (SELECT max(n) FROM pg) AS max_docs_per_query
+FROM ls"""
+
+_W = ", ".join(str(float(w)) for w in LINEAR_WEIGHTS)
+ORACLE["ltr_linear_eval"] = f"""
+WITH {_LETOR},
+le_run AS (SELECT CAST(group_id AS VARCHAR) AS query_id, CAST(row_id AS VARCHAR) AS doc_id,
+                  round(list_sum(list_transform(list_zip(features, [{_W}]), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 6) AS score FROM lt),
+le_q AS (SELECT CAST(group_id AS VARCHAR) AS query_id, CAST(row_id AS VARCHAR) AS doc_id, CAST(label AS INTEGER) AS relevance FROM lt),
+{S.evaluate("le_run", "le_q", "lee", measures=[("Precision@10", "P", 10), ("MAP@10", "AP", 10), ("NDCG@10", "nDCG", 10)])}
+SELECT * FROM lee"""

@@ -348,3 +348,102 @@ def ltr_frame(spark, sf):
 
 
 QUERIES.update({"lexical_features": lexical_features, "ltr_frame": ltr_frame})
+
+
+# ------------------------------------------------------------------ LETOR and learning to rank
+from ..operators import ltr as LT  # noqa: E402
+from ..sources.letor import parse_letor_lines, parse_sparse_letor_lines  # noqa: E402
+
+# Label of a line item by return flag, and the linear scorer's weights.
+RETURN_LABEL = {"R": 2, "A": 1}
+LINEAR_WEIGHTS = [0.02, 0.00001, -1.0, 1.0]
+
+
+def _label(c):
+    expr = F.lit(0)
+    for flag, v in RETURN_LABEL.items():
+        expr = F.when(c == flag, F.lit(v)).otherwise(expr)
+    return expr
+
+
+def letor_lines(spark, sf):
+    """LETOR text lines built from lineitem: group = order, label from the return flag."""
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_linenumber").alias("row_id"),
+        F.format_string("%d qid:%d 1:%s 2:%s 3:%s 4:%s # li%d", _label(F.col("l_returnflag")), "l_orderkey",
+                        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber").alias("value"),
+    )
+
+
+def sparse_letor_lines(spark, sf):
+    """Sparse lines: zero features omitted, index 1 repeated (a leading 1:0, last one wins)."""
+    li = table(spark, sf, "lineitem")
+    vals = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    pairs = [F.when(F.col(v) != 0, F.concat(F.lit(f"{i}:"), F.col(v).cast("string"))) for i, v in enumerate(vals, start=1)]
+    return li.select(
+        F.col("l_linenumber").alias("row_id"),
+        F.concat_ws(" ", _label(F.col("l_returnflag")).cast("string"), F.lit("1:0"), *pairs, F.concat(F.lit("# "), F.col("l_orderkey").cast("string"))).alias("value"),
+    )
+
+
+def _letor(spark, sf):
+    return parse_letor_lines(letor_lines(spark, sf))
+
+
+def letor_parse(spark, sf):
+    """Dense LETOR lines parsed back (label, group, positional features)."""
+    return rounded(_letor(spark, sf).withColumn("features", F.transform("features", lambda x: x.cast("double"))))
+
+
+def letor_sparse_parse(spark, sf):
+    """Sparse LETOR lines (1-based indices, absent = 0, last repeat wins), 6 features."""
+    p = parse_sparse_letor_lines(sparse_letor_lines(spark, sf), num_features=6)
+    return rounded(p.withColumn("features", F.transform("features", lambda x: x.cast("double"))))
+
+
+def ltr_fold_overview(spark, sf):
+    """A12 + S7: 5 query-level folds (md5-seeded parts), counts per fold and split and in full."""
+    return LT.fold_overview(LT.fold_parts(_letor(spark, sf), "group_id", 5, 42))
+
+
+def ltr_describe(spark, sf):
+    """Description of the sparse split."""
+    p = parse_sparse_letor_lines(sparse_letor_lines(spark, sf), num_features=6)
+    return rounded(LT.describe_split(p))
+
+
+def ltr_linear_eval(spark, sf):
+    """E9 + L13 + P7: Precision@10, MAP@10, NDCG@10 of a fixed linear scorer over all groups."""
+    s = LT.linear_scores(_letor(spark, sf), LINEAR_WEIGHTS).withColumn("score", F.round("score", DIGITS))
+    return rounded(LT.ltr_metrics(s, k=10))
+
+
+def ltr_gbt_eval(spark, sf):
+    """L8 + L9 + L12 + L14 + E10 + A14: boosted trees (RMSE, QueryRMSE) per fold, test metrics,
+    mean per loss (rows only: a model fit)."""
+    parted = LT.fold_parts(_letor(spark, sf), "group_id", 5, 42).checkpoint(eager=True)
+    rows = None
+    for fold, part_split in ((f, {p: s for ff, p, s in LT.fold_split_map(5) if ff == f}) for f in (1, 2)):
+        m = F.create_map(*[x for p, s in part_split.items() for x in (F.lit(p), F.lit(s))])
+        df = parted.withColumn("split", m[F.col("part")])
+        for loss in ("RMSE", "QueryRMSE"):
+            model = LT.train_gbt(df.filter("split = 'train'"), loss, max_depth=4, max_iter=10, vali=df.filter("split = 'vali'"))
+            pred = LT.apply_model(model, df.filter("split = 'test'"))
+            mt = LT.ltr_metrics(pred.withColumn("score", F.round("score", DIGITS)), k=10)
+            mt = mt.withColumn("loss", F.lit(loss)).withColumn("fold", F.lit(fold))
+            rows = mt if rows is None else rows.unionByName(mt)
+    summary = rows.groupBy("loss").agg(*[F.avg(c).alias(c) for c in ("Precision@10", "MAP@10", "NDCG@10")])
+    return rounded(summary)
+
+
+from ..sources.testdata import table  # noqa: E402
+
+QUERIES.update({
+    "letor_parse": letor_parse,
+    "letor_sparse_parse": letor_sparse_parse,
+    "ltr_fold_overview": ltr_fold_overview,
+    "ltr_describe": ltr_describe,
+    "ltr_linear_eval": ltr_linear_eval,
+    "ltr_gbt_eval": ltr_gbt_eval,
+})
