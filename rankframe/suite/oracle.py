@@ -405,3 +405,70 @@ le_run AS (SELECT CAST(group_id AS VARCHAR) AS query_id, CAST(row_id AS VARCHAR)
 le_q AS (SELECT CAST(group_id AS VARCHAR) AS query_id, CAST(row_id AS VARCHAR) AS doc_id, CAST(label AS INTEGER) AS relevance FROM lt),
 {S.evaluate("le_run", "le_q", "lee", measures=[("Precision@10", "P", 10), ("MAP@10", "AP", 10), ("NDCG@10", "nDCG", 10)])}
 SELECT * FROM lee"""
+
+
+# ------------------------------------------------------------------ pooled collections, grouped split
+from ..functions.text import WHITESPACE_RUN  # noqa: E402
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^{WHITESPACE_RUN}|{WHITESPACE_RUN}$', '', 'g')"
+
+
+_POOL = f"""{S.bm25_scores()},
+{S.ranked_all_pairs("b_sc", "b_d2", S.QUERIES, 20, "pool", "run")},
+{S.QRELS},
+pe AS (SELECT r.query_id, r.rank - 1 AS pos, d.source AS doc_name, d.text AS doc_chunk, coalesce(q.relevance, 0) AS support, d.lang
+       FROM run r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.doc_id LEFT JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.doc_id),
+pe2 AS (SELECT *, {_strip('doc_name')} AS t, {_strip('doc_chunk')} AS c FROM pe),
+pd AS (SELECT query_id, pos, support, lang, doc_name, t AS title,
+              CASE WHEN c = '' THEN '' WHEN t <> '' AND NOT starts_with(c, t) THEN t || '. ' || c ELSE c END AS text FROM pe2),
+pd2 AS (SELECT *, 'mirage_' || md5(text) AS doc_id FROM pd WHERE text <> '')"""
+
+ORACLE["pool_collection_docs"] = f"""
+WITH {_POOL}
+SELECT doc_id, arg_min(title, CAST(query_id AS BIGINT) * 100000 + pos) AS title, arg_min(text, CAST(query_id AS BIGINT) * 100000 + pos) AS text
+FROM pd2 GROUP BY doc_id"""
+
+ORACLE["pool_collection_qrels"] = f"""
+WITH {_POOL}
+SELECT DISTINCT query_id, doc_id, support AS relevance FROM pd2"""
+
+ORACLE["pool_bm25"] = f"""
+WITH {_POOL},
+pb_d2 AS (SELECT query_id, doc_id, pos, {S.tok('text')} AS toks, len({S.tok('text')}) AS dl FROM pd2),
+pb_st AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM pb_d2 GROUP BY query_id),
+pb_dfs AS (SELECT query_id, term, count(*) AS df FROM (SELECT query_id, pos, unnest(list_distinct(toks)) AS term FROM pb_d2) GROUP BY query_id, term),
+pb_raw AS (SELECT query_id, term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM pb_dfs JOIN pb_st USING (query_id)),
+pb_mr AS (SELECT query_id, avg(r) AS m FROM pb_raw GROUP BY query_id),
+pb_idf AS (SELECT query_id, term, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM pb_raw JOIN pb_mr USING (query_id)),
+pb_qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({S.tok('text')}) AS term FROM ({S.QUERIES})) GROUP BY query_id, term),
+pb_tf AS (SELECT query_id, doc_id, pos, term, count(*) AS tf, any_value(dl) AS dl
+          FROM (SELECT query_id, doc_id, pos, dl, unnest(toks) AS term FROM pb_d2) GROUP BY query_id, doc_id, pos, term),
+pb_sc AS (SELECT query_id, doc_id, pos, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
+          FROM pb_qt JOIN pb_idf USING (query_id, term) JOIN pb_tf USING (query_id, term) JOIN pb_st USING (query_id)
+          GROUP BY query_id, doc_id, pos),
+pb_all AS (SELECT d.query_id, d.doc_id, round(coalesce(s.score, 0.0), 6) AS score FROM pb_d2 d LEFT JOIN pb_sc s USING (query_id, doc_id, pos))
+SELECT query_id, 'Q0' AS "Q0", doc_id, CAST(rank AS INTEGER) AS rank, score, 'bm25_pool' AS run_name
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pb_all) WHERE rank <= 100"""
+
+_GSPLIT = f"""{_POOL},
+gs AS (SELECT query_id, lang AS source, coalesce(nullif(doc_name, ''), query_id) AS group_key FROM pe WHERE pos = 0),
+gs_g AS (SELECT group_key, source, count(*) AS n FROM gs GROUP BY group_key, source),
+gs_main AS (SELECT group_key, source AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY n DESC, source) AS r FROM gs_g) WHERE r = 1),
+gs_size AS (SELECT group_key, sum(n) AS size FROM gs_g GROUP BY group_key),
+gs_c AS (SELECT m.group_key, m.stratum, s.size,
+                sum(s.size) OVER (PARTITION BY m.stratum ORDER BY md5('42:' || m.group_key), m.group_key ROWS UNBOUNDED PRECEDING) AS c,
+                sum(s.size) OVER (PARTITION BY m.stratum) AS tot
+         FROM gs_main m JOIN gs_size s USING (group_key)),
+gsplit AS (SELECT gs.query_id, gs.group_key, gs.source, CASE WHEN c.c <= c.tot * 0.1 THEN 'test' ELSE 'train' END AS split
+           FROM gs JOIN gs_c c USING (group_key))"""
+
+ORACLE["grouped_split"] = f"""
+WITH {_GSPLIT}
+SELECT * FROM gsplit"""
+
+ORACLE["split_metadata"] = f"""
+WITH {_GSPLIT}
+SELECT 'benchmark-pools' AS source, 0.1 AS test_size, 42 AS random_state,
+       count_if(split = 'train') AS num_train, count_if(split = 'test') AS num_test FROM gsplit"""

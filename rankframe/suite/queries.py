@@ -447,3 +447,75 @@ QUERIES.update({
     "ltr_linear_eval": ltr_linear_eval,
     "ltr_gbt_eval": ltr_gbt_eval,
 })
+
+
+# ------------------------------------------------------------------ pooled collections, grouped split
+from ..operators import pools as PL  # noqa: E402
+
+POOL_K = 20
+
+
+def pooled_examples(spark, sf, layout: str = "array"):
+    """Pooled examples from the tables: the pool of a benchmark query is its BM25 top 20 over
+    the documents (title = document source, chunk = text, support = derived relevance)."""
+    docs, queries = _io(spark, sf)
+    run = bm25_search(docs, queries, top_k=POOL_K, run_name="pool", score_digits=DIGITS)
+    qr = derive_qrels(docs, queries)
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", F.col("source").alias("dsrc"))
+    e = run.join(d, "doc_id").join(qr, ["query_id", "doc_id"], "left")
+    entry = F.struct("rank", F.col("dsrc").alias("doc_name"), F.col("text").alias("doc_chunk"),
+                     F.coalesce("relevance", F.lit(0)).alias("support"), "lang")
+    g = e.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_p"))  # bounded: POOL_K per query
+    pool = F.transform("_p", lambda x: F.struct(x["doc_name"].alias("doc_name"), x["doc_chunk"].alias("doc_chunk"), x["support"].alias("support")))
+    if layout == "struct":
+        def field(name):
+            return lambda x: x[name]
+        pool = F.struct(*[F.transform("_p", field(n)).alias(n) for n in ("doc_name", "doc_chunk", "support")])
+    out = g.join(queries.withColumnRenamed("text", "query"), "query_id").select(
+        "query_id", "query",
+        F.col("_p")[0]["lang"].alias("source"),
+        F.col("_p")[0]["doc_name"].alias("doc_url"),
+        F.struct(F.lit(None).cast("string").alias("mapped_id")).alias("oracle"),
+        pool.alias("doc_pool"),
+    )
+    return out.withColumn("ex_ord", F.col("query_id").cast("long"))
+
+
+def pool_collection_docs(spark, sf):
+    """C1-C4 + A19: documents of the pooled collection (first occurrence wins)."""
+    return PL.build_collection(pooled_examples(spark, sf), "ex_ord")[0]
+
+
+def pool_collection_qrels(spark, sf):
+    """C4 + U2: qrels of the pooled collection (struct-of-arrays layout, distinct rows)."""
+    return PL.build_collection(pooled_examples(spark, sf, "struct"), "ex_ord")[2]
+
+
+def pool_bm25(spark, sf):
+    """BM25 inside each query's own pool (per-pool statistics), all pools in one job."""
+    return PL.pooled_bm25(pooled_examples(spark, sf), top_k=100, score_digits=DIGITS)
+
+
+def _grouped(spark, sf):
+    px = pooled_examples(spark, sf)
+    px = px.withColumn("group_key", PL.group_key(px))
+    return SP.grouped_split(px.select("query_id", "group_key", "source"), "group_key", "source", 0.1, 42)
+
+
+def grouped_split(spark, sf):
+    """Grouped, source-stratified split of the pooled examples."""
+    return _grouped(spark, sf).select("query_id", "group_key", "source", "split")
+
+
+def split_metadata(spark, sf):
+    """Split metadata record."""
+    return SP.split_metadata(_grouped(spark, sf), "benchmark-pools", 0.1, 42)
+
+
+QUERIES.update({
+    "pool_collection_docs": pool_collection_docs,
+    "pool_collection_qrels": pool_collection_qrels,
+    "pool_bm25": pool_bm25,
+    "grouped_split": grouped_split,
+    "split_metadata": split_metadata,
+})
