@@ -472,3 +472,25 @@ ORACLE["split_metadata"] = f"""
 WITH {_GSPLIT}
 SELECT 'benchmark-pools' AS source, 0.1 AS test_size, 42 AS random_state,
        count_if(split = 'train') AS num_train, count_if(split = 'test') AS num_test FROM gsplit"""
+
+
+# ------------------------------------------------------------------ run text round trip, ranking helpers
+ORACLE["trec_roundtrip"] = ORACLE["bm25_top10"]
+
+ORACLE["run_minmax"] = f"""
+WITH {S.bm25_scores()},
+{S.ranked_all_pairs("b_sc", "b_d2", S.QUERIES, 20, "bm25", "run")}
+SELECT query_id, doc_id, score,
+       round(CASE WHEN max(score) OVER w - min(score) OVER w > 0 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.0 END, 6) AS score_minmax
+FROM run WINDOW w AS (PARTITION BY query_id)"""
+
+ORACLE["run_top3_rows"] = f"""
+WITH {S.bm25_scores()},
+{S.ranked_all_pairs("b_sc", "b_d2", S.QUERIES, 20, "bm25", "run")}
+SELECT * FROM run WHERE rank <= 3"""
+
+ORACLE["query_ordinals"] = f"""
+SELECT query_id, CAST(dense_rank() OVER (ORDER BY query_id) - 1 AS BIGINT) AS group_id FROM ({S.QUERIES})"""
+
+ORACLE["preview_sample"] = f"""
+SELECT query_id FROM ({S.QUERIES}) ORDER BY md5('42:' || query_id), query_id LIMIT 5"""

@@ -519,3 +519,47 @@ QUERIES.update({
     "grouped_split": grouped_split,
     "split_metadata": split_metadata,
 })
+
+
+# ------------------------------------------------------------------ run text round trip, ranking helpers
+from ..sources.files import parse_trec_lines, trec_lines  # noqa: E402
+from ..operators.ranking import group_ordinals, normalize_minmax_by_query  # noqa: E402
+
+
+def trec_roundtrip(spark, sf):
+    """S10 + S4: the BM25 top-10 run formatted as TREC lines and parsed back (rank offset 0)."""
+    return parse_trec_lines(trec_lines(bm25_top10(spark, sf)), rank_offset=0)
+
+
+def run_minmax(spark, sf):
+    """Min-max normalised BM25 scores of the top-20 run."""
+    docs, queries = _io(spark, sf)
+    run = bm25_search(docs, queries, top_k=20, run_name="bm25", score_digits=DIGITS)
+    return rounded(normalize_minmax_by_query(run, "score", "score_minmax").select("query_id", "doc_id", "score", "score_minmax"))
+
+
+def run_top3_rows(spark, sf):
+    """W2 + W3: first 3 rows per query by rank of the top-20 run (k as a cut of rows)."""
+    docs, queries = _io(spark, sf)
+    run = bm25_search(docs, queries, top_k=20, run_name="bm25", score_digits=DIGITS)
+    return top_k_per_query(run, 3)
+
+
+def query_ordinals(spark, sf):
+    """W5 + P1: dense 0-based codes of the sorted (string) query ids."""
+    return group_ordinals(load_queries(spark, sf).select("query_id"), "query_id", "group_id")
+
+
+def preview_sample(spark, sf):
+    """A seeded sample of 5 queries (md5 order) - a sampling operator, limit by design."""
+    from ..functions.text import seeded_key
+    return load_queries(spark, sf).orderBy(seeded_key(42, F.col("query_id")), "query_id").limit(5).select("query_id")
+
+
+QUERIES.update({
+    "trec_roundtrip": trec_roundtrip,
+    "run_minmax": run_minmax,
+    "run_top3_rows": run_top3_rows,
+    "query_ordinals": query_ordinals,
+    "preview_sample": preview_sample,
+})
