@@ -82,9 +82,9 @@ ORACLE["zipf"] = f"""
 WITH {_WORDS},
 z_all AS (SELECT 'all' AS list, row_number() OVER (ORDER BY count DESC, word) AS rank, word, count FROM s_tf),
 z_ns AS (SELECT 'no_stop' AS list, row_number() OVER (ORDER BY count DESC, word) AS rank, word, count FROM s_tf WHERE NOT is_stopword)
-SELECT list, rank, word, count, round((SELECT max(count) FROM z_all) / rank, 6) AS ideal FROM z_all
+SELECT list, rank, word, count, CAST((SELECT max(count) FROM z_all) AS DOUBLE) / rank AS ideal FROM z_all
 UNION ALL
-SELECT list, rank, word, count, round((SELECT max(count) FROM z_ns) / rank, 6) AS ideal FROM z_ns"""
+SELECT list, rank, word, count, CAST((SELECT max(count) FROM z_ns) AS DOUBLE) / rank AS ideal FROM z_ns"""
 
 ORACLE["bigrams"] = f"""
 WITH bg_d AS (SELECT {S.tok('text')} AS toks FROM ({S.DOCS})),

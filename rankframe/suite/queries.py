@@ -98,8 +98,9 @@ def top_words(spark, sf):
 
 
 def zipf(spark, sf):
-    """Zipf ranks and ideal curve, with and without stopwords."""
-    return rounded(ST.zipf(load_docs(spark, sf), STOPWORDS))
+    """Zipf ranks and ideal curve, with and without stopwords (ideal = one exact division,
+    left unrounded)."""
+    return ST.zipf(load_docs(spark, sf), STOPWORDS)
 
 
 def bigrams(spark, sf):
