@@ -165,6 +165,9 @@ def bm25_idf(index: LexicalIndex, epsilon: float = 0.25) -> tuple[DataFrame, flo
     if keys:
         mean = raw.groupBy(*keys).agg(F.avg("raw_idf").alias("mean_raw_idf"))
         raw = raw.join(mean, keys)
+        # smallest mean over collections (one small job): tells whether any score can be < 0
+        lo = mean.agg(F.min("mean_raw_idf")).first()[0]
+        m = float(lo) if lo is not None else 0.0
     else:
         m = raw.agg(F.avg("raw_idf")).first()[0]
         m = float(m) if m is not None else 0.0
@@ -206,6 +209,18 @@ def first_documents(tok_docs: DataFrame, k: int) -> list[tuple[str, int]]:
     return [(r["doc_id"], r[_ROW]) for r in rows]
 
 
+def zero_candidates_keyed(tok_docs: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, query_id, doc_id, _rf_row): the first k documents of each collection (doc_id
+    order, a map-side top-k per key) for each query of that collection - an equi-join on the
+    collection key, at most k rows per query."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy("doc_id", _ROW)
+    firstk = tok_docs.select(*keys, "doc_id", _ROW).withColumn("_rf_n", F.row_number().over(w)).filter(F.col("_rf_n") <= k).drop("_rf_n")
+    qk = _qkeys(keys)
+    q = queries.withColumn("query_id", F.col("query_id").cast("string")).select(*qk).distinct()
+    return q.join(firstk, keys)
+
+
 def zero_candidates(queries: DataFrame, first_docs: list[tuple[str, int]]) -> DataFrame | None:
     """(query_id, doc_id, _rf_row) for every query and each of the given documents.
 
@@ -247,10 +262,13 @@ def bm25_scores(
     qk = _qkeys(keys)
     contrib = pairs.select(*qk, "doc_id", _ROW, bm25_contribution(params.k1, params.b).alias("c"))
     filled = False
-    if zero_fill_k and not keys and mean is not None and mean >= 0:
-        cands = zero_candidates(queries, first_documents(td, zero_fill_k))
+    if zero_fill_k and mean is not None and mean >= 0:
+        if keys:
+            cands = zero_candidates_keyed(td, queries, keys, zero_fill_k)
+        else:
+            cands = zero_candidates(queries, first_documents(td, zero_fill_k))
         if cands is not None:
-            contrib = contrib.unionByName(cands.withColumn("c", F.lit(0.0)))
+            contrib = contrib.unionByName(cands.select(*qk, "doc_id", _ROW).withColumn("c", F.lit(0.0)))
         filled = True
     return contrib.groupBy(*qk, "doc_id", _ROW).agg(F.sum("c").alias("score")), filled
 
@@ -388,12 +406,12 @@ def tfidf_scores(
         .join(norms, keys + ["doc_id", _ROW])
         .select(*qk, "doc_id", _ROW, (F.col("dot") / F.col("dnorm")).alias("score"))
     )
-    if zero_fill_k and not keys:
-        cands = zero_candidates(queries, first_documents(td, zero_fill_k))
+    if zero_fill_k:
+        cands = zero_candidates_keyed(td, queries, keys, zero_fill_k) if keys else zero_candidates(queries, first_documents(td, zero_fill_k))
         if cands is not None:
             # unmatched candidates score 0; matched ones keep their score
             scores = (
-                scores.unionByName(cands.withColumn("score", F.lit(0.0)))
+                scores.unionByName(cands.select(*qk, "doc_id", _ROW).withColumn("score", F.lit(0.0)))
                 .groupBy(*qk, "doc_id", _ROW)
                 .agg(F.max("score").alias("score"))
             )
@@ -412,8 +430,6 @@ def tfidf_search(
 ) -> DataFrame:
     """TF-IDF (raw tf, smooth idf, L2 both sides, dot) run."""
     td = tokenized_docs(docs, collection_cols, tokenizer)
-    shared = fill_zeros and top_k and not collection_cols
-    scores = tfidf_scores(docs, queries, collection_cols, tokenizer, tok_docs=td, zero_fill_k=top_k if shared else None)
-    if fill_zeros and top_k and not shared:
-        scores = fill_zero_scores(scores, td, queries, top_k, collection_cols)
+    # cosine scores are never negative: the first top_k documents per collection suffice
+    scores = tfidf_scores(docs, queries, collection_cols, tokenizer, tok_docs=td, zero_fill_k=top_k if fill_zeros else None)
     return _finish_run(scores, top_k, run_name, collection_cols, score_digits=score_digits)

@@ -494,3 +494,108 @@ SELECT query_id, CAST(dense_rank() OVER (ORDER BY query_id) - 1 AS BIGINT) AS gr
 
 ORACLE["preview_sample"] = f"""
 SELECT query_id FROM ({S.QUERIES}) ORDER BY md5('42:' || query_id), query_id LIMIT 5"""
+
+
+# ------------------------------------------------------------------ normalisation and variants
+from ..functions.porter import DUCKDB, stem_steps  # noqa: E402
+
+_VOCAB = f"""
+nv AS (SELECT DISTINCT word FROM (SELECT unnest({S.tok('text')}) AS word FROM ({S.DOCS})
+                                  UNION ALL SELECT unnest({S.tok('text')}) AS word FROM ({S.QUERIES})))"""
+
+
+def _stem_ctes() -> str:
+    parts, prev = [], "nv"
+    for i, (name, expr) in enumerate(stem_steps("word", DUCKDB)):
+        parts.append(f"ns{i} AS (SELECT *, {expr} AS {name} FROM {prev})")
+        prev = f"ns{i}"
+    parts.append(f"stem_map AS (SELECT word, stem AS form FROM {prev})")
+    return ",\n".join(parts)
+
+
+_LEMMA = """
+lemma_map AS (
+  SELECT c.word, c.form FROM (
+    SELECT word, CASE WHEN regexp_matches(word, 'ies$') THEN substr(word, 1, length(word) - 3) || 'y'
+                      WHEN regexp_matches(word, '(ss|x|ch|sh)es$') THEN substr(word, 1, length(word) - 2)
+                      WHEN regexp_matches(word, '[^s]s$') THEN substr(word, 1, length(word) - 1) END AS form FROM nv) c
+  WHERE c.form IS NOT NULL AND length(c.form) > 1 AND c.form IN (SELECT word FROM nv))"""
+
+_NORM = f"{_VOCAB},\n{_stem_ctes()},\n{_LEMMA}"
+
+
+def _mapped(src: str, id_col: str, mapping: str) -> str:
+    return f"""(SELECT s.{id_col}, coalesce(t.text, '') AS text FROM ({src}) s LEFT JOIN (
+      SELECT {id_col}, string_agg(coalesce(m.form, x.word), ' ' ORDER BY x.pos) AS text
+      FROM (SELECT {id_col}, unnest(toks) AS word, unnest(range(len(toks))) AS pos FROM (SELECT {id_col}, {S.tok('text')} AS toks FROM ({src}))) x
+      LEFT JOIN {mapping} m ON m.word = x.word GROUP BY {id_col}) t USING ({id_col}))"""
+
+
+_DOCV = {"original": f"SELECT doc_id, text FROM ({S.DOCS})", "stemmed": _mapped(S.DOCS, "doc_id", "stem_map"), "lemmatized": _mapped(S.DOCS, "doc_id", "lemma_map")}
+_QV = {"original": f"SELECT query_id, text FROM ({S.QUERIES})", "stemmed": _mapped(S.QUERIES, "query_id", "stem_map"), "lemmatized": _mapped(S.QUERIES, "query_id", "lemma_map")}
+
+ORACLE["stem_vocab"] = f"""
+WITH {_NORM}
+SELECT * FROM stem_map"""
+
+ORACLE["lemma_vocab"] = f"""
+WITH {_NORM}
+SELECT * FROM lemma_map"""
+
+ORACLE["query_versions"] = f"""
+WITH {_NORM}
+SELECT query_id, text, 'original' AS variant FROM ({_QV['original']})
+UNION ALL SELECT query_id, text, 'stemmed' FROM {_QV['stemmed']}
+UNION ALL SELECT query_id, text, 'lemmatized' FROM {_QV['lemmatized']}"""
+
+_DV_ALL = " UNION ALL ".join(f"SELECT '{v}' AS variant, doc_id, text FROM ({src})" if v == "original" else f"SELECT '{v}' AS variant, doc_id, text FROM {src}" for v, src in _DOCV.items())
+
+ORACLE["variant_stats"] = f"""
+WITH {_NORM},
+vd AS ({_DV_ALL}),
+vd2 AS (SELECT variant, {S.tok('text')} AS toks FROM vd),
+vw AS (SELECT variant, unnest(toks) AS word FROM vd2),
+vtf AS (SELECT variant, word, count(*) AS c FROM vw GROUP BY variant, word)
+SELECT a.variant, a.n_docs, a.total_words, round(a.total_words / a.n_docs, 6) AS avg_doc_len, b.unique_words,
+       round(b.avg_unique_word_len, 6) AS avg_unique_word_len, round(c.avg_word_len, 6) AS avg_word_len
+FROM (SELECT variant, count(*) AS n_docs, CAST(sum(len(toks)) AS BIGINT) AS total_words FROM vd2 GROUP BY variant) a
+JOIN (SELECT variant, count(*) AS unique_words, avg(length(word)) AS avg_unique_word_len FROM vtf GROUP BY variant) b USING (variant)
+JOIN (SELECT variant, avg(length(word)) AS avg_word_len FROM vw GROUP BY variant) c USING (variant)"""
+
+
+def _tfidf(docs: str, queries: str, p: str) -> str:
+    return f"""
+{p}_d AS (SELECT doc_id, {S.tok('text')} AS toks FROM ({docs})),
+{p}_st AS (SELECT count(*) AS n FROM {p}_d),
+{p}_post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM {p}_d) GROUP BY doc_id, term),
+{p}_idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM {p}_post, {p}_st GROUP BY term, n),
+{p}_dn AS (SELECT doc_id, sqrt(sum((tf * idf) * (tf * idf))) AS dn FROM {p}_post JOIN {p}_idf USING (term) GROUP BY doc_id),
+{p}_qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({S.tok('text')}) AS term FROM ({queries})) GROUP BY query_id, term),
+{p}_qw AS (SELECT query_id, term, qtf * idf AS w, idf FROM {p}_qt JOIN {p}_idf USING (term)),
+{p}_qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM {p}_qw GROUP BY query_id),
+{p}_sc AS (SELECT query_id, doc_id, sum(w * tf * idf) / (any_value(qn) * any_value(dn)) AS score
+         FROM {p}_qw JOIN {p}_qn USING (query_id) JOIN {p}_post USING (term) JOIN {p}_dn USING (doc_id) GROUP BY query_id, doc_id)"""
+
+
+def _all_models() -> str:
+    parts, runs = [], []
+    for v in ("original", "stemmed", "lemmatized"):
+        d = _DOCV[v] if v != "original" else f"SELECT doc_id, text FROM ({S.DOCS})"
+        q = _QV[v] if v != "original" else f"SELECT query_id, text FROM ({S.QUERIES})"
+        d = d if v == "original" else f"SELECT * FROM {d}"
+        q = q if v == "original" else f"SELECT * FROM {q}"
+        parts.append(S.bm25_scores(docs=d, queries=q, prefix=f"b{v[:3]}"))
+        parts.append(S.ranked_all_pairs(f"b{v[:3]}_sc", f"b{v[:3]}_d2", q, 100, f"bm25_{v}", f"rb{v[:3]}"))
+        parts.append(_tfidf(d, q, f"t{v[:3]}"))
+        parts.append(S.ranked_all_pairs(f"t{v[:3]}_sc", f"t{v[:3]}_d", q, 100, f"tfidf_{v}", f"rt{v[:3]}"))
+        runs += [f"rb{v[:3]}", f"rt{v[:3]}"]
+    parts.append("allruns AS (" + " UNION ALL ".join(f"SELECT run_name, query_id, doc_id, score FROM {r}" for r in runs) + ")")
+    return ",\n".join(parts)
+
+
+ORACLE["run_all_models"] = f"""
+WITH {_NORM},
+{_all_models()},
+{S.QRELS},
+{S.evaluate("allruns", "qrels", "ram", group=["run_name"], measures=S.RUN_MEASURES, digits=4)}
+SELECT * FROM ram"""

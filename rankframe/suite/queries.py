@@ -564,3 +564,52 @@ QUERIES.update({
     "query_ordinals": query_ordinals,
     "preview_sample": preview_sample,
 })
+
+
+# ------------------------------------------------------------------ normalisation and variants
+from ..operators import normalize as NZ  # noqa: E402
+
+
+def _vocab(spark, sf):
+    docs, queries = _io(spark, sf)
+    return NZ.vocabulary_words(docs.select("text"), queries.select("text"))
+
+
+def stem_vocab(spark, sf):
+    """Porter (1980) stem of every distinct word of documents and queries."""
+    return NZ.stem_mapping(_vocab(spark, sf))
+
+
+def lemma_vocab(spark, sf):
+    """N3 (re-aimed): rule-derived lemma dictionary over the vocabulary."""
+    return NZ.lemma_mapping(_vocab(spark, sf))
+
+
+def query_versions(spark, sf):
+    """Original / stemmed / lemmatized versions of every query."""
+    docs, queries = _io(spark, sf)
+    return NZ.text_variants(docs, queries)[1]
+
+
+def variant_stats(spark, sf):
+    """N6 + N2 + N3: collection statistics of each document variant."""
+    docs, queries = _io(spark, sf)
+    dv, _ = NZ.text_variants(docs, queries)
+    return rounded(ST.collection_stats(dv, group_cols=["variant"]))
+
+
+def run_all_models(spark, sf):
+    """R4 + E8: BM25 and TF-IDF over the three variants (one job per model), evaluated per run."""
+    docs, queries = _io(spark, sf)
+    dv, qv = NZ.text_variants(docs, queries)
+    runs = NZ.run_all_models(dv, qv, top_k=100, score_digits=DIGITS)
+    return rounded(evaluate_runs(runs, derive_qrels(docs, queries), RUN_MEASURES, digits=4))
+
+
+QUERIES.update({
+    "stem_vocab": stem_vocab,
+    "lemma_vocab": lemma_vocab,
+    "query_versions": query_versions,
+    "variant_stats": variant_stats,
+    "run_all_models": run_all_models,
+})
