@@ -286,7 +286,8 @@ def _scored_candidates(spark, sf):
     docs, queries, dv, qv, run = _candidates(spark, sf, 50)
     split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
     scored = DN.score_pairs_biencoder(run, qv, dv).withColumn("dense_score", F.round("dense_score", DIGITS)).join(split, "query_id")
-    return docs, queries, scored, derive_qrels(docs, queries)
+    # scored once, read by the tuning and by every test run
+    return docs, queries, scored.checkpoint(eager=True), derive_qrels(docs, queries)
 
 
 def mixture_tune(spark, sf):
@@ -479,7 +480,8 @@ def pooled_examples(spark, sf, layout: str = "array"):
         F.struct(F.lit(None).cast("string").alias("mapped_id")).alias("oracle"),
         pool.alias("doc_pool"),
     )
-    return out.withColumn("ex_ord", F.col("query_id").cast("long"))
+    # the pooled dataset is an input table in its own right: materialise it once
+    return out.withColumn("ex_ord", F.col("query_id").cast("long")).checkpoint(eager=True)
 
 
 def pool_collection_docs(spark, sf):
@@ -602,6 +604,8 @@ def run_all_models(spark, sf):
     """R4 + E8: BM25 and TF-IDF over the three variants (one job per model), evaluated per run."""
     docs, queries = _io(spark, sf)
     dv, qv = NZ.text_variants(docs, queries)
+    # processed collections are written once (as the reference keeps them as files)
+    dv, qv = dv.checkpoint(eager=True), qv.checkpoint(eager=True)
     runs = NZ.run_all_models(dv, qv, top_k=100, score_digits=DIGITS)
     return rounded(evaluate_runs(runs, derive_qrels(docs, queries), RUN_MEASURES, digits=4))
 
