@@ -370,8 +370,10 @@ def tfidf_weights(tok_docs: DataFrame, collection_cols: Sequence[str] = (), inde
         .groupBy(*keys, "doc_id", _ROW, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    # a vocabulary under the checked bound joins map-side: with a document-clustered collection
+    # the norms then need no exchange at all; above it, a shuffle join (AQE splits hot terms)
     norms = (
-        postings.join(idf, keys + ["term"])
+        postings.join(checked_broadcast(idf), keys + ["term"])
         .groupBy(*keys, "doc_id", _ROW)
         .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dnorm"))
     )

@@ -83,14 +83,28 @@ def derive_qrels(docs: DataFrame, queries: DataFrame, min_share: float = 0.5) ->
         "d_terms", F.array_distinct(tokenize("text"))
     )
     dt = d.select("doc_id", explode_tokens("d_terms").alias("term")).filter(F.col("term").isNotNull())
-    dfreq = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # pass 1: document frequencies (map-side partial counts), reduced to the query-side prefix
     qt = q.filter(F.col("n") > 0).select("query_id", "n", "t", F.explode("q_terms").alias("term"))
+    dfreq = (
+        dt.join(checked_broadcast(qt.select("term").distinct()), "term", "left_semi")  # only query terms need a df
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    )
     qt = qt.join(dfreq, "term", "left").fillna(0, ["df"])
     w = Window.partitionBy("query_id").orderBy(F.col("df").asc(), F.col("term").asc())
-    prefix = qt.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= F.col("n") - F.col("t") + 1)
-    cands = prefix.select("query_id", "term").join(dt, "term").select("query_id", "doc_id").distinct()
-    cands = checked_broadcast(cands.join(q.select("query_id", "q_text", "q_terms", "t"), "query_id"))
-    checked = d.join(cands, "doc_id").withColumn("shared", F.size(F.array_intersect("q_terms", "d_terms")))
+    prefix = (
+        qt.withColumn("_pos", F.row_number().over(w))
+        .filter(F.col("_pos") <= F.col("n") - F.col("t") + 1)
+        .select("query_id", "term")
+        .checkpoint(eager=True)  # small: at most n - t + 1 terms per query
+    )
+    # pass 2: candidate pairs from the rare prefix terms only
+    cands = (
+        dt.join(checked_broadcast(prefix), "term").select("query_id", "doc_id").distinct()
+        .join(q.select("query_id", "q_text", "q_terms", "t"), "query_id")
+        .checkpoint(eager=True)
+    )
+    # pass 3: exact check row by row, the candidate table broadcast after its size check
+    checked = d.join(checked_broadcast(cands), "doc_id").withColumn("shared", F.size(F.array_intersect("q_terms", "d_terms")))
     out = checked.filter(F.col("shared") >= F.col("t")).select(
         "query_id",
         "doc_id",

@@ -434,8 +434,7 @@ ORACLE["pool_collection_qrels"] = f"""
 WITH {_POOL}
 SELECT DISTINCT query_id, doc_id, support AS relevance FROM pd2"""
 
-ORACLE["pool_bm25"] = f"""
-WITH {_POOL},
+_POOL_BM25 = f"""
 pb_d2 AS (SELECT query_id, doc_id, pos, {S.tok('text')} AS toks, len({S.tok('text')}) AS dl FROM pd2),
 pb_st AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM pb_d2 GROUP BY query_id),
 pb_dfs AS (SELECT query_id, term, count(*) AS df FROM (SELECT query_id, pos, unnest(list_distinct(toks)) AS term FROM pb_d2) GROUP BY query_id, term),
@@ -448,9 +447,14 @@ pb_tf AS (SELECT query_id, doc_id, pos, term, count(*) AS tf, any_value(dl) AS d
 pb_sc AS (SELECT query_id, doc_id, pos, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
           FROM pb_qt JOIN pb_idf USING (query_id, term) JOIN pb_tf USING (query_id, term) JOIN pb_st USING (query_id)
           GROUP BY query_id, doc_id, pos),
-pb_all AS (SELECT d.query_id, d.doc_id, round(coalesce(s.score, 0.0), 6) AS score FROM pb_d2 d LEFT JOIN pb_sc s USING (query_id, doc_id, pos))
-SELECT query_id, 'Q0' AS "Q0", doc_id, CAST(rank AS INTEGER) AS rank, score, 'bm25_pool' AS run_name
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pb_all) WHERE rank <= 100"""
+pb_all AS (SELECT d.query_id, d.doc_id, round(coalesce(s.score, 0.0), 6) AS score FROM pb_d2 d LEFT JOIN pb_sc s USING (query_id, doc_id, pos)),
+pbr AS (SELECT query_id, 'Q0' AS "Q0", doc_id, CAST(rank AS INTEGER) AS rank, score, 'bm25_pool' AS run_name
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pb_all) WHERE rank <= 100)"""
+
+ORACLE["pool_bm25"] = f"""
+WITH {_POOL},
+{_POOL_BM25}
+SELECT * FROM pbr"""
 
 _GSPLIT = f"""{_POOL},
 gs AS (SELECT query_id, lang AS source, coalesce(nullif(doc_name, ''), query_id) AS group_key FROM pe WHERE pos = 0),
@@ -599,3 +603,27 @@ WITH {_NORM},
 {S.QRELS},
 {S.evaluate("allruns", "qrels", "ram", group=["run_name"], measures=S.RUN_MEASURES, digits=4)}
 SELECT * FROM ram"""
+
+
+# ------------------------------------------------------------------ final comparison report
+ORACLE["final_report"] = f"""
+WITH {_POOL},
+{_POOL_BM25},
+{_dense_run(EMBED_DIM, 20, "dense", "fr")},
+fr_ce AS (SELECT query_id, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM (
+      SELECT query_id, doc_id,
+             round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ds)) / len(qs) ELSE 0 END
+                 + CASE WHEN len(ds) > 0 THEN len(list_intersect(qs, ds)) / len(ds) ELSE 0 END * 0.001, 6) AS score
+      FROM (SELECT c.query_id, c.doc_id, list_distinct({S.tok('q.text')}) AS qs, list_distinct({S.tok('d.text')}) AS ds
+            FROM run c LEFT JOIN ({S.QUERIES}) q USING (query_id) LEFT JOIN ({S.DOCS}) d USING (doc_id))))
+    WHERE rk <= 20),
+fr_pq AS (SELECT DISTINCT query_id, doc_id, support AS relevance FROM pd2),
+{S.evaluate("run", "qrels", "fe_b")},
+{S.evaluate("fr", "qrels", "fe_d")},
+{S.evaluate("fr_ce", "qrels", "fe_c")},
+{S.evaluate("pbr", "fr_pq", "fe_p")}
+SELECT 'documents' AS dataset, 'BM25' AS method, * FROM fe_b
+UNION ALL SELECT 'documents', 'CE k=20', * FROM fe_c
+UNION ALL SELECT 'documents', 'Dense hash64', * FROM fe_d
+UNION ALL SELECT 'pools', 'BM25 per pool', * FROM fe_p"""

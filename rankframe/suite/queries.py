@@ -617,3 +617,27 @@ QUERIES.update({
     "variant_stats": variant_stats,
     "run_all_models": run_all_models,
 })
+
+
+# ------------------------------------------------------------------ final comparison report
+def final_report(spark, sf):
+    """E11 + U1: methods side by side per dataset (documents: BM25, re-rank, dense; pools: BM25
+    per pool), labelled, unioned and sorted."""
+    docs, queries, dv, qv, run = _candidates(spark, sf, 20)
+    qr = derive_qrels(docs, queries)
+    dense = DN.dense_search(dv, qv, top_k=20, run_name="dense", score_digits=DIGITS)
+    ce = DN.score_pairs_cross(run, queries, docs).withColumn("rerank_score", F.round("rerank_score", DIGITS))
+    ce_run = make_ranked_run(ce, "rerank_score", "ce", 20)
+    pooled = pooled_examples(spark, sf)
+    pool_run = PL.pooled_bm25(pooled, top_k=100, score_digits=DIGITS)
+    pool_qrels = PL.build_collection(pooled, "ex_ord")[2]
+    parts = [("documents", "BM25", run, qr), ("documents", "CE k=20", ce_run, qr), ("documents", "Dense hash64", dense, qr),
+             ("pools", "BM25 per pool", pool_run, pool_qrels)]
+    out = None
+    for ds, method, r, q in parts:
+        m = mean_metrics(r, q, DEFAULT_MEASURES).select(F.lit(ds).alias("dataset"), F.lit(method).alias("method"), *DEFAULT_MEASURES)
+        out = m if out is None else out.unionByName(m)
+    return rounded(out).orderBy("dataset", "method")
+
+
+QUERIES["final_report"] = final_report
