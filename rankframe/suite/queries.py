@@ -641,3 +641,25 @@ def final_report(spark, sf):
 
 
 QUERIES["final_report"] = final_report
+
+
+# ------------------------------------------------------------------ learning to rank end to end
+def ltr_end_to_end(spark, sf):
+    """L15 + L13 + L7 + E8: BM25 candidates -> dense score -> lexical features -> boosted trees
+    fit on the training queries -> applied to the validation queries -> top 20 -> metrics
+    (rows only: includes a model fit)."""
+    docs, queries, dv, qv, run = _candidates(spark, sf, 50)
+    scored = DN.score_pairs_biencoder(run, qv, dv)
+    feats = FE.extract_lexical_features(scored, docs, queries)
+    qr = derive_qrels(docs, queries)
+    split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
+    frame = FE.ltr_frame(feats, qr).join(split, "query_id").checkpoint(eager=True)
+    train = frame.filter(F.col("split") == "train").withColumnRenamed("relevance", "label")
+    model = LT.train_gbt(train, "RMSE", max_depth=4, max_iter=20)
+    test = frame.filter(F.col("split") == "vali")
+    pred = LT.apply_model(model, test)
+    ltr_run = make_ranked_run(pred.withColumn("score", F.round("score", DIGITS)), "score", "gbt_ltr", 20)
+    return rounded(mean_metrics(ltr_run, qr.join(split.filter("split = 'vali'"), "query_id", "left_semi"), DEFAULT_MEASURES))
+
+
+QUERIES["ltr_end_to_end"] = ltr_end_to_end
