@@ -96,6 +96,10 @@ def per_query_metrics(
     qr = prepare_qrels(qrels)
     judged = qr.select("query_id").distinct()
     r = prepare_run(run, score_col, group_cols, tie).join(judged, "query_id", "left_semi")
+    cuts = [m.cutoff for m in measures.values()]
+    if all(cuts):
+        # every measure stops at a cutoff: keep only the head of each list (map-side top-k)
+        r = r.filter(F.col("_rank") <= max(cuts))
     r = r.join(qr, ["query_id", "doc_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
     rels = {m.rel for m in measures.values()}
@@ -113,7 +117,10 @@ def per_query_metrics(
     cutoffs = {m.cutoff for m in measures.values() if m.kind == "nDCG"}
     idcg = None
     if cutoffs:
-        ideal = qr.withColumn("_ir", F.row_number().over(wi)).withColumn("_ig", _gain(F.col("relevance"), gains) / F.log2(F.col("_ir") + 1))
+        ideal = qr.withColumn("_ir", F.row_number().over(wi))
+        if all(cutoffs):
+            ideal = ideal.filter(F.col("_ir") <= max(cutoffs))
+        ideal = ideal.withColumn("_ig", _gain(F.col("relevance"), gains) / F.log2(F.col("_ir") + 1))
         idcg = ideal.groupBy("query_id").agg(
             *[F.sum(F.when(F.col("_ir") <= c, F.col("_ig")) if c else F.col("_ig")).alias(f"_idcg{c}") for c in cutoffs]
         )
