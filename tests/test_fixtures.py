@@ -228,3 +228,14 @@ def test_file_round_trips(spark, tmp_path):
     FS.write_trec_run(run, str(tmp_path / "out"))
     back = FS.read_trec_run(spark, str(tmp_path / "out"), rank_offset=0).first()
     assert (back.query_id, back.doc_id, back["rank"], back.score) == ("q", "d", 1, 1.0)
+
+
+def test_subword_pieces(spark):
+    from rankframe.operators.normalize import apply_mapping, subword_mapping
+    vocab = spark.createDataFrame([(p,) for p in ["un", "##aff", "##able", "play", "##ing", "a"]], "piece string")
+    words = spark.createDataFrame([("unaffable",), ("playing",), ("xyz",), ("a",)], "word string")
+    m = {r.word: r.form for r in subword_mapping(words, vocab).collect()}
+    assert m == {"unaffable": "un ##aff ##able", "playing": "play ##ing", "xyz": "[UNK]", "a": "a"}
+    docs = spark.createDataFrame([("d", "playing a xyz")], "doc_id string, text string")
+    out = apply_mapping(docs, "doc_id", subword_mapping(words, vocab)).first().text
+    assert out == "play ##ing a [UNK]"
