@@ -426,7 +426,7 @@ def ltr_gbt_eval(spark, sf):
     mean per loss (rows only: a model fit)."""
     parted = LT.fold_parts(_letor(spark, sf), "group_id", 5, 42).checkpoint(eager=True)
     rows = None
-    for fold, part_split in ((f, {p: s for ff, p, s in LT.fold_split_map(5) if ff == f}) for f in (1, 2)):
+    for fold, part_split in ((f, {p: s for ff, p, s in LT.fold_split_map(5) if ff == f}) for f in range(1, 6)):
         m = F.create_map(*[x for p, s in part_split.items() for x in (F.lit(p), F.lit(s))])
         df = parted.withColumn("split", m[F.col("part")])
         for loss in ("RMSE", "QueryRMSE"):
