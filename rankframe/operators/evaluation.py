@@ -84,9 +84,16 @@ def per_query_metrics(
     tie: str = "desc",
     gains: dict[int, float] | None = None,
     fill_missing: bool = True,
+    ap_denominator: str = "relevant",
+    empty_ndcg: float | None = 0.0,
 ) -> DataFrame:
     """One row per (group, judged query) with one column per measure.
 
+    ``ap_denominator``: ``relevant`` (all relevant in the qrels, default), ``min_k``
+    (min(cutoff, relevant)) or ``hits`` (relevant retrieved within the cutoff).
+    ``empty_ndcg``: value of nDCG for a query with no relevant document (0, 1, or ``None`` to
+    leave it null so means skip it).
+
     With ``fill_missing`` and no group columns, judged queries absent from the run appear with
     zeros; with group columns only queries present in the run are listed (``mean_metrics``
     still counts the missing ones).
@@ -132,6 +139,7 @@ def per_query_metrics(
             aggs.append((F.sum(F.when(within, F.col(f"_isrel{m.rel}")).otherwise(0)) / F.lit(float(m.cutoff))).alias(name))
         elif m.kind == "AP":
             aggs.append(F.sum(F.when(within & (F.col(f"_isrel{m.rel}") == 1), F.col(f"_cum{m.rel}") / F.col("_rank")).otherwise(0.0)).alias(f"_ap_{name}"))
+            aggs.append(F.sum(F.when(within, F.col(f"_isrel{m.rel}")).otherwise(0)).alias(f"_hits_{name}"))
         elif m.kind == "nDCG":
             aggs.append(F.sum(F.when(within, gain / disc).otherwise(0.0)).alias(f"_dcg_{name}"))
         else:
@@ -144,16 +152,31 @@ def per_query_metrics(
         if m.kind == "P":
             outs.append(F.col(name))
         elif m.kind == "AP":
-            outs.append(F.when(F.col(f"_R{m.rel}") > 0, F.col(f"_ap_{name}") / F.col(f"_R{m.rel}")).otherwise(0.0).alias(name))
+            denom = {
+                "relevant": F.col(f"_R{m.rel}"),
+                "min_k": F.least(F.col(f"_R{m.rel}"), F.lit(m.cutoff)) if m.cutoff else F.col(f"_R{m.rel}"),
+                "hits": F.col(f"_hits_{name}"),
+            }[ap_denominator]
+            outs.append(F.when(denom > 0, F.col(f"_ap_{name}") / denom).otherwise(0.0).alias(name))
         else:
             idc = F.col(f"_idcg{m.cutoff}")
-            outs.append(F.when(idc > 0, F.col(f"_dcg_{name}") / idc).otherwise(0.0).alias(name))
+            empty = F.lit(None).cast("double") if empty_ndcg is None else F.lit(float(empty_ndcg))
+            outs.append(F.when(idc > 0, F.col(f"_dcg_{name}") / idc).otherwise(empty).alias(name))
     per_q = per_q.select(*group_cols, "query_id", *outs)
     if fill_missing and not group_cols:
         per_q = judged.join(per_q, "query_id", "left").fillna(0.0, list(measures))
     return per_q
 
 
+def mean_metrics_skip_missing(run: DataFrame, qrels: DataFrame, measures: dict[str, Measure] | None = None,
+                              group_cols: Sequence[str] = (), **kw) -> DataFrame:
+    """E6 / E8 with ``missing = skip``: the mean over judged queries present in the run (and,
+    with ``empty_ndcg=None``, over queries whose nDCG is defined)."""
+    measures = measures or DEFAULT_MEASURES
+    per_q = per_query_metrics(run, qrels, measures, group_cols, fill_missing=False, **kw)
+    return per_q.groupBy(*group_cols).agg(*[F.avg(F.col(f"`{n}`")).alias(n) for n in measures])
+
+
 def mean_metrics(
     run: DataFrame,
     qrels: DataFrame,

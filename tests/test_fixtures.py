@@ -239,3 +239,18 @@ def test_subword_pieces(spark):
     docs = spark.createDataFrame([("d", "playing a xyz")], "doc_id string, text string")
     out = apply_mapping(docs, "doc_id", subword_mapping(words, vocab)).first().text
     assert out == "play ##ing a [UNK]"
+
+
+def test_metric_options(spark):
+    run = spark.createDataFrame([("q1", "x", 3.0), ("q1", "y", 2.0), ("q1", "z", 1.0), ("q3", "a", 1.0)], "query_id string, doc_id string, score double")
+    qrels = spark.createDataFrame([("q1", "x", 2), ("q1", "z", 1), ("q1", "w", 1), ("q2", "w", 1), ("q3", "a", 0)],
+                                  "query_id string, doc_id string, relevance int")
+    m = {"AP@2": EV.Measure("AP", 2), "nDCG@2": EV.Measure("nDCG", 2)}
+    rel = {r.query_id: r for r in EV.per_query_metrics(run, qrels, m, ap_denominator="relevant").collect()}
+    hits = {r.query_id: r for r in EV.per_query_metrics(run, qrels, m, ap_denominator="hits").collect()}
+    mink = {r.query_id: r for r in EV.per_query_metrics(run, qrels, m, ap_denominator="min_k").collect()}
+    assert rel["q1"]["AP@2"] == A(1 / 3) and hits["q1"]["AP@2"] == A(1.0) and mink["q1"]["AP@2"] == A(0.5)
+    skip = {r.query_id: r for r in EV.per_query_metrics(run, qrels, m, empty_ndcg=None, fill_missing=False).collect()}
+    assert skip["q3"]["nDCG@2"] is None and "q2" not in skip
+    mean = EV.mean_metrics_skip_missing(run, qrels, m, empty_ndcg=None).first()
+    assert mean["nDCG@2"] == A(skip["q1"]["nDCG@2"])  # q2 missing and q3 undefined are skipped
