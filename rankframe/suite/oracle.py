@@ -262,8 +262,8 @@ ORACLE["rerank_sweep"] = f"""
 WITH {_CANDS(100)},
 {S.QRELS},
 rr_min AS (SELECT min(n) AS m FROM (SELECT query_id, count(*) AS n FROM run GROUP BY query_id)),
-rr_ks AS (SELECT k FROM (SELECT unnest([{_KS}]) AS k) WHERE k <= (SELECT m FROM rr_min)
-          UNION ALL SELECT m FROM rr_min WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest([{_KS}]) AS k) WHERE k <= (SELECT m FROM rr_min))),
+rr_ks AS (SELECT CAST(k AS INTEGER) AS k FROM (SELECT unnest([{_KS}]) AS k) WHERE k <= (SELECT m FROM rr_min)
+          UNION ALL SELECT CAST(m AS INTEGER) FROM rr_min WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest([{_KS}]) AS k) WHERE k <= (SELECT m FROM rr_min))),
 rr_c AS (SELECT * FROM run WHERE rank <= (SELECT max(k) FROM rr_ks)),
 rr_s AS (SELECT query_id, doc_id, rank,
            round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ds)) / len(qs) ELSE 0 END
@@ -381,12 +381,14 @@ WITH {_FOLDS},
 fm AS (SELECT f AS fold, p AS part, CASE WHEN p = f THEN 'test' WHEN p = f % 5 + 1 THEN 'vali' ELSE 'train' END AS split
        FROM range(1, 6) a(f) CROSS JOIN range(1, 6) b(p))
 SELECT CAST(fm.fold AS INTEGER) AS fold, fm.split, count(*) AS n_docs, count(DISTINCT group_id) AS n_queries,
-       count_if(CAST(label AS INTEGER) = 0) AS label_0, count_if(CAST(label AS INTEGER) = 1) AS label_1, count_if(CAST(label AS INTEGER) = 2) AS label_2,
+       CAST(count_if(CAST(label AS INTEGER) = 0) AS BIGINT) AS label_0, CAST(count_if(CAST(label AS INTEGER) = 1) AS BIGINT) AS label_1,
+       CAST(count_if(CAST(label AS INTEGER) = 2) AS BIGINT) AS label_2,
        CAST(max(len(features)) AS INTEGER) AS n_features
 FROM lp JOIN fm USING (part) GROUP BY fm.fold, fm.split
 UNION ALL
-SELECT 0, 'full', count(*), count(DISTINCT group_id), count_if(CAST(label AS INTEGER) = 0), count_if(CAST(label AS INTEGER) = 1),
-       count_if(CAST(label AS INTEGER) = 2), CAST(max(len(features)) AS INTEGER) FROM lp"""
+SELECT 0, 'full', count(*), count(DISTINCT group_id), CAST(count_if(CAST(label AS INTEGER) = 0) AS BIGINT),
+       CAST(count_if(CAST(label AS INTEGER) = 1) AS BIGINT), CAST(count_if(CAST(label AS INTEGER) = 2) AS BIGINT),
+       CAST(max(len(features)) AS INTEGER) FROM lp"""
 
 ORACLE["ltr_describe"] = f"""
 WITH {_SPARSE},
@@ -474,8 +476,8 @@ SELECT * FROM gsplit"""
 
 ORACLE["split_metadata"] = f"""
 WITH {_GSPLIT}
-SELECT 'benchmark-pools' AS source, 0.1 AS test_size, 42 AS random_state,
-       count_if(split = 'train') AS num_train, count_if(split = 'test') AS num_test FROM gsplit"""
+SELECT 'benchmark-pools' AS source, CAST(0.1 AS DOUBLE) AS test_size, 42 AS random_state,
+       CAST(count_if(split = 'train') AS BIGINT) AS num_train, CAST(count_if(split = 'test') AS BIGINT) AS num_test FROM gsplit"""
 
 
 # ------------------------------------------------------------------ run text round trip, ranking helpers

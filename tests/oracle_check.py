@@ -42,6 +42,15 @@ def norm(v):
     return v
 
 
+def spark_type(t) -> str:
+    """DuckDB spelling of a Spark type (for the schema comparison)."""
+    from pyspark.sql import types as T
+    if isinstance(t, T.ArrayType):
+        return spark_type(t.elementType) + "[]"
+    return {T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.FloatType: "FLOAT",
+            T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN"}.get(type(t), t.simpleString())
+
+
 def compare(spark, sf_dir: str, names=None, verbose=True):
     sys.path.insert(0, ".")
     import __spark_entry__ as E
@@ -63,15 +72,20 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         t1 = time.time()
         rel = con.sql(sqls[name])
         dcols = rel.columns
+        stypes = {f.name: spark_type(f.dataType) for f in sdf.schema.fields}
+        dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        type_diff = {c: (stypes.get(c), dtypes.get(c)) for c in set(stypes) | set(dtypes) if stypes.get(c) != dtypes.get(c)}
         drows_raw = rel.fetchall()
         idx = {c: i for i, c in enumerate(dcols)}
         ok_cols = sorted(dcols) == cols
         drows = sorted((tuple(norm(r[idx[c]]) for c in cols) for r in drows_raw), key=repr) if ok_cols else []
         td = time.time() - t1
-        same = ok_cols and srows == drows
+        same = ok_cols and srows == drows and not type_diff
         results[name] = ("ok" if same else "DIFF", len(srows), len(drows_raw))
         if verbose:
             print(f"{name:28s} {'ok ' if same else 'DIFF'} spark_n={len(srows)} duck_n={len(drows_raw)} spark={ts:.1f}s duck={td:.1f}s", flush=True)
+            if type_diff:
+                print("   types:", type_diff)
             if not ok_cols:
                 print("   columns:", cols, sorted(dcols))
             elif not same:
