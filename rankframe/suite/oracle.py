@@ -230,7 +230,7 @@ _Q_SRC = f"SELECT query_id AS id, text FROM ({S.QUERIES})"
 
 ORACLE["dense_embed"] = f"""
 WITH {_hashed(_DOC_SRC, EMBED_DIM, "hd")}
-SELECT id, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM hd"""
+SELECT id, embedding FROM hd"""
 
 
 def _dense_run(dim: int, k: int, name: str, out: str) -> str:

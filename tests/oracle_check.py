@@ -20,13 +20,16 @@ def duck(sf_dir: str):
     return con
 
 
+EXACT = False
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dict):
@@ -100,4 +103,8 @@ if __name__ == "__main__":
     from rankframe.session import local_session
 
     spark = local_session()
-    compare(spark, sys.argv[1], sys.argv[2:] or None)
+    args = sys.argv[1:]
+    if "--exact" in args:  # compare floats bit for bit (no rounding in the harness)
+        args.remove("--exact")
+        EXACT = True
+    compare(spark, args[0], args[1:] or None)
