@@ -116,13 +116,15 @@ class LexicalIndex:
 def build_index(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> LexicalIndex:
     """Vocabulary plus collection statistics.
 
-    With no collection key the vocabulary is checkpointed to the shared checkpoint folder (it
-    is read again for the idf of query terms) and the two scalars are read from its null-term
-    row. With keys everything stays lazy and statistics are joined on the keys.
+    The vocabulary is checkpointed to the shared checkpoint folder (it is read again for the
+    statistics and the idf of query terms). With no collection key the two scalars are read from
+    its null-term row; with keys the statistics are joined on the keys.
     """
     keys = list(collection_cols)
     vocab = vocabulary(tok_docs, keys)
     if keys:
+        # read by the statistics, the idf and the mean-idf check: materialise once
+        vocab = vocab.checkpoint(eager=True)
         stats = vocab.filter(F.col("term").isNull()).select(
             *keys, F.col("df").alias("n_docs"), (F.col("tot") / F.col("df")).alias("avgdl")
         )

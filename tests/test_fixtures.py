@@ -135,6 +135,13 @@ def test_heaps_fixture(spark):
     assert fit.beta == A(0.725680, abs=1e-6) and fit.K == A(1.173543, abs=1e-6)
 
 
+def test_strip_matches_python(spark):
+    from rankframe.functions.text import strip
+    texts = ["  a b  ", "\x85x\u3000", "\t\n", "", "\u2003y\u200a z\u205f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(strip("t").alias("s")).collect()] == [t.strip() for t in texts]
+
+
 def test_pooled_text_and_ids(spark):
     df = spark.createDataFrame([("A", "b"), ("A", "A b"), (None, "b"), ("A", " ")], "t string, c string")
     got = [r.x for r in df.select(combine_title_and_chunk("t", "c").alias("x")).collect()]
