@@ -246,7 +246,9 @@ def dense_top10(spark, sf):
 
 def _candidates(spark, sf, k=50):
     docs, queries, dv, qv = _vecs(spark, sf)
-    run = bm25_search(docs, queries, top_k=k, run_name="bm25", score_digits=DIGITS)
+    # a candidate run is a small table (k rows per query) read by several jobs: written once,
+    # like a prebuilt run file
+    run = bm25_search(docs, queries, top_k=k, run_name="bm25", score_digits=DIGITS).checkpoint(eager=True)
     return docs, queries, dv, qv, run
 
 
