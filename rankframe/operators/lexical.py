@@ -392,24 +392,43 @@ def tfidf_scores(
 ) -> DataFrame:
     """(keys, query_id, doc_id, _rf_row, score): cosine of raw-tf x smooth-idf vectors.
 
-    Cosine scores are never negative, so zero fill on a shared collection is the first
-    ``zero_fill_k`` documents per query, added before the aggregation (see ``bm25_scores``).
+    One pass over the postings gives both the document norm (every term) and the document's
+    query-term entries (``collect_list`` of the flagged terms, bounded by the query vocabulary),
+    so the collection is exploded and counted once after the vocabulary. Cosine scores are never
+    negative, so zero fill is the first ``zero_fill_k`` documents of each collection per query,
+    added before the final aggregation (see ``bm25_scores``).
     """
     keys = list(collection_cols)
     td = tok_docs if tok_docs is not None else tokenized_docs(docs, collection_cols, tokenizer)
-    idf, norms = tfidf_weights(td, keys)
+    index = build_index(td, keys)
+    idf = index.with_stats(index.terms).select(*keys, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     qt = query_terms(queries, keys, tokenizer).join(idf, keys + ["term"])  # unknown terms drop
     qk = _qkeys(keys)
     qnorm = qt.groupBy(*qk).agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qnorm"))
     qw = qt.join(qnorm, qk).select(*qk, "term", (F.col("qtf") * F.col("idf") * F.col("idf") / F.col("qnorm")).alias("qw"))
-    post = matched_postings(td, qt.select(*qk, "term"), keys)
-    contrib = post.join(checked_broadcast(qw), keys + ["term"]).select(*qk, "doc_id", _ROW, (F.col("qw") * F.col("tf")).alias("c"))
-    scores = (
-        contrib.groupBy(*qk, "doc_id", _ROW)
-        .agg(F.sum("c").alias("dot"))
-        .join(norms, keys + ["doc_id", _ROW])
-        .select(*qk, "doc_id", _ROW, (F.col("dot") / F.col("dnorm")).alias("score"))
+    wanted = checked_broadcast(qt.select(*keys, "term").distinct().withColumn("_rf_q", F.lit(True)))
+    postings = (
+        td.select(*keys, "doc_id", _ROW, explode_tokens("tokens").alias("term"))
+        .filter(F.col("term").isNotNull())
+        .groupBy(*keys, "doc_id", _ROW, "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    # a vocabulary under the checked bound joins map-side; above it, a shuffle join (AQE splits
+    # hot terms)
+    per_doc = (
+        postings.join(checked_broadcast(idf), keys + ["term"])
+        .join(wanted, keys + ["term"], "left")
+        .groupBy(*keys, "doc_id", _ROW)
+        .agg(
+            F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dnorm"),
+            F.collect_list(F.when(F.col("_rf_q"), F.struct("term", "tf"))).alias("_rf_m"),
+        )
     )
+    matched = per_doc.select(*keys, "doc_id", _ROW, "dnorm", F.explode("_rf_m").alias("_m")).select(
+        *keys, "doc_id", _ROW, "dnorm", F.col("_m.term").alias("term"), F.col("_m.tf").alias("tf"))
+    contrib = matched.join(checked_broadcast(qw), keys + ["term"])
+    scores = contrib.groupBy(*qk, "doc_id", _ROW).agg(
+        (F.sum(F.col("qw") * F.col("tf")) / F.first("dnorm")).alias("score"))
     if zero_fill_k:
         cands = zero_candidates_keyed(td, queries, keys, zero_fill_k) if keys else zero_candidates(queries, first_documents(td, zero_fill_k))
         if cands is not None:
