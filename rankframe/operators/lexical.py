@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_tokens, tokenize
-from ..plans.broadcast import checked_broadcast
+from ..plans.broadcast import checked_broadcast, within_bound
 from ..plans.ordinals import global_ordinal
 from .ranking import make_ranked_run
 
@@ -181,10 +181,13 @@ def bm25_idf(index: LexicalIndex, epsilon: float = 0.25) -> tuple[DataFrame, flo
     return out, m
 
 
-def matched_postings(tok_docs: DataFrame, qterms: DataFrame, collection_cols: Sequence[str] = ()) -> DataFrame:
-    """(keys, doc_id, _rf_row, term, tf, dl) for query terms only."""
+def matched_postings(tok_docs: DataFrame, qterms: DataFrame, collection_cols: Sequence[str] = (),
+                     small: bool | None = None) -> DataFrame:
+    """(keys, doc_id, _rf_row, term, tf, dl) for query terms only. ``small``: the caller has
+    already proven the query-term table within the broadcast bound."""
     keys = list(collection_cols)
-    wanted = checked_broadcast(qterms.select(*keys, "term").distinct())
+    terms = qterms.select(*keys, "term").distinct()
+    wanted = F.broadcast(terms) if small else (terms if small is False else checked_broadcast(terms))
     occ = tok_docs.select(*keys, "doc_id", _ROW, "dl", explode_tokens("tokens").alias("term"))
     return (
         occ.join(wanted, keys + ["term"], "left_semi")
@@ -200,9 +203,11 @@ def _scored_pairs(tok_docs, queries, collection_cols, tokenizer, epsilon, index=
     qt = query_terms(queries, keys, tokenizer)
     index = index or build_index(tok_docs, keys)
     idf, mean = bm25_idf(index, epsilon)
-    qt_idf = qt.join(idf, keys + ["term"])
-    post = matched_postings(tok_docs, qt, keys)
-    return post.join(checked_broadcast(qt_idf), keys + ["term"]), mean
+    qt_idf = qt.join(idf, keys + ["term"])  # idf is unique per (keys, term): at most |qt| rows
+    # one count bounds both broadcast sides (distinct terms and qt_idf are no larger than qt)
+    small = within_bound(qt)
+    post = matched_postings(tok_docs, qt, keys, small=small)
+    return post.join(F.broadcast(qt_idf) if small else qt_idf, keys + ["term"]), mean
 
 
 def first_documents(tok_docs: DataFrame, k: int) -> list[tuple[str, int]]:

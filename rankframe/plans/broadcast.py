@@ -18,6 +18,12 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     return F.broadcast(df) if n <= max_rows else df
 
 
+def within_bound(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (one capped count). Tables derived from
+    it by projection, distinct or an inner join on a unique key inherit the bound."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def literal_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a table built from a driver-side literal list (its size is known)."""
     return F.broadcast(df)
