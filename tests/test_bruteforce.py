@@ -64,7 +64,8 @@ def metrics_brute(run, qrels, k=20):
     judged = {q for q, _, _ in qrels}
     rel = {(q, d): g for q, d, g in qrels}
     for q in judged:
-        lst = sorted([(s, d) for qq, d, s in run if qq == q], key=lambda x: (-x[0], [-ord(c) for c in x[1]]))
+        # score descending, ties by doc_id descending (string order)
+        lst = sorted([(s, d) for qq, d, s in run if qq == q], reverse=True)
         docs = [d for _, d in lst]
         grades = [rel.get((q, d), 0) for d in docs]
         nrel = sum(1 for (qq, _), g in rel.items() if qq == q and g >= 1)
