@@ -1,0 +1,58 @@
+import re
+from collections import Counter
+
+from rankframe.llm import quality as Q
+
+TEXTS = [
+    "a b c d e f g h a b c d e f g h " * 2,
+    "x " * 30,
+    "one\ntwo\n\none\n \none\n| # $ | two <b>&",
+    " ".join(f"w{i}" for i in range(50)),
+    " ".join(f"w{i % 17}" for i in range(60)),
+    "\x0b\x0c\r\n",
+    " é ü " * 25,
+    "",
+    None,
+]
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    count = Counter(windows)
+    inside = {j for i, w in enumerate(windows) if count[w] > 1 for j in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside)
+
+
+def test_counts_match_brute_force(spark, sf):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    docs = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    for r in Q.quality(docs).collect():
+        q = r.quality
+        n = brute(r.text)
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == n, r.text
+        assert q.base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0])
+        assert not (q.base_failed and q.kept)
+
+
+def test_bands(spark):
+    import base64
+    import os
+
+    prose = " ".join(f"{a} {b}" for a in ("the river", "a stone", "old roads", "their song") for b in ("runs deep", "was seen by many", "is not far"))
+    texts = {1: prose * 1, 2: base64.b64encode(os.urandom(30_000)).decode().replace("A", " "), 3: ("ab " * 40 + "q%d ") * 200 % tuple(range(200))}
+    got = {r.doc_id: r.quality for r in Q.quality(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1].kept and not got[2].kept and not got[3].kept
+
+
+def test_edges(spark, edge_docs, no_docs):
+    got = Q.quality(edge_docs).collect()
+    assert len(got) == edge_docs.count()
+    assert all(r.quality.n_words == brute(r.text)[0] for r in got)
+    assert Q.quality(no_docs).count() == 0
