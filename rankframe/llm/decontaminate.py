@@ -15,6 +15,7 @@ from .common import let, read_table
 # Spaced masks, 8 of 12 words each.
 MASKS = ("110100110111", "111011001011")
 WINDOW, SIMILARITY, LEAST = 13, 0.8, 5
+CHUNK = 4096  # words of a text that are windowed at once
 
 
 def words(text: Column) -> Column:
@@ -22,21 +23,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _windows(df: DataFrame, masks: list[str], position: str) -> DataFrame:
-    """Columns of ``df`` with ``key`` and ``position`` (0-based) of each window under each mask; reads ``h``, the word hashes.
+def _windows(df: DataFrame, masks: list[str], position: str, back: int, ahead: int) -> DataFrame:
+    """Rows of ``df`` without ``h`` (the word hashes), one for each window and mask: ``key``, ``position`` (0-based) and
+    ``near``, the hashes from ``back`` words before the position to ``ahead`` from it on (null outside the text).
 
-    All masks read the same shifted copies of the hash array, so a document is exploded once. Past its
-    end the copies hold nulls, and a window with a null has no key.
+    Long texts are first cut into chunks that overlap by what a window needs, so a row holds a bounded number of words.
+    All masks read the same shifted copies of a chunk; a window that passes the end of the text has no key.
     """
-    used = sorted({i for m in masks for i, x in enumerate(m) if x == "1"})
-    size = F.size("h")
-    shifted = [F.slice("h", i + 1, F.greatest(size - i, F.lit(0))).alias(f"w{i}") for i in used]
-    zipped = df.select(*df.columns, F.posexplode(F.arrays_zip(*shifted)).alias(position, "_w"))
+    kept = [c for c in df.columns if c != "h"]
+    padded = F.concat(F.array_repeat(F.lit(None).cast("long"), back), F.col("h"))
+    starts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(CHUNK)))
+    chunks = let(
+        padded, lambda h: F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice(h, at + 1, CHUNK + back + ahead - 1).alias("g")))
+    )
+    cut = df.select(*kept, F.explode(chunks).alias("_c"))
+    shifted = [F.slice("_c.g", i + 1, CHUNK).alias(f"w{i}") for i in range(back + ahead)]
+    zipped = cut.select(*kept, F.col("_c.at").alias("_at"), F.posexplode(F.arrays_zip(*shifted)).alias("_i", "_w"))
+    word = lambda i: F.col(f"_w.w{i + back}")
     key = [
-        F.when(F.col(f"_w.w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(no), *[F.col(f"_w.w{i}") for i, x in enumerate(m) if x == "1"]))
+        F.when(word(len(m) - 1).isNotNull() & word(0).isNotNull(), F.xxhash64(F.lit(no), *[word(i) for i, x in enumerate(m) if x == "1"]))
         for no, m in enumerate(masks)
     ]
-    keyed = zipped.select(*df.columns, position, F.posexplode(F.array(*key)).alias("_mask", "key"))
+    near = F.array(*[F.col(f"_w.w{i}") for i in range(back + ahead)])
+    keyed = zipped.select(*kept, (F.col("_at") + F.col("_i")).alias(position), near.alias("near"), F.posexplode(F.array(*key)).alias("_mask", "key"))
     return keyed.filter("key is not null")
 
 
@@ -73,18 +82,21 @@ def contaminated(
     ).first()  # one row; at most ``span`` lengths
     every = [*masks, *["1" * k for k in sorted(short)]]
     spans = F.array(*[F.lit(len(m)) for m in every])
-    grams = _windows(items, every, "item_pos").withColumn("span", F.get(spans, F.col("_mask")))
+    # a run that holds a window begins at most ``back`` words before it and ends at most ``ahead`` after its first
+    back = max(0, window - min(map(len, every)))
+    ahead = max(window, max(map(len, every)))
+    grams = _windows(items.withColumn("item_h", F.col("h")), every, "item_pos", back, ahead).withColumn("span", F.get(spans, F.col("_mask")))
     # a mask without gaps is for the items of just its length
-    grams = grams.filter((F.col("_mask") < len(masks)) | (F.size("h") == F.col("span")))
-    grams = grams.select("key", "span", "item_id", "item_pos", F.col("h").alias("item_h"))
+    grams = grams.filter((F.col("_mask") < len(masks)) | (F.size("item_h") == F.col("span")))
+    grams = grams.select("key", "span", "item_id", "item_pos", "item_h")
     if n <= broadcast_items and (total or 0) <= 100 * broadcast_items:
         grams = F.broadcast(grams)
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), hashes(docs[text_col]).alias("h"))
-    hits = _windows(texts, every, "doc_pos").join(grams, "key")
+    hits = _windows(texts, every, "doc_pos", back, ahead).join(grams, "key")
     length = F.least(F.lit(window), F.size("item_h"))
 
     def agrees(x):
-        same = lambda j: F.get("h", F.col("doc_pos") + j - F.col("item_pos")) == F.get("item_h", j)
+        same = lambda j: F.get("near", j - F.col("item_pos") + back) == F.get("item_h", j)
         run = lambda at: F.size(F.filter(F.sequence(at, at + x["n"] - 1), same))
         return F.exists(F.sequence(x["lo"], x["hi"]), lambda at: run(at) >= F.ceil(x["n"] * similarity))
 
@@ -143,8 +155,8 @@ bw AS ({_oracle_windows("b", "item_id", "ip")}),
 hits AS (SELECT dw.doc_id, dw.w AS dws, dp, bw.item_id, bw.w AS bws, ip, dw.span, least({WINDOW}, len(bw.w)) AS n
          FROM dw JOIN bw ON dw.mask = bw.mask AND dw.key = bw.key),
 ranged AS (SELECT *, greatest(0, least(ip, ip + span - n)) AS lo, greatest(ip, ip + span - n) AS top, len(bws) - n AS last FROM hits),
-good AS (SELECT DISTINCT doc_id, item_id FROM ranged WHERE len(list_filter(range(lo, greatest(lo, least(top, last)) + 1), a ->
-    len(list_filter(range(a, a + n), j -> dp + j - ip >= 0 AND dws[dp + j - ip + 1] = bws[j + 1])) >= ceil(n * {SIMILARITY}))) > 0),
+good AS (SELECT DISTINCT doc_id, item_id FROM ranged WHERE len(list_filter(range(lo, greatest(lo, least(top, last)) + 1), lambda a:
+    len(list_filter(range(a, a + n), lambda j: dp + j - ip >= 0 AND dws[dp + j - ip + 1] = bws[j + 1])) >= ceil(n * {SIMILARITY}))) > 0),
 per AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids FROM good GROUP BY doc_id)
 SELECT d.doc_id, per.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids
 FROM documents d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id

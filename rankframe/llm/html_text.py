@@ -8,6 +8,7 @@ stop-word density alone is no reason to drop a block of it, and blocks outside i
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -140,27 +141,26 @@ def _first_pass(text: str, linked: int, article: bool) -> bool | None:
         return True if len(text) >= LONG else None
     words = [w.strip(".,;:!?()\"'").lower() for w in text.split()]
     share = max(sum(w in stop for w in words) for stop in STOP_WORDS) / len(words)
-    if share >= DENSE:
-        return True if len(text) >= LONG else None
-    return None if share >= SPARSE else False
+    return True if share >= DENSE else None if share >= SPARSE else False
 
 
-def _second_pass(labels: list[bool | None], unsure: bool) -> list[bool]:
-    """Undecided blocks take the nearest decided label; between equally near or none: ``unsure``."""
-    before, after, seen = [], [], (None, 0)
-    for at, x in enumerate(labels):
-        seen = (x, at) if x is not None else seen
-        before.append(seen)
-    seen = (None, len(labels))
-    for at in range(len(labels) - 1, -1, -1):
-        seen = (labels[at], at) if labels[at] is not None else seen
-        after.append(seen)
+def _second_pass(labels: list[bool | None], unsure: bool | None) -> list[bool]:
+    """Undecided blocks take the nearest decided label; between two equally near ones, or with none, ``unsure``, or (if that
+    is None) the label that follows: a heading goes with the text under it."""
+    decided = [at for at, x in enumerate(labels) if x is not None]
     out = []
-    for at, (x, (a, i), (b, j)) in enumerate(zip(labels, before, reversed(after))):
+    for at, x in enumerate(labels):
         if x is None:
-            near = {v for v, d in ((a, at - i), (b, j - at)) if v is not None and d == min(
-                q for p, q in ((a, at - i), (b, j - at)) if p is not None)}
-            x = near.pop() if len(near) == 1 else unsure
+            i = bisect(decided, at)
+            before, after = decided[max(i - 1, 0) : i], decided[i : i + 1]
+            if not before and not after:
+                x = bool(unsure)
+            elif not before or not after:
+                x = labels[(before + after)[0]]
+            elif at - before[0] != after[0] - at:
+                x = labels[before[0] if at - before[0] < after[0] - at else after[0]]
+            else:
+                x = labels[after[0]] if unsure is None or labels[before[0]] == labels[after[0]] else unsure
         out.append(x)
     return out
 
@@ -177,7 +177,7 @@ def main_text(html: str | None) -> str:
     marked = [b for b in blocks if b[2]]
     if marked:
         blocks = marked
-    kept = _second_pass([_first_pass(*b) for b in blocks], bool(marked))
+    kept = _second_pass([_first_pass(*b) for b in blocks], True if marked else None)
     return "\n".join(b[0] for b, ok in zip(blocks, kept) if ok)
 
 

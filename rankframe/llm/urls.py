@@ -126,10 +126,10 @@ def calibrate(ruled: DataFrame) -> DataFrame:
     )
     # at most 2 * BINS + 1 rows
     upward, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    kept = 1 - F.coalesce(F.sum("a").over(upward), F.lit(0)) / F.sum("a").over(whole)
-    caught = F.coalesce(F.sum("b").over(upward), F.lit(0)) / F.sum("b").over(whole)
+    kept = 1 - F.try_divide(F.coalesce(F.sum("a").over(upward), F.lit(0)), F.sum("a").over(whole))
+    caught = F.try_divide(F.coalesce(F.sum("b").over(upward), F.lit(0)), F.sum("b").over(whole))
     best = bins.select("bin", F.round(kept + caught, 9).alias("gain"))
-    return best.agg((F.max_by("bin", F.struct("gain", -F.col("bin"))) / 100).alias("cut"))
+    return best.filter("gain is not null").agg((F.max_by("bin", F.struct("gain", -F.col("bin"))) / 100).alias("cut"))
 
 
 def judge(

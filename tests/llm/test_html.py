@@ -1,0 +1,48 @@
+import re
+
+from rankframe.llm import html_text as X
+
+PROSE = "The river runs past the old mill and on to the sea, and it is said that the water was once so clear that you could see the stones."
+
+
+def test_blocks_and_boilerplate():
+    page = f"""<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">
+    <nav><ul><li><a href=/>Home</a></li></ul></nav><!-- no --><div class="ad">{PROSE}</div>
+    <article><h1>A &amp; B&nbsp;
+      title</h1><p><b>{PROSE}<br><p>Is.</p><script>x</script><div class="cookie-notice">{PROSE}</div><p>{PROSE} &lt;x&gt; &am</p>
+    <form><p>{PROSE}</p></form><section id="comments"><p>{PROSE}</p></section></article>
+    <aside>{PROSE}</aside><footer>&copy; x</footer></body></html>"""
+    assert X.main_text(page).split("\n") == ["A & B title", PROSE, "Is.", PROSE + " <x> &am"]
+
+
+def test_unmarked_pages_use_the_two_passes():
+    page = f"""<body><div><a href=1>one link</a> <a href=2>two link</a></div><h2>Title</h2><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>
+    <ul><li><a href=x>More from the list of the links</a></li><li><a href=x>More from the list</a></li></ul><p>1 2 3</p></body>"""
+    assert X.main_text(page).split("\n") == ["Title", PROSE, "Short one.", PROSE]
+
+
+def test_broken_and_empty():
+    assert X.main_text(None) == X.main_text("") == X.main_text("<div></div>") == ""
+    assert X.main_text(f"<article><p>{PROSE}<p>x<div class=ad>y") == f"{PROSE}\nx"
+    assert X.main_text("<article>" + "<div>" * 3000 + PROSE) == PROSE
+    assert X.main_text("<article><p>a </i> b</p><p>c" * 2).split("\n") == ["a b", "c", "a b", "c"]
+
+
+def test_given_pages(spark, sf):
+    """In the given pages the article is all between its tags."""
+    import html as H
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    from rankframe.llm.suite import QUERIES
+
+    got = {r.page_id: r for r in QUERIES["op9_html_extraction"](spark, sf).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S).group(1)
+        blocks = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"<(?:p|/p|h1|/h1)>", inner)]
+        assert got[r.page_id].text == "\n".join(b for b in blocks if b)
+        assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_edges(spark, edge_docs, no_docs):
+    assert X.extract(edge_docs, "text").count() == edge_docs.count()
+    assert X.extract(no_docs, "text").count() == 0
