@@ -60,7 +60,7 @@ def contaminated(
     window: int = WINDOW,
     similarity: float = SIMILARITY,
     least: int = LEAST,
-    broadcast_items: int = 100_000,
+    broadcast_words: int = 200_000,
 ) -> DataFrame:
     """Verified overlaps, one row for each (``doc_id``, ``text_hash``, ``item_id``) with the number of hits ``n_hits`` and the
     first document word ``first_word`` of one.
@@ -68,8 +68,8 @@ def contaminated(
     Items shorter than a mask are searched as their whole word sequence (a mask without gaps); items of fewer than ``least`` words
     are too common to be evidence and match nothing, like null and empty texts. Null ids are kept as
     null; rows with equal id and text share one result; empty tables give no rows; only the named columns are read.
-    The benchmark's windows are broadcast when it has at most ``broadcast_items`` items of together at most a
-    hundred times as many words, else joined by key.
+    The benchmark's windows (a fixed number of hashes each) are broadcast when it has at most ``broadcast_words`` words,
+    else joined by key.
     """
     for m in masks:
         if m[0] + m[-1] != "11":
@@ -77,32 +77,32 @@ def contaminated(
     hashes = lambda text: F.transform(words(text), lambda w: F.xxhash64(w))
     items = benchmark.select(benchmark[item_col].alias("item_id"), hashes(benchmark[item_text]).alias("h")).filter(F.size("h") >= least)
     span = max(map(len, masks))
-    n, total, short = items.agg(
-        F.count("*"), F.sum(F.size("h")), F.collect_set(F.when(F.size("h") < span, F.size("h")))
-    ).first()  # one row; at most ``span`` lengths
+    # one row; fewer lengths than ``span``
+    total, short = items.agg(F.sum(F.size("h")), F.collect_set(F.when(F.size("h") < span, F.size("h")))).first()
     every = [*masks, *["1" * k for k in sorted(short)]]
     spans = F.array(*[F.lit(len(m)) for m in every])
     # a run that holds a window begins at most ``back`` words before it and ends at most ``ahead`` after its first
     back = max(0, window - min(map(len, every)))
     ahead = max(window, max(map(len, every)))
-    grams = _windows(items.withColumn("item_h", F.col("h")), every, "item_pos", back, ahead).withColumn("span", F.get(spans, F.col("_mask")))
+    grams = _windows(items.withColumn("item_n", F.size("h")), every, "item_pos", back, ahead).withColumn("span", F.get(spans, F.col("_mask")))
     # a mask without gaps is for the items of just its length
-    grams = grams.filter((F.col("_mask") < len(masks)) | (F.size("item_h") == F.col("span")))
-    grams = grams.select("key", "span", "item_id", "item_pos", "item_h")
-    if n <= broadcast_items and (total or 0) <= 100 * broadcast_items:
+    grams = grams.filter((F.col("_mask") < len(masks)) | (F.col("item_n") == F.col("span")))
+    grams = grams.select("key", "span", "item_id", "item_pos", "item_n", F.col("near").alias("item_near"))
+    if (total or 0) <= broadcast_words:
         grams = F.broadcast(grams)
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), hashes(docs[text_col]).alias("h"))
     hits = _windows(texts, every, "doc_pos", back, ahead).join(grams, "key")
-    length = F.least(F.lit(window), F.size("item_h"))
+    length = F.least(F.lit(window), F.col("item_n"))
 
     def agrees(x):
-        same = lambda j: F.get("near", j - F.col("item_pos") + back) == F.get("item_h", j)
+        at = lambda j: j - F.col("item_pos") + back
+        same = lambda j: F.get("near", at(j)) == F.get("item_near", at(j))
         run = lambda at: F.size(F.filter(F.sequence(at, at + x["n"] - 1), same))
         return F.exists(F.sequence(x["lo"], x["hi"]), lambda at: run(at) >= F.ceil(x["n"] * similarity))
 
     # runs of ``length`` words that hold the window, or that lie in it
     lo = F.greatest(F.lit(0), F.least(F.col("item_pos"), F.col("item_pos") + F.col("span") - length))
-    hi = F.greatest(lo, F.least(F.greatest(F.col("item_pos"), F.col("item_pos") + F.col("span") - length), F.size("item_h") - length))
+    hi = F.greatest(lo, F.least(F.greatest(F.col("item_pos"), F.col("item_pos") + F.col("span") - length), F.col("item_n") - length))
     verified = hits.filter(let(F.struct(length.alias("n"), lo.alias("lo"), hi.alias("hi")), agrees))
     return verified.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_hits"), F.min("doc_pos").alias("first_word"))
 

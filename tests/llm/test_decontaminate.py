@@ -44,7 +44,7 @@ def test_matches_brute_force(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {i: [j for j, b in enumerate(items) if brute(d, b)] for i, d in enumerate(docs)}
     assert 10 < sum(map(bool, want.values())) < len(docs) - 5
-    for extra in ({}, {"broadcast_items": 0}):
+    for extra in ({}, {"broadcast_words": 0}):
         got = {r.doc_id: r for r in D.flag(df, bench, **extra).collect()}
         assert {i: r.item_ids for i, r in got.items()} == {i: ",".join(map(str, x)) for i, x in want.items()}
     clean = D.drop_contaminated(df, bench)
