@@ -17,6 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` texts at once to Python workers (a session setting), which bounds their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it as a lambda variable in ``body``.
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, text_batches
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -189,6 +189,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "main_text") ->
     (one named like ``out`` is replaced).
     """
 
+    text_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def texts(htmls: pd.Series) -> pd.Series:

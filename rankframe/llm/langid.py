@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import read_table
+from .common import read_table, text_batches
 
 ORDER = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +69,24 @@ def _count_grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(grams, pa.string()), pa.array(n)], ["lang", "gram", "n"])
 
 
+class Sorted:
+    """A sorted hash array with an index by leading bits, so a search starts next to its place."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, int(len(keys)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(keys >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.depth = int(np.diff(self.start, append=len(keys)).max(initial=0))  # most keys with the same leading bits
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``wanted`` and whether the key there is the wanted one."""
+        at = self.start.take((wanted >> self.shift).astype(np.int64))
+        for _ in range(self.depth):
+            at += self.keys.take(at) < wanted
+        return at, (self.keys.take(at) == wanted) & (at < len(self.keys) - 1)
+
+
 class Model:
     """Sorted hash arrays with one column of log probabilities and back-off weights per language."""
 
@@ -111,25 +129,17 @@ class Model:
             prob.append(dict(zip(grams, new)))
             keys = hash_each(grams, k + 1)
             order = np.argsort(keys)
-            self.keys.append(keys[order])
+            self.keys.append(Sorted(keys[order]))
             self.logp.append(np.log(new)[order].astype(np.float32))
             # back-off weights by context (of k characters): used when order k + 1 misses
             ctx = sorted(set().union(*weights))
             hashed = hash_each(ctx, k)
             order = np.argsort(hashed)
             rows = np.array([[w.get(h, 1.0) for w in weights] for h in ctx]).reshape(len(ctx), len(self.langs))
-            self.back.append((hashed[order], np.log(np.maximum(rows, 1e-12))[order].astype(np.float32)))
+            self.back.append((Sorted(hashed[order]), np.log(np.maximum(rows, 1e-12))[order].astype(np.float32)))
         # a character that no language has seen gets an equal part of what is left over by order 1
         self.floor = np.log(1 / chars) + (self.back[0][1][0] if self.langs else 0)
 
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Positions in ``keys``, -1 where absent."""
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
-
     def cross_entropy(self, text: str | None, piece: int = 1 << 18) -> np.ndarray | None:
         """Nats per character under each language; None without a letter. Long texts go through in pieces."""
         codes = normalise(text)
@@ -148,14 +158,13 @@ class Model:
         for k in range(ORDER, 0, -1):
             able = todo >= k - 1
             start = todo[able] - (k - 1)
-            at = self._find(self.keys[k - 1], grams[k - 1][start])
-            hit = at >= 0
-            total -= self.logp[k - 1][at[hit]].sum(0, dtype=np.float64)
+            at, hit = self.keys[k - 1].find(grams[k - 1][start])
+            total -= self.logp[k - 1].take(at[hit], 0).sum(0, dtype=np.float64)
             missed = start[~hit]
             if k > 1 and len(missed):
                 ctx, rows = self.back[k - 1]
-                b = self._find(ctx, grams[k - 2][missed])
-                total -= rows[b[b >= 0]].sum(0, dtype=np.float64)
+                b, known = ctx.find(grams[k - 2][missed])
+                total -= rows[b[known]].sum(0, dtype=np.float64)
             todo = np.concatenate([todo[~able], missed + k - 1])
         return total - self.floor * len(todo)
 
@@ -184,6 +193,7 @@ def train(
     A language's limit is the 99 % quantile of its calibration texts' cross-entropy plus ``slack`` nats.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    text_batches(docs.sparkSession)
     named = docs.filter("lang is not null and text is not null").select(
         "doc_id", "text", "lang", F.xxhash64("text").alias("text_hash")
     )
@@ -233,6 +243,7 @@ def _own_column(spark, model: Model):
 
 def predict_column(spark, model: Model, sharpness: float = 20.0):
     """Arrow-batched column function: text -> struct ``lang, score, entropy, accepted``."""
+    text_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, entropy double, accepted boolean")

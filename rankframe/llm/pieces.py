@@ -12,13 +12,15 @@ mistaken for a space.
 """
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, text_batches
 
 MARK = "▁"
 
@@ -49,6 +51,13 @@ class Vocabulary:
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte pieces; encoding would lose characters")
         self.longest = max(map(len, self.scores))
+        # lengths of the pieces that end in the same three characters, longest first; shorter pieces are always tried
+        lengths: dict[str, set[int]] = {}
+        for piece in self.scores:
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {end: (*sorted(n, reverse=True), 2, 1) for end, n in lengths.items()}
+        self.known: dict[str, tuple[int, ...]] = {}
         # below any sum of pieces for the same characters
         self.byte_score = min(s for s, _ in self.scores.values()) * 2 - 10
 
@@ -60,14 +69,14 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode_words(words: list[str], v: Vocabulary) -> list[list[int]]:
+def encode_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     """Best segmentation of each of the sorted, distinct marked words.
 
     ``best[d]`` is the forward score of the first ``d`` characters and ``back[d]`` the last step to it; both are
     cut back to the common prefix when the next word comes. On equal scores the longer last piece wins.
     """
     best, back, last, out = [0.0], [(0, ())], "", []
-    scores, longest = v.scores, v.longest
+    scores, lengths, short = v.scores, v.lengths, (2, 1)
     for word in words:
         keep = 0
         for a, b in zip(last, word):
@@ -77,7 +86,10 @@ def encode_words(words: list[str], v: Vocabulary) -> list[list[int]]:
         del best[keep + 1 :], back[keep + 1 :]
         for d in range(keep + 1, len(word) + 1):
             top, step = None, None
-            for start in range(max(0, d - longest), d):
+            for n in lengths.get(word[d - 3 : d], short) if d > 2 else short:
+                if n > d:
+                    continue
+                start = d - n
                 found = scores.get(word[start:d])
                 # a mark stands for a space only as the first character
                 if found is not None and (not start or word[start] != MARK):
@@ -93,24 +105,30 @@ def encode_words(words: list[str], v: Vocabulary) -> list[list[int]]:
         while d:
             d, part = back[d]
             ids.append(part)
-        out.append([i for part in reversed(ids) for i in part])
+        out.append(tuple([i for part in reversed(ids) for i in part]))
         last = word
     return out
 
 
-def _encode_batch(texts: list[str | None], v: Vocabulary):
-    """Ids of all texts as one flat array, with the offsets of the texts and their numbers of words."""
+def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 150_000):
+    """Ids of all texts as one flat array, with the offsets of the texts and their numbers of words.
+
+    A worker remembers the words it has encoded, up to ``memory`` of at most 64 characters; it forgets all when more come.
+    """
     words, counts, number = [], [], {}
     for t in texts:
-        own = [MARK + w for w in t.split(" ")] if t else []
+        own = t.split(" ") if t else []
         counts.append(len(own))
         words.extend([number.setdefault(w, len(number)) for w in own])
-    order = sorted(number)
-    sizes, start, flat = np.zeros(len(order) + 1, np.int64), np.zeros(len(order) + 1, np.int64), []
-    for word, ids in zip(order, encode_words(order, v)):
-        start[number[word]], sizes[number[word]] = len(flat), len(ids)
-        flat.extend(ids)
-    flat, at = np.array(flat, np.int32), np.array(words, np.int64)
+    if len(v.known) > memory:
+        v.known.clear()
+    order = sorted(w for w in number if w not in v.known)
+    fresh = dict(zip(order, encode_words([MARK + w for w in order], v)))
+    found = [fresh.get(w) or v.known[w] for w in number]
+    v.known.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+    start, at = np.cumsum(sizes) - sizes, np.array(words, np.int64)
     n = sizes[at]
     ends = np.cumsum(n)
     ids = flat[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -173,6 +191,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str =
     trie. Other columns pass through; those named like the new ones are replaced. ``model_file`` must be readable on
     every executor.
     """
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(_encoder(text_col, model_file, out, rows), _schema(docs, **{out: T.ArrayType(T.IntegerType()), f"{out}_words": T.LongType()}))
 
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, text_batches
 
 # Characters that count as white space and as symbols.
 WHITE = " \t\n\x0b\x0c\r"
@@ -96,6 +96,7 @@ def quality(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK, level:
     Rows are independent: no shuffle, repeated rows get equal results, an empty table gives no rows, other columns
     pass through (one named ``quality`` is replaced).
     """
+    text_batches(docs.sparkSession)
     q = measures(chunk, level, bands)(docs[text_col])
     out = docs.withColumn("quality", q)
     size = F.octet_length(F.coalesce(out[text_col], F.lit("")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import connected_components, read_table
+from .common import connected_components, read_table, text_batches
 
 SEED = 42
 
@@ -143,6 +143,7 @@ def near_duplicates(
     are read, so other columns cannot clash.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    text_batches(docs.sparkSession)
     base = docs.select(
         docs[id_col].alias("doc_id"),
         F.xxhash64(docs[text_col]).alias("text_hash"),
