@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .common import let, read_table
 
 # Spaced masks, 8 of 12 words each.
@@ -125,11 +126,20 @@ def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs``, all columns, without a verified overlap."""
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **params
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without a verified overlap.
+
+    The keys of the documents to drop are written and counted; up to ``broadcast_rows`` of them (two longs each) are broadcast, so
+    the texts are not shuffled; beyond, the join is by key.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
     bad = contaminated(docs, benchmark, id_col, text_col, **params).select(
         F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")
-    ).distinct()
+    ).distinct().checkpoint()
+    if bad.count() <= broadcast_rows:
+        bad = F.broadcast(bad)
     same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_hash"))
     return docs.join(bad, same, "left_anti")
 

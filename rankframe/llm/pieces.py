@@ -110,7 +110,7 @@ def encode_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     return out
 
 
-def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 150_000):
+def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 100_000):
     """Ids of all texts as one flat array, with the offsets of the texts and their numbers of words.
 
     A worker remembers the words it has encoded, up to ``memory`` of at most 64 characters; it forgets all when more come.
@@ -207,8 +207,12 @@ def default_model() -> str:
 
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     """Ids of every document and whether decoding them gives the text back."""
+    text_batches(docs.sparkSession)
     kept = docs.select("doc_id", "text")
-    both = decode(encode(kept, model_file), model_file)
+    encoder, decoder = _encoder("text", model_file, "ids", 1000), _decoder("ids", model_file, "decoded")
+    new = {"ids": T.ArrayType(T.IntegerType()), "ids_words": T.LongType(), "decoded": T.StringType()}
+    # both in one pass: one Python worker for each task instead of two
+    both = kept.mapInArrow(lambda batches: decoder(encoder(batches)), _schema(kept, **new))
     return both.select(
         "doc_id",
         F.col("ids_words").alias("n_words"),

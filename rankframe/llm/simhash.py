@@ -168,12 +168,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         near_duplicates(docs, id_col, text_col, **params)
         .groupBy("root")
         .agg(F.min(order).alias("k"))
-        .select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
+        .select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("k.text_hash").alias("_hash"))
     )
-    same = docs[id_col].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs[text_col]) == F.col("_kept_hash"))
-    left = docs.join(kept, same, "left_semi").withColumn("_kept_hash", F.xxhash64(text_col))
-    first = Window.partitionBy(id_col, "_kept_hash").orderBy(id_col)
-    return left.withColumn("_kept_n", F.row_number().over(first)).filter("_kept_n = 1").drop("_kept_hash", "_kept_n")
+    # plain equality on two columns: the window below needs no second exchange of the texts
+    keyed = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("string"), F.lit("")), "_hash": F.xxhash64(docs[text_col])})
+    first = Window.partitionBy("_id", "_hash").orderBy("_hash")
+    left = keyed.join(kept, ["_id", "_hash"], "left_semi").withColumn("_n", F.row_number().over(first))
+    return left.filter("_n = 1").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir) -> DataFrame:

@@ -47,7 +47,7 @@ def test_matches_brute_force(spark):
     for extra in ({}, {"broadcast_words": 0}):
         got = {r.doc_id: r for r in D.flag(df, bench, **extra).collect()}
         assert {i: r.item_ids for i, r in got.items()} == {i: ",".join(map(str, x)) for i, x in want.items()}
-    clean = D.drop_contaminated(df, bench)
+    clean = D.drop_contaminated(df, bench, broadcast_rows=0)
     assert sorted(r.doc_id for r in clean.collect()) == [i for i, x in want.items() if not x]
 
 
