@@ -222,8 +222,9 @@ def train(
     model = Model(counts)
     if counts:
         own = texts.filter("use = 'calibrate'").select("lang", _own_column(docs.sparkSession, model)("text", "lang").alias("h"))
-        for lang, h in own.filter("h is not null").groupBy("lang").agg(F.percentile("h", F.lit(0.99))).collect():
-            if lang in counts:
+        # no filter on h before the aggregate: it would be pushed below the join and score every document
+        for lang, h in own.groupBy("lang").agg(F.percentile("h", F.lit(0.99))).collect():
+            if lang in counts and h is not None:
                 model.limits[model.langs.index(lang)] = h + slack
     return model
 
