@@ -25,7 +25,7 @@ from .ranking import ensure_str_ids
 class Measure:
     kind: str  # "P", "AP", "nDCG"
     cutoff: int | None = None
-    rel: int = 1
+    rel: float = 1  # least relevant grade; 0 means any grade above zero
 
     @property
     def name(self) -> str:
@@ -33,7 +33,7 @@ class Measure:
         return f"{base}@{self.cutoff}" if self.cutoff else base
 
 
-# The default measure set and the grade -> gain map.
+# The default measure sets.
 DEFAULT_MEASURES = {
     "P@1": Measure("P", 1),
     "P@10": Measure("P", 10),
@@ -48,12 +48,11 @@ RUN_MEASURES = {
     "MAP": Measure("AP", None),
     "nDCG@20": Measure("nDCG", 20),
 }
-DEFAULT_GAINS = {0: 0, 1: 1, 2: 2}
 
 
 def prepare_qrels(qrels: DataFrame) -> DataFrame:
-    """E5: string ids, int relevance, highest grade per (query, doc)."""
-    q = ensure_str_ids(qrels.select("query_id", "doc_id", F.col("relevance").cast("int").alias("relevance")))
+    """E5: string ids, highest grade (any number) per (query, doc)."""
+    q = ensure_str_ids(qrels.select("query_id", "doc_id", F.col("relevance").cast("double").alias("relevance")))
     return q.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
 
 
@@ -66,13 +65,16 @@ def prepare_run(run: DataFrame, score_col: str = "score", group_cols: Sequence[s
     return r.withColumn("_rank", F.row_number().over(w))
 
 
-def _gain(rel: Column, gains: dict[int, float] | None) -> Column:
-    if gains is None:
-        return rel.cast("double")
-    expr = F.lit(None).cast("double")
-    for grade, g in gains.items():
+def _gain(rel: Column, gains: dict[float, float] | None) -> Column:
+    """The grade itself, or its value in ``gains`` (grades that are not listed keep theirs)."""
+    expr = rel.cast("double")
+    for grade, g in (gains or {}).items():
         expr = F.when(rel == grade, F.lit(float(g))).otherwise(expr)
-    return F.coalesce(expr, F.lit(0.0))
+    return expr
+
+
+def _relevant(level: float) -> Column:
+    return F.col("relevance") >= level if level > 0 else F.col("relevance") > 0
 
 
 def per_query_metrics(
@@ -99,7 +101,6 @@ def per_query_metrics(
     still counts the missing ones).
     """
     measures = measures or DEFAULT_MEASURES
-    gains = DEFAULT_GAINS if gains is None else gains
     qr = prepare_qrels(qrels)
     judged = qr.select("query_id").distinct()
     r = prepare_run(run, score_col, group_cols, tie).join(judged, "query_id", "left_semi")
@@ -107,19 +108,19 @@ def per_query_metrics(
     if all(cuts):
         # every measure stops at a cutoff: keep only the head of each list (map-side top-k)
         r = r.filter(F.col("_rank") <= max(cuts))
-    r = r.join(qr, ["query_id", "doc_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
+    r = r.join(qr, ["query_id", "doc_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
 
     rels = {m.rel for m in measures.values()}
     # running count of relevant docs down the list (for AP)
     wrun = Window.partitionBy(*group_cols, "query_id").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     for lv in rels:
-        r = r.withColumn(f"_isrel{lv}", (F.col("relevance") >= lv).cast("int"))
+        r = r.withColumn(f"_isrel{lv}", _relevant(lv).cast("int"))
         if any(m.kind == "AP" and m.rel == lv for m in measures.values()):
             r = r.withColumn(f"_cum{lv}", F.sum(f"_isrel{lv}").over(wrun))
     disc = F.log2(F.col("_rank") + 1)
     gain = _gain(F.col("relevance"), gains)
 
-    n_rel = qr.groupBy("query_id").agg(*[F.count_if(F.col("relevance") >= lv).alias(f"_R{lv}") for lv in rels])
+    n_rel = qr.groupBy("query_id").agg(*[F.count_if(_relevant(lv)).alias(f"_R{lv}") for lv in rels])
     wi = Window.partitionBy("query_id").orderBy(_gain(F.col("relevance"), gains).desc(), F.col("doc_id"))
     cutoffs = {m.cutoff for m in measures.values() if m.kind == "nDCG"}
     idcg = None
@@ -192,7 +193,11 @@ def mean_metrics(
     # the number of judged queries is one scalar (a small job over the qrels)
     n_judged = prepare_qrels(qrels).select("query_id").distinct().count()
     sums = per_q.groupBy(*group_cols).agg(*[F.sum(n).alias(n) for n in measures])
-    return sums.select(*group_cols, *[(F.col(n) / F.lit(float(max(n_judged, 1)))).alias(n) for n in measures])
+    if group_cols:
+        # a run without a judged query still has its row, of zeros
+        sums = run.select(*group_cols).distinct().join(sums, list(group_cols), "left")
+    mean = lambda n: F.coalesce(F.col(n) / F.lit(float(max(n_judged, 1))), F.lit(0.0))
+    return sums.select(*group_cols, *[mean(n).alias(n) for n in measures])
 
 
 def evaluate_run(run: DataFrame, qrels: DataFrame, measures: dict[str, Measure] | None = None, **kw) -> DataFrame:

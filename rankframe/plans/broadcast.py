@@ -12,18 +12,13 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check counts at most ``max_rows + 1`` rows (``limit`` stops the scan early).
+    The check is a plain count: partial counts meet, no rows do. Pass a table that is cheap to read twice.
     """
-    n = df.limit(max_rows + 1).count()
+    n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 
 def within_bound(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (one capped count). Tables derived from
+    """True when ``df`` has at most ``max_rows`` rows (one plain count). Tables derived from
     it by projection, distinct or an inner join on a unique key inherit the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def literal_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a table built from a driver-side literal list (its size is known)."""
-    return F.broadcast(df)
+    return df.count() <= max_rows

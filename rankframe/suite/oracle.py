@@ -174,7 +174,9 @@ _GRID_LONG = f"""
 {_SPLIT},
 {_grid_runs('vali', 10)},
 {S.QRELS},
-{S.evaluate("g_run", "qrels", "gl", group=["k1", "b"], measures=[("P@10", "P", 10)], digits=12)}"""
+qrels_vali AS (SELECT q.* FROM qrels q JOIN sp USING (query_id) WHERE sp.split = 'vali'),
+qrels_train AS (SELECT q.* FROM qrels q JOIN sp USING (query_id) WHERE sp.split = 'train'),
+{S.evaluate("g_run", "qrels_vali", "gl", group=["k1", "b"], measures=[("P@10", "P", 10)], digits=12)}"""
 
 ORACLE["bm25_grid"] = f"""
 WITH {_GRID_LONG}
@@ -200,7 +202,7 @@ ORACLE["bm25_tuned_eval"] = f"""
 WITH {_GRID_LONG},
 best AS (SELECT k1, b FROM gl ORDER BY round("P@10", 4) DESC, k1, b LIMIT 2),
 {_grid_runs('train', 100, "(0, 0)").replace("g_grid AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (VALUES (0, 0)) t(k1, b))", "g_grid AS (SELECT * FROM best)").replace("g_", "t_")},
-{S.evaluate("t_run", "qrels", "te", group=["run_name"], measures=S.RUN_MEASURES, digits=4)}
+{S.evaluate("t_run", "qrels_train", "te", group=["run_name"], measures=S.RUN_MEASURES, digits=4)}
 SELECT * FROM te"""
 
 
@@ -280,8 +282,10 @@ ORACLE["dense_sweep"] = "WITH " + ",\n".join(
 ) + "\n" + "\nUNION ALL\n".join(f"SELECT 'hash{d}' AS model, * FROM dse{d}" for d in SWEEP_DIMS)
 
 _MIX = f"""{_CANDS(50)},
-{S.QRELS},
 {_SPLIT},
+{S.QRELS},
+qrels_vali AS (SELECT q.* FROM qrels q JOIN sp USING (query_id) WHERE sp.split = 'vali'),
+qrels_train AS (SELECT q.* FROM qrels q JOIN sp USING (query_id) WHERE sp.split = 'train'),
 mx_c AS (SELECT r.query_id, r.doc_id, r.rank, r.score, round({_dot('q.embedding', 'd.embedding')}, 6) AS dense_score, sp.split
          FROM run r LEFT JOIN cv_q q ON q.id = r.query_id LEFT JOIN cv_d d ON d.id = r.doc_id JOIN sp USING (query_id)),
 mx_n AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w > 0
@@ -291,7 +295,7 @@ mx_a AS (SELECT i / 20 AS alpha FROM range(21) t(i)),
 mx_t AS (SELECT a.alpha, n.query_id, n.doc_id, round(a.alpha * n.bn + (1 - a.alpha) * n.dense_score, 6) AS score
          FROM mx_n n CROSS JOIN mx_a a WHERE n.split = 'train'),
 mx_tr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rk FROM mx_t) WHERE rk <= 20),
-{S.evaluate("mx_tr", "qrels", "mxe", group=["alpha"], measures=[("nDCG@20", "nDCG", 20)], digits=12)}"""
+{S.evaluate("mx_tr", "qrels_train", "mxe", group=["alpha"], measures=[("nDCG@20", "nDCG", 20)], digits=12)}"""
 
 ORACLE["mixture_tune"] = f"""
 WITH {_MIX}
@@ -306,9 +310,9 @@ m_dense AS (SELECT query_id, doc_id, dense_score AS score FROM (SELECT *, row_nu
 m_mix AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(b.alpha * bn + (1 - b.alpha) * dense_score, 6) AS score,
             row_number() OVER (PARTITION BY query_id ORDER BY round(b.alpha * bn + (1 - b.alpha) * dense_score, 6) DESC, doc_id) AS r
           FROM mx_v CROSS JOIN mx_best b) WHERE r <= 20),
-{S.evaluate("m_bm25", "qrels", "e1")},
-{S.evaluate("m_dense", "qrels", "e2")},
-{S.evaluate("m_mix", "qrels", "e3")}
+{S.evaluate("m_bm25", "qrels_vali", "e1")},
+{S.evaluate("m_dense", "qrels_vali", "e2")},
+{S.evaluate("m_mix", "qrels_vali", "e3")}
 SELECT 'BM25' AS method, * FROM e1 UNION ALL SELECT 'Dense', * FROM e2
 UNION ALL SELECT 'Mixture a=' || printf('%.2f', (SELECT alpha FROM mx_best)), * FROM e3"""
 

@@ -170,10 +170,15 @@ def query_split(spark, sf):
     return q.select("query_id", "split")
 
 
+def _judged(docs, queries, part):
+    """Judgements of the queries in ``part`` only: a split's means are over its own judged queries."""
+    return derive_qrels(docs, queries).join(part.select("query_id"), "query_id", "left_semi")
+
+
 def _grid_long(spark, sf):
     docs, q = _split_queries(spark, sf)
     vali = q.filter(F.col("split") == "vali").drop("split")
-    return TU.grid_search_bm25(docs, vali, derive_qrels(docs, q), GRID, "P@10", Measure("P", 10), top_k=10, score_digits=DIGITS)
+    return TU.grid_search_bm25(docs, vali, _judged(docs, q, vali), GRID, "P@10", Measure("P", 10), top_k=10, score_digits=DIGITS)
 
 
 def bm25_grid(spark, sf):
@@ -202,7 +207,7 @@ def bm25_tuned_eval(spark, sf):
     best = TU.grid_best(_grid_long(spark, sf), "P@10", 2)
     test = q.filter(F.col("split") == "train").drop("split")
     runs = TU.tuned_runs(docs, test, best, top_k=100, score_digits=DIGITS)
-    return rounded(evaluate_runs(runs, derive_qrels(docs, q), RUN_MEASURES, digits=4))
+    return rounded(evaluate_runs(runs, _judged(docs, q, test), RUN_MEASURES, digits=4))
 
 
 QUERIES.update({
@@ -289,27 +294,27 @@ def _scored_candidates(spark, sf):
     split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
     scored = DN.score_pairs_biencoder(run, qv, dv).withColumn("dense_score", F.round("dense_score", DIGITS)).join(split, "query_id")
     # scored once, read by the tuning and by every test run
-    return docs, queries, scored.checkpoint(eager=True), derive_qrels(docs, queries)
+    return docs, queries, scored.checkpoint(eager=True), derive_qrels(docs, queries).join(split, "query_id")
 
 
 def mixture_tune(spark, sf):
     """F2 + W4: nDCG@20 per alpha on the training queries."""
     _, _, scored, qr = _scored_candidates(spark, sf)
-    return rounded(FU.tune_alpha(scored.filter(F.col("split") == "train"), qr, score_digits=DIGITS))
+    return rounded(FU.tune_alpha(scored.filter("split = 'train'"), qr.filter("split = 'train'"), score_digits=DIGITS))
 
 
 def mixture_report(spark, sf):
     """F1 + F3 + E11 + U1: BM25@20, dense@20 and mixture@20 (tuned alpha) on the validation
     queries, one report row per method."""
     _, _, scored, qr = _scored_candidates(spark, sf)
-    alpha = FU.best_alpha(FU.tune_alpha(scored.filter(F.col("split") == "train"), qr, score_digits=DIGITS))
+    alpha = FU.best_alpha(FU.tune_alpha(scored.filter("split = 'train'"), qr.filter("split = 'train'"), score_digits=DIGITS))
     test = scored.filter(F.col("split") == "vali")
     _, mix_run = FU.apply_mixture(test, alpha, top_k=20, run_name="mixture", score_digits=DIGITS)
     dense_run = make_ranked_run(test, "dense_score", "dense", 20)
     bm25_run = top_k_per_query(test, 20)
     rows = None
     for method, run in (("BM25", bm25_run), ("Dense", dense_run), (f"Mixture a={alpha:.2f}", mix_run)):
-        m = mean_metrics(run, qr, DEFAULT_MEASURES).withColumn("method", F.lit(method))
+        m = mean_metrics(run, qr.filter("split = 'vali'"), DEFAULT_MEASURES).withColumn("method", F.lit(method))
         rows = m if rows is None else rows.unionByName(m)
     return rounded(rows.select("method", *DEFAULT_MEASURES))
 
