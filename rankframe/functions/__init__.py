@@ -10,9 +10,9 @@ from .text import (
     token_pairs,
     tokenize,
 )
-from .vectors import count_nonzero, dot, l2_norm, l2_normalize
+from .vectors import dot
 
 __all__ = [
     "WHITESPACE_CLASS", "WHITESPACE_RUN", "bigrams", "combine_title_and_chunk", "explode_tokens", "pool_doc_id",
-    "seeded_key", "strip", "token_pairs", "tokenize", "count_nonzero", "dot", "l2_norm", "l2_normalize",
+    "seeded_key", "strip", "token_pairs", "tokenize", "dot",
 ]

@@ -210,8 +210,3 @@ def evaluate_runs(runs: DataFrame, qrels: DataFrame, measures: dict[str, Measure
     measures = measures or RUN_MEASURES
     out = mean_metrics(runs, qrels, measures, group_cols=["run_name"])
     return out.select("run_name", *[F.round(n, digits).alias(n) for n in measures]).orderBy("run_name")
-
-
-def evaluate_measure(run: DataFrame, qrels: DataFrame, name: str, measure: Measure) -> DataFrame:
-    """One measure, mean over judged queries."""
-    return mean_metrics(run, qrels, {name: measure})

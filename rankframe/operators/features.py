@@ -62,15 +62,14 @@ def extract_lexical_features(scored: DataFrame, docs: DataFrame, queries: DataFr
         F.count(F.lit(1)).alias("_matched"),
         (F.max("p1") - F.min("p0")).alias("_span"),
     )
-    lens = td.select("doc_id", F.col("dl").alias("doc_len"))
-    known = lens.select("doc_id", F.lit(True).alias("_known"))
+    lens = cand_docs.select("doc_id", F.col("dl").alias("doc_len"))
     feats = (
         pairs.join(per_pair, ["query_id", "doc_id"], "left")
         .join(per_q, "query_id", "left")
-        .join(known, "doc_id", "left")
+        .join(lens, "doc_id", "left")
         .select(
-            "query_id", "doc_id",
-            F.col("_known").isNotNull().alias("_k"),
+            "query_id", "doc_id", "doc_len",
+            F.col("doc_len").isNotNull().alias("_k"),
             F.coalesce("tf_sum", F.lit(0)).cast("double").alias("tf_sum"),
             F.coalesce("tf_max", F.lit(0)).cast("double").alias("tf_max"),
             F.coalesce("idf_sum", F.lit(0.0)).alias("idf_sum"),
@@ -80,12 +79,11 @@ def extract_lexical_features(scored: DataFrame, docs: DataFrame, queries: DataFr
         )
     )
     zero = {c: (F.lit(0) if c == "min_span" else F.lit(0.0)) for c in PAIR_FEATURES}
-    feats = feats.select("query_id", "doc_id", *[F.when(F.col("_k"), F.col(c)).otherwise(zero[c]).alias(c) for c in PAIR_FEATURES])
+    feats = feats.select("query_id", "doc_id", "doc_len", *[F.when(F.col("_k"), F.col(c)).otherwise(zero[c]).alias(c) for c in PAIR_FEATURES])
     qlen = qt.groupBy("query_id").agg(F.sum("qtf").cast("int").alias("query_len"))
     base = cands.drop(*[c for c in ("doc_len", "query_len", *PAIR_FEATURES) if c in cands.columns])
     return (
-        base.join(lens, "doc_id", "left")
-        .join(qlen, "query_id", "left")
+        base.join(qlen, "query_id", "left")
         .withColumn("query_len", F.coalesce("query_len", F.lit(0)))
         .join(feats, ["query_id", "doc_id"], "left")
     )

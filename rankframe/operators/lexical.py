@@ -6,7 +6,8 @@ Plan shape (shared collection):
   count, so the shuffle carries one row per (partition, term) instead of one per token;
 * term frequencies are built only for query terms: exploded tokens are semi-joined against the
   distinct query terms before counting (size-checked broadcast, AQE skew join beyond it);
-* scores are summed per (query, doc) and ranked with a map-side top-k (``WindowGroupLimit``).
+* postings meet once, on the document; counts and score sums run on that partitioning, and only
+  map-side top-k rows (``WindowGroupLimit``) are shuffled again.
 
 A *collection key* (``collection_cols``) scores many collections in one job: a text variant, a
 parameter set, or one pool per query (R3). With no key a constant key is used, so the join of
@@ -48,7 +49,8 @@ def tokenized_docs(
     row_col: str | None = None,
 ) -> DataFrame:
     """(keys, doc_id, _rf_row, tokens, dl). ``row_col`` separates repeated ids inside a collection."""
-    row = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
+    # 0, but no literal: a folded constant among the grouping keys would hide the partitioning on the document
+    row = (F.col(row_col) if row_col else F.coalesce(F.length(F.col("doc_id").cast("string")) * 0, F.lit(0))).cast("long")
     return docs.select(
         *collection_cols,
         F.col("doc_id").cast("string").alias("doc_id"),
@@ -82,14 +84,11 @@ def vocabulary(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> Data
     ``tot = total tokens``. The partial aggregation runs map-side; the shuffle carries one row
     per (partition, term).
     """
-    items = F.concat(
-        F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("c"))),
-        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").cast("long").alias("c"))),
-    )
+    terms = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
     return (
-        tok_docs.select(*collection_cols, F.inline_outer(items))
+        tok_docs.select(*collection_cols, "dl", F.explode_outer(terms).alias("term"))
         .groupBy(*collection_cols, "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tot"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl").cast("long"))).alias("tot"))
     )
 
 
@@ -136,23 +135,6 @@ def build_index(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> Lex
     return LexicalIndex(keys, vocab.filter(F.col("term").isNotNull()).select("term", "df"), None, float(n_docs), float(avgdl))
 
 
-def collection_stats(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> DataFrame:
-    """(keys, n_docs, avgdl) per collection."""
-    return tok_docs.groupBy(*collection_cols).agg(
-        F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")
-    )
-
-
-def document_frequencies(tok_docs: DataFrame, collection_cols: Sequence[str] = ()) -> DataFrame:
-    """(keys, term, df): number of documents containing the term."""
-    return (
-        tok_docs.select(*collection_cols, explode_tokens(F.array_distinct("tokens")).alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy(*collection_cols, "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-
-
 def bm25_idf(index: LexicalIndex, epsilon: float = 0.25) -> tuple[DataFrame, float | None]:
     """(keys, term, idf, avgdl) with the epsilon floor.
 
@@ -189,10 +171,19 @@ def matched_postings(tok_docs: DataFrame, qterms: DataFrame, collection_cols: Se
     terms = qterms.select(*keys, "term").distinct()
     wanted = F.broadcast(terms) if small else (terms if small is False else checked_broadcast(terms))
     occ = tok_docs.select(*keys, "doc_id", _ROW, "dl", explode_tokens("tokens").alias("term"))
-    return (
+    # grouped by document first (a list no longer than the document): this is the only exchange of
+    # postings, none when the collection is clustered by doc_id; the counts here and the score
+    # sums of the callers run on the same partitioning
+    doc = [*keys, "doc_id", _ROW]
+    per_doc = (
         occ.join(wanted, keys + ["term"], "left_semi")
-        .groupBy(*keys, "doc_id", _ROW, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        .groupBy(*doc)
+        .agg(F.collect_list("term").alias("_rf_terms"), F.first("dl").alias("dl"))
+    )
+    return (
+        per_doc.select(*doc, "dl", F.explode("_rf_terms").alias("term"))
+        .groupBy(*doc, "term", "dl")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -254,30 +245,54 @@ def bm25_scores(
     tokenizer: Tokenizer = tokenize,
     doc_row_col: str | None = None,
     tok_docs: DataFrame | None = None,
-    zero_fill_k: int | None = None,
 ) -> tuple[DataFrame, bool]:
-    """(keys, query_id, doc_id, _rf_row, score) for documents sharing a query term.
+    """(keys, query_id, doc_id, _rf_row, score) for documents sharing a query term, and whether
+    scores cannot be negative (mean raw idf >= 0).
 
-    With ``zero_fill_k`` on a shared collection whose scores cannot be negative (mean raw idf
-    >= 0), the first k documents in doc_id order are added to every query with a zero
-    contribution before the one aggregation. That is exact: the zero-score part of a top k
-    never reaches past the k-th document in doc_id order. Returns (scores, filled).
+    The sums run on the partitioning of the postings, so no (query, doc) rows are shuffled.
     """
     keys = list(collection_cols)
     td = tok_docs if tok_docs is not None else tokenized_docs(docs, collection_cols, tokenizer, row_col=doc_row_col)
     pairs, mean = _scored_pairs(td, queries, collection_cols, tokenizer, params.epsilon)
     qk = _qkeys(keys)
     contrib = pairs.select(*qk, "doc_id", _ROW, bm25_contribution(params.k1, params.b).alias("c"))
-    filled = False
-    if zero_fill_k and mean is not None and mean >= 0:
-        if keys:
-            cands = zero_candidates_keyed(td, queries, keys, zero_fill_k)
-        else:
-            cands = zero_candidates(queries, first_documents(td, zero_fill_k))
-        if cands is not None:
-            contrib = contrib.unionByName(cands.select(*qk, "doc_id", _ROW).withColumn("c", F.lit(0.0)))
-        filled = True
-    return contrib.groupBy(*qk, "doc_id", _ROW).agg(F.sum("c").alias("score")), filled
+    return contrib.groupBy(*qk, "doc_id", _ROW).agg(F.sum("c").alias("score")), mean is not None and mean >= 0
+
+
+def _grid_structs(part_cols: Sequence[str], parts: Sequence[tuple]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(part_cols, row)]) for row in parts])
+
+
+def fill_first_documents(
+    scores: DataFrame,
+    tok_docs: DataFrame,
+    queries: DataFrame,
+    top_k: int,
+    collection_cols: Sequence[str] = (),
+    part_cols: Sequence[str] = (),
+    parts: Sequence[tuple] | None = None,
+) -> DataFrame:
+    """The ``top_k`` best rows of every query, unmatched documents (score 0) among them, for
+    scores that cannot be negative.
+
+    The zero rows of a top k lie among the first k documents in doc_id order. The matched rows
+    are cut to k per query first (map-side), so only 2k rows a query meet the zero rows; a matched
+    document below that cut cannot come back, as k rows rank before it. Pass scores rounded as
+    they will be ranked.
+    """
+    from pyspark.sql import Window
+
+    keys = list(collection_cols)
+    row = [*part_cols, *_qkeys(keys), "doc_id", _ROW]
+    w = Window.partitionBy(*part_cols, *_qkeys(keys)).orderBy(F.desc("score"), "doc_id", _ROW)
+    best = scores.select(*row, "score", F.row_number().over(w).alias("_rf_n")).filter(F.col("_rf_n") <= top_k).drop("_rf_n")
+    cands = zero_candidates_keyed(tok_docs, queries, keys, top_k) if keys else zero_candidates(queries, first_documents(tok_docs, top_k))
+    if cands is None:
+        return best
+    if parts is not None:
+        cands = cands.select("*", F.inline(_grid_structs(part_cols, parts)))
+    zeros = cands.select(*row, F.lit(0.0).alias("score"))
+    return best.unionByName(zeros).groupBy(*row).agg(F.max("score").alias("score"))
 
 
 def fill_zero_scores(
@@ -302,8 +317,7 @@ def fill_zero_scores(
     qk = _qkeys(keys)
     q = queries.withColumn("query_id", F.col("query_id").cast("string")).select(*qk).distinct()
     if parts is not None:
-        grid = [F.struct(*[F.lit(v).alias(c) for c, v in zip(part_cols, row)]) for row in parts]
-        q = q.select(*qk, F.explode(F.array(*grid)).alias("_rf_p")).select(*qk, *[F.col(f"_rf_p.{c}").alias(c) for c in part_cols])
+        q = q.select(*qk, F.inline(_grid_structs(part_cols, parts)))
     per_q = scores.groupBy(*part_cols, *qk).agg(
         F.count(F.lit(1)).alias("_rf_m"), F.count_if(F.col("score") > 0).alias("_rf_pos")
     )
@@ -326,12 +340,13 @@ def fill_zero_scores(
     return scores.select(*part_cols, *qk, "doc_id", _ROW, "score").unionByName(fill)
 
 
-def _finish_run(scores, top_k, run_name, collection_cols, part_cols=(), score_digits=None):
+def _rounded_scores(scores: DataFrame, digits: int | None) -> DataFrame:
+    """Rounding before ranking keeps last-bit differences of distributed sums from flipping ranks."""
+    return scores if digits is None else scores.withColumn("score", F.round("score", digits))
+
+
+def _finish_run(scores, top_k, run_name, collection_cols, part_cols=()):
     keep = [c for c in collection_cols if c != "query_id"] + list(part_cols)
-    if score_digits is not None:
-        # rounding before ranking keeps last-bit differences of distributed sums from
-        # flipping ranks between engines
-        scores = scores.withColumn("score", F.round("score", score_digits))
     return make_ranked_run(scores, "score", run_name, top_k, partition_cols=keep)
 
 
@@ -349,59 +364,34 @@ def bm25_search(
     doc_row_col: str | None = None,
     score_digits: int | None = None,
 ) -> DataFrame:
-    """BM25 (Okapi, epsilon floor) run: query_id, Q0, doc_id, rank, score, run_name."""
+    """BM25 (Okapi, epsilon floor) run: query_id, Q0, doc_id, rank, score, run_name.
+
+    ``fill_zeros`` ranks unmatched documents with score 0 inside the cut; without a cut-off
+    (``top_k=None``) only documents sharing a query term are ranked.
+    """
     td = tokenized_docs(docs, collection_cols, tokenizer, row_col=doc_row_col)
-    scores, filled = bm25_scores(
-        docs, queries, BM25Params(k1, b, epsilon), collection_cols, tokenizer, tok_docs=td,
-        zero_fill_k=top_k if fill_zeros else None,
-    )
-    if fill_zeros and top_k and not filled:
-        scores = fill_zero_scores(scores, td, queries, top_k, collection_cols)
-    return _finish_run(scores, top_k, run_name, collection_cols, score_digits=score_digits)
+    scores, nonnegative = bm25_scores(docs, queries, BM25Params(k1, b, epsilon), collection_cols, tokenizer, tok_docs=td)
+    scores = _rounded_scores(scores, score_digits)
+    if fill_zeros and top_k:
+        fill = fill_first_documents if nonnegative else fill_zero_scores
+        scores = fill(scores, td, queries, top_k, collection_cols)
+    return _finish_run(scores, top_k, run_name, collection_cols)
 
 
 # ---------------------------------------------------------------- TF-IDF
 
-def tfidf_weights(tok_docs: DataFrame, collection_cols: Sequence[str] = (), index: LexicalIndex | None = None) -> tuple[DataFrame, DataFrame]:
-    """Smooth idf ``ln((1+n)/(1+df)) + 1`` per term and L2 norms of the document vectors.
-
-    The norms need every term of every document, so this is the one place that builds the full
-    postings (one shuffle of distinct (doc, term) pairs after a map-side count).
-    """
-    keys = list(collection_cols)
-    index = index or build_index(tok_docs, keys)
-    idf = index.with_stats(index.terms).select(*keys, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    postings = (
-        tok_docs.select(*keys, "doc_id", _ROW, explode_tokens("tokens").alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy(*keys, "doc_id", _ROW, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    # a vocabulary under the checked bound joins map-side: with a document-clustered collection
-    # the norms then need no exchange at all; above it, a shuffle join (AQE splits hot terms)
-    norms = (
-        postings.join(checked_broadcast(idf), keys + ["term"])
-        .groupBy(*keys, "doc_id", _ROW)
-        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dnorm"))
-    )
-    return idf, norms
-
-
 def tfidf_scores(
     docs: DataFrame,
     queries: DataFrame,
     collection_cols: Sequence[str] = (),
     tokenizer: Tokenizer = tokenize,
     tok_docs: DataFrame | None = None,
-    zero_fill_k: int | None = None,
 ) -> DataFrame:
     """(keys, query_id, doc_id, _rf_row, score): cosine of raw-tf x smooth-idf vectors.
 
     One pass over the postings gives both the document norm (every term) and the document's
     query-term entries (``collect_list`` of the flagged terms, bounded by the query vocabulary),
-    so the collection is exploded and counted once after the vocabulary. Cosine scores are never
-    negative, so zero fill is the first ``zero_fill_k`` documents of each collection per query,
-    added before the final aggregation (see ``bm25_scores``).
+    so the collection is exploded and counted once after the vocabulary.
     """
     keys = list(collection_cols)
     td = tok_docs if tok_docs is not None else tokenized_docs(docs, collection_cols, tokenizer)
@@ -434,15 +424,6 @@ def tfidf_scores(
     contrib = matched.join(checked_broadcast(qw), keys + ["term"])
     scores = contrib.groupBy(*qk, "doc_id", _ROW).agg(
         (F.sum(F.col("qw") * F.col("tf")) / F.first("dnorm")).alias("score"))
-    if zero_fill_k:
-        cands = zero_candidates_keyed(td, queries, keys, zero_fill_k) if keys else zero_candidates(queries, first_documents(td, zero_fill_k))
-        if cands is not None:
-            # unmatched candidates score 0; matched ones keep their score
-            scores = (
-                scores.unionByName(cands.select(*qk, "doc_id", _ROW).withColumn("score", F.lit(0.0)))
-                .groupBy(*qk, "doc_id", _ROW)
-                .agg(F.max("score").alias("score"))
-            )
     return scores
 
 
@@ -458,6 +439,7 @@ def tfidf_search(
 ) -> DataFrame:
     """TF-IDF (raw tf, smooth idf, L2 both sides, dot) run."""
     td = tokenized_docs(docs, collection_cols, tokenizer)
-    # cosine scores are never negative: the first top_k documents per collection suffice
-    scores = tfidf_scores(docs, queries, collection_cols, tokenizer, tok_docs=td, zero_fill_k=top_k if fill_zeros else None)
-    return _finish_run(scores, top_k, run_name, collection_cols, score_digits=score_digits)
+    scores = _rounded_scores(tfidf_scores(docs, queries, collection_cols, tokenizer, tok_docs=td), score_digits)
+    if fill_zeros and top_k:  # cosine scores are never negative
+        scores = fill_first_documents(scores, td, queries, top_k, collection_cols)
+    return _finish_run(scores, top_k, run_name, collection_cols)

@@ -1,7 +1,7 @@
 """Leakage-free splits (C5, C6): deterministic md5-seeded orders instead of Python RNG streams."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_key
@@ -35,30 +35,34 @@ def grouped_split(
 ) -> DataFrame:
     """Grouped, stratified train/test split.
 
-    Groups never straddle the split. Each group is assigned to its main stratum (most rows,
-    ties by name); inside a stratum groups are taken in md5(seed:group) order while the
-    cumulative row count stays within ``test_size`` of the stratum. Per-group work is one row
-    per group. The running sum is split into 256 buckets by the first two hex digits of the
-    md5 key (bucket order = key order), so a stratum holding a third of all groups is still
-    spread over 256 tasks; bucket totals (strata x 256 rows) give the offsets.
+    Groups never straddle the split. Each group belongs to its main stratum (most rows, ties by
+    name). A stratum's groups, largest first (ties by md5(seed:group)), are dealt to and fro over
+    ``round(1 / test_size)`` folds, so fold sizes differ by at most the largest group; the fold
+    nearest to ``test_size`` of the stratum's rows is the test side, unless none at all is nearer
+    (a stratum of very few groups). Groups are numbered by a range-partitioned order and only
+    (stratum, fold) totals are ranked, so a stratum with a third of all groups is one more range.
     """
+    folds = max(round(1 / test_size), 1)
     g = df.groupBy(group_col, stratum_col).agg(F.count(F.lit(1)).alias("_n"))
-    wmain = Window.partitionBy(group_col).orderBy(F.col("_n").desc(), F.col(stratum_col).asc())
-    main = g.withColumn("_r", F.row_number().over(wmain)).filter("_r = 1").select(group_col, F.col(stratum_col).alias("_stratum"))
-    sizes = g.groupBy(group_col).agg(F.sum("_n").alias("_size"))
-    groups = main.join(sizes, group_col).withColumn("_h", seeded_key(seed, F.col(group_col)))
-    groups = groups.withColumn("_bk", F.substring("_h", 1, 2))
-    btot = groups.groupBy("_stratum", "_bk").agg(F.sum("_size").alias("_bt"))
-    offs = btot.select(
-        "_stratum", "_bk",
-        F.coalesce(F.sum("_bt").over(Window.partitionBy("_stratum").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bt").over(Window.partitionBy("_stratum")).alias("_total"),
+    main = g.groupBy(group_col).agg(
+        F.min_by(stratum_col, F.struct(-F.col("_n"), F.col(stratum_col))).alias("_stratum"), F.sum("_n").alias("_size")
     )
-    wcum = Window.partitionBy("_stratum", "_bk").orderBy("_h", group_col).rowsBetween(Window.unboundedPreceding, 0)
-    assigned = (
-        groups.withColumn("_cum", F.sum("_size").over(wcum))
-        .join(offs, ["_stratum", "_bk"])
-        .select(group_col, F.when(F.col("_off") + F.col("_cum") <= F.col("_total") * test_size, F.lit("test")).otherwise(F.lit("train")).alias(out))
+    order = main.withColumn("_neg", -F.col("_size")).withColumn("_h", seeded_key(seed, F.col(group_col)))
+    ranked = global_ordinal(order, ["_stratum", "_neg", "_h", group_col], out="_o")
+    first = ranked.groupBy(F.col("_stratum").alias("_key")).agg(F.min("_o").alias("_first"), F.sum("_size").alias("_total"))
+    at = F.col("_o") - F.col("_first")
+    way = F.pmod(at, F.lit(2 * folds))
+    dealt = ranked.join(first, F.col("_stratum").eqNullSafe(F.col("_key"))).select(
+        group_col, "_stratum", "_size", "_total", F.when(way < folds, way).otherwise(2 * folds - 1 - way).alias("_fold")
+    )
+    off = F.round(F.abs(F.sum("_size") - F.first("_total") * F.lit(float(test_size))), 6)
+    sums = dealt.groupBy("_stratum", "_fold").agg(
+        off.alias("_off"), F.sum("_size").alias("_rows"), F.round(F.first("_total") * F.lit(float(test_size)), 6).alias("_goal")
+    )
+    best = sums.groupBy("_stratum").agg(F.min_by(F.struct("_fold", "_off", "_goal"), F.struct("_off", -F.col("_rows"), "_fold")).alias("_b"))
+    chosen = best.filter("_b._off <= _b._goal").select(F.col("_stratum").alias("_s"), F.col("_b._fold").alias("_f"))
+    assigned = dealt.join(chosen, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_fold") == F.col("_f")), "left").select(
+        group_col, F.when(F.col("_f").isNotNull(), F.lit("test")).otherwise(F.lit("train")).alias(out)
     )
     return df.join(assigned, group_col)
 

@@ -80,13 +80,13 @@ def check_contract(df: DataFrame, required: list[str], unique: str | None = None
     One aggregate over the table (count_if(isnull) per column, count - count(distinct))."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing columns: {missing}")
+        raise ValueError(f"table lacks {missing}")
     aggs = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required]
     if unique:
         aggs.append((F.count(F.lit(1)) - F.countDistinct(unique)).alias("dup"))
     row = df.agg(*aggs).first()
     bad = [c for c in required if row[f"null_{c}"]]
     if bad:
-        raise ValueError(f"Missing values found in {bad}")
+        raise ValueError(f"nulls in {bad}")
     if unique and row["dup"]:
-        raise ValueError(f"Duplicate IDs found in {unique}")
+        raise ValueError(f"{unique} is not unique")

@@ -467,12 +467,15 @@ gs AS (SELECT query_id, lang AS source, coalesce(nullif(doc_name, ''), query_id)
 gs_g AS (SELECT group_key, source, count(*) AS n FROM gs GROUP BY group_key, source),
 gs_main AS (SELECT group_key, source AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY n DESC, source) AS r FROM gs_g) WHERE r = 1),
 gs_size AS (SELECT group_key, sum(n) AS size FROM gs_g GROUP BY group_key),
-gs_c AS (SELECT m.group_key, m.stratum, s.size,
-                sum(s.size) OVER (PARTITION BY m.stratum ORDER BY md5('42:' || m.group_key), m.group_key ROWS UNBOUNDED PRECEDING) AS c,
-                sum(s.size) OVER (PARTITION BY m.stratum) AS tot
+gs_r AS (SELECT m.group_key, m.stratum, s.size, sum(s.size) OVER (PARTITION BY m.stratum) AS tot,
+                (row_number() OVER (PARTITION BY m.stratum ORDER BY s.size DESC, md5('42:' || m.group_key), m.group_key) - 1) % 20 AS w
          FROM gs_main m JOIN gs_size s USING (group_key)),
-gsplit AS (SELECT gs.query_id, gs.group_key, gs.source, CASE WHEN c.c <= c.tot * 0.1 THEN 'test' ELSE 'train' END AS split
-           FROM gs JOIN gs_c c USING (group_key))"""
+gs_d AS (SELECT *, CASE WHEN w < 10 THEN w ELSE 19 - w END AS fold FROM gs_r),
+gs_f AS (SELECT stratum, fold, sum(size) AS n, round(abs(sum(size) - any_value(tot) * CAST(0.1 AS DOUBLE)), 6) AS off,
+                round(any_value(tot) * CAST(0.1 AS DOUBLE), 6) AS goal FROM gs_d GROUP BY stratum, fold),
+gs_b AS (SELECT stratum, fold FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY off, n DESC, fold) AS r FROM gs_f) WHERE r = 1 AND off <= goal),
+gsplit AS (SELECT gs.query_id, gs.group_key, gs.source, CASE WHEN b.fold IS NOT NULL THEN 'test' ELSE 'train' END AS split
+           FROM gs JOIN gs_d d USING (group_key) LEFT JOIN gs_b b ON b.stratum IS NOT DISTINCT FROM d.stratum AND b.fold = d.fold)"""
 
 ORACLE["grouped_split"] = f"""
 WITH {_GSPLIT}

@@ -250,10 +250,14 @@ def dense_top10(spark, sf):
 
 
 def _candidates(spark, sf, k=50):
-    docs, queries, dv, qv = _vecs(spark, sf)
+    docs, queries = _io(spark, sf)
     # a candidate run is a small table (k rows per query) read by several jobs: written once,
     # like a prebuilt run file
     run = bm25_search(docs, queries, top_k=k, run_name="bm25", score_digits=DIGITS).checkpoint(eager=True)
+    # only the texts to be scored are embedded
+    texts = docs.join(run.select("doc_id").distinct(), "doc_id", "left_semi")
+    dv = DN.hashed_embeddings(texts, "doc_id", "text", EMBED_DIM).withColumnRenamed("id", "doc_id")
+    qv = DN.hashed_embeddings(queries, "query_id", "text", EMBED_DIM).withColumnRenamed("id", "query_id")
     return docs, queries, dv, qv, run
 
 
@@ -630,7 +634,8 @@ QUERIES.update({
 def final_report(spark, sf):
     """E11 + U1: methods side by side per dataset (documents: BM25, re-rank, dense; pools: BM25
     per pool), labelled, unioned and sorted."""
-    docs, queries, dv, qv, run = _candidates(spark, sf, 20)
+    docs, queries, _, _, run = _candidates(spark, sf, 20)
+    _, _, dv, qv = _vecs(spark, sf)
     qr = derive_qrels(docs, queries)
     dense = DN.dense_search(dv, qv, top_k=20, run_name="dense", score_digits=DIGITS)
     ce = DN.score_pairs_cross(run, queries, docs).withColumn("rerank_score", F.round("rerank_score", DIGITS))

@@ -210,12 +210,39 @@ def test_query_split_invariants(spark):
     assert g.groupBy("g").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
 
 
+def test_grouped_split_keeps_the_share_of_every_stratum(spark):
+    from rankframe.operators.splits import grouped_split
+    # stratum a: one group with a third of all rows; b: even groups; c: one group only
+    rows = [(f"a{0 if i < 200 else i % 40}", "a") for i in range(400)] + [(f"b{i % 20}", "b") for i in range(100)] + [("c", "c")] * 7
+    df = spark.createDataFrame(rows, "g string, s string")
+    got = grouped_split(df, "g", "s", 0.1)
+    assert got.count() == len(rows)
+    share = {r.s: (r.t, r.n) for r in got.groupBy("s").agg(F.count_if(F.col("split") == "test").alias("t"), F.count("*").alias("n")).collect()}
+    assert share["b"] == (10, 100) and share["c"] == (0, 7)
+    assert 0 < share["a"][0] < 0.2 * 400
+    assert grouped_split(df.limit(0), "g", "s", 0.1).count() == 0
+
+
+def test_one_exchange_of_postings(spark, tmp_path):
+    """On a collection read from several files: postings meet on the document once, none on (query, doc)."""
+    import re
+
+    from rankframe.operators.lexical import _scored_pairs, tokenized_docs
+    docs = spark.createDataFrame([(str(i), f"a{i % 7} b{i % 3} c") for i in range(60)], "doc_id string, text string")
+    docs.repartition(6).write.parquet(str(tmp_path / "docs"))
+    td = tokenized_docs(spark.read.parquet(str(tmp_path / "docs")))
+    pairs, _ = _scored_pairs(td, spark.createDataFrame([("q", "a1 c")], "query_id string, text string"), (), lambda c: F.split(c, " "), 0.25)
+    plan = pairs.groupBy("query_id", "doc_id", "_rf_row").agg(F.sum("tf"))._jdf.queryExecution().executedPlan().toString()
+    on_docs = [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "doc_id" in x]
+    assert len(on_docs) == 1 and "term" not in on_docs[0] and "query_id" not in on_docs[0], plan
+
+
 def test_contract_checks(spark):
     from rankframe.sources.files import check_contract
     df = spark.createDataFrame([("1", "a"), ("1", "b")], "doc_id string, text string")
-    with pytest.raises(ValueError, match="Duplicate"):
+    with pytest.raises(ValueError, match="not unique"):
         check_contract(df, ["doc_id", "text"], unique="doc_id")
-    with pytest.raises(ValueError, match="Missing columns"):
+    with pytest.raises(ValueError, match="lacks"):
         check_contract(df, ["nope"])
 
 
