@@ -171,9 +171,12 @@ class Model:
 
 def _sample(docs: DataFrame, rows: int, salt: str, where) -> DataFrame:
     """At most ``rows`` labelled rows per language, by hash order; only ids and labels are ranked, not texts."""
-    key = F.xxhash64(F.lit(salt), "doc_id", "text_hash")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", "text_hash"))
-    return docs.filter(where).withColumn("_r", rank).filter(F.col("_r") <= rows).select("doc_id", "text_hash", "lang")
+    docs = docs.filter(where).withColumn("_key", F.xxhash64(F.lit(salt), "doc_id", "text_hash"))
+    # first within 64 parts of a language, so its last ranking sees at most 64 * rows rows however many there are
+    for part in (F.pmod("_key", F.lit(64)), F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("lang", "_part").orderBy("_key", "doc_id", "text_hash"))
+        docs = docs.withColumn("_part", part).withColumn("_r", rank).filter(F.col("_r") <= rows)
+    return docs.select("doc_id", "text_hash", "lang")
 
 
 def train(
