@@ -1,6 +1,8 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send at most ``rows`` texts at once to Python workers (a session setting), which bounds their memory."""
+def text_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+    """Send at most ``rows`` texts and about ``megabytes`` at once to Python workers (session settings), which bounds
+    their memory; lower settings of the user stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    # the value as Spark reads it: a number and perhaps a unit
+    name, units = "spark.sql.execution.arrow.maxBytesPerBatch", {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number, unit = re.match(r"(-?\d+)([bkmg]?)", spark.conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) * units[unit] <= megabytes << 20:
+        spark.conf.set(name, f"{megabytes}m")
 
 
 def let(value: Column, body) -> Column:

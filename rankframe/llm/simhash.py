@@ -93,7 +93,9 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 def _links(distance: int):
     def run(batches):
         for batch in batches:
-            found = [forest(np.array(x, np.int64), distance) for x in batch.column("fps").to_pylist()]
+            lists = batch.column("fps")
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()  # one array for all buckets, cut by offsets
+            found = [forest(flat[a:b], distance) for a, b in zip(edges[:-1], edges[1:])]
             if found:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])

@@ -101,6 +101,20 @@ def test_edges(spark, edge_docs, no_docs):
     assert H.near_duplicates(no_docs).count() == H.keep_one(no_docs).count() == 0
 
 
+def test_batch_bounds_keep_lower_settings(spark):
+    from rankframe.llm.common import text_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("256m", "16m"), ("1g", "16m"), ("300000", "300000"), ("2m", "2m")):
+            spark.conf.set(name, given)
+            text_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 100), (7, 7), (200, 201), (-5, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
