@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -450,9 +450,39 @@ def ltr_gbt_eval(spark, sf):
     return rounded(summary)
 
 
+def ltr_pair_weights(spark, sf):
+    """Per group the number of preference pairs and the sum of their nDCG@10 changes under the linear scorer."""
+    scored = LT.linear_scores(_letor(spark, sf), LINEAR_WEIGHTS).withColumn("score", F.round("score", DIGITS))
+    pairs = LT.preference_pairs(LT.fit_rows(scored), 10, "score")
+    return rounded(pairs.groupBy("group_id").agg(F.count("*").alias("n_pairs"), F.sum("weight").alias("weight")))
+
+
+def ltr_pairwise_eval(spark, sf):
+    """L10 + L11 + L14 + E10 + A14: both pairwise losses on every fold, test metrics per (loss, fold) and their means
+    (fold 0), the best loss first (rows only: a model fit)."""
+    parted = LT.fold_parts(_letor(spark, sf), "group_id", 5, 42).checkpoint(eager=True)
+    names = ["Precision@10", "MAP@10", "NDCG@10"]
+    rows = None
+    for fold in range(1, 6):
+        part = {s: [p for f, p, split in LT.fold_split_map(5) if f == fold and split == s] for s in ("train", "test")}
+        train, test = (parted.filter(F.col("part").isin(part[s])) for s in ("train", "test"))
+        weights = None
+        for loss in ("PairLogit", "YetiRank"):
+            weights = LT.train_pairwise(train, loss, start=weights)
+            scored = LT.linear_scores(test, weights).withColumn("score", F.round("score", DIGITS))
+            mt = LT.ltr_metrics(scored, k=10).select(F.lit(loss).alias("loss"), F.lit(fold).alias("fold"), *names)
+            rows = mt if rows is None else rows.unionByName(mt)
+    rows = rows.checkpoint()
+    summary = rows.groupBy("loss").agg(*[F.avg(c).alias(c) for c in names]).select("loss", F.lit(0).alias("fold"), *names)
+    order = F.max(F.when(F.col("fold") == 0, F.col("NDCG@10"))).over(Window.partitionBy("loss"))
+    return rounded(rows.unionByName(summary)).orderBy(F.desc(order), "loss", "fold")
+
+
 from ..sources.testdata import table  # noqa: E402
 
 QUERIES.update({
+    "ltr_pair_weights": ltr_pair_weights,
+    "ltr_pairwise_eval": ltr_pairwise_eval,
     "letor_parse": letor_parse,
     "letor_sparse_parse": letor_sparse_parse,
     "ltr_fold_overview": ltr_fold_overview,
