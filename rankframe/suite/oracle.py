@@ -413,17 +413,17 @@ le_q AS (SELECT CAST(group_id AS VARCHAR) AS query_id, CAST(row_id AS VARCHAR) A
 SELECT * FROM lee"""
 
 
-# Groups are orders of at most seven rows, so all their rows enter the pairs.
+# The orders have fewer than 32 rows, so all their rows enter the pairs; row numbers may repeat in an order.
 ORACLE["ltr_pair_weights"] = f"""
 WITH {_LETOR},
-pw_s AS (SELECT group_id, row_id, CAST(label AS DOUBLE) AS label,
+pw_s AS (SELECT DISTINCT group_id, row_id, features, CAST(label AS DOUBLE) AS label,
                 round(list_sum(list_transform(list_zip(features, [{_W}]), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 6) AS score FROM lt),
-pw_r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, row_id) AS pos,
+pw_r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, row_id, label, features) AS pos,
                 row_number() OVER (PARTITION BY group_id ORDER BY label DESC) AS best FROM pw_s),
 pw_i AS (SELECT group_id, sum(CASE WHEN best <= 10 THEN label / log2(best + 1) ELSE 0 END) AS ideal FROM pw_r GROUP BY group_id),
 pw_d AS (SELECT *, CASE WHEN pos <= 10 THEN 1 / log2(pos + 1) ELSE 0 END AS discount FROM pw_r)
 SELECT a.group_id, count(*) AS n_pairs, round(sum((a.label - b.label) * abs(a.discount - b.discount) / ideal), 6) AS weight
-FROM pw_d a JOIN pw_d b ON a.group_id = b.group_id AND a.label > b.label JOIN pw_i ON a.group_id = pw_i.group_id
+FROM pw_d a JOIN pw_d b ON a.group_id = b.group_id AND a.label > b.label AND a.discount <> b.discount JOIN pw_i ON a.group_id = pw_i.group_id
 GROUP BY a.group_id"""
 
 
