@@ -169,14 +169,17 @@ class Model:
         return total - self.floor * len(todo)
 
 
-def _sample(docs: DataFrame, rows: int, salt: str, where) -> DataFrame:
-    """At most ``rows`` labelled rows per language, by hash order; only ids and labels are ranked, not texts."""
-    docs = docs.filter(where).withColumn("_key", F.xxhash64(F.lit(salt), "doc_id", "text_hash"))
-    # first within 64 parts of a language, so its last ranking sees at most 64 * rows rows however many there are
-    for part in (F.pmod("_key", F.lit(64)), F.lit(0)):
-        rank = F.row_number().over(Window.partitionBy("lang", "_part").orderBy("_key", "doc_id", "text_hash"))
-        docs = docs.withColumn("_part", part).withColumn("_r", rank).filter(F.col("_r") <= rows)
-    return docs.select("doc_id", "text_hash", "lang")
+def _sample(ids: DataFrame, rows: int, salt: str, where) -> DataFrame:
+    """At most ``rows`` labelled rows per language, those with the smallest hashes; only ids and labels move, not texts.
+
+    Counts per language and leading bits of the hash tell which of 1,024 bins are needed; rows are ranked inside a bin."""
+    keyed = ids.filter(where).withColumn("_key", F.xxhash64(F.lit(salt), "doc_id", "text_hash")).withColumn("_bin", F.shiftright("_key", 54))
+    earlier = Window.partitionBy("lang").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = keyed.groupBy("lang", "_bin").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    needed = bins.filter(F.col("_before") < rows).select("lang", "_bin", "_before")
+    rank = F.row_number().over(Window.partitionBy("lang", "_bin").orderBy("_key", "doc_id", "text_hash"))
+    near = keyed.join(needed, ["lang", "_bin"]).withColumn("_r", rank)
+    return near.filter((F.col("_r") <= rows) & (F.col("_r") <= rows - F.col("_before"))).select("doc_id", "text_hash", "lang")
 
 
 def train(
@@ -200,7 +203,7 @@ def train(
     named = docs.filter("lang is not null and text is not null").select(
         "doc_id", "text", "lang", F.xxhash64("text").alias("text_hash")
     )
-    ids = named.select("doc_id", "lang", "text_hash").dropDuplicates()
+    ids = named.select("doc_id", "lang", "text_hash").dropDuplicates().checkpoint()  # the texts are hashed once
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text_hash"), F.lit(5))
     picks = (
         _sample(ids, rows_per_lang, "fit", part > 0).withColumn("use", F.lit("fit"))

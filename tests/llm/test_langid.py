@@ -58,3 +58,17 @@ def test_pieces_of_long_texts_add_up():
     m = L.Model({"x": {"abcab": 5, "bcabc": 2, "cabca": 1}})
     text = "abcabca bc" * 500
     assert np.allclose(m.cross_entropy(text), m.cross_entropy(text, piece=37))
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20000).select(
+        F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_hash"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("lang")
+    )
+    got = L._sample(ids, 700, "fit", F.lit(True)).collect()
+    keyed = ids.withColumn("k", F.xxhash64(F.lit("fit"), "doc_id", "text_hash")).collect()
+    for lang in "ab":
+        want = sorted((r.k, r.doc_id) for r in keyed if r.lang == lang)[:700]
+        assert sorted(r.doc_id for r in got if r.lang == lang) == sorted(d for _, d in want)
+    assert L._sample(ids, 30000, "fit", F.lit(True)).count() == 20000
