@@ -474,8 +474,8 @@ def ltr_pairwise_eval(spark, sf):
             rows = mt if rows is None else rows.unionByName(mt)
     rows = rows.checkpoint()
     summary = rows.groupBy("loss").agg(*[F.avg(c).alias(c) for c in names]).select("loss", F.lit(0).alias("fold"), *names)
-    order = F.max(F.when(F.col("fold") == 0, F.col("NDCG@10"))).over(Window.partitionBy("loss"))
-    return rounded(rows.unionByName(summary)).orderBy(F.desc(order), "loss", "fold")
+    mean = F.max(F.when(F.col("fold") == 0, F.col("NDCG@10"))).over(Window.partitionBy("loss"))
+    return rounded(rows.unionByName(summary)).withColumn("_mean", mean).orderBy(F.desc("_mean"), "loss", "fold").drop("_mean")
 
 
 from ..sources.testdata import table  # noqa: E402
