@@ -4,6 +4,7 @@ Texts become lower-case words of letters and digits. A mask selects some of the
 words is the window's key, so a changed word at an ignored position does not change it. Document
 windows meet benchmark windows by an equi-join on the keys. Each hit is verified on its diagonal: some run of
 ``window`` benchmark words (all of a shorter item) around it must agree with the document in ``similarity`` of the positions.
+The masks are chosen so that every run that agrees enough holds a hit: nothing the verification accepts is missed.
 """
 from __future__ import annotations
 
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .common import let, read_table
 
-# Spaced masks, 8 of 12 words each.
-MASKS = ("110100110111", "111011001011")
+# Masks by the shortest item they are for. Wherever the allowed number of words differs (2 of 10 to 13, 1 of 5 to
+# 9), some mask of the family lies on equal words only; longer items allow more words per mask, so fewer chance hits.
+# ``MASKS`` alone does so for all lengths.
+MASKS = ("1111", "11011", "11101", "10111")
+FAMILIES = {5: MASKS, 10: ("111011", "11010011", "1100001011"), 13: ("11101111", "1111010011", "100100110111")}
 WINDOW, SIMILARITY, LEAST = 13, 0.8, 5
 CHUNK = 4096  # words of a text that are windowed at once
 
@@ -57,7 +61,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    masks: tuple[str, ...] = MASKS,
+    masks: dict[int, tuple[str, ...]] = FAMILIES,
     window: int = WINDOW,
     similarity: float = SIMILARITY,
     least: int = LEAST,
@@ -66,28 +70,34 @@ def contaminated(
     """Verified overlaps, one row for each (``doc_id``, ``text_hash``, ``item_id``) with the number of hits ``n_hits`` and the
     first document word ``first_word`` of one.
 
-    Items shorter than a mask are searched as their whole word sequence (a mask without gaps); items of fewer than ``least`` words
+    An item is searched by the family of ``masks`` with the largest key up to its number of words. The given families find every
+    run that agrees enough at the given ``window`` and ``similarity``; other values need others. Items of fewer than ``least`` words
     are too common to be evidence and match nothing, like null and empty texts. Null ids are kept as
     null; rows with equal id and text share one result; empty tables give no rows; only the named columns are read.
     The benchmark's windows (a fixed number of hashes each) are broadcast when it has at most ``broadcast_words`` words,
     else joined by key.
     """
-    for m in masks:
-        if m[0] + m[-1] != "11":
-            raise ValueError("a mask begins and ends with a selected word")
+    if min(masks) > least:
+        raise ValueError("items of ``least`` words need masks")
+    for shortest, family in masks.items():
+        for m in family:
+            if m[0] + m[-1] != "11" or len(m) > shortest:
+                raise ValueError("a mask begins and ends with a selected word and fits in its items")
     hashes = lambda text: F.transform(words(text), lambda w: F.xxhash64(w))
     items = benchmark.select(benchmark[item_col].alias("item_id"), hashes(benchmark[item_text]).alias("h")).filter(F.size("h") >= least)
-    span = max(map(len, masks))
-    # one row; fewer lengths than ``span``
-    total, short = items.agg(F.sum(F.size("h")), F.collect_set(F.when(F.size("h") < span, F.size("h")))).first()
-    every = [*masks, *["1" * k for k in sorted(short)]]
+    family = F.greatest(F.lit(0), *[F.when(F.size("h") >= k, k) for k in masks])
+    # one row; at most as many families as ``masks`` has
+    total, present = items.agg(F.sum(F.size("h")), F.collect_set(family)).first()
+    chosen = [(k, m) for k in sorted(present) or [max(masks)] for m in masks[k]]
+    every = [m for _, m in chosen]
     spans = F.array(*[F.lit(len(m)) for m in every])
     # a run that holds a window begins at most ``back`` words before it and ends at most ``ahead`` after its first
     back = max(0, window - min(map(len, every)))
     ahead = max(window, max(map(len, every)))
-    grams = _windows(items.withColumn("item_n", F.size("h")), every, "item_pos", back, ahead).withColumn("span", F.get(spans, F.col("_mask")))
-    # a mask without gaps is for the items of just its length
-    grams = grams.filter((F.col("_mask") < len(masks)) | (F.col("item_n") == F.col("span")))
+    grams = _windows(items.withColumns({"item_n": F.size("h"), "_family": family}), every, "item_pos", back, ahead)
+    grams = grams.withColumn("span", F.get(spans, F.col("_mask")))
+    # an item has keys by the masks of its own family only
+    grams = grams.filter(F.get(F.array(*[F.lit(k) for k, _ in chosen]), F.col("_mask")) == F.col("_family"))
     grams = grams.select("key", "span", "item_id", "item_pos", "item_n", F.col("near").alias("item_near"))
     if (total or 0) <= broadcast_words:
         grams = F.broadcast(grams)
@@ -156,7 +166,7 @@ def _oracle_windows(table: str, ident: str, pos: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-# Items shorter than a mask (none in the given tables) are left to the tests.
+# ``MASKS`` for all items, which finds the same overlaps; items of under ``LEAST`` words (none in the given tables) are left to the tests.
 ORACLE = f"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),

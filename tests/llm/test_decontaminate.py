@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -62,3 +63,40 @@ def test_edges(spark, edge_docs, no_docs):
     assert D.flag(edge_docs, empty).filter("contaminated").count() == 0
     assert D.drop_contaminated(edge_docs, empty).count() == edge_docs.count()
     assert D.flag(no_docs, bench).count() == 0
+
+
+def agree(doc, item, window=D.WINDOW, similarity=D.SIMILARITY, least=D.LEAST):
+    """No masks: any aligned run of ``window`` item words (all of a shorter item) that agrees enough."""
+    d, b = tokens(doc), tokens(item)
+    n = min(window, len(b))
+    for shift in range(-len(b) + 1, len(d)) if len(b) >= least else ():
+        same = [0 <= shift + j < len(d) and d[shift + j] == b[j] for j in range(len(b))]
+        if any(sum(same[a : a + n]) >= math.ceil(n * similarity) for a in range(len(b) - n + 1)):
+            return True
+    return False
+
+
+def test_masks_miss_no_allowed_change():
+    for n in range(D.LEAST, D.WINDOW + 1):
+        for masks in (D.MASKS, D.FAMILIES[max(k for k in D.FAMILIES if k <= n)]):
+            for wrong in itertools.combinations(range(n), n - math.ceil(n * D.SIMILARITY)):
+                hits = (all(p + i not in wrong for i, x in enumerate(m) if x == "1") for m in masks for p in range(n - len(m) + 1))
+                assert any(hits), (n, masks, wrong)
+
+
+def test_every_changed_passage_is_found(spark):
+    """All single and double changes of items of 5 to 15 words and of a 13-word passage at a text's edges and inside it."""
+    rng = random.Random(7)
+    items = [" ".join(rng.sample(WORDS, k)) for k in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 30)]
+    docs = []
+    for item in items:
+        w = tokens(item)[8:21] if len(tokens(item)) == 30 else tokens(item)
+        for wrong in itertools.chain(itertools.combinations(range(len(w)), 1), itertools.combinations(range(len(w)), 2)):
+            part = " ".join("other" if i in wrong else x for i, x in enumerate(w))
+            docs.append(rng.choice(["", "so it was "]) + part + rng.choice(["", " and so on"]))
+    docs += [" ".join(tokens(items[-1])[:11]), " ".join(tokens(items[-1])[-11:]), " ".join(tokens(items[-1])[-10:])]
+    want = {i: ",".join(str(j) for j, b in enumerate(items) if agree(d, b)) for i, d in enumerate(docs)}
+    assert 300 < sum(map(bool, want.values())) < len(docs) - 50
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in D.flag(df, bench).collect()} == want
