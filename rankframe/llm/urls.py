@@ -23,7 +23,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-ORDER, TAU, SLOTS, FOLDS, BINS = 5, 4.0, 1 << 17, 5, 400
+ORDER, TAU, FOLDS, BINS = 5, 4.0, 5, 400
+UNIT = 10**9  # log ratios are summed as whole numbers of 1 / UNIT, so sums do not depend on the order of rows
+SALTS = 32  # copies of each gram of one or two characters in a join by gram
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -51,15 +53,10 @@ def _gram(chars: Column, end: Column, k: int) -> Column:
     return F.when(end >= k - 1, F.array_join(F.slice(chars, end - (k - 2), k), ""))
 
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
 def train(labelled: DataFrame, order: int = ORDER, tau: float = TAU) -> DataFrame:
-    """One row with the array ``ratios``: at a gram's slot the log ratio of its probabilities, null where no gram fell.
+    """Rows ``gram, ratio``: every gram of up to ``order`` characters and the log ratio of its probabilities, in ``1 / UNIT``.
 
-    ``labelled`` has ``text`` and ``verdict``. All its rows are counted; the array has ``SLOTS`` entries however many there are
-    (grams that share a slot are averaged by their counts).
+    ``labelled`` has ``text`` and ``verdict``. All its rows are counted; the table grows with the number of different grams.
     """
     ensure_checkpoint_dir(labelled.sparkSession)
     ends = let(
@@ -90,32 +87,57 @@ def train(labelled: DataFrame, order: int = ORDER, tau: float = TAU) -> DataFram
             level = level.join(shorter, F.expr("substring(gram, 2)") == F.col("_s"))
         smooth = lambda n, total, q: (F.col(n) + tau * F.col(q)) / (F.col(total) + tau)
         below = level.select(
-            "gram", (F.col("a") + F.col("b")).alias("n"), smooth("a", "na", "qa").alias("pa"), smooth("b", "nb", "qb").alias("pb")
+            "gram", smooth("a", "na", "qa").alias("pa"), smooth("b", "nb", "qb").alias("pb")
         ).checkpoint()
         levels.append(below)
     grams = levels[0]
     for level in levels[1:]:
         grams = grams.unionByName(level)
-    slots = grams.groupBy(_slot(F.col("gram")).alias("slot")).agg(
-        F.round(F.sum(F.log(F.col("pa") / F.col("pb")) * F.col("n")) / F.sum("n"), 9).alias("ratio")
-    )
-    every = labelled.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    # SLOTS rows, a fixed number
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "ratio"))), lambda x: x["ratio"]).alias("ratios")).checkpoint()
+    return grams.select("gram", F.round(F.log(F.col("pa") / F.col("pb")) * UNIT).cast("long").alias("ratio")).checkpoint()
 
 
-def scored(df: DataFrame, text: Column, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``df`` with ``score``: mean log likelihood ratio (accepted over rejected) per character; 0 for an empty text."""
+def _window_ratios(positions: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """Rows ``_w, n, ratio`` for each different window of ``positions`` that has a known gram at its end: occurrences, ratio of the longest."""
+    suffixes = F.array_compact(F.array(*[F.when(F.length("_w") >= k, F.right("_w", F.lit(k))) for k in range(1, order + 1)]))
+    tried = positions.groupBy("_w").agg(F.count("*").alias("n")).select("_w", "n", F.explode(suffixes).alias("gram"))
+    # many windows end in the same one or two characters
+    short = F.length("gram") <= 2
+    tried = tried.withColumn("_salt", F.when(short, F.pmod(F.xxhash64("_w"), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = model.select("gram", "ratio", F.explode(copies).alias("_salt"))
+    found = tried.join(known, ["gram", "_salt"])
+    return found.groupBy("_w").agg(F.first("n").alias("n"), F.max_by("ratio", F.length("gram")).alias("ratio"))
 
-    def total(s):
-        def at(i):
-            return F.coalesce(*[F.get(s["ratios"], _slot(_gram(s["chars"], i, k))) for k in range(order, 0, -1)], F.lit(0.0))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(s["chars"]) - 1), F.lit(0.0), lambda sum_, i: sum_ + at(i)) / F.size(s["chars"])
+def scored(df: DataFrame, text: Column, model: DataFrame, order: int = ORDER, broadcast_rows: int = 200_000) -> DataFrame:
+    """``df`` with ``score``: mean log likelihood ratio (accepted over rejected) per character; 0 for an empty text.
 
-    both = F.struct(_chars(text).alias("chars"), F.col("_ratios").alias("ratios"))
-    found = F.when(F.length(text) > 0, let(both, total)).otherwise(F.lit(0.0))
-    return df.withColumn("_ratios", model.scalar()).withColumn("score", found).drop("_ratios")
+    Each different text is scored once. The windows of its positions (up to ``order`` characters) meet the grams once per different
+    window; up to ``broadcast_rows`` windows are broadcast to the positions (if there are more, the commonest), others join by key.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    every = df.drop("score").withColumn("_text", text)
+
+    def windows(c):
+        start = lambda i: F.greatest(F.lit(1), i - (order - 2))
+        return F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.array_join(F.slice(c, start(i), i + 2 - start(i)), ""))
+
+    texts = every.select("_text").filter(F.length("_text") > 0).distinct()
+    positions = texts.select("_text", F.explode(let(_chars(F.col("_text")), windows)).alias("_w"))
+    ratios = _window_ratios(positions, model, order).checkpoint()
+    rows, total = ratios.agg(F.count("*"), F.sum("n")).first()
+    if rows <= broadcast_rows:
+        found = positions.join(F.broadcast(ratios), "_w")
+    else:
+        # at most ``broadcast_rows`` windows are above this share
+        often = F.col("n") * broadcast_rows > total
+        common, rare = ratios.filter(often), ratios.filter(~often)
+        found = positions.join(F.broadcast(common), "_w")
+        rest = positions.join(F.broadcast(common.select("_w")), "_w", "left_anti")
+        found = found.unionByName(rest.join(rare, "_w"))
+    # written, so that a join with an often repeated text can be split
+    scores = found.groupBy("_text").agg((F.sum("ratio") / UNIT / F.length("_text")).alias("score")).checkpoint()
+    return every.join(scores, "_text", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).select(*df.drop("score").columns, "score")
 
 
 def calibrate(ruled: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from rankframe.llm import urls as U
@@ -80,3 +81,20 @@ def test_edges(spark, edge_docs, no_docs):
     got = U.judge(edge_docs.withColumnRenamed("text", "url").withColumnRenamed("key", "host")).collect()
     assert len(got) == edge_docs.count() and {r.verdict for r in got} == {"allow"} and {r.score for r in got} == {0.0}
     assert U.judge(no_docs.withColumnRenamed("text", "url")).count() == 0
+
+
+def test_every_gram_counts_for_itself(spark):
+    """Different grams, none mixed with another's; all ways to look them up agree."""
+    rng = random.Random(3)
+    texts = [(f"a{rng.randrange(10**6)}.example.{c}/{p}/{rng.randrange(10**7)}", v) for c, p, v in [("org", "es", "block"), ("com", "fr", "allow")] * 60]
+    texts += [(f"b{rng.randrange(10**6)}.example.net/{rng.randrange(10**7)}", None) for _ in range(40)] + [("", None)] + [("é\U0001f600", None)] * 2
+    ratios = model([x for x in texts if x[1]])
+    df = spark.createDataFrame(texts, "text string, verdict string")
+    grams = U.train(df.filter("verdict is not null"))
+    assert grams.count() == len(ratios) > 2_000
+    for extra in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 500}):
+        got = U.scored(df, df["text"], grams, **extra).collect()
+        assert sorted((r.text, r.verdict or "") for r in got) == sorted((t, v or "") for t, v in texts)
+        for r in got:
+            longest = [next((ratios[w[-k:]] for k in range(len(w), 0, -1) if w[-k:] in ratios), 0.0) for w in (r.text[max(0, i - U.ORDER) : i] for i in range(1, len(r.text) + 1))]
+            assert abs(r.score - sum(longest) / max(1, len(longest))) < 1e-6, r
