@@ -16,16 +16,20 @@ from .common import read_table, text_batches
 # Characters that count as white space and as symbols.
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-# Bands (bytes up to, lowest ratio, highest ratio). A frame has a few bytes of overhead, so short
-# texts have no lower limit to speak of; long texts share more substrings and compress better.
-BANDS = ((256, 0.70, 3.5), (1024, 1.10, 5.0), (4096, 1.30, 6.0), (16384, 1.40, 7.0), (1 << 62, 1.50, 8.0))
+# Bands (bytes up to, lowest ratio, highest ratio). A frame has a few bytes of overhead, so very short
+# texts have no lower limit to speak of; long texts share more substrings and compress better. The lowest ratios lie just under
+# those of the given clean texts and chunks (e.g. 1.81 up to 4,096 bytes, 2.00 up to 16,384, 2.19 beyond).
+BANDS = (
+    (64, 0.40, 3.5), (128, 0.90, 3.5), (256, 1.10, 3.5), (512, 1.19, 5.0), (1024, 1.45, 5.0), (2048, 1.55, 6.0), (4096, 1.75, 6.0),
+    (16384, 1.90, 7.0), (1 << 62, 2.10, 8.0),
+)
 CHUNK = 4096
-# A document fails by its chunks if over this share of them is out of band.
-CHUNK_SHARE = 0.5
+# A document fails by its chunks if over this share of its bytes lies in chunks out of band.
+CHUNK_SHARE = 0.1
 
 RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "ratio double, n_chunks long, n_bad_chunks long"
+    "ratio double, n_chunks long, n_bad_chunks long, n_bad_bytes long"
 )
 
 
@@ -64,7 +68,7 @@ def measure(text: str | None, pack, chunk: int = CHUNK, bands=BANDS) -> tuple:
     lines = [x for x in text.split("\n") if x.strip(WHITE)]
     whole = len(pack(raw))
     parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)] if len(raw) > chunk else []
-    bad = sum(not in_band(len(x), len(pack(x)), bands) for x in parts if len(x) == chunk)
+    bad = [len(x) for x in parts if not in_band(len(x), len(pack(x)), bands)]
     return (
         len(words),
         len(text) - sum(map(text.count, WHITE)),
@@ -72,8 +76,9 @@ def measure(text: str | None, pack, chunk: int = CHUNK, bands=BANDS) -> tuple:
         len(lines) - len(set(lines)),
         repeat_words(words),
         len(raw) / whole,
-        sum(len(x) == chunk for x in parts),
-        bad,
+        len(parts),
+        len(bad),
+        sum(bad),
     )
 
 
@@ -105,7 +110,7 @@ def quality(docs: DataFrame, text_col: str = "text", chunk: int = CHUNK, level:
     low, high = F.lit(bands[-1][1]), F.lit(bands[-1][2])
     for top, a, b in reversed(bands[:-1]):
         low, high = F.when(size <= top, a).otherwise(low), F.when(size <= top, b).otherwise(high)
-    banded = x("ratio").between(low, high) & (x("n_bad_chunks") <= CHUNK_SHARE * x("n_chunks"))
+    banded = x("ratio").between(low, high) & (x("n_bad_bytes") <= CHUNK_SHARE * size)
     return out.withColumn(
         "quality", F.col("quality").withField("base_failed", base).withField("kept", ~base & banded)
     )

@@ -56,3 +56,22 @@ def test_edges(spark, edge_docs, no_docs):
     assert len(got) == edge_docs.count()
     assert all(r.quality.n_words == brute(r.text)[0] for r in got)
     assert Q.quality(no_docs).count() == 0
+
+
+def test_random_parts_fail(spark, sf):
+    import base64
+    import random
+
+    rng = random.Random(1)
+    texts = sorted(r.text for r in Q.quality(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r.quality.kept)
+    prose = "\n".join(t for t in texts if t.isascii())[:24_000]
+    random_text = lambda n: base64.encodebytes(rng.randbytes(n)).decode()[:n]
+    made = {
+        "prose": prose, "a third": prose[:8_000] + random_text(8_000) + prose[8_000:16_000], "tail": prose[:8_192] + random_text(4_000),
+        "chunk": random_text(4_096), "whole": random_text(20_000), "hex": " ".join(rng.randbytes(40).hex() for _ in range(400)),
+        "letters": " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(4_000)),
+    }
+    got = {r.name: r.quality for r in Q.quality(spark.createDataFrame(list(made.items()), "name string, text string")).collect()}
+    assert got["tail"].n_chunks == 3 and got["tail"].n_bad_chunks == 1
+    assert [name for name, q in got.items() if q.kept] == ["prose"]
+    assert len(texts) > 50  # the given texts are clean
