@@ -453,8 +453,7 @@ def ltr_gbt_eval(spark, sf):
 def ltr_pair_weights(spark, sf):
     """Per group the number of preference pairs and the sum of their nDCG@10 changes under the linear scorer."""
     scored = LT.linear_scores(_letor(spark, sf), LINEAR_WEIGHTS).withColumn("score", F.round("score", DIGITS))
-    pairs = LT.preference_pairs(LT.fit_rows(scored), 10, "score")
-    return rounded(pairs.groupBy("group_id").agg(F.count("*").alias("n_pairs"), F.sum("weight").alias("weight")))
+    return rounded(LT.pair_weights(scored, 10))
 
 
 def ltr_pairwise_eval(spark, sf):
