@@ -4,6 +4,9 @@ First pass: each block of text is judged alone by its length, its stop-word dens
 that are never main text (menus, forms, adverts, comments, ...) are left out before. Second pass: short or
 ambiguous blocks inherit the label of the nearest decided neighbours. Where a page marks its article, low
 stop-word density alone is no reason to drop a block of it, and blocks outside it are not main text.
+
+An element is left out by its class, id or role only if one of their tokens consists of hint words alone; other tokens with a
+hint word are evidence against its blocks. Neither holds for an article or for what wraps the page's first one.
 """
 from __future__ import annotations
 
@@ -40,6 +43,8 @@ HINTS = frozenset(
     "commentlist disqus reply replies respond related recommended share sharing social widget pagination pager search copyright "
     "disclaimer legal tags".split()
 )
+# First parts of tokens that say something about a page or an article, not that the element is such a part.
+ABOUT = frozenset("has no with without tag category is not hide show".split())
 # The commonest function words of four languages.
 STOP_WORDS = [
     frozenset(x.split())
@@ -50,31 +55,40 @@ STOP_WORDS = [
         "de la el que y en los se del las por un para con no una su al lo como más o pero sus le ha me si sin sobre este ya entre",
     )
 ]
-LONG, SHORT, DENSE, SPARSE, LINKED = 140, 60, 0.25, 0.10, 0.5
+LONG, SHORT, DENSE, SPARSE, LINKED, HINT_LINKED = 140, 60, 0.25, 0.10, 0.5, 0.2
+
+
+def _hint(marks: str) -> tuple[bool, bool]:
+    """Whether some token of the class, id and role values is made of hint words alone, and whether some other holds one."""
+    tokens = [[x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", t).lower()) if x] for t in marks.split()]
+    tokens = [t for t in tokens if t and t[0] not in ABOUT]
+    return any(HINTS.issuperset(t) for t in tokens), any(not HINTS.isdisjoint(t) for t in tokens)
 
 
 class _Blocks(HTMLParser):
-    """Blocks in page order: [text, characters in links, inside an article]."""
+    """Blocks in page order: [text, characters in links, inside an article, inside an element with a hint]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
         self.text: list[str] = []
         self.linked = 0
-        # open elements: (name, is left out, is an article)
-        self.open: list[tuple[str, bool, bool]] = []
-        self.skip = self.article = self.link = 0
+        # open elements: [name, is left out, is an article, is left out by a hint, hints outside it]
+        self.open: list[list] = []
+        self.skip = self.article = self.link = self.hint = 0
+        self.seen = False
 
     def flush(self):
         words = " ".join("".join(self.text).split())
         if words:
-            self.blocks.append([words, self.linked, self.article > 0])
+            self.blocks.append([words, self.linked, self.article > 0, self.hint > 0])
         self.text, self.linked = [], 0
 
     def _pop(self):
-        name, skip, article = self.open.pop()
-        if name in BLOCK:
+        name, skip, article, _, hint = self.open.pop()
+        if name in BLOCK or hint != self.hint:
             self.flush()
+        self.hint = hint
         self.skip -= skip
         self.article -= article
         self.link -= name == "a"
@@ -105,9 +119,24 @@ class _Blocks(HTMLParser):
         marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         skip = tag in SKIP or hidden
-        if not skip and marks and tag not in ("html", "body", "main"):
-            skip = not HINTS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower()))
-        self.open.append((tag, skip, article))
+        by_hint = False
+        before = self.hint
+        if article and not skip:
+            if not self.seen:
+                for x in self.open:  # what wraps the first article is not left out by a hint
+                    if x[3]:
+                        x[1] = x[3] = False
+                        self.skip -= 1
+            self.seen = self.seen or not self.skip
+            self.flush()
+            self.hint = 0
+        elif not skip and marks.strip() and tag not in ("html", "body"):
+            by_hint, some = _hint(marks)
+            if some and not by_hint:
+                self.flush()
+                self.hint += 1
+        skip = skip or by_hint
+        self.open.append([tag, skip, article, by_hint, before])
         self.skip += skip
         self.article += article
         self.link += tag == "a"
@@ -131,17 +160,17 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def _first_pass(text: str, linked: int, article: bool) -> bool | None:
+def _first_pass(text: str, linked: int, article: bool, hint: bool = False) -> bool | None:
     """True: main text, False: not, None: undecided."""
-    if linked > LINKED * len(text):
+    if linked > (HINT_LINKED if hint else LINKED) * len(text):
         return False
     if len(text) < SHORT:
-        return None
-    if article:
+        return False if hint else None
+    if article and not hint:
         return True if len(text) >= LONG else None
     words = [w.strip(".,;:!?()\"'").lower() for w in text.split()]
     share = max(sum(w in stop for w in words) for stop in STOP_WORDS) / len(words)
-    return True if share >= DENSE else None if share >= SPARSE else False
+    return True if share >= DENSE else None if share >= SPARSE and not hint else False
 
 
 def _second_pass(labels: list[bool | None], unsure: bool | None) -> list[bool]:

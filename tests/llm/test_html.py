@@ -46,3 +46,20 @@ def test_given_pages(spark, sf):
 def test_edges(spark, edge_docs, no_docs):
     assert X.extract(edge_docs, "text").count() == edge_docs.count()
     assert X.extract(no_docs, "text").count() == 0
+
+
+def test_hints_do_not_lose_articles():
+    links = "<p><a href=x>one of the links that is in the list and has a long name here</a></p>"
+    for page in (
+        f'<article class="post category-social tag-legal"><p>{PROSE}</p></article>',
+        f'<div id="content" class="has-sidebar"><p>{PROSE}</p><p>{PROSE}</p></div>',
+        f'<div class="page no-sidebar"><article><p>{PROSE}</p></article></div>',
+        f'<body><div class="header-fixed"><p>{PROSE}</p>{links}</div></body>',
+        f'<body><div class="header-fixed"><article><p>{PROSE}</p><p>Short.</p></article></div></body>',
+        f'<div class="header"><div role="main" class="widget"><p>{PROSE}</p></div></div>',
+        f'<article class="post"><p>{PROSE}</p></article><section id="comments"><article class="comment"><p>{PROSE} No.</p></article></section>',
+        f'<div class="share-box">Share this page</div><p>{PROSE}</p><div class="main-menu">{links}</div><div class="cookie-notice">{PROSE} No.</div>',
+    ):
+        got = X.main_text(page)
+        assert PROSE in got and "No." not in got and "links" not in got and "Share" not in got, page
+        assert "Short." not in page or "Short." in got
