@@ -32,6 +32,17 @@ def text_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
         spark.conf.set(name, f"{megabytes}m")
 
 
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """``wanted`` column names, each lengthened by underscores until it differs (in any case) from all of ``names``."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it as a lambda variable in ``body``.
 

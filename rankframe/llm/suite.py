@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators and the SQL of those that DuckDB can express."""
-from . import decontaminate, licenses
+from . import decontaminate, fim, licenses
 from .decontaminate import op10_benchmark_decontamination
+from .fim import op11_fill_in_middle
 from .html_text import op9_html_extraction
 from .langid import op4_language_id
 from .licenses import op8_license_scans
@@ -24,10 +25,12 @@ QUERIES = {
         op8_license_scans,
         op9_html_extraction,
         op10_benchmark_decontamination,
+        op11_fill_in_middle,
     )
 }
 
 ORACLE = {
     "op8_license_scans": licenses.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
 }

@@ -1,0 +1,81 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from rankframe.llm import fim
+
+
+def plain_cut(doc_id, text, unit=fim.LINES, seed=7, percent=100, spm=50):
+    """The contract, step by step."""
+    t = text or ""
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in range(0, 32, 8))
+    units = re.findall(unit, t)
+    n = len(units)
+    assert "".join(units) == t
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    pre, mid, suf = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if not t or any(m in t for m in fim.MARKS) or h3 % 100 >= percent:
+        return n, "plain", t, None, None
+    if h4 % 100 < spm:
+        return n, "spm", f"<S>{suf}<P>{pre}<M>{mid}", len(pre), len(mid)
+    return n, "psm", f"<P>{pre}<S>{suf}<M>{mid}", len(pre), len(mid)
+
+
+TEXTS = [
+    "", None, "\n", "\n\n\n", "one", "one\n", "a\nb\nc", "a\n\n\nb\n", "é\U0001f600\n\U0001f600\U0001f600x\nz", "a<P>b\nc", "x <S", "<M>",
+    "<\nP>\n<S\n>\n<", "$1 \\ $2\n\\n$\n", "a\r\nb\rc d\x0be\n", "tab\t\nnul\x00\nend", "line\n" * 40_000 + "tail", "w" * 300_000,
+]
+
+
+def test_every_cut_equals_a_plain_one(spark):
+    made = [(i * 100 + j, t) for j, t in enumerate(TEXTS) for i in range(8)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = fim.fill_in_middle(df)
+    rows = got.select("doc_id", "text", "fim.*", fim.restored(F.col("fim.output"), F.col("fim.form")).alias("back")).collect()
+    assert len(rows) == len(made)
+    forms = set()
+    for r in rows:
+        assert (r.n, r.form, r.output, r.prefix_chars, r.middle_chars) == plain_cut(r.doc_id, r.text)
+        assert r.back == (r.text or "")
+        forms.add(r.form)
+    assert forms == {"plain", "psm", "spm"}
+
+
+def test_parameters(spark):
+    df = spark.createDataFrame([(i, f"w{i} x y\nz") for i in range(300)], "doc_id long, text string")
+    words = r"[^ ]* |[^ ]+"
+    got = fim.fill_in_middle(df, unit=words, seed=3, percent=40, spm_percent=10, out="cut").select("doc_id", "text", "cut.*").collect()
+    for r in got:
+        assert (r.n, r.form, r.output, r.prefix_chars, r.middle_chars) == plain_cut(r.doc_id, r.text, words, 3, 40, 10)
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+    marks = ("[$P]", "(\\S)", "{M}")
+    r = fim.fill_in_middle(df, marks=marks).select("text", "fim.*", fim.restored(F.col("fim.output"), F.col("fim.form"), marks).alias("back")).collect()
+    assert all(x.back == x.text and all(x.output.count(m) == 1 for m in marks) for x in r)
+
+
+def test_edges(spark, edge_docs, no_docs):
+    clash = edge_docs.withColumns({c: F.lit("user") for c in ("t", "n", "a", "b", "form", "made", "fim", "N_")})
+    got = fim.fill_in_middle(clash)
+    assert got.columns == [c for c in clash.columns if c != "fim"] + ["fim"]
+    rows = got.collect()
+    assert len(rows) == edge_docs.count()
+    for r in rows:
+        assert (r.t, r.n, r.a, r.b, r.form, r.made, r.N_) == ("user",) * 7
+        assert tuple(r.fim) == plain_cut(r.doc_id, r.text)
+    assert fim.fill_in_middle(no_docs).count() == 0
+
+
+def test_query(spark, sf):
+    from rankframe.llm.suite import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op11_fill_in_middle"](spark, sf)
+    assert "Python" not in got._jdf.queryExecution().toString()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        n, form, output, prefix, middle = plain_cut(r.doc_id, texts[r.doc_id])
+        assert tuple(r) == (r.doc_id, n, form, prefix, middle, sha(output), sha(texts[r.doc_id] or ""))
