@@ -1,10 +1,11 @@
 """Registered queries of the training-data operators and the SQL of those that DuckDB can express."""
-from . import decontaminate, fim, licenses
+from . import decontaminate, fim, licenses, line_dedup
 from .decontaminate import op10_benchmark_decontamination
 from .fim import op11_fill_in_middle
 from .html_text import op9_html_extraction
 from .langid import op4_language_id
 from .licenses import op8_license_scans
+from .line_dedup import op12_line_dedup
 from .pieces import op5_sentencepiece
 from .quality import op6_quality_rules
 from .secrets import op1_secret_scans
@@ -26,6 +27,7 @@ QUERIES = {
         op9_html_extraction,
         op10_benchmark_decontamination,
         op11_fill_in_middle,
+        op12_line_dedup,
     )
 }
 
@@ -33,4 +35,5 @@ ORACLE = {
     "op8_license_scans": licenses.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
 }
