@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,22 @@ def text_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
         spark.conf.set(name, f"{megabytes}m")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, megabytes: int):
+    """Within the block, jobs send at most ``rows`` rows and about ``megabytes`` at once to Python workers; the settings are put back after it.
+
+    For plans that are run inside the block (written or checkpointed)."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{megabytes}m"}
+    old = {name: spark.conf.get(name) for name in new}
+    try:
+        for name, value in new.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def free_names(names: list[str], *wanted: str) -> list[str]:
     """``wanted`` column names, each lengthened by underscores until it differs (in any case) from all of ``names``."""
     taken, out = {n.lower() for n in names}, []

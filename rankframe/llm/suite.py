@@ -1,7 +1,8 @@
 """Registered queries of the training-data operators and the SQL of those that DuckDB can express."""
-from . import decontaminate, fim, licenses, line_dedup
+from . import decontaminate, fim, hard_negatives, licenses, line_dedup
 from .decontaminate import op10_benchmark_decontamination
 from .fim import op11_fill_in_middle
+from .hard_negatives import op13_hard_negatives
 from .html_text import op9_html_extraction
 from .langid import op4_language_id
 from .licenses import op8_license_scans
@@ -28,6 +29,7 @@ QUERIES = {
         op10_benchmark_decontamination,
         op11_fill_in_middle,
         op12_line_dedup,
+        op13_hard_negatives,
     )
 }
 
@@ -36,4 +38,5 @@ ORACLE = {
     "op10_benchmark_decontamination": decontaminate.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
     "op12_line_dedup": line_dedup.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
