@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordinals import keyed_ordinal
 from .ranking import ensure_str_ids
 
 
@@ -56,10 +57,15 @@ def prepare_qrels(qrels: DataFrame) -> DataFrame:
     return q.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
 
 
-def prepare_run(run: DataFrame, score_col: str = "score", group_cols: Sequence[str] = (), tie: str = "desc") -> DataFrame:
-    """E5: string ids, double score, best score per (query, doc), rank rebuilt from score."""
+def best_scores(run: DataFrame, score_col: str = "score", group_cols: Sequence[str] = ()) -> DataFrame:
+    """E5: string ids, double score, best score per (query, doc)."""
     r = ensure_str_ids(run.select(*group_cols, "query_id", "doc_id", F.col(score_col).cast("double").alias("score")))
-    r = r.groupBy(*group_cols, "query_id", "doc_id").agg(F.max("score").alias("score"))
+    return r.groupBy(*group_cols, "query_id", "doc_id").agg(F.max("score").alias("score"))
+
+
+def prepare_run(run: DataFrame, score_col: str = "score", group_cols: Sequence[str] = (), tie: str = "desc") -> DataFrame:
+    """E5: ``best_scores`` with the rank rebuilt from score."""
+    r = best_scores(run, score_col, group_cols)
     doc_order = F.col("doc_id").desc() if tie == "desc" else F.col("doc_id").asc()
     w = Window.partitionBy(*group_cols, "query_id").orderBy(F.col("score").desc(), doc_order)
     return r.withColumn("_rank", F.row_number().over(w))
@@ -96,38 +102,52 @@ def per_query_metrics(
     ``empty_ndcg``: value of nDCG for a query with no relevant document (0, 1, or ``None`` to
     leave it null so means skip it).
 
-    With ``fill_missing`` and no group columns, judged queries absent from the run appear with
-    zeros; with group columns only queries present in the run are listed (``mean_metrics``
-    still counts the missing ones).
+    With ``fill_missing`` judged queries absent from the run (from a group's run) appear with zeros.
+    ``fill_missing=False`` lists only queries present in the run.
     """
     measures = measures or DEFAULT_MEASURES
     qr = prepare_qrels(qrels)
     judged = qr.select("query_id").distinct()
-    r = prepare_run(run, score_col, group_cols, tie).join(judged, "query_id", "left_semi")
     cuts = [m.cutoff for m in measures.values()]
+    list_keys = [*group_cols, "query_id"]
     if all(cuts):
         # every measure stops at a cutoff: keep only the head of each list (map-side top-k)
-        r = r.filter(F.col("_rank") <= max(cuts))
+        r = prepare_run(run, score_col, group_cols, tie).join(judged, "query_id", "left_semi").filter(F.col("_rank") <= max(cuts))
+    else:
+        # whole lists, of any length: ranks from a range partitioning of all lists, no list in one task
+        doc_order = F.col("doc_id").desc() if tie == "desc" else F.col("doc_id").asc()
+        r = best_scores(run, score_col, group_cols).join(judged, "query_id", "left_semi")
+        r = keyed_ordinal(r, list_keys, [F.col("score").desc(), doc_order], out="_rank")
     r = r.join(qr, ["query_id", "doc_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
 
     rels = {m.rel for m in measures.values()}
     # running count of relevant docs down the list (for AP)
-    wrun = Window.partitionBy(*group_cols, "query_id").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    wrun = Window.partitionBy(*list_keys).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     for lv in rels:
         r = r.withColumn(f"_isrel{lv}", _relevant(lv).cast("int"))
+    if not all(cuts):
+        # past the cutoffs only rows with a gain count; the first row stands for lists without any
+        gain = _gain(F.col("relevance"), gains)
+        r = r.filter((F.col("_rank") <= max([c for c in cuts if c], default=1)) | (gain != 0) | (F.greatest(F.lit(0), *[f"_isrel{lv}" for lv in rels]) == 1))
+    for lv in rels:
         if any(m.kind == "AP" and m.rel == lv for m in measures.values()):
-            r = r.withColumn(f"_cum{lv}", F.sum(f"_isrel{lv}").over(wrun))
+            if all(cuts):
+                r = r.withColumn(f"_cum{lv}", F.sum(f"_isrel{lv}").over(wrun))
+            else:
+                # numbered among the relevant rows of its list only; rows that are not relevant need no count
+                r = keyed_ordinal(r, [*list_keys, f"_isrel{lv}"], ["_rank"], out=f"_cum{lv}")
     disc = F.log2(F.col("_rank") + 1)
     gain = _gain(F.col("relevance"), gains)
 
     n_rel = qr.groupBy("query_id").agg(*[F.count_if(_relevant(lv)).alias(f"_R{lv}") for lv in rels])
-    wi = Window.partitionBy("query_id").orderBy(_gain(F.col("relevance"), gains).desc(), F.col("doc_id"))
+    best_first = [_gain(F.col("relevance"), gains).desc(), F.col("doc_id")]
     cutoffs = {m.cutoff for m in measures.values() if m.kind == "nDCG"}
     idcg = None
     if cutoffs:
-        ideal = qr.withColumn("_ir", F.row_number().over(wi))
         if all(cutoffs):
-            ideal = ideal.filter(F.col("_ir") <= max(cutoffs))
+            ideal = qr.withColumn("_ir", F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))).filter(F.col("_ir") <= max(cutoffs))
+        else:
+            ideal = keyed_ordinal(qr, ["query_id"], best_first, out="_ir")
         ideal = ideal.withColumn("_ig", _gain(F.col("relevance"), gains) / F.log2(F.col("_ir") + 1))
         idcg = ideal.groupBy("query_id").agg(
             *[F.sum(F.when(F.col("_ir") <= c, F.col("_ig")) if c else F.col("_ig")).alias(f"_idcg{c}") for c in cutoffs]
@@ -164,7 +184,12 @@ def per_query_metrics(
             empty = F.lit(None).cast("double") if empty_ndcg is None else F.lit(float(empty_ndcg))
             outs.append(F.when(idc > 0, F.col(f"_dcg_{name}") / idc).otherwise(empty).alias(name))
     per_q = per_q.select(*group_cols, "query_id", *outs)
-    if fill_missing and not group_cols:
+    if fill_missing and group_cols:
+        # groups are runs or parameters: few, listed in one value
+        groups = run.select(*group_cols).distinct().agg(F.collect_list(F.struct(*group_cols)).alias("_g"))
+        wanted = judged.select(F.inline(groups.scalar()), "query_id")
+        per_q = wanted.join(per_q, list_keys, "left").fillna(0.0, list(measures))
+    elif fill_missing:
         per_q = judged.join(per_q, "query_id", "left").fillna(0.0, list(measures))
     return per_q
 

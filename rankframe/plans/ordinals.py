@@ -84,3 +84,24 @@ def prefix_sums(
         out = out.withColumn(name, F.col(f"_rf_o_{name}") + F.col(f"_rf_s_{name}"))
     drop = [b] + [f"_rf_{k}_{name}" for name in values for k in ("v", "s", "o")]
     return out.drop(*drop)
+
+
+def keyed_ordinal(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    out: str = "ordinal",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add a 1-based contiguous row number inside each key, in ``order`` (a total order inside a key), without a window.
+
+    Rows are range-partitioned on key and order together, so a key with a third of all rows is split over many partitions;
+    its first global number (an aggregate with partial minima, one row per key) turns global numbers into its own. Null keys count as equal.
+    """
+    g, first, kept = "_rf_g", "_rf_first", [f"_rf_key{i}" for i in range(len(keys))]
+    numbered = global_ordinal(df, [*[F.col(k) for k in keys], *order], out=g, num_partitions=num_partitions)
+    firsts = numbered.groupBy(*keys).agg(F.min(g).alias(first)).select(*[F.col(k).alias(a) for k, a in zip(keys, kept)], first)
+    same = F.lit(True)
+    for k, a in zip(keys, kept):
+        same = same & F.col(k).eqNullSafe(F.col(a))
+    return numbered.join(firsts, same).withColumn(out, F.col(g) - F.col(first) + 1).drop(g, first, *kept)

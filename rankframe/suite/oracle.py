@@ -44,6 +44,7 @@ SELECT * FROM ev"""
 
 
 # ------------------------------------------------------------------ statistics
+from ..plans.permute import permuted_sql  # noqa: E402
 from ..sources.testdata import STOPWORDS  # noqa: E402
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -99,7 +100,9 @@ _HEAPS = f"""
 h_d AS (SELECT row_number() OVER (ORDER BY CAST(doc_id AS BIGINT)) AS ord, {S.tok('text')} AS toks FROM ({S.DOCS})),
 h_d2 AS (SELECT ord, toks, len(toks) AS dl, sum(len(toks)) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) - len(toks) AS off FROM h_d),
 h_occ AS (SELECT ord, off + i - 1 AS gpos, toks[i] AS word FROM (SELECT ord, off, toks, unnest(range(1, len(toks) + 1)) AS i FROM h_d2)),
-h_perm AS (SELECT word, row_number() OVER (ORDER BY md5('42:' || CAST(gpos AS VARCHAR)), gpos) - 1 AS slot FROM h_occ),
+h_n AS (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM (SELECT CAST(sum(dl) AS BIGINT) AS n FROM h_d2)),
+h_size AS (SELECT n, a, (n + a - 1) // a AS b FROM h_n),
+h_perm AS (SELECT word, {permuted_sql("CAST(gpos AS BIGINT)", "n", "a", "b", 42)} AS slot FROM h_occ, h_size),
 h_dealt AS (SELECT o.ord, p.word FROM h_perm p JOIN h_occ o ON p.slot = o.gpos),
 h_src AS (SELECT 'original' AS variant, ord, word FROM h_occ UNION ALL SELECT 'shuffled' AS variant, ord, word FROM h_dealt),
 h_first AS (SELECT variant, word, min(ord) AS ord FROM h_src GROUP BY variant, word),
@@ -138,7 +141,7 @@ SELECT * FROM qs"""
 
 
 # ------------------------------------------------------------------ grids and splits
-from .queries import GRID, GRID_B  # noqa: E402
+from .queries import GRID, GRID_B, RUN_K  # noqa: E402
 
 _SPLIT = f"""
 sp_q AS (SELECT query_id, text FROM ({S.QUERIES})),
@@ -201,13 +204,13 @@ SELECT k1, b, round("P@10", 4) AS "P@10" FROM gl ORDER BY round("P@10", 4) DESC,
 ORACLE["bm25_tuned_eval"] = f"""
 WITH {_GRID_LONG},
 best AS (SELECT k1, b FROM gl ORDER BY round("P@10", 4) DESC, k1, b LIMIT 2),
-{_grid_runs('train', 100, "(0, 0)").replace("g_grid AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (VALUES (0, 0)) t(k1, b))", "g_grid AS (SELECT * FROM best)").replace("g_", "t_")},
+{_grid_runs('train', RUN_K, "(0, 0)").replace("g_grid AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (VALUES (0, 0)) t(k1, b))", "g_grid AS (SELECT * FROM best)").replace("g_", "t_")},
 {S.evaluate("t_run", "qrels_train", "te", group=["run_name"], measures=S.RUN_MEASURES, digits=4)}
 SELECT * FROM te"""
 
 
 # ------------------------------------------------------------------ dense, re-ranking, fusion
-from .queries import EMBED_DIM, RERANK_KS, SWEEP_DIMS  # noqa: E402
+from .queries import CANDIDATE_K, EMBED_DIM, RERANK_KS, SWEEP_DIMS  # noqa: E402
 
 
 def _hashed(src: str, dim: int, out: str) -> str:
@@ -281,7 +284,7 @@ ORACLE["dense_sweep"] = "WITH " + ",\n".join(
     + [S.evaluate(f"ds{d}", "qrels", f"dse{d}") for d in SWEEP_DIMS]
 ) + "\n" + "\nUNION ALL\n".join(f"SELECT 'hash{d}' AS model, * FROM dse{d}" for d in SWEEP_DIMS)
 
-_MIX = f"""{_CANDS(50)},
+_MIX = f"""{_CANDS(CANDIDATE_K)},
 {_SPLIT},
 {S.QRELS},
 qrels_vali AS (SELECT q.* FROM qrels q JOIN sp USING (query_id) WHERE sp.split = 'vali'),
@@ -355,7 +358,7 @@ FROM lf"""
 
 
 # ------------------------------------------------------------------ LETOR and learning to rank
-from .queries import LINEAR_WEIGHTS  # noqa: E402
+from .queries import LINEAR_WEIGHTS, STUMPS  # noqa: E402
 
 _F32 = lambda c: f"CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS FLOAT)"  # decimal text -> float, as parsed
 _LAB = "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END"
@@ -427,6 +430,30 @@ FROM pw_d a JOIN pw_d b ON a.group_id = b.group_id AND a.label > b.label AND a.d
 GROUP BY a.group_id"""
 
 
+ORACLE["ltr_ndcg_gradients"] = f"""
+WITH {_LETOR},
+ng_s AS (SELECT DISTINCT group_id, row_id, features, CAST(label AS DOUBLE) AS label,
+                round(list_sum(list_transform(list_zip(features, [{_W}]), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 6) AS score FROM lt),
+ng_r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, row_id, label, features) AS pos,
+                row_number() OVER (PARTITION BY group_id ORDER BY label DESC) AS best FROM ng_s),
+ng_i AS (SELECT group_id, sum(CASE WHEN best <= 10 THEN label / log2(best + 1) ELSE 0 END) AS ideal FROM ng_r GROUP BY group_id),
+ng_d AS (SELECT *, CASE WHEN pos <= 10 THEN 1 / log2(pos + 1) ELSE 0 END AS discount FROM ng_r),
+ng_p AS (SELECT a.group_id, a.pos, sign(a.label - b.label) AS side, abs((a.label - b.label) * (a.discount - b.discount)) / ideal AS w,
+                1 / (1 + exp(sign(a.label - b.label) * (a.score - b.score))) AS miss
+         FROM ng_d a JOIN ng_d b ON a.group_id = b.group_id AND a.label <> b.label JOIN ng_i ON a.group_id = ng_i.group_id WHERE ideal > 0),
+ng_t AS (SELECT group_id, pos, sum(side * miss * w) AS push, sum(miss * (1 - miss) * w) AS curve FROM ng_p GROUP BY group_id, pos)
+SELECT group_id, row_id, label, round(coalesce(push, 0.0), 6) AS push, round(coalesce(curve, 0.0), 6) AS curve
+FROM ng_d LEFT JOIN ng_t USING (group_id, pos)"""
+
+_STEPS = [f"CASE WHEN features[{f + 1}] <= {t} THEN {low} ELSE {high} END" for f, t, low, high in STUMPS]
+ORACLE["ltr_staged_eval"] = f"""
+WITH {_LETOR},
+sg_run AS ({" UNION ALL ".join(f"SELECT {n} AS n_trees, CAST(group_id AS VARCHAR) AS query_id, CAST(row_id AS VARCHAR) AS doc_id, round(CAST({' + '.join(_STEPS[:n])} AS DOUBLE), 6) AS score FROM lt" for n in range(1, len(STUMPS) + 1))}),
+sg_q AS (SELECT CAST(group_id AS VARCHAR) AS query_id, CAST(row_id AS VARCHAR) AS doc_id, CAST(label AS INTEGER) AS relevance FROM lt),
+{S.evaluate("sg_run", "sg_q", "sge", group=["n_trees"], measures=[("Precision@10", "P", 10), ("MAP@10", "AP", 10), ("NDCG@10", "nDCG", 10)])}
+SELECT * FROM sge"""
+
+
 # ------------------------------------------------------------------ pooled collections, grouped split
 from ..functions.text import WHITESPACE_RUN  # noqa: E402
 
@@ -566,7 +593,8 @@ WITH {_NORM}
 SELECT * FROM stem_map"""
 
 ORACLE["lemma_vocab"] = f"""
-WITH {_NORM}
+WITH {_VOCAB},
+{_LEMMA}
 SELECT * FROM lemma_map"""
 
 ORACLE["query_versions"] = f"""
@@ -612,9 +640,9 @@ def _all_models() -> str:
         d = d if v == "original" else f"SELECT * FROM {d}"
         q = q if v == "original" else f"SELECT * FROM {q}"
         parts.append(S.bm25_scores(docs=d, queries=q, prefix=f"b{v[:3]}"))
-        parts.append(S.ranked_all_pairs(f"b{v[:3]}_sc", f"b{v[:3]}_d2", q, 100, f"bm25_{v}", f"rb{v[:3]}"))
+        parts.append(S.ranked_all_pairs(f"b{v[:3]}_sc", f"b{v[:3]}_d2", q, RUN_K, f"bm25_{v}", f"rb{v[:3]}"))
         parts.append(_tfidf(d, q, f"t{v[:3]}"))
-        parts.append(S.ranked_all_pairs(f"t{v[:3]}_sc", f"t{v[:3]}_d", q, 100, f"tfidf_{v}", f"rt{v[:3]}"))
+        parts.append(S.ranked_all_pairs(f"t{v[:3]}_sc", f"t{v[:3]}_d", q, RUN_K, f"tfidf_{v}", f"rt{v[:3]}"))
         runs += [f"rb{v[:3]}", f"rt{v[:3]}"]
     parts.append("allruns AS (" + " UNION ALL ".join(f"SELECT run_name, query_id, doc_id, score FROM {r}" for r in runs) + ")")
     return ",\n".join(parts)

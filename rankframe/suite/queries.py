@@ -206,7 +206,7 @@ def bm25_tuned_eval(spark, sf):
     docs, q = _split_queries(spark, sf)
     best = TU.grid_best(_grid_long(spark, sf), "P@10", 2)
     test = q.filter(F.col("split") == "train").drop("split")
-    runs = TU.tuned_runs(docs, test, best, top_k=100, score_digits=DIGITS)
+    runs = TU.tuned_runs(docs, test, best, top_k=RUN_K, score_digits=DIGITS)
     return rounded(evaluate_runs(runs, _judged(docs, q, test), RUN_MEASURES, digits=4))
 
 
@@ -229,6 +229,9 @@ EMBED_DIM = 64
 # Re-rank depths and the "encoders" of the dense sweep (hashed dimensions).
 RERANK_KS = [10, 20, 50, 100]
 SWEEP_DIMS = [32, 64]
+# Depth of the candidate lists and of the compared runs.
+CANDIDATE_K = 1000
+RUN_K = 1000
 
 
 def _vecs(spark, sf, dim=EMBED_DIM):
@@ -294,7 +297,7 @@ def dense_sweep(spark, sf):
 
 
 def _scored_candidates(spark, sf):
-    docs, queries, dv, qv, run = _candidates(spark, sf, 50)
+    docs, queries, dv, qv, run = _candidates(spark, sf, CANDIDATE_K)
     split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
     scored = DN.score_pairs_biencoder(run, qv, dv).withColumn("dense_score", F.round("dense_score", DIGITS)).join(split, "query_id")
     # scored once, read by the tuning and by every test run
@@ -646,7 +649,7 @@ def run_all_models(spark, sf):
     dv, qv = NZ.text_variants(docs, queries)
     # processed collections are written once (as the reference keeps them as files)
     dv, qv = dv.checkpoint(eager=True), qv.checkpoint(eager=True)
-    runs = NZ.run_all_models(dv, qv, top_k=100, score_digits=DIGITS)
+    runs = NZ.run_all_models(dv, qv, top_k=RUN_K, score_digits=DIGITS)
     return rounded(evaluate_runs(runs, derive_qrels(docs, queries), RUN_MEASURES, digits=4))
 
 
@@ -684,23 +687,89 @@ def final_report(spark, sf):
 QUERIES["final_report"] = final_report
 
 
-# ------------------------------------------------------------------ learning to rank end to end
+# ------------------------------------------------------------------ ranking-loss trees
+import hashlib  # noqa: E402
+
+from ..operators import rank_trees as RT  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+
+# The small ensemble of the staged evaluation, as (feature, threshold, step at or below it, step above it).
+STUMPS = [(0, 25.5, -0.5, 0.5), (2, 0.055, 0.25, -0.125), (1, 40000.5, 0.375, -0.25), (3, 0.035, -0.75, 0.625), (0, 10.5, 1.5, -0.0625)]
+
+
+def stump_ensemble() -> RT.Ensemble:
+    import numpy as np
+
+    one = lambda f, t, low, high: RT.Tree(np.array([f, -1, -1]), np.array([t, 0.0, 0.0]), np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([0.0, low, high]))
+    return RT.Ensemble([one(*x) for x in STUMPS])
+
+
+def ltr_ndcg_gradients(spark, sf):
+    """Push and curvature of every LETOR row under the nDCG@10-weighted pairwise loss at the linear scorer's scores."""
+    scored = LT.linear_scores(_letor(spark, sf), LINEAR_WEIGHTS)
+    rows = scored.select(
+        F.col("group_id").alias("g"), F.struct("row_id", F.col("label").cast("double").alias("label"), "features").alias("r"),
+        F.col("label").cast("double").alias("y"), F.round("score", DIGITS).alias("s"),
+    ).distinct()
+    found = RT.ndcg_gradients(rows.join(RT.ideal_gains(rows, 10), "g", "left"), 10)
+    return rounded(found.select(F.col("g").alias("group_id"), "r.row_id", "r.label", "push", "curve"))
+
+
+def ltr_staged_eval(spark, sf):
+    """L12 + E9: the three metrics for every prefix of a fixed ensemble, in one evaluation grouped by the number of trees."""
+    rows = _letor(spark, sf)
+    return rounded(RT.staged_metrics(rows, stump_ensemble(), score_digits=DIGITS))
+
+
+def ltr_saved_models(spark, sf):
+    """L14 + S14 + E10 + A14 + L8-L12: boosted trees of four losses on five folds, fitted as concurrent jobs and stored by (loss, fold); metrics of
+    the stored models per (loss, fold) and their means (fold 0), the best loss first (rows only: model fits). A later run on the
+    same rows loads the models."""
+    rows = _letor(spark, sf)
+    seen = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    version = hashlib.md5(f"{sf}:{seen[0]}:{seen[1]}:depth6:rounds30".encode()).hexdigest()
+    store = RT.ModelStore(spark, f"{ensure_checkpoint_dir(spark)}/rankers-{version}")
+    parted = LT.fold_parts(rows, "group_id", 5, 42).checkpoint(eager=True)
+    part = {f: {s: [p for ff, p, split in LT.fold_split_map(5) if ff == f and split == s] for s in ("train", "vali", "test")} for f in range(1, 6)}
+    side = lambda f, s: parted.filter(F.col("part").isin(part[f][s]))
+
+    def fit(loss, fold):
+        return RT.fit_ranker(side(fold, "train"), loss, depth=6, rounds=30, vali=side(fold, "vali"), patience=5, block=5)
+
+    models = RT.fit_all(store, [(loss, fold) for fold in range(1, 6) for loss in RT.LOSSES], fit, at_once=8)
+    found = RT.evaluate_models(models, lambda f: side(f, "test"), score_digits=DIGITS).checkpoint()
+    names = ["Precision@10", "MAP@10", "NDCG@10"]
+    means = RT.mean_over_folds(found).select("loss", F.lit(0).alias("fold"), *names)
+    best = F.max(F.when(F.col("fold") == 0, F.col("NDCG@10"))).over(Window.partitionBy("loss"))
+    return rounded(found.select("loss", "fold", *names).unionByName(means)).withColumn("_best", best).orderBy(F.desc("_best"), "loss", "fold").drop("_best")
+
+
+def _fit_end_to_end(train, rounds=200, patience=20):
+    """The ranker of the end-to-end job: nDCG-weighted trees of depth 6 on nine of ten training queries, the best prefix by the tenth."""
+    parts = SP.query_split(train.select("query_id").distinct(), "query_id", 0.1, 43).select("query_id", F.col("split").alias("part"))
+    both = train.join(parts, "query_id").checkpoint()
+    fit, held = both.filter("part = 'train'"), both.filter("part = 'vali'")
+    return RT.fit_ranker(fit, "YetiRank", depth=6, rounds=rounds, vali=held, patience=patience, k=20)
+
+
 def ltr_end_to_end(spark, sf):
-    """L15 + L13 + L7 + E8: BM25 candidates -> dense score -> lexical features -> boosted trees
-    fit on the training queries -> applied to the validation queries -> top 20 -> metrics
-    (rows only: includes a model fit)."""
-    docs, queries, dv, qv, run = _candidates(spark, sf, 50)
+    """L15 + L11-L13 + L7 + E8: BM25 candidates -> dense score -> lexical features -> trees of the ranking loss fit on the training
+    queries -> applied to the validation queries -> top 20 -> metrics (rows only: includes a model fit)."""
+    docs, queries, dv, qv, run = _candidates(spark, sf, CANDIDATE_K)
     scored = DN.score_pairs_biencoder(run, qv, dv)
     feats = FE.extract_lexical_features(scored, docs, queries)
     qr = derive_qrels(docs, queries)
     split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
     frame = FE.ltr_frame(feats, qr).join(split, "query_id").checkpoint(eager=True)
-    train = frame.filter(F.col("split") == "train").withColumnRenamed("relevance", "label")
-    model = LT.train_gbt(train, "RMSE", max_depth=4, max_iter=20)
-    test = frame.filter(F.col("split") == "vali")
-    pred = LT.apply_model(model, test)
-    ltr_run = make_ranked_run(pred.withColumn("score", F.round("score", DIGITS)), "score", "gbt_ltr", 20)
+    model = _fit_end_to_end(frame.filter(F.col("split") == "train").withColumnRenamed("relevance", "label"))
+    pred = frame.filter(F.col("split") == "vali").withColumn("score", F.round(model.score(F.col("features")), DIGITS))
+    ltr_run = make_ranked_run(pred, "score", "tree_ltr", 20)
     return rounded(mean_metrics(ltr_run, qr.join(split.filter("split = 'vali'"), "query_id", "left_semi"), DEFAULT_MEASURES))
 
 
-QUERIES["ltr_end_to_end"] = ltr_end_to_end
+QUERIES.update({
+    "ltr_ndcg_gradients": ltr_ndcg_gradients,
+    "ltr_staged_eval": ltr_staged_eval,
+    "ltr_saved_models": ltr_saved_models,
+    "ltr_end_to_end": ltr_end_to_end,
+})
