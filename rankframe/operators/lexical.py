@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_tokens, tokenize
+from ..functions.text import explode_tokens, term_counts, tokenize
 from ..plans.broadcast import checked_broadcast, within_bound
 from ..plans.ordinals import global_ordinal
 from .ranking import make_ranked_run
@@ -389,9 +389,9 @@ def tfidf_scores(
 ) -> DataFrame:
     """(keys, query_id, doc_id, _rf_row, score): cosine of raw-tf x smooth-idf vectors.
 
-    One pass over the postings gives both the document norm (every term) and the document's
-    query-term entries (``collect_list`` of the flagged terms, bounded by the query vocabulary),
-    so the collection is exploded and counted once after the vocabulary.
+    One pass over the documents' own term counts (run lengths of the sorted tokens) gives both the document norm (every
+    term) and the document's query-term entries (``collect_list`` of the flagged terms, bounded by the query
+    vocabulary). Its only exchange is the one on the document, none where the collection is clustered by it.
     """
     keys = list(collection_cols)
     td = tok_docs if tok_docs is not None else tokenized_docs(docs, collection_cols, tokenizer)
@@ -402,12 +402,9 @@ def tfidf_scores(
     qnorm = qt.groupBy(*qk).agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qnorm"))
     qw = qt.join(qnorm, qk).select(*qk, "term", (F.col("qtf") * F.col("idf") * F.col("idf") / F.col("qnorm")).alias("qw"))
     wanted = checked_broadcast(qt.select(*keys, "term").distinct().withColumn("_rf_q", F.lit(True)))
-    postings = (
-        td.select(*keys, "doc_id", _ROW, explode_tokens("tokens").alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy(*keys, "doc_id", _ROW, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    # a document counts its own terms inside its row, so no (document, term) rows are shuffled for the counts
+    postings = td.select(*keys, "doc_id", _ROW, F.explode_outer(term_counts("tokens")).alias("_p")).filter(F.col("_p").isNotNull()).select(
+        *keys, "doc_id", _ROW, F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"))
     # a vocabulary under the checked bound joins map-side; above it, a shuffle join (AQE splits
     # hot terms)
     per_doc = (

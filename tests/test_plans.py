@@ -155,3 +155,45 @@ def test_dense_blocks_equal_all_pairs_and_pass_no_driver(spark, monkeypatch):
         assert [(k, doc, -s) for k, (s, doc) in enumerate(want, 1)] == [(k, doc, pytest.approx(s, abs=2e-6)) for k, doc, s in sorted(got[f"q{i}"])]
     empty = d.limit(0)
     assert DN.dense_search(empty, q).count() == 0 and DN.dense_search(d, q.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ counts and forms inside a row
+def test_term_counts_and_places(spark):
+    from collections import Counter
+
+    from rankframe.functions.text import term_counts, term_places, tokenize
+
+    texts = ["a b a c", "", "  ", "x", "x x x", "b a é a\tb", " ".join(f"w{i % 37}" for i in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    for r in df.select("text", term_counts(tokenize("text")).alias("c"), term_places(tokenize("text")).alias("p")).collect():
+        words = (r.text or "").split()
+        assert {x.term: x.tf for x in r.c or []} == Counter(words)
+        assert {x.word: x.places for x in r.p or []} == {w: [i for i, v in enumerate(words) if v == w] for w in set(words)}
+
+
+def test_variants_are_rewritten_in_one_pass(spark):
+    from rankframe.operators import normalize as NZ
+
+    docs = spark.createDataFrame([("1", "cats running  cats dog"), ("2", ""), ("3", "cat ponies pony"), ("4", None)], "doc_id string, text string")
+    queries = spark.createDataFrame([("q", "cats  pony")], "query_id string, text string")
+    dv, qv = NZ.text_variants(docs, queries)
+    got = {(r.doc_id, r.variant): r.text for r in dv.collect()}
+    assert len(got) == 12 and got["1", "original"] == "cats running  cats dog" and got["4", "original"] is None
+    assert got["1", "stemmed"] == "cat run cat dog" and got["1", "lemmatized"] == "cat running cat dog"
+    assert got["3", "lemmatized"] == "cat pony pony" and got["2", "stemmed"] == "" == got["4", "stemmed"]
+    assert {(r.variant, r.text) for r in qv.collect()} == {("original", "cats  pony"), ("stemmed", "cat poni"), ("lemmatized", "cat pony")}
+    words = NZ.vocabulary_words(docs.select("text"))
+    one = NZ.apply_mapping(docs, "doc_id", NZ.stem_mapping(words))
+    assert {r.doc_id: r.text for r in one.collect()} == {d: t for (d, v), t in got.items() if v == "stemmed"}
+
+
+def test_tfidf_has_one_exchange_of_documents(spark):
+    from rankframe.operators import lexical as LX
+
+    docs = spark.createDataFrame([(str(i), f"a b{i % 3} c{i} a") for i in range(40)], "doc_id string, text string").repartition(4, "doc_id")
+    queries = spark.createDataFrame([("1", "a b1"), ("2", "c7 a zz")], "query_id string, text string")
+    td = LX.tokenized_docs(docs)
+    text = plan(LX.tfidf_scores(docs, queries, tok_docs=td))
+    assert not any("hashpartitioning" in line and "term" in line and "doc_id" in line for line in text.split("\n"))
+    tree = [line for line in text.split("\n") if "Exchange hashpartitioning(doc_id" in line]
+    assert len(tree) == 1  # the collection's own clustering
