@@ -211,10 +211,20 @@ def mean_metrics(
     score_col: str = "score",
     tie: str = "desc",
     gains: dict[int, float] | None = None,
+    judged_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean of each measure over all judged queries, one row per group."""
+    """Mean of each measure over all judged queries, one row per group.
+
+    ``judged_cols``: group columns that ``qrels`` has too (a ``dataset``, say); a group's mean is then over the judged queries of
+    its own dataset. Query ids must differ between datasets."""
     measures = measures or DEFAULT_MEASURES
     per_q = per_query_metrics(run, qrels, measures, group_cols, score_col, tie, gains, fill_missing=False)
+    if judged_cols:
+        sums = per_q.groupBy(*group_cols).agg(*[F.sum(n).alias(n) for n in measures])
+        sums = run.select(*group_cols).distinct().join(sums, list(group_cols), "left")
+        judged = qrels.select(*judged_cols, F.col("query_id").cast("string").alias("query_id")).distinct().groupBy(*judged_cols).agg(F.count(F.lit(1)).alias("_n"))
+        own = sums.join(judged, list(judged_cols), "left")
+        return own.select(*group_cols, *[F.coalesce(F.col(n) / F.col("_n"), F.lit(0.0)).alias(n) for n in measures])
     # the number of judged queries is one scalar (a small job over the qrels)
     n_judged = prepare_qrels(qrels).select("query_id").distinct().count()
     sums = per_q.groupBy(*group_cols).agg(*[F.sum(n).alias(n) for n in measures])

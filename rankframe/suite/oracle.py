@@ -279,11 +279,6 @@ rr_r AS (SELECT k.k, s.query_id, s.doc_id, s.rerank_score AS score FROM rr_s s C
 {S.evaluate("rr_r", "qrels", "rre", group=["k"])}
 SELECT * FROM rre"""
 
-ORACLE["dense_sweep"] = "WITH " + ",\n".join(
-    [_dense_run(d, 20, f"dense_hash{d}", f"ds{d}") for d in SWEEP_DIMS] + [S.QRELS]
-    + [S.evaluate(f"ds{d}", "qrels", f"dse{d}") for d in SWEEP_DIMS]
-) + "\n" + "\nUNION ALL\n".join(f"SELECT 'hash{d}' AS model, * FROM dse{d}" for d in SWEEP_DIMS)
-
 _MIX = f"""{_CANDS(CANDIDATE_K)},
 {_SPLIT},
 {S.QRELS},
@@ -304,22 +299,6 @@ ORACLE["mixture_tune"] = f"""
 WITH {_MIX}
 SELECT alpha, round("nDCG@20", 6) AS "nDCG@20" FROM mxe"""
 
-ORACLE["mixture_report"] = f"""
-WITH {_MIX},
-mx_best AS (SELECT alpha FROM mxe ORDER BY "nDCG@20" DESC, alpha LIMIT 1),
-mx_v AS (SELECT * FROM mx_n WHERE split = 'vali'),
-m_bm25 AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS r FROM mx_v) WHERE r <= 20),
-m_dense AS (SELECT query_id, doc_id, dense_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, doc_id) AS r FROM mx_v) WHERE r <= 20),
-m_mix AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(b.alpha * bn + (1 - b.alpha) * dense_score, 6) AS score,
-            row_number() OVER (PARTITION BY query_id ORDER BY round(b.alpha * bn + (1 - b.alpha) * dense_score, 6) DESC, doc_id) AS r
-          FROM mx_v CROSS JOIN mx_best b) WHERE r <= 20),
-{S.evaluate("m_bm25", "qrels_vali", "e1")},
-{S.evaluate("m_dense", "qrels_vali", "e2")},
-{S.evaluate("m_mix", "qrels_vali", "e3")}
-SELECT 'BM25' AS method, * FROM e1 UNION ALL SELECT 'Dense', * FROM e2
-UNION ALL SELECT 'Mixture a=' || printf('%.2f', (SELECT alpha FROM mx_best)), * FROM e3"""
-
-
 # ------------------------------------------------------------------ lexical features, LTR frame
 _FEAT = f"""{_CANDS(20)},
 fc AS (SELECT r.*, round({_dot('q.embedding', 'd.embedding')}, 6) AS dense_score
@@ -462,16 +441,19 @@ def _strip(x: str) -> str:
     return f"regexp_replace(coalesce({x}, ''), '^{WHITESPACE_RUN}|{WHITESPACE_RUN}$', '', 'g')"
 
 
-_POOL = f"""{S.bm25_scores()},
-{S.ranked_all_pairs("b_sc", "b_d2", S.QUERIES, 20, "pool", "run")},
-{S.QRELS},
-pe AS (SELECT r.query_id, r.rank - 1 AS pos, d.source AS doc_name, d.text AS doc_chunk, coalesce(q.relevance, 0) AS support, d.lang
-       FROM run r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.doc_id LEFT JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.doc_id),
+_POOL_ROWS = f"""
+pe AS (SELECT CAST(d.doc_id % p.n AS VARCHAR) AS query_id, d.doc_id // p.n AS pos, d.source AS doc_name, d.text AS doc_chunk,
+              coalesce(q.relevance, 0) AS support, d.lang
+       FROM documents d CROSS JOIN (SELECT count(*) AS n FROM benchmark) p
+       LEFT JOIN qrels q ON q.query_id = CAST(d.doc_id % p.n AS VARCHAR) AND q.doc_id = CAST(d.doc_id AS VARCHAR)),
 pe2 AS (SELECT *, {_strip('doc_name')} AS t, {_strip('doc_chunk')} AS c FROM pe),
 pd AS (SELECT query_id, pos, support, lang, doc_name, t AS title,
               CASE WHEN c = '' THEN '' WHEN t <> '' AND NOT starts_with(c, t) THEN t || '. ' || c ELSE c END AS text FROM pe2),
 pd2 AS (SELECT *, 'mirage_' || md5(text) AS doc_id FROM pd WHERE text <> '')"""
 
+_POOL = f"""{S.QRELS},
+{_POOL_ROWS}"""
+
 ORACLE["pool_collection_docs"] = f"""
 WITH {_POOL}
 SELECT doc_id, arg_min(title, CAST(query_id AS BIGINT) * 100000 + pos) AS title, arg_min(text, CAST(query_id AS BIGINT) * 100000 + pos) AS text
@@ -656,25 +638,80 @@ WITH {_NORM},
 SELECT * FROM ram"""
 
 
-# ------------------------------------------------------------------ final comparison report
-ORACLE["final_report"] = f"""
-WITH {_POOL},
+# ------------------------------------------------------------------ both collections: dense sweep, mixture, final report
+_POOL_COLLECTION = f"""
+pc_docs AS (SELECT doc_id, arg_min(text, CAST(query_id AS BIGINT) * 100000 + pos) AS text FROM pd2 GROUP BY doc_id),
+pc_qrels AS (SELECT DISTINCT query_id, doc_id, support AS relevance FROM pd2)"""
+
+
+def _dense_over(dim: int, docs: str, out: str) -> str:
+    """CTE ``out``: dense top 20 of every query over the documents of CTE ``docs``."""
+    return f"""
+{_hashed(f"SELECT doc_id AS id, text FROM {docs}", dim, out + "_dv")},
+{_hashed(_Q_SRC, dim, out + "_qv")},
+{out} AS (SELECT query_id, doc_id, score FROM (
+    SELECT q.id AS query_id, d.id AS doc_id, round({_dot('q.embedding', 'd.embedding')}, 6) AS score,
+           row_number() OVER (PARTITION BY q.id ORDER BY round({_dot('q.embedding', 'd.embedding')}, 6) DESC, d.id) AS rank
+    FROM {out}_qv q CROSS JOIN {out}_dv d) WHERE rank <= 20)"""
+
+
+ORACLE["dense_sweep"] = "WITH " + ",\n".join(
+    [_POOL, _POOL_COLLECTION, f"all_docs AS (SELECT doc_id, text FROM ({S.DOCS}))"]
+    + [_dense_over(d, src, f"ds{d}{ds[0]}") for d in SWEEP_DIMS for ds, src in (("documents", "all_docs"), ("pools", "pc_docs"))]
+    + [S.evaluate(f"ds{d}{ds[0]}", qr, f"dse{d}{ds[0]}") for d in SWEEP_DIMS for ds, qr in (("documents", "qrels"), ("pools", "pc_qrels"))]
+) + "\n" + "\nUNION ALL\n".join(f"SELECT '{ds}' AS dataset, 'hash{d}' AS model, * FROM dse{d}{ds[0]}" for d in SWEEP_DIMS for ds in ("documents", "pools"))
+
+_BOTH = f"""{_MIX},
+{_POOL_ROWS},
+{_POOL_COLLECTION},
 {_POOL_BM25},
-{_dense_run(EMBED_DIM, 20, "dense", "fr")},
-fr_ce AS (SELECT query_id, doc_id, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM (
-      SELECT query_id, doc_id,
-             round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ds)) / len(qs) ELSE 0 END
-                 + CASE WHEN len(ds) > 0 THEN len(list_intersect(qs, ds)) / len(ds) ELSE 0 END * 0.001, 6) AS score
+{_hashed("SELECT doc_id AS id, text FROM pc_docs", EMBED_DIM, "pv_d")},
+pqrels_vali AS (SELECT q.* FROM pc_qrels q JOIN sp USING (query_id) WHERE sp.split = 'vali'),
+mx_best AS (SELECT alpha FROM mxe ORDER BY "nDCG@20" DESC, alpha LIMIT 1),
+pm_c AS (SELECT r.query_id, r.doc_id, r.rank, r.score, round({_dot('q.embedding', 'd.embedding')}, 6) AS dense_score
+         FROM pbr r JOIN cv_q q ON q.id = r.query_id JOIN pv_d d ON d.id = r.doc_id JOIN sp USING (query_id) WHERE sp.split = 'vali'),
+pm_v AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w > 0
+                   THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.0 END AS bn
+         FROM pm_c WINDOW w AS (PARTITION BY query_id)),
+mx_v AS (SELECT query_id, doc_id, rank, score, dense_score, bn FROM mx_n WHERE split = 'vali')"""
+
+
+def _methods(v: str, out: str) -> str:
+    """CTEs ``{out}_bm25``, ``{out}_dense`` and ``{out}_mix`` (top 20) from scored candidates."""
+    mixed = "round(b.alpha * bn + (1 - b.alpha) * dense_score, 6)"
+    return f"""
+{out}_bm25 AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS r FROM {v}) WHERE r <= 20),
+{out}_dense AS (SELECT query_id, doc_id, dense_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, doc_id) AS r FROM {v}) WHERE r <= 20),
+{out}_mix AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, {mixed} AS score,
+            row_number() OVER (PARTITION BY query_id ORDER BY {mixed} DESC, doc_id) AS r FROM {v} CROSS JOIN mx_best b) WHERE r <= 20)"""
+
+
+_MIX_NAME = "'Mixture a=' || printf('%.2f', (SELECT alpha FROM mx_best))"
+_BOTH_RUNS = [("documents", "d", "qrels_vali"), ("pools", "p", "pqrels_vali")]
+
+ORACLE["mixture_report"] = "WITH " + ",\n".join(
+    [_BOTH, _methods("mx_v", "d"), _methods("pm_v", "p")]
+    + [S.evaluate(f"{p}_{m}", qr, f"e_{p}_{m}") for _, p, qr in _BOTH_RUNS for m in ("bm25", "dense", "mix")]
+) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{ds}' AS dataset, {name} AS method, * FROM e_{p}_{m}" for ds, p, _ in _BOTH_RUNS
+    for m, name in (("bm25", "'BM25'"), ("dense", "'Dense'"), ("mix", _MIX_NAME)))
+
+
+def _cross(v: str, docs: str, out: str) -> str:
+    """CTE ``out``: the first 20 of ``v``, re-ranked by lexical overlap."""
+    return f"""
+{out} AS (SELECT query_id, doc_id,
+       round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ds)) / len(qs) ELSE 0 END
+           + CASE WHEN len(ds) > 0 THEN len(list_intersect(qs, ds)) / len(ds) ELSE 0 END * 0.001, 6) AS score
       FROM (SELECT c.query_id, c.doc_id, list_distinct({S.tok('q.text')}) AS qs, list_distinct({S.tok('d.text')}) AS ds
-            FROM run c LEFT JOIN ({S.QUERIES}) q USING (query_id) LEFT JOIN ({S.DOCS}) d USING (doc_id))))
-    WHERE rk <= 20),
-fr_pq AS (SELECT DISTINCT query_id, doc_id, support AS relevance FROM pd2),
-{S.evaluate("run", "qrels", "fe_b")},
-{S.evaluate("fr", "qrels", "fe_d")},
-{S.evaluate("fr_ce", "qrels", "fe_c")},
-{S.evaluate("pbr", "fr_pq", "fe_p")}
-SELECT 'documents' AS dataset, 'BM25' AS method, * FROM fe_b
-UNION ALL SELECT 'documents', 'CE k=20', * FROM fe_c
-UNION ALL SELECT 'documents', 'Dense hash64', * FROM fe_d
-UNION ALL SELECT 'pools', 'BM25 per pool', * FROM fe_p"""
+            FROM {v} c LEFT JOIN ({S.QUERIES}) q USING (query_id) LEFT JOIN {docs} d USING (doc_id)))"""
+
+
+# ------------------------------------------------------------------ final comparison report
+ORACLE["final_report"] = "WITH " + ",\n".join(
+    [_BOTH, _methods("mx_v", "d"), _methods("pm_v", "p"), f"all_docs AS (SELECT doc_id, text FROM ({S.DOCS}))",
+     _cross("d_bm25", "all_docs", "d_ce"), _cross("p_bm25", "pc_docs", "p_ce"), _dense_over(EMBED_DIM, "all_docs", "d_all"), _dense_over(EMBED_DIM, "pc_docs", "p_all")]
+    + [S.evaluate(f"{p}_{m}", qr, f"e_{p}_{m}") for _, p, qr in _BOTH_RUNS for m in ("bm25", "ce", "all", "mix")]
+) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{ds}' AS dataset, {name} AS method, * FROM e_{p}_{m}" for ds, p, _ in _BOTH_RUNS
+    for m, name in (("bm25", "'BM25'"), ("ce", "'CE k=20'"), ("all", "'Dense hash64'"), ("mix", _MIX_NAME)))

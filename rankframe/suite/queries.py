@@ -283,17 +283,73 @@ def rerank_sweep(spark, sf):
 
 
 def dense_sweep(spark, sf):
-    """Dense runs for each encoder (hashed dimension), evaluated."""
+    """Dense runs of both collections (documents, whole pools) with each encoder (hashed dimension), in one search and one evaluation keyed by
+    (dataset, model); by dataset, best nDCG first."""
+    both = datasets(spark, sf, bm25=False)
+    vecs = lambda df, key: [
+        DN.hashed_embeddings(df, key, "text", dim).select(F.col("id").alias(key), "embedding", F.lit(f"hash{dim}").alias("model")) for dim in SWEEP_DIMS]
+    dv, qv = (vecs(both["docs"], "doc_id"), vecs(both["queries"], "query_id"))
+    # a document of another collection or encoder is never met: the key is (dataset, model)
+    keyed = lambda parts, ids, key: parts[0].unionByName(parts[1]).join(ids, key).withColumn("key", F.concat_ws("/", "dataset", "model"))
+    run = DN.dense_search(keyed(dv, both["docs"].select("doc_id", "dataset"), "doc_id"), keyed(qv, both["queries"].select("query_id", "dataset"), "query_id"),
+                          top_k=20, run_name="dense", score_digits=DIGITS, group_col="key")
+    run = run.withColumns({"dataset": F.substring_index("key", "/", 1), "model": F.substring_index("key", "/", -1)})
+    found = mean_metrics(run, both["qrels"], DEFAULT_MEASURES, group_cols=["dataset", "model"], judged_cols=["dataset"])
+    return rounded(found.select("dataset", "model", *DEFAULT_MEASURES)).orderBy("dataset", F.desc("nDCG@20"), "model")
+
+
+def datasets(spark, sf, bm25: bool = True):
+    """Both collections under one ``dataset`` key: ``docs`` (dataset, doc_id, text), ``queries`` (dataset, query_id, text, split), ``qrels`` and, on request,
+    the BM25 ``run`` (1000 candidates per query in ``documents``, each query's own pool in ``pools``). Ids carry their dataset, so
+    every join on them stays inside it."""
     docs, queries = _io(spark, sf)
-    qr = derive_qrels(docs, queries)
-    out = None
-    for dim in SWEEP_DIMS:
-        dv = DN.hashed_embeddings(docs, "doc_id", "text", dim).withColumnRenamed("id", "doc_id")
-        qv = DN.hashed_embeddings(queries, "query_id", "text", dim).withColumnRenamed("id", "query_id")
-        run = DN.dense_search(dv, qv, top_k=20, run_name=f"dense_hash{dim}", score_digits=DIGITS)
-        m = mean_metrics(run, qr, DEFAULT_MEASURES).withColumn("model", F.lit(f"hash{dim}"))
-        out = m if out is None else out.unionByName(m)
-    return rounded(out.select("model", *DEFAULT_MEASURES))
+    split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
+    pooled = pooled_examples(spark, sf)
+    pdocs, _, pqrels = PL.build_collection(pooled, "ex_ord", **IN_PARTS)
+    name = lambda ds, key: F.concat(F.lit(f"{ds}:"), F.col(key))
+    own = lambda df, ds, *keys: df.withColumns({"dataset": F.lit(ds), **{k: name(ds, k) for k in keys}})
+    split_queries = queries.join(split, "query_id")
+    out = {
+        "docs": own(docs.select("doc_id", "text"), "documents", "doc_id").unionByName(own(pdocs.select("doc_id", "text"), "pools", "doc_id")),
+        "queries": own(split_queries, "documents", "query_id").unionByName(own(split_queries, "pools", "query_id")),
+        "qrels": own(derive_qrels(docs, queries), "documents", "query_id", "doc_id").unionByName(own(pqrels, "pools", "query_id", "doc_id")).checkpoint(),
+    }
+    if bm25:
+        run = bm25_search(docs, queries, top_k=CANDIDATE_K, run_name="bm25", score_digits=DIGITS)
+        pool_run = PL.pooled_bm25(pooled, top_k=100, score_digits=DIGITS, **IN_PARTS)
+        out["run"] = own(run, "documents", "query_id", "doc_id").unionByName(own(pool_run, "pools", "query_id", "doc_id")).checkpoint()
+    return out
+
+
+def scored_datasets(spark, sf):
+    """``datasets`` with the dense score of every candidate (only texts and queries of candidates are embedded), the split beside it."""
+    both = datasets(spark, sf)
+    run = both["run"]
+    texts = both["docs"].join(run.select("doc_id").distinct(), "doc_id", "left_semi")
+    dv = DN.hashed_embeddings(texts, "doc_id", "text", EMBED_DIM).withColumnRenamed("id", "doc_id")
+    qv = DN.hashed_embeddings(both["queries"], "query_id", "text", EMBED_DIM).withColumnRenamed("id", "query_id")
+    scored = DN.score_pairs_biencoder(run, qv, dv).withColumn("dense_score", F.round("dense_score", DIGITS))
+    both["scored"] = scored.join(both["queries"].select("query_id", "split"), "query_id").checkpoint()
+    both["qrels"] = both["qrels"].join(both["queries"].select("query_id", "split"), "query_id")
+    return both
+
+
+def _method_rows(runs, qrels):
+    """One report row per (dataset, method) of a union of runs, in one evaluation."""
+    union = None
+    for method, run in runs:
+        part = run.select("dataset", F.lit(method).alias("method"), "query_id", "doc_id", "score")
+        union = part if union is None else union.unionByName(part)
+    found = mean_metrics(union, qrels, DEFAULT_MEASURES, group_cols=["dataset", "method"], judged_cols=["dataset"])
+    return found.select("dataset", "method", *DEFAULT_MEASURES)
+
+
+def _tuned_mixture(both):
+    """F2 on the training queries of ``documents``, F1 on the test queries of both: (alpha, run)."""
+    train = "dataset = 'documents' and split = 'train'"
+    alpha = FU.best_alpha(FU.tune_alpha(both["scored"].filter(train), both["qrels"].filter(train), score_digits=DIGITS))
+    _, run = FU.apply_mixture(both["scored"].filter("split = 'vali'"), alpha, top_k=20, run_name="mixture", score_digits=DIGITS)
+    return alpha, run.withColumn("dataset", F.substring_index("query_id", ":", 1))
 
 
 def _scored_candidates(spark, sf):
@@ -311,19 +367,14 @@ def mixture_tune(spark, sf):
 
 
 def mixture_report(spark, sf):
-    """F1 + F3 + E11 + U1: BM25@20, dense@20 and mixture@20 (tuned alpha) on the validation
-    queries, one report row per method."""
-    _, _, scored, qr = _scored_candidates(spark, sf)
-    alpha = FU.best_alpha(FU.tune_alpha(scored.filter("split = 'train'"), qr.filter("split = 'train'"), score_digits=DIGITS))
-    test = scored.filter(F.col("split") == "vali")
-    _, mix_run = FU.apply_mixture(test, alpha, top_k=20, run_name="mixture", score_digits=DIGITS)
-    dense_run = make_ranked_run(test, "dense_score", "dense", 20)
-    bm25_run = top_k_per_query(test, 20)
-    rows = None
-    for method, run in (("BM25", bm25_run), ("Dense", dense_run), (f"Mixture a={alpha:.2f}", mix_run)):
-        m = mean_metrics(run, qr.filter("split = 'vali'"), DEFAULT_MEASURES).withColumn("method", F.lit(method))
-        rows = m if rows is None else rows.unionByName(m)
-    return rounded(rows.select("method", *DEFAULT_MEASURES))
+    """F1 + F3 + E11 + U1: BM25@20, dense@20 and mixture@20 (alpha tuned on the training queries of ``documents``) on the test queries of both
+    collections, one report row per (dataset, method)."""
+    both = scored_datasets(spark, sf)
+    alpha, mix_run = _tuned_mixture(both)
+    test = both["scored"].filter("split = 'vali'")
+    dense_run = make_ranked_run(test, "dense_score", "dense", 20, partition_cols=["dataset"])
+    runs = [("BM25", top_k_per_query(test, 20)), ("Dense", dense_run), (f"Mixture a={alpha:.2f}", mix_run)]
+    return rounded(_method_rows(runs, both["qrels"].filter("split = 'vali'"))).orderBy("dataset", "method")
 
 
 from ..operators.ranking import make_ranked_run  # noqa: E402
@@ -497,27 +548,33 @@ QUERIES.update({
 # ------------------------------------------------------------------ pooled collections, grouped split
 from ..operators import pools as PL  # noqa: E402
 
-POOL_K = 20
+# Pools are stored in rows of at most so many documents.
+POOL_ROWS = 64
 
 
 def pooled_examples(spark, sf, layout: str = "array"):
-    """Pooled examples from the tables: the pool of a benchmark query is its BM25 top 20 over
-    the documents (title = document source, chunk = text, support = derived relevance)."""
+    """Pooled examples from the tables: with n queries, the pool of query q is every document whose id is q modulo n (title = document source, chunk =
+    text, support = derived relevance), so the pools hold the whole collection. A pool is stored in rows of
+    ``POOL_ROWS`` documents (``part`` counts them)."""
     docs, queries = _io(spark, sf)
-    run = bm25_search(docs, queries, top_k=POOL_K, run_name="pool", score_digits=DIGITS)
-    qr = derive_qrels(docs, queries)
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", F.col("source").alias("dsrc"))
-    e = run.join(d, "doc_id").join(qr, ["query_id", "doc_id"], "left")
-    entry = F.struct("rank", F.col("dsrc").alias("doc_name"), F.col("text").alias("doc_chunk"),
+    n = queries.count()
+    raw = table(spark, sf, "documents").filter("doc_id is not null")
+    at = F.call_function("div", F.col("doc_id"), F.lit(n).cast("long"))
+    d = raw.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.pmod("doc_id", F.lit(n)).cast("string").alias("query_id"), at.alias("at"),
+        F.call_function("div", at, F.lit(POOL_ROWS).cast("long")).cast("int").alias("part"), "text", "lang", F.col("source").alias("dsrc"),
+    )
+    e = d.join(derive_qrels(docs, queries), ["query_id", "doc_id"], "left")
+    entry = F.struct("at", F.col("dsrc").alias("doc_name"), F.col("text").alias("doc_chunk"),
                      F.coalesce("relevance", F.lit(0)).alias("support"), "lang")
-    g = e.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_p"))  # bounded: POOL_K per query
+    g = e.groupBy("query_id", "part").agg(F.array_sort(F.collect_list(entry)).alias("_p"))  # at most POOL_ROWS a group
     pool = F.transform("_p", lambda x: F.struct(x["doc_name"].alias("doc_name"), x["doc_chunk"].alias("doc_chunk"), x["support"].alias("support")))
     if layout == "struct":
         def field(name):
             return lambda x: x[name]
         pool = F.struct(*[F.transform("_p", field(n)).alias(n) for n in ("doc_name", "doc_chunk", "support")])
     out = g.join(queries.withColumnRenamed("text", "query"), "query_id").select(
-        "query_id", "query",
+        "query_id", "query", "part",
         F.col("_p")[0]["lang"].alias("source"),
         F.col("_p")[0]["doc_name"].alias("doc_url"),
         F.struct(F.lit(None).cast("string").alias("mapped_id")).alias("oracle"),
@@ -527,23 +584,26 @@ def pooled_examples(spark, sf, layout: str = "array"):
     return out.withColumn("ex_ord", F.col("query_id").cast("long")).checkpoint(eager=True)
 
 
+IN_PARTS = {"part_col": "part", "part_rows": POOL_ROWS}
+
+
 def pool_collection_docs(spark, sf):
     """C1-C4 + A19: documents of the pooled collection (first occurrence wins)."""
-    return PL.build_collection(pooled_examples(spark, sf), "ex_ord")[0]
+    return PL.build_collection(pooled_examples(spark, sf), "ex_ord", **IN_PARTS)[0]
 
 
 def pool_collection_qrels(spark, sf):
     """C4 + U2: qrels of the pooled collection (struct-of-arrays layout, distinct rows)."""
-    return PL.build_collection(pooled_examples(spark, sf, "struct"), "ex_ord")[2]
+    return PL.build_collection(pooled_examples(spark, sf, "struct"), "ex_ord", **IN_PARTS)[2]
 
 
 def pool_bm25(spark, sf):
     """BM25 inside each query's own pool (per-pool statistics), all pools in one job."""
-    return PL.pooled_bm25(pooled_examples(spark, sf), top_k=100, score_digits=DIGITS)
+    return PL.pooled_bm25(pooled_examples(spark, sf), top_k=100, score_digits=DIGITS, **IN_PARTS)
 
 
 def _grouped(spark, sf):
-    px = pooled_examples(spark, sf)
+    px = pooled_examples(spark, sf).filter("part = 0")  # one row per example
     px = px.withColumn("group_key", PL.group_key(px))
     return SP.grouped_split(px.select("query_id", "group_key", "source"), "group_key", "source", 0.1, 42)
 
@@ -663,25 +723,24 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------------ final comparison report
+def _report_rows(both, queries_of):
+    """BM25, re-ranked (k = 20), dense and mixture rows of both datasets on the test queries."""
+    test, qrels = both["scored"].filter("split = 'vali'"), both["qrels"].filter("split = 'vali'")
+    alpha, mix_run = _tuned_mixture(both)
+    first = top_k_per_query(test, 20)
+    ce = DN.score_pairs_cross(first, both["queries"], both["docs"]).withColumn("rerank_score", F.round("rerank_score", DIGITS))
+    ce_run = make_ranked_run(ce, "rerank_score", "ce", 20, partition_cols=["dataset"])
+    dv = DN.hashed_embeddings(both["docs"], "doc_id", "text", EMBED_DIM).withColumnRenamed("id", "doc_id").withColumn("dataset", F.substring_index("doc_id", ":", 1))
+    qv = DN.hashed_embeddings(queries_of, "query_id", "text", EMBED_DIM).withColumnRenamed("id", "query_id").withColumn("dataset", F.substring_index("query_id", ":", 1))
+    dense = DN.dense_search(dv, qv, top_k=20, run_name="dense", score_digits=DIGITS, group_col="dataset")
+    return _method_rows([("BM25", first), ("CE k=20", ce_run), ("Dense hash64", dense), (f"Mixture a={alpha:.2f}", mix_run)], qrels)
+
+
 def final_report(spark, sf):
-    """E11 + U1: methods side by side per dataset (documents: BM25, re-rank, dense; pools: BM25
-    per pool), labelled, unioned and sorted."""
-    docs, queries, _, _, run = _candidates(spark, sf, 20)
-    _, _, dv, qv = _vecs(spark, sf)
-    qr = derive_qrels(docs, queries)
-    dense = DN.dense_search(dv, qv, top_k=20, run_name="dense", score_digits=DIGITS)
-    ce = DN.score_pairs_cross(run, queries, docs).withColumn("rerank_score", F.round("rerank_score", DIGITS))
-    ce_run = make_ranked_run(ce, "rerank_score", "ce", 20)
-    pooled = pooled_examples(spark, sf)
-    pool_run = PL.pooled_bm25(pooled, top_k=100, score_digits=DIGITS)
-    pool_qrels = PL.build_collection(pooled, "ex_ord")[2]
-    parts = [("documents", "BM25", run, qr), ("documents", "CE k=20", ce_run, qr), ("documents", "Dense hash64", dense, qr),
-             ("pools", "BM25 per pool", pool_run, pool_qrels)]
-    out = None
-    for ds, method, r, q in parts:
-        m = mean_metrics(r, q, DEFAULT_MEASURES).select(F.lit(ds).alias("dataset"), F.lit(method).alias("method"), *DEFAULT_MEASURES)
-        out = m if out is None else out.unionByName(m)
-    return rounded(out).orderBy("dataset", "method")
+    """E11 + U1: BM25, re-ranker, dense search and mixture side by side on the test queries of both collections, sorted."""
+    both = scored_datasets(spark, sf)
+    rows = _report_rows(both, both["queries"].filter("split = 'vali'"))
+    return rounded(rows).orderBy("dataset", "method")
 
 
 QUERIES["final_report"] = final_report
@@ -752,19 +811,29 @@ def _fit_end_to_end(train, rounds=200, patience=20):
     return RT.fit_ranker(fit, "YetiRank", depth=6, rounds=rounds, vali=held, patience=patience, k=20)
 
 
+def _tree_ltr_rows(both):
+    """Features of every candidate, trees fitted on the training queries of ``documents``, applied to the test queries of both."""
+    feats = FE.extract_lexical_features(both["scored"].drop("run_name", "Q0"), both["docs"], both["queries"])
+    frame = FE.ltr_frame(feats, both["qrels"].drop("split", "dataset")).checkpoint(eager=True)
+    where = both["queries"].select("query_id", "dataset", "split")
+    frame = frame.drop("dataset", "split").join(where, "query_id").withColumnRenamed("relevance", "label")
+    model = _fit_end_to_end(frame.filter("dataset = 'documents' and split = 'train'").drop("split"))
+    pred = frame.filter("split = 'vali'").withColumn("score", F.round(model.score(F.col("features")), DIGITS))
+    run = make_ranked_run(pred, "score", "tree_ltr", 20, partition_cols=["dataset"])
+    return _method_rows([("Tree LTR", run)], both["qrels"].filter("split = 'vali'"))
+
+
 def ltr_end_to_end(spark, sf):
     """L15 + L11-L13 + L7 + E8: BM25 candidates -> dense score -> lexical features -> trees of the ranking loss fit on the training
-    queries -> applied to the validation queries -> top 20 -> metrics (rows only: includes a model fit)."""
-    docs, queries, dv, qv, run = _candidates(spark, sf, CANDIDATE_K)
-    scored = DN.score_pairs_biencoder(run, qv, dv)
-    feats = FE.extract_lexical_features(scored, docs, queries)
-    qr = derive_qrels(docs, queries)
-    split = SP.query_split(queries, "query_id", 0.1, 42).select("query_id", "split")
-    frame = FE.ltr_frame(feats, qr).join(split, "query_id").checkpoint(eager=True)
-    model = _fit_end_to_end(frame.filter(F.col("split") == "train").withColumnRenamed("relevance", "label"))
-    pred = frame.filter(F.col("split") == "vali").withColumn("score", F.round(model.score(F.col("features")), DIGITS))
-    ltr_run = make_ranked_run(pred, "score", "tree_ltr", 20)
-    return rounded(mean_metrics(ltr_run, qr.join(split.filter("split = 'vali'"), "query_id", "left_semi"), DEFAULT_MEASURES))
+    queries of ``documents`` -> applied to the test queries of both collections -> top 20 -> metrics (rows only: includes a model fit)."""
+    return rounded(_tree_ltr_rows(scored_datasets(spark, sf))).orderBy("dataset", "method")
+
+
+def final_report_all(spark, sf):
+    """The rows of ``final_report`` and of ``ltr_end_to_end`` in one table (rows only: includes a model fit)."""
+    both = scored_datasets(spark, sf)
+    rows = _report_rows(both, both["queries"].filter("split = 'vali'")).unionByName(_tree_ltr_rows(both))
+    return rounded(rows).orderBy("dataset", "method")
 
 
 QUERIES.update({
@@ -772,4 +841,5 @@ QUERIES.update({
     "ltr_staged_eval": ltr_staged_eval,
     "ltr_saved_models": ltr_saved_models,
     "ltr_end_to_end": ltr_end_to_end,
+    "final_report_all": final_report_all,
 })

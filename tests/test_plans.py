@@ -157,6 +157,40 @@ def test_dense_blocks_equal_all_pairs_and_pass_no_driver(spark, monkeypatch):
     assert DN.dense_search(empty, q).count() == 0 and DN.dense_search(d, q.limit(0)).count() == 0
 
 
+def test_dense_groups_of_different_lengths_stay_apart(spark):
+    r = np.random.default_rng(4)
+    rows = [(f"d{g}{i}", [float(v) for v in r.normal(size=3 + g)], f"g{g}") for i in range(30) for g in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id string, embedding array<double>, ds string").repartition(3)
+    q = d.filter("doc_id like '%1'").withColumnRenamed("doc_id", "query_id")
+    got = DN.dense_search(d, q, top_k=4, doc_rows=7, query_rows=2, group_col="ds").collect()
+    by_id = {i: (v, g) for i, v, g in rows}
+    for qid in {x.query_id for x in got}:
+        v, g = by_id[qid]
+        want = sorted((-float(np.dot(v, w)), i) for i, (w, h) in by_id.items() if h == g)[:4]
+        assert [(x.doc_id, x.ds) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == qid] == [(i, g) for _, i in want]
+
+
+def test_means_are_over_the_judged_queries_of_a_groups_own_dataset(spark):
+    run = spark.createDataFrame([("a", "m", "a:1", "x", 1.0), ("b", "m", "b:1", "x", 1.0)], "dataset string, method string, query_id string, doc_id string, score double")
+    qrels = spark.createDataFrame([("a", "a:1", "x", 1), ("a", "a:2", "x", 1), ("b", "b:1", "x", 1)], "dataset string, query_id string, doc_id string, relevance int")
+    got = EV.mean_metrics(run, qrels, {"P@1": EV.Measure("P", 1)}, group_cols=["dataset", "method"], judged_cols=["dataset"]).collect()
+    assert {r.dataset: r["P@1"] for r in got} == {"a": 0.5, "b": 1.0}
+
+
+def test_a_pool_in_several_rows_counts_on(spark):
+    from rankframe.operators import pools as PL
+
+    entry = "array<struct<doc_name:string,doc_chunk:string,support:int>>"
+    whole = [("t%d" % i, "chunk %d" % (i % 5), i % 2) for i in range(7)]
+    one = spark.createDataFrame([("q", "find chunk 3", "s", 0, 1, whole)], f"query_id string, query string, source string, part int, o int, doc_pool {entry}")
+    parts = spark.createDataFrame([("q", "find chunk 3", "s", k, 1, whole[3 * k : 3 * k + 3]) for k in range(3)], one.schema)
+    how = {"part_col": "part", "part_rows": 3}
+    for a, b in zip(PL.build_collection(one, "o"), PL.build_collection(parts, "o", **how)):
+        assert sorted(a.collect()) == sorted(b.collect())
+    same = lambda df: sorted((r.doc_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    assert same(PL.pooled_bm25(one)) == same(PL.pooled_bm25(parts, **how)) and PL.pooled_bm25(parts, **how).count() == 7
+
+
 # ------------------------------------------------------------------ counts and forms inside a row
 def test_term_counts_and_places(spark):
     from collections import Counter
