@@ -1,7 +1,7 @@
 """File sources and sinks (S1-S5, S10-S12): declared schemas, no inference."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokenize
@@ -90,3 +90,29 @@ def check_contract(df: DataFrame, required: list[str], unique: str | None = None
         raise ValueError(f"nulls in {bad}")
     if unique and row["dup"]:
         raise ValueError(f"{unique} is not unique")
+
+
+def write_checked(df: DataFrame, path: str, required: list[str], unique: str | None = None, fail: bool = True) -> DataFrame:
+    """Write ``df`` to ``path`` (parquet, replaced) and check its contract by the job that writes it.
+
+    Row and null counts are metrics that the writing job observes, so they cost no pass of their own; repeats of ``unique`` are counted afterwards
+    from that one column of the written table, partial counts first. Returns ``column, n_rows, n_null, n_repeated`` (null for
+    columns that need not be unique). A column that is missing raises before anything is written; nulls or repeats raise with the
+    columns named unless ``fail`` is false, and leave the written table for inspection."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"table lacks {missing}")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(required)]).write.mode("overwrite").parquet(path)
+    metrics = seen.get
+    spark = df.sparkSession
+    repeated = None
+    if unique is not None:
+        sizes = spark.read.schema(df.schema).parquet(path).filter(F.col(unique).isNotNull()).groupBy(unique).agg(F.count(F.lit(1)).alias("n"))
+        repeated = sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    nulls = {c: metrics[f"null_{i}"] for i, c in enumerate(required)}
+    bad = [f"nulls in {c}" for c, n in nulls.items() if n] + ([f"{unique} is not unique"] if repeated else [])
+    if fail and bad:
+        raise ValueError("; ".join(bad))
+    rows = [(c, metrics["rows"], nulls[c], repeated if c == unique else None) for c in required]
+    return spark.createDataFrame(rows, "column string, n_rows long, n_null long, n_repeated long")

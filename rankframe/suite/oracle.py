@@ -262,6 +262,30 @@ WITH {_CANDS(20)}
 SELECT r.*, round({_dot('q.embedding', 'd.embedding')}, 6) AS dense_score
 FROM run r LEFT JOIN cv_q q ON q.id = r.query_id LEFT JOIN cv_d d ON d.id = r.doc_id"""
 
+ORACLE["dense_embed_model"] = ORACLE["dense_embed"]
+
+ORACLE["cross_pairs_model"] = f"""
+WITH {S.bm25_scores()},
+{S.ranked_all_pairs("b_sc", "b_d2", S.QUERIES, 20, "bm25", "run")}
+SELECT query_id, doc_id, rank,
+       round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ds)) / len(qs) ELSE 0 END
+           + CASE WHEN len(ds) > 0 THEN len(list_intersect(qs, ds)) / len(ds) ELSE 0 END * 0.001, 6) AS rerank_score
+FROM (SELECT c.query_id, c.doc_id, c.rank, list_distinct({S.tok('q.text')}) AS qs, list_distinct({S.tok('d.text')}) AS ds
+      FROM run c LEFT JOIN ({S.QUERIES}) q USING (query_id) LEFT JOIN ({S.DOCS}) d USING (doc_id))"""
+
+
+def _checked(name: str, source: str, columns: dict[str, str], key: str) -> str:
+    """Rows, nulls and repeats of each column of a source."""
+    repeated = lambda c: f"CAST(count({c}) - count(DISTINCT {c}) AS BIGINT)" if c == key else "CAST(NULL AS BIGINT)"
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", '{alias}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, {repeated(c)} AS n_repeated FROM {source}"
+        for alias, c in columns.items())
+
+
+ORACLE["contract_checks"] = " UNION ALL ".join([
+    _checked("documents", "documents", {"doc_id": "doc_id", "text": "text", "lang": "lang", "source": "source"}, "doc_id"),
+    _checked("queries", "benchmark", {"query_id": "item_id", "text": "text"}, "item_id")])
+
 _KS = ", ".join(str(k) for k in RERANK_KS)
 ORACLE["rerank_sweep"] = f"""
 WITH {_CANDS(100)},

@@ -246,6 +246,30 @@ def dense_embed(spark, sf):
     return rounded(DN.hashed_embeddings(load_docs(spark, sf), "doc_id", "text", EMBED_DIM))
 
 
+def dense_embed_model(spark, sf):
+    """R7 + X4: the same vectors from a batch encoder, loaded once per worker and fed by length."""
+    return rounded(DN.embed(load_docs(spark, sf), "doc_id", "text", lambda: DN.hashed_encoder(EMBED_DIM), EMBED_DIM, name=f"hashed-{EMBED_DIM}"))
+
+
+def cross_pairs_model(spark, sf):
+    """R10 + X4 + J3: every BM25 top-20 candidate pair scored by a batch pair model."""
+    docs, queries, _, _, run = _candidates(spark, sf, 20)
+    return rounded(DN.score_pairs_cross(run, queries, docs, scorer=DN.pair_scorer(DN.overlap_pair_model)).select("query_id", "doc_id", "rank", "rerank_score"))
+
+
+def contract_checks(spark, sf):
+    """The canonical documents and queries, checked by the jobs that write them: rows, nulls and repeated ids per column."""
+    import uuid
+
+    from ..sources.files import write_checked
+
+    folder = f"{ensure_checkpoint_dir(spark)}/checked-{uuid.uuid4().hex}"
+    raw = {"documents": ("doc_id", table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")),
+           "queries": ("query_id", table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text"))}
+    found = [write_checked(df, f"{folder}/{name}", df.columns, unique=key, fail=False).select(F.lit(name).alias("table"), "*") for name, (key, df) in raw.items()]
+    return found[0].unionByName(found[1])
+
+
 def dense_top10(spark, sf):
     """Exact dense top 10 per query over all documents."""
     _, _, dv, qv = _vecs(spark, sf)
@@ -381,6 +405,9 @@ from ..operators.ranking import make_ranked_run  # noqa: E402
 
 QUERIES.update({
     "dense_embed": dense_embed,
+    "dense_embed_model": dense_embed_model,
+    "cross_pairs_model": cross_pairs_model,
+    "contract_checks": contract_checks,
     "dense_top10": dense_top10,
     "biencoder_pairs": biencoder_pairs,
     "rerank_sweep": rerank_sweep,

@@ -56,6 +56,70 @@ def test_embedding_store_reuses_and_reembeds_changed_text(spark, tmp_path):
     assert calls[-1] == 1  # only the changed text is embedded again
 
 
+def test_embedding_store_opens_one_folder_and_embeds_nothing_twice(spark, tmp_path):
+    from rankframe.operators.dense import cached_embeddings, hashed_embeddings
+
+    store, seen = str(tmp_path / "store"), []
+    items = spark.createDataFrame([("1", "a b"), ("2", "c"), ("2", "c"), ("3", None)], "id string, text string")
+    for model in ("m1", "m2"):
+        compute = lambda df: seen.append(df.count()) or hashed_embeddings(df, "id", "text", 8)
+        got = cached_embeddings(store, items, model, "doc", compute)
+    assert {f for f in os.listdir(store) if f.startswith("model=")} == {"model=m1", "model=m2"} and seen == [3, 3]
+    again = cached_embeddings(store, items, "m2", "doc", compute)
+    assert seen == [3, 3, 0] and again.count() == got.count() == 4
+    text = again._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model" in text and "(model#" in text
+
+
+def test_write_checked(spark, tmp_path):
+    import pytest
+
+    from rankframe.sources.files import write_checked
+
+    df = spark.createDataFrame([("a", "x"), ("a", None), (None, "y"), ("b", "z"), ("a", "w")], "id string, text string").repartition(3)
+    path = str(tmp_path / "t")
+    found = write_checked(df, path, ["id", "text"], unique="id", fail=False).collect()
+    assert [tuple(r) for r in found] == [("id", 5, 1, 2), ("text", 5, 1, None)]
+    assert spark.read.parquet(path).count() == 5
+    with pytest.raises(ValueError, match="nulls in id; nulls in text; id is not unique"):
+        write_checked(df, path, ["id", "text"], unique="id")
+    with pytest.raises(ValueError, match="lacks"):
+        write_checked(df, str(tmp_path / "u"), ["id", "nope"])
+    assert not os.path.exists(tmp_path / "u")
+    good = write_checked(df.filter("id = 'b'"), path, ["id", "text"], unique="id")
+    assert good.count() == 2 and spark.read.parquet(path).count() == 1
+    empty = write_checked(df.limit(0), path, ["id"], unique="id").first()
+    assert (empty.n_rows, empty.n_null, empty.n_repeated) == (0, 0, 0)
+
+
+def test_batch_models_are_loaded_once_and_fed_by_length(spark):
+    from rankframe.operators import dense as DN
+
+    texts = [("%d" % i, " ".join(f"w{j}" for j in range((i * 7) % 23))) for i in range(200)] + [("n", None)]
+    df = spark.createDataFrame(texts, "id string, text string").repartition(4)
+
+    def factory():
+        one = DN.hashed_encoder(16)
+
+        def encode(batch):
+            sizes = [len(t) for t in batch]
+            assert len(batch) <= 8 and sizes == sorted(sizes)
+            return one(batch)
+
+        return encode
+
+    got = {r.id: r.embedding for r in DN.embed(df, "id", "text", factory, 16, name="checked", batch=8).collect()}
+    want = {r.id: r.embedding for r in DN.hashed_embeddings(df, "id", "text", 16).collect()}
+    assert len(got) == 201 and all(abs(a - b) < 1e-6 for k in want for a, b in zip(got[k], want[k]))
+    assert [list(x) for x in DN.by_length([3, 1, 2, 1], 3)] == [[1, 3, 2], [0]]
+    calls = []
+    assert DN.model_of("once", lambda: calls.append(1) or "m") == DN.model_of("once", lambda: calls.append(1)) == "m" and calls == [1]
+    pairs = spark.createDataFrame([("a b", "b c d"), (None, "x"), ("x", None), ("", "")], "q string, d string")
+    score = DN.pair_scorer(DN.overlap_pair_model, batch=2)
+    rows = pairs.select(score("q", "d").alias("m"), DN.lexical_overlap_scorer(F.coalesce("q", F.lit("")), F.coalesce("d", F.lit(""))).alias("s")).collect()
+    assert all(abs(r.m - r.s) < 1e-12 for r in rows)
+
+
 def test_model_store(spark, tmp_path):
     from rankframe.operators.ltr import apply_model, save_or_load, train_gbt
     df = spark.createDataFrame([(i % 3, float(i % 2), [float(i), float(i % 5)]) for i in range(60)], "group_id long, label float, features array<float>")
