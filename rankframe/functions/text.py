@@ -79,8 +79,8 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _runs(ordered: Column, same, made) -> Column:
-    """``made(first, length)`` for each run of neighbours of a sorted array that are the ``same`` (1-based ``first``)."""
+def runs_of(ordered: Column, same, made) -> Column:
+    """``made(array, first, length)`` for each run of neighbours of a sorted array that are the ``same`` (1-based ``first``); null for an empty array."""
 
     def cut(s):
         ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | ~same(F.get(s, i - 1), F.get(s, i)))
@@ -93,13 +93,13 @@ def _runs(ordered: Column, same, made) -> Column:
 def term_counts(tokens: Column | str) -> Column:
     """array<struct<term, tf>> of a token array, by run lengths of its sorted tokens (null for no tokens): a row counts its own
     terms, without a shuffle."""
-    return _runs(F.sort_array(_c(tokens)), lambda a, b: a == b, lambda s, i, n: F.struct(F.get(s, i - 1).alias("term"), n.cast("long").alias("tf")))
+    return runs_of(F.sort_array(_c(tokens)), lambda a, b: a == b, lambda s, i, n: F.struct(F.get(s, i - 1).alias("term"), n.cast("long").alias("tf")))
 
 
 def term_places(tokens: Column | str) -> Column:
     """array<struct<word, places>> of a token array: each distinct word with the 0-based places where it stands (null for no tokens)."""
     placed = F.sort_array(F.transform(_c(tokens), lambda t, i: F.struct(t.alias("word"), i.alias("at"))))
-    return _runs(
+    return runs_of(
         placed, lambda a, b: a["word"] == b["word"],
         lambda s, i, n: F.struct(F.get(s, i - 1)["word"].alias("word"), F.slice(s, i, n)["at"].alias("places")),
     )

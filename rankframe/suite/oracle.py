@@ -66,6 +66,10 @@ ORACLE["term_freq"] = f"""
 WITH {_WORDS}
 SELECT * FROM s_tf"""
 
+ORACLE["term_freq_table"] = f"""
+WITH {_WORDS}
+SELECT * FROM s_tf WHERE NOT is_stopword"""
+
 ORACLE["stopword_coverage"] = f"""
 WITH {_WORDS}
 SELECT CAST(sum(CASE WHEN is_stopword THEN count ELSE 0 END) AS BIGINT) AS stop_occurrences,
@@ -156,9 +160,9 @@ SELECT query_id, split FROM sp"""
 _GRID_VALUES = ", ".join(f"({k1}, {b})" for k1, b in GRID)
 
 
-def _grid_runs(split: str, top_k: int, grid_values: str = _GRID_VALUES) -> str:
+def _grid_runs(split: str, top_k: int, grid_values: str = _GRID_VALUES, docs: str = S.DOCS, queries: str = "sp") -> str:
     return f"""
-{S.bm25_scores(queries=f"SELECT query_id, text FROM sp WHERE split = '{split}'", prefix='g')},
+{S.bm25_scores(docs=docs, queries=f"SELECT query_id, text FROM {queries} JOIN (SELECT query_id, split FROM sp) USING (query_id) WHERE split = '{split}'" if queries != "sp" else f"SELECT query_id, text FROM sp WHERE split = '{split}'", prefix='g')},
 g_grid AS (SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b FROM (VALUES {grid_values}) t(k1, b)),
 g_sc2 AS (SELECT g_grid.k1, g_grid.b, query_id, doc_id,
              sum(qtf * idf * tf * (g_grid.k1 + 1) / (tf + g_grid.k1 * (1 - g_grid.b + g_grid.b * dl / avgdl))) AS score
@@ -603,6 +607,16 @@ WITH {_VOCAB},
 {_LEMMA}
 SELECT * FROM lemma_map"""
 
+ORACLE["bm25_grid_lemmatized"] = f"""
+WITH {_VOCAB},
+{_LEMMA},
+{_SPLIT},
+{_grid_runs("vali", 10, docs="SELECT * FROM " + _DOCV["lemmatized"], queries=_QV["lemmatized"])},
+{S.QRELS},
+qrels_vali AS (SELECT q.* FROM qrels q JOIN sp USING (query_id) WHERE sp.split = 'vali'),
+{S.evaluate("g_run", "qrels_vali", "gl", group=["k1", "b"], measures=[("P@10", "P", 10)], digits=12)}
+SELECT k1, b, round("P@10", 6) AS "P@10" FROM gl"""
+
 ORACLE["query_versions"] = f"""
 WITH {_NORM}
 SELECT query_id, text, 'original' AS variant FROM ({_QV['original']})

@@ -74,7 +74,7 @@ QUERIES: dict[str, QueryFn] = {
 
 # ------------------------------------------------------------------ statistics
 from ..operators import stats as ST  # noqa: E402
-from ..sources.testdata import STOPWORDS  # noqa: E402
+from ..sources.testdata import STOPWORDS, stopword_frame  # noqa: E402
 
 
 def collection_stats(spark, sf):
@@ -84,7 +84,14 @@ def collection_stats(spark, sf):
 
 def term_freq(spark, sf):
     """A4 + P6: frequency list with stopword flag."""
-    return ST.term_frequencies(load_docs(spark, sf), STOPWORDS)
+    return ST.term_frequencies(load_docs(spark, sf), STOPWORDS, ordered=True)
+
+
+def term_freq_table(spark, sf):
+    """A4 + P6: the list of words without stopwords, the stopwords in a table (flag by a left join, filter by an anti join)."""
+    stop = stopword_frame(spark)
+    flagged = ST.term_frequencies(load_docs(spark, sf), stop, ordered=True)
+    return ST.without_stopwords(flagged, stop).orderBy(F.desc("count"), "word")
 
 
 def stopword_coverage(spark, sf):
@@ -137,6 +144,7 @@ def query_stats_per_query(spark, sf):
 QUERIES.update({
     "collection_stats": collection_stats,
     "term_freq": term_freq,
+    "term_freq_table": term_freq_table,
     "stopword_coverage": stopword_coverage,
     "top_words": top_words,
     "zipf": zipf,
@@ -186,6 +194,18 @@ def bm25_grid(spark, sf):
     return rounded(_grid_long(spark, sf))
 
 
+def bm25_grid_lemmatized(spark, sf):
+    """R5 on the lemmatised text: the same grid over the rewritten collection and validation queries."""
+    from ..operators import normalize as NZ
+
+    docs, q = _split_queries(spark, sf)
+    dv, qv = (df.filter("variant = 'lemmatized'").drop("variant") for df in NZ.text_variants(docs, q))
+    vali = q.filter(F.col("split") == "vali").drop("split")
+    found = TU.grid_search_bm25(dv, qv.join(vali.select("query_id"), "query_id", "left_semi"), _judged(docs, q, vali), GRID, "P@10", Measure("P", 10), top_k=10,
+                                score_digits=DIGITS)
+    return rounded(found).orderBy(F.desc("P@10"), "k1", "b")
+
+
 def bm25_grid_pivot(spark, sf):
     """Grid pivot, rounded to 4 decimals."""
     return TU.grid_pivot(_grid_long(spark, sf), "P@10", GRID_B)
@@ -213,6 +233,7 @@ def bm25_tuned_eval(spark, sf):
 QUERIES.update({
     "query_split": query_split,
     "bm25_grid": bm25_grid,
+    "bm25_grid_lemmatized": bm25_grid_lemmatized,
     "bm25_grid_pivot": bm25_grid_pivot,
     "bm25_grid_marginals": bm25_grid_marginals,
     "bm25_grid_best": bm25_grid_best,

@@ -231,3 +231,29 @@ def test_tfidf_has_one_exchange_of_documents(spark):
     assert not any("hashpartitioning" in line and "term" in line and "doc_id" in line for line in text.split("\n"))
     tree = [line for line in text.split("\n") if "Exchange hashpartitioning(doc_id" in line]
     assert len(tree) == 1  # the collection's own clustering
+
+
+# ------------------------------------------------------------------ size checks, stopword tables
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    from rankframe.plans.broadcast import checked_broadcast, table_size
+
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 10_000).alias("text"), F.array(F.lit("a"), F.repeat(F.lit("b"), 1000)).alias("terms"),
+                                  F.struct(F.lit(1).alias("n"), F.array_repeat(F.lit(1.0), 100).alias("v")).alias("s"), F.lit(None).cast("map<string,int>").alias("m"))
+    n, size = table_size(wide)
+    assert n == 50 and 50 * 11_800 <= size <= 50 * 12_500
+    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(checked_broadcast(wide)) and not hint(checked_broadcast(wide, max_bytes=100_000)) and not hint(checked_broadcast(wide, max_rows=49))
+    assert table_size(wide.limit(0)) == (0, 0)
+
+
+def test_stopwords_as_a_table(spark, tmp_path):
+    from rankframe.sources.files import read_stopwords, write_json_record
+
+    (tmp_path / "stop.txt").write_text("the\n\n of \nthe\n")
+    stop = read_stopwords(spark, str(tmp_path / "stop.txt"))
+    docs = spark.createDataFrame([("1", "the cat of the hats"), ("2", "hats of"), ("3", "")], "doc_id string, text string")
+    by_list, by_table = (ST.term_frequencies(docs, s, ordered=True).collect() for s in (["the", "of"], stop))
+    assert by_list == by_table and [r.word for r in by_table] == ["hats", "of", "the", "cat"]
+    assert {r.word for r in ST.without_stopwords(ST.term_frequencies(docs, stop), stop).collect()} == {"cat", "hats"}
+    write_json_record(ST.stopword_coverage(docs, stop), str(tmp_path / "record"))
+    assert spark.read.json(str(tmp_path / "record")).first().stop_occurrences == 4
