@@ -1,17 +1,22 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi (operator 5).
 
-The vocabulary comes from a given model file and is never trained. A text is cut at single spaces into
-marked words (U+2581 and the characters up to the next space); pieces do not cross marked words. Each Arrow batch
-sorts its distinct marked words and walks them as a trie, depth first: a word keeps the forward scores of the prefix
-that it shares with the word before. The path with the highest sum of piece scores wins; characters that
-no piece covers become UTF-8 byte pieces. Ids of a model of kind BPE therefore are the best-scoring
-segmentation, which is not always the one its merges give.
-
-Exact round trip: a U+2581 in the text itself is always encoded as bytes, so it is never
-mistaken for a space.
+The vocabulary comes from a given model file and is never trained. A text is cut into marked words: runs of spaces, written as
+U+2581, each with the characters up to the next space; pieces do not cross marked words. Each Arrow batch sorts its distinct marked
+words and walks them as a trie, depth first: a word keeps the forward states of the prefix that it shares with the word before.
+
+* Unigram models: the state of a prefix is its best sum of piece scores and the last step to it.
+* BPE models: their scores are merge ranks, not log probabilities, so no sum of them is maximal on the segmentation that the
+  merges give. But each prefix has one such segmentation, and a sequence of pieces is it exactly when the merges leave
+  every two neighbours as they are. So the state of a prefix is its last piece: the one piece that ends there and stands next to the last piece of
+  what is before it. Ids equal the library's.
+
+Characters that no piece covers become UTF-8 byte pieces. Exact round trip: a U+2581 in the text itself is always encoded as bytes, so it
+is never mistaken for a space.
 """
 from __future__ import annotations
 
+import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -27,16 +32,23 @@ MARK = "▁"
 _loaded: dict = {}
 
 
+# Stands for a U+2581 of the text while it is encoded; no decoded text holds a lone surrogate.
+LITERAL = "\udfff"
+UNITS = re.compile(f"{MARK}+[^{MARK}]*")
+
+
 class Vocabulary:
-    """Pieces of a model file: scores by string, byte ids, and bytes by id."""
+    """Pieces of a model file: scores by string, byte ids, and bytes by id. ``kind`` is ``bpe`` or ``unigram``; by default it is told
+    from the scores, which are whole numbers (minus the rank) in a BPE model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.scores: dict[str, tuple[float, int]] = {}
         self.byte_ids: dict[int, int] = {}
         self.bytes: list[bytes] = []
+        scores = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -46,10 +58,16 @@ class Vocabulary:
                 self.bytes.append(b"")
             else:
                 self.bytes.append(piece.replace(MARK, " ").encode("utf-8"))
-                if MARK not in piece[1:]:  # pieces of one marked word only
+                scores.append(model.get_score(i))
+                if MARK not in piece.lstrip(MARK):  # pieces of one marked word only
                     self.scores[piece] = (model.get_score(i), i)
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte pieces; encoding would lose characters")
+        ranks = all(x == int(x) and x <= 0 for x in scores)
+        self.kind = kind or ("bpe" if ranks else "unigram")
+        self._index()
+
+    def _index(self):
         self.longest = max(map(len, self.scores))
         # lengths of the pieces that end in the same three characters, longest first; shorter pieces are always tried
         lengths: dict[str, set[int]] = {}
@@ -58,8 +76,37 @@ class Vocabulary:
                 lengths.setdefault(piece[-3:], set()).add(len(piece))
         self.lengths = {end: (*sorted(n, reverse=True), 2, 1) for end, n in lengths.items()}
         self.known: dict[str, tuple[int, ...]] = {}
-        # below any sum of pieces for the same characters
-        self.byte_score = min(s for s, _ in self.scores.values()) * 2 - 10
+        # a character without a piece is worse than any piece
+        self.lone_score = min(s for s, _ in self.scores.values()) - 10
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def lone(self, char: str) -> tuple[int, ...]:
+        """Byte pieces of a character that has no piece of its own."""
+        return tuple(self.byte_ids[x] for x in (MARK if char == LITERAL else char).encode("utf-8"))
+
+    def merged(self, text: str) -> list[str]:
+        """Segmentation by merges: the best-ranked neighbours become one, the leftmost first among equals, until none can."""
+        parts = list(text)
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                found = self.scores.get(parts[i] + parts[i + 1])
+                if found is not None and (best is None or found[0] > best):
+                    best, at = found[0], i
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def stand(self, left: str, right: str, most: int = 200_000) -> bool:
+        """Whether merges leave the two pieces as they are (``left`` empty: the one piece). Up to ``most`` answers are remembered."""
+        key = (left, right)
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= most:
+                self.pairs.clear()
+            found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+        return found
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -69,38 +116,58 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
-    """Best segmentation of each of the sorted, distinct marked words.
-
-    ``best[d]`` is the forward score of the first ``d`` characters and ``back[d]`` the last step to it; both are
-    cut back to the common prefix when the next word comes. On equal scores the longer last piece wins.
-    """
-    best, back, last, out = [0.0], [(0, ())], "", []
+def _by_scores(word: str, keep: int, best: list, back: list, v: Vocabulary) -> None:
+    """Forward scores: ``best[d]`` of the first ``d`` characters, ``back[d]`` the last step to them; on equal scores the longer last piece wins."""
     scores, lengths, short = v.scores, v.lengths, (2, 1)
+    for d in range(keep + 1, len(word) + 1):
+        top, step = best[d - 1] + v.lone_score, None
+        for n in lengths.get(word[d - 3 : d], short) if d > 2 else short:
+            if n > d:
+                continue
+            found = scores.get(word[d - n : d])
+            if found is not None:
+                total = best[d - n] + found[0]
+                if step is None or total > top:
+                    top, step = total, (d - n, (found[1],))
+        best.append(top)
+        back.append(step or (d - 1, v.lone(word[d - 1])))
+
+
+def _by_merges(word: str, keep: int, last: list, back: list, v: Vocabulary) -> None:
+    """Forward pieces: ``last[d]`` ends the merged segmentation of the first ``d`` characters, ``back[d]`` is the step to it."""
+    scores, lengths, short, pairs = v.scores, v.lengths, (2, 1), v.pairs
+    for d in range(keep + 1, len(word) + 1):
+        step = None
+        for n in lengths.get(word[d - 3 : d], short) if d > 2 else short:
+            if n > d:
+                continue
+            piece = word[d - n : d]
+            found = scores.get(piece)
+            if found is None:
+                continue
+            before = last[d - n]
+            stands = pairs.get((before, piece))
+            if v.stand(before, piece) if stands is None else stands:
+                step = (d - n, (found[1],))
+                break
+        if step is None:  # a character without a piece
+            piece, step = word[d - 1], (d - 1, v.lone(word[d - 1]))
+        last.append(piece)
+        back.append(step)
+
+
+def encode_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
+    """Segmentation of each of the sorted, distinct marked words. States are cut back to the common prefix when the next word comes."""
+    forward, first = (_by_merges, "") if v.kind == "bpe" else (_by_scores, 0.0)
+    state, back, last, out = [first], [(0, ())], "", []
     for word in words:
         keep = 0
         for a, b in zip(last, word):
             if a != b:
                 break
             keep += 1
-        del best[keep + 1 :], back[keep + 1 :]
-        for d in range(keep + 1, len(word) + 1):
-            top, step = None, None
-            for n in lengths.get(word[d - 3 : d], short) if d > 2 else short:
-                if n > d:
-                    continue
-                start = d - n
-                found = scores.get(word[start:d])
-                # a mark stands for a space only as the first character
-                if found is not None and (not start or word[start] != MARK):
-                    total = best[start] + found[0]
-                    if top is None or total > top:
-                        top, step = total, (start, (found[1],))
-            if top is None:
-                raw = word[d - 1].encode("utf-8")
-                top, step = best[d - 1] + v.byte_score * len(raw), (d - 1, tuple(v.byte_ids[x] for x in raw))
-            best.append(top)
-            back.append(step)
+        del state[keep + 1 :], back[keep + 1 :]
+        forward(word, keep, state, back, v)
         ids, d = [], len(word)
         while d:
             d, part = back[d]
@@ -110,20 +177,21 @@ def encode_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     return out
 
 
-def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 100_000):
-    """Ids of all texts as one flat array, with the offsets of the texts and their numbers of words.
+def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 50_000):
+    """Ids of all texts as one flat array, with the offsets of the texts and their numbers of words (spaces and one).
 
     A worker remembers the words it has encoded, up to ``memory`` of at most 64 characters; it forgets all when more come.
     """
-    words, counts, number = [], [], {}
+    words, units, counts, number = [], [], [], {}
     for t in texts:
-        own = t.split(" ") if t else []
-        counts.append(len(own))
+        own = UNITS.findall(MARK + t.replace(MARK, LITERAL).replace(" ", MARK)) if t else []
+        counts.append(t.count(" ") + 1 if t else 0)
+        units.append(len(own))
         words.extend([number.setdefault(w, len(number)) for w in own])
     if len(v.known) > memory:
         v.known.clear()
     order = sorted(w for w in number if w not in v.known)
-    fresh = dict(zip(order, encode_words([MARK + w for w in order], v)))
+    fresh = dict(zip(order, encode_words(order, v)))
     found = [fresh.get(w) or v.known[w] for w in number]
     v.known.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -132,7 +200,7 @@ def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 100_000)
     n = sizes[at]
     ends = np.cumsum(n)
     ids = flat[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(units)]).astype(np.int64)]
     return ids, edges, counts
 
 
@@ -183,8 +251,8 @@ def _schema(df: DataFrame, **new: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField(n, t) for n, t in new.items()])
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", rows: int = 1000) -> DataFrame:
-    """``docs`` with ``out`` (array of ids) and ``<out>_words`` (long, marked words).
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", rows: int = 500) -> DataFrame:
+    """``docs`` with ``out`` (array of ids) and ``<out>_words`` (long, spaces and one).
 
     Null text: null ids, zero words; empty text: no ids. Rows are independent (no shuffle) and texts are encoded
     whole; repeated rows get equal ids; an empty table gives no rows. ``rows`` bounds the texts that share a
@@ -200,16 +268,16 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", out: str =
     return encoded.mapInArrow(_decoder(ids_col, model_file, out), _schema(encoded, **{out: T.StringType()}))
 
 
-def default_model() -> str:
-    """The public vocabulary file of this environment; a parameter everywhere else."""
-    return "/opt/tokenizers/piece_bpe_32k.model"
+def default_model(folder: str | None = None) -> str:
+    """The SentencePiece file in a folder of public vocabulary files (default: the environment's, ``RANKFRAME_TOKENIZERS`` or ``/opt/tokenizers``)."""
+    return f"{folder or os.environ.get('RANKFRAME_TOKENIZERS', '/opt/tokenizers')}/piece_bpe_32k.model"
 
 
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     """Ids of every document and whether decoding them gives the text back."""
     text_batches(docs.sparkSession)
     kept = docs.select("doc_id", "text")
-    encoder, decoder = _encoder("text", model_file, "ids", 1000), _decoder("ids", model_file, "decoded")
+    encoder, decoder = _encoder("text", model_file, "ids", 500), _decoder("ids", model_file, "decoded")
     new = {"ids": T.ArrayType(T.IntegerType()), "ids_words": T.LongType(), "decoded": T.StringType()}
     # both in one pass: one Python worker for each task instead of two
     both = kept.mapInArrow(lambda batches: decoder(encoder(batches)), _schema(kept, **new))
