@@ -63,3 +63,46 @@ def test_hints_do_not_lose_articles():
         got = X.main_text(page)
         assert PROSE in got and "No." not in got and "links" not in got and "Share" not in got, page
         assert "Short." not in page or "Short." in got
+
+
+def test_page_shapes():
+    short = "The old mill by the river is now a house for the birds of the town, and it is said that they like it very much there in the spring."
+    assert 120 < len(short) < 140
+    russian = "Старая мельница стоит у реки, и говорят, что вода в ней была когда-то такой прозрачной, что можно было увидеть камни на самом дне, и рыбу."
+    linked = f'<p><a href=x>{short}</a> and</p>'
+    cases = [
+        (f'<body><form id="f"><article><p>{PROSE}</p><p>{short}</p></article></form></body>', [PROSE, short], []),
+        (f'<body><form id="f"><div><h1>Title</h1><p>{PROSE}</p><p>{short}</p></div></form><p>x</p></body>', ["Title", PROSE, short], []),
+        (f"<article><p>{short}</p>{linked}<p>{short} Two.</p></article>", [short, short + " Two."], [short + " and"]),
+        (f'<div><p>{PROSE}</p><p>{PROSE} B.</p><p>{PROSE} C.</p></div><article class="teaser"><p>{short}</p></article>', [PROSE, PROSE + " B.", PROSE + " C."], []),
+        (f"<article><header><h1>The title</h1></header><p>{PROSE}</p></article><header><p>{short}</p></header>", ["The title", PROSE], [short]),
+        (f"<body><nav>Домой</nav><div><h1>Мельница</h1><p>{russian}</p><p>Да.</p><p>{russian} Два.</p></div></body>", ["Мельница", russian, "Да.", russian + " Два."], ["Домой"]),
+        (f"<body><p>{'这是一个关于河边老磨坊的故事。' * 12}</p></body>", ["这是一个关于河边老磨坊的故事。" * 12], []),
+        *[(f'<body><div><p>{PROSE}</p></div><div class="{c}"><p>{short}</p><p>{PROSE} No.</p></div></body>', [PROSE], [short, PROSE + " No."])
+          for c in ("user-comments", "comment-list", "reader-comments", "comments-area", "comments", "userComments")],
+        (f'<body><div class="no-comments has-sidebar"><p>{PROSE}</p></div></body>', [PROSE], []),
+        (f'<body><div class="legal"><p>{PROSE}</p></div></body>', [PROSE], []),
+        (f'<body><div class="comments"><p>{PROSE}</p></div></body>', [], [PROSE]),
+        ("<body><p>Only a few words.</p><p>And more.</p></body>", ["Only a few words.", "And more."], []),
+        (f'<article><p>{PROSE}</p><form><p>{short}</p></form></article>', [PROSE], [short]),
+    ]
+    for page, wanted, unwanted in cases:
+        got = X.main_text(page).split("\n")
+        assert [x for x in got if x in wanted] == wanted, (page, got)
+        assert not set(unwanted) & set(got), (page, got)
+
+
+def test_the_passes_decide_the_given_pages_without_article_tags(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    equal = 0
+    for html in pages:
+        bare = re.sub(r"<(/?)article>", r"<\1div>", html)
+        got = X.main_text(bare)
+        assert got
+        equal += got == X.main_text(html)
+    assert equal >= 0.95 * len(pages)
+
+
+def test_edge_values(spark, edge_docs):
+    got = {(r.doc_id, r.text): r.main_text for r in X.extract(edge_docs, "text").collect()}
+    assert all(t == (" ".join((text or "").split())) for (_, text), t in got.items() if text is None or len(text) < 50)
