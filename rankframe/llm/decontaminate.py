@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import let, read_table
+from .common import free_names, let, read_table
 
 # Masks by the shortest item they are for. Wherever the allowed number of words differs (2 of 10 to 13, 1 of 5 to
 # 9), some mask of the family lies on equal words only; longer items allow more words per mask, so fewer chance hits.
@@ -72,7 +72,7 @@ def contaminated(
 
     An item is searched by the family of ``masks`` with the largest key up to its number of words. The given families find every
     run that agrees enough at the given ``window`` and ``similarity``; other values need others. Items of fewer than ``least`` words
-    are too common to be evidence and match nothing, like null and empty texts. Null ids are kept as
+    match a line of the same words, no more and no fewer. Null and empty texts match nothing. Null ids are kept as
     null; rows with equal id and text share one result; empty tables give no rows; only the named columns are read.
     The benchmark's windows (a fixed number of hashes each) are broadcast when it has at most ``broadcast_words`` words,
     else joined by key.
@@ -84,7 +84,8 @@ def contaminated(
             if m[0] + m[-1] != "11" or len(m) > shortest:
                 raise ValueError("a mask begins and ends with a selected word and fits in its items")
     hashes = lambda text: F.transform(words(text), lambda w: F.xxhash64(w))
-    items = benchmark.select(benchmark[item_col].alias("item_id"), hashes(benchmark[item_text]).alias("h")).filter(F.size("h") >= least)
+    every_item = benchmark.select(benchmark[item_col].alias("item_id"), hashes(benchmark[item_text]).alias("h"))
+    items, short = every_item.filter(F.size("h") >= least), every_item.filter((F.size("h") > 0) & (F.size("h") < least))
     family = F.greatest(F.lit(0), *[F.when(F.size("h") >= k, k) for k in masks])
     # one row; at most as many families as ``masks`` has
     total, present = items.agg(F.sum(F.size("h")), F.collect_set(family)).first()
@@ -115,7 +116,18 @@ def contaminated(
     lo = F.greatest(F.lit(0), F.least(F.col("item_pos"), F.col("item_pos") + F.col("span") - length))
     hi = F.greatest(lo, F.least(F.greatest(F.col("item_pos"), F.col("item_pos") + F.col("span") - length), F.col("item_n") - length))
     verified = hits.filter(let(F.struct(length.alias("n"), lo.alias("lo"), hi.alias("hi")), agrees))
-    return verified.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_hits"), F.min("doc_pos").alias("first_word"))
+    found = verified.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_hits"), F.min("doc_pos").alias("first_word"))
+    return found if short.isEmpty() else found.unionByName(_equal_lines(docs, short, id_col, text_col, least, broadcast_words))
+
+
+def _equal_lines(docs: DataFrame, short: DataFrame, id_col: str, text_col: str, least: int, broadcast_rows: int) -> DataFrame:
+    """Overlaps with items of fewer than ``least`` words: lines of the text whose words are exactly the item's (``first_word`` is null)."""
+    lines = docs.select(
+        docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), F.explode(F.split(docs[text_col], "\n", -1)).alias("line")
+    ).select("doc_id", "text_hash", F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("h")).filter((F.size("h") > 0) & (F.size("h") < least))
+    if short.count() <= broadcast_rows:
+        short = F.broadcast(short)
+    return lines.join(short, "h").groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_hits"), F.lit(None).cast("int").alias("first_word"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -145,12 +157,13 @@ def drop_contaminated(
     the texts are not shuffled; beyond, the join is by key.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    bad_id, bad_hash = free_names(docs.columns, "bad_id", "bad_hash")
     bad = contaminated(docs, benchmark, id_col, text_col, **params).select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")
+        F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)
     ).distinct().checkpoint()
     if bad.count() <= broadcast_rows:
         bad = F.broadcast(bad)
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_hash"))
+    same = docs[id_col].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[text_col]) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")
 
 

@@ -186,15 +186,14 @@ def train(
     docs: DataFrame,
     rows_per_lang: int = 2000,
     calibration_rows: int = 500,
-    max_grams: int = 60_000,
     max_langs: int = 500,
     slack: float = 0.75,
 ) -> Model:
     """Fit on the labelled rows of ``docs`` (``doc_id, text, lang``).
 
-    Bounds: per language ``rows_per_lang`` sampled documents are counted (whole texts) and
-    ``calibration_rows`` others calibrate; the ``max_grams`` most frequent 5-grams are kept; more than ``max_langs``
-    languages raise. So what reaches the driver and the tasks does not grow with the input.
+    Bounds: per language ``rows_per_lang`` sampled documents are counted and ``calibration_rows`` others calibrate; more than ``max_langs``
+    languages raise. All 5-grams of the sampled documents (whole texts) are counted and smoothed, and the lower orders' counts come from all of
+    them; what reaches the driver and the tasks is bounded by the sample, not by the input.
 
     A language's limit is the 99 % quantile of its calibration texts' cross-entropy plus ``slack`` nats.
     """
@@ -221,9 +220,8 @@ def train(
         texts.filter("use = 'fit'").select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     counts: dict[str, dict[str, int]] = {}
-    for lang, gram, k in grams.withColumn("_r", top).filter(F.col("_r") <= max_grams).select("lang", "gram", "n").toLocalIterator():
+    for lang, gram, k in grams.select("lang", "gram", "n").toLocalIterator():
         counts.setdefault(lang, {})[gram] = k
     model = Model(counts)
     if counts:

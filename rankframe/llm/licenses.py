@@ -22,10 +22,13 @@ SENTENCES = {
     "mit-by2": "licensed under the mit license",
     "mit-title": "mit license",
     "mit-1": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
-    "files the software to deal in the software without restriction",
+    "files the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+    "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions",
     "mit-2": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "gpl3-by": "this work is licensed under the gnu general public license version 3",
-    "gpl-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+    "gpl-0": "this program is free software",
+    "gpl-1": "you can redistribute it and or modify it under the terms of the gnu general public license "
     "as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-2": "see the gnu general public license for more details",
     "bsd-1": "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
@@ -39,7 +42,8 @@ SENTENCES = {
     "cc-by-sa4": "licensed under cc by sa 4.0",
     "cc-by4": "licensed under cc by 4.0",
     "cc-by4-long": "this work is licensed under a creative commons attribution 4.0 international license",
-    "rights": "all rights reserved under copyright",
+    "rights": "all rights reserved",
+    "rights-2": "all rights reserved under copyright",
 }
 # Ordered rules, (license, sequence of sentences).
 RULES = (
@@ -49,10 +53,12 @@ RULES = (
     ("Apache-2.0", ("apache2-1",)),
     ("MIT", ("mit-title", "mit-1", "mit-2")),
     ("MIT", ("mit-1", "mit-2")),
+    ("MIT", ("mit-1",)),
     ("MIT", ("mit-by",)),
     ("MIT", ("mit-by2",)),
     ("MIT", ("mit-title",)),
-    ("GPL-3.0-or-later", ("gpl-1", "gpl-2")),
+    ("GPL-3.0-or-later", ("gpl-0", "gpl-1", "gpl-2")),
+    ("GPL-3.0-or-later", ("gpl-0", "gpl-1")),
     ("GPL-3.0-or-later", ("gpl-1",)),
     ("GPL-3.0-only", ("gpl3-by",)),
     ("BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4")),
@@ -62,10 +68,14 @@ RULES = (
     ("CC-BY-4.0", ("cc-by4",)),
     ("CC-BY-4.0", ("cc-by4-long",)),
     ("proprietary", ("rights",)),
+    ("proprietary", ("rights-2",)),
 )
 # Every known sentence holds one of these, so a text without them has no known sentence.
-SIGNS = "license|copyright|permission|permitted|redistributed|under cc"
+SIGNS = r"license|copyright|permission|permitted|redistributed|under\s+cc|free\s+software|reserved"
 END = r"([.!?;:])\s+"
+# Paragraphs end at blank lines, comment marks among them; inside one a line break may be a mere wrap.
+PARAGRAPH = r"\n[ \t\r#*/;%-]*(?=\n)"
+WRAP = r"\n[ \t#*/;%-]*"
 
 
 def sentences(text: Column) -> Column:
@@ -77,7 +87,7 @@ def sentences(text: Column) -> Column:
 
 def recognise(docs: DataFrame, text_col: str = "text", known: dict = SENTENCES, rules=RULES, signs: str = SIGNS) -> DataFrame:
     """``docs`` with ``sentence_ids`` (known sentences in order, repeats included) and ``licenses`` (of the rules that match, in
-    rule order, each once).
+    rule order, each once). Sentences are read line by line and over the wrapped lines of a paragraph.
 
     Null and empty texts have none. Texts are read whole; rows are independent (no shuffle), so repeated rows get equal
     results; an empty table gives no rows; other columns pass through (those named like the new ones are
@@ -85,7 +95,16 @@ def recognise(docs: DataFrame, text_col: str = "text", known: dict = SENTENCES,
     known sentence.
     """
     by_text = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
-    found = F.filter(F.transform(sentences(docs[text_col]), lambda s: F.try_element_at(by_text, s)), lambda i: i.isNotNull())
+    listed = lambda t: F.filter(F.transform(sentences(t), lambda s: F.try_element_at(by_text, s)), lambda i: i.isNotNull())
+
+    def both(paragraph):
+        # a sentence may be a line or be wrapped over several: the reading with more known sentences, then what only the other has
+        pair = F.struct(listed(paragraph).alias("lines"), listed(F.regexp_replace(paragraph, WRAP, " ")).alias("joined"))
+        more = lambda x: F.size(x["joined"]) > F.size(x["lines"])
+        return let(pair, lambda x: F.when(more(x), F.concat(x["joined"], F.array_except(x["lines"], x["joined"]))).otherwise(
+            F.concat(x["lines"], F.array_except(x["joined"], x["lines"]))))
+
+    found = F.flatten(F.transform(F.split(docs[text_col], PARAGRAPH), both))
     none = F.array().cast("array<string>")
     ids = F.when(F.lower(docs[text_col]).rlike(signs), found).otherwise(none)
     ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f" {'  '.join(seq)} ").alias("seq")) for name, seq in rules])
@@ -123,16 +142,22 @@ def _oracle() -> str:
             f"n_sentences, sentence_ids FROM {last})"
         )
         last = f"r{no}"
+    plain = lambda x: f"trim(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '\\.+( |$)', ' ', 'g'))"
+    ids = lambda x: (
+        f"list_filter(list_transform(string_split(regexp_replace(lower({x}), '([.!?;:])\\s+', '\\1\n', 'g'), '\n'), lambda s: m[{plain('s')}]), "
+        "lambda i: i IS NOT NULL)")
+    keys, names = ", ".join(f"'{s}'" for s in SENTENCES.values()), ", ".join(f"'{i}'" for i in SENTENCES)
+    # the blank lines between paragraphs, and the breaks inside one, without look-ahead
     return f"""
-WITH known(sentence, id) AS (VALUES {values}),
-doc AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
-cut AS (SELECT rid, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?;:])\\s+', '\\1\n', 'g'), '\n') AS parts FROM doc),
-sent AS (SELECT rid, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS part FROM cut),
-plain AS (SELECT rid, pos, trim(regexp_replace(regexp_replace(part, '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '\\.+( |$)', ' ', 'g')) AS sentence FROM sent),
-found AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS list, string_agg(id, '  ' ORDER BY pos) AS wide
-          FROM plain JOIN known USING (sentence) GROUP BY rid),
-ids AS (SELECT doc_id, doc.rid, ' ' || coalesce(wide, '') || ' ' AS left_, CAST([] AS VARCHAR[]) AS names,
-               coalesce(n, 0) AS n_sentences, coalesce(list, '') AS sentence_ids FROM doc LEFT JOIN found USING (rid)),
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid, MAP([{keys}], [{names}]) AS m FROM documents),
+marked AS (SELECT *, regexp_replace(regexp_replace(text, '\n([ \t\r#*/;%-]*\n)+', '\x01\n', 'g'), '\n[ \t\r#*/;%-]*$', '\x02', 'g') AS t FROM doc),
+par AS (SELECT rid, m, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS x FROM (SELECT rid, m, string_split(t, chr(1)) AS p FROM marked)),
+two AS (SELECT rid, pos, {ids("x")} AS lines, {ids("regexp_replace(x, '" + chr(92) + "n[ " + chr(92) + "t#*/;%-]*', ' ', 'g')")} AS joined FROM par),
+pick AS (SELECT rid, pos, CASE WHEN len(joined) > len(lines) THEN list_concat(joined, list_distinct(list_filter(lines, lambda i: NOT list_contains(joined, i))))
+                ELSE list_concat(lines, list_distinct(list_filter(joined, lambda i: NOT list_contains(lines, i)))) END AS found FROM two),
+found AS (SELECT rid, flatten(list(found ORDER BY pos)) AS ids FROM pick GROUP BY rid),
+ids AS (SELECT doc_id, rid, ' ' || array_to_string(ids, '  ') || ' ' AS left_, CAST([] AS VARCHAR[]) AS names,
+               CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids FROM doc JOIN found USING (rid)),
 {", ".join(steps)}
 SELECT doc_id, n_sentences, sentence_ids, array_to_string(names, ',') AS licenses FROM {last}
 """

@@ -46,7 +46,7 @@ CLASSES = (
         r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])",
     ),
 )
-# Candidates that are no secrets (examples, UUIDs, counting and repeated characters).
+# Stretches that are no secrets (examples, UUIDs, counting and repeated characters); windows that overlap one do not count.
 ALLOWED = (
     r"(?i)example|sample|dummy|changeme|placeholder",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -121,8 +121,9 @@ def _blanked(text: Column, no: int) -> Column:
     return F.when(text.rlike(pattern), let(parts, rebuilt)).otherwise(text)
 
 
-def _high_windows(candidate: Column, c: CharClass) -> Column:
-    """Merged windows of high entropy inside one candidate: array of (a, b), offsets in it.
+def _high_windows(candidate: Column, c: CharClass, allowed: Column) -> Column:
+    """Merged windows of high entropy inside one candidate: array of (a, b), offsets in it. Windows that overlap one of the ``allowed`` stretches
+    (array of structs with ``start`` and ``end``) do not count.
 
     The counts live in a string, one character per member of the alphabet, its code 32 above the count.
     """
@@ -163,8 +164,9 @@ def _high_windows(candidate: Column, c: CharClass) -> Column:
             return let(fresh, lambda x: merge(s, x, i))
 
         def merge(s, x, i):
-            high = (i >= w - 1) & (F.lit(math.log2(w)) - x["sum"] / w >= c.limit)
             first = i - w + 1
+            high = (i >= w - 1) & (F.lit(math.log2(w)) - x["sum"] / w >= c.limit)
+            high = high & ~F.exists(allowed, lambda m: (m["start"] <= i) & (m["end"] > first))
             apart = high & (first > s["b"])
             run = F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))
             return F.struct(
@@ -189,14 +191,19 @@ def _high_windows(candidate: Column, c: CharClass) -> Column:
 
 def _entropy_spans(text: Column, c: CharClass, no: int, allowed: tuple[str, ...]) -> Column:
     found = F.filter(_located(text, c.pattern, F.array().cast("array<string>")), lambda m: m["text"].rlike(c.needs))
+    stretches = lambda m: F.array().cast("array<struct<start:bigint,end:bigint>>")
     if allowed:
         known = "|".join(f"(?:{p})" for p in allowed)
-        found = F.filter(found, lambda m: ~m["text"].rlike(known))
+
+        def stretches(m):
+            where = F.transform(_located(m["text"], known, F.array().cast("array<string>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+            return F.when(m["text"].rlike(known), where).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
     spans = F.flatten(
         F.transform(
             found,
             lambda m: F.transform(
-                _high_windows(m["text"], c),
+                let(stretches(m), lambda known: _high_windows(m["text"], c, known)),
                 lambda r: F.struct((m["start"] + r["a"]).alias("start"), F.lit(no).alias("no"), (m["start"] + r["b"]).alias("end")),
             ),
         )

@@ -157,22 +157,25 @@ def shuffle_into_shards(
     ``slot`` of the input are replaced. An empty table gives no rows. The place in a partition depends on keys and seed alone.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    hashed = lambda what: F.xxhash64(F.lit(seed), F.lit(what), *[F.col(k) for k in keys])
-    base = rows.drop("shard", "slot").withColumn("_part", F.pmod(hashed("part"), F.lit(partitions)).cast("int")).checkpoint()
+    kept = rows.drop("shard", "slot")
+    # the user's columns travel in one struct, so no name of theirs meets one of the columns made here
+    keyed = [f"k{i}" for i in range(len(keys))]
+    boxed = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), *[F.col(k).alias(a) for k, a in zip(keys, keyed)])
+    hashed = lambda what: F.xxhash64(F.lit(seed), F.lit(what), *[F.col(k) for k in keyed])
+    base = boxed.withColumn("_part", F.pmod(hashed("part"), F.lit(partitions)).cast("int")).checkpoint()
     sizes = base.groupBy(F.col("_part").alias("part")).agg(F.count("*").alias("n"))
     matrix = communication_matrix(sizes, n_shards, seed).withColumnRenamed("part", "_part")  # at most ``partitions`` rows
-    placed = permuted(base, "_part", hashed("first"), "_place", keys, chunks).join(F.broadcast(matrix), "_part")
+    placed = permuted(base, "_part", hashed("first"), "_place", keyed, chunks).join(F.broadcast(matrix), "_part")
     cut = F.aggregate(
         "sent",
         F.struct(F.lit(0).alias("shard"), F.lit(0).cast("long").alias("sum")),
         lambda s, n: F.struct((s["shard"] + (s["sum"] + n <= F.col("_place")).cast("int")).alias("shard"), (s["sum"] + n).alias("sum")),
         lambda s: s["shard"],
     )
-    sent = placed.select(*rows.drop("shard", "slot").columns, cut.alias("shard"), "_part", "_place").checkpoint()
+    sent = placed.select("row", cut.alias("shard"), "_part", "_place").checkpoint()
     second = F.xxhash64(F.lit(seed), F.lit("second"), "_part", "_place")
-    return permuted(sent, "shard", second, "slot", ["_part", "_place"], chunks).drop("_part", "_place").withColumn(
-        "slot", F.col("slot").cast("long")
-    )
+    numbered = permuted(sent, "shard", second, "slot", ["_part", "_place"], chunks)
+    return numbered.select("row.*", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def op7_sharding(spark, sf_dir) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import connected_components, read_table, text_batches
+from .common import connected_components, free_names, read_table, text_batches
 
 SEED = 42
 
@@ -165,18 +165,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Null ids come last; among rows with equal id and text one stays.
     """
+    ident, hashed, place = free_names(docs.columns, "id", "hash", "n")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     kept = (
         near_duplicates(docs, id_col, text_col, **params)
         .groupBy("root")
         .agg(F.min(order).alias("k"))
-        .select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("k.text_hash").alias("_hash"))
+        .select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias(ident), F.col("k.text_hash").alias(hashed))
     )
     # plain equality on two columns: the window below needs no second exchange of the texts
-    keyed = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("string"), F.lit("")), "_hash": F.xxhash64(docs[text_col])})
-    first = Window.partitionBy("_id", "_hash").orderBy("_hash")
-    left = keyed.join(kept, ["_id", "_hash"], "left_semi").withColumn("_n", F.row_number().over(first))
-    return left.filter("_n = 1").select(*docs.columns)
+    keyed = docs.withColumns({ident: F.coalesce(docs[id_col].cast("string"), F.lit("")), hashed: F.xxhash64(docs[text_col])})
+    first = Window.partitionBy(ident, hashed).orderBy(hashed)
+    left = keyed.join(kept, [ident, hashed], "left_semi").withColumn(place, F.row_number().over(first))
+    return left.filter(F.col(place) == 1).select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir) -> DataFrame:

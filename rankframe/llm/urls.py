@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import let, read_table
+from .common import free_names, let, read_table
 
 # The rules (verdict, host and subdomains, start of the path).
 RULES = (
@@ -116,13 +116,14 @@ def scored(df: DataFrame, text: Column, model: DataFrame, order: int = ORDER, br
     window; up to ``broadcast_rows`` windows are broadcast to the positions (if there are more, the commonest), others join by key.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    every = df.drop("score").withColumn("_text", text)
+    own = free_names(df.columns, "text")[0]
+    every = df.drop("score").withColumn(own, text)
 
     def windows(c):
         start = lambda i: F.greatest(F.lit(1), i - (order - 2))
         return F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.array_join(F.slice(c, start(i), i + 2 - start(i)), ""))
 
-    texts = every.select("_text").filter(F.length("_text") > 0).distinct()
+    texts = every.select(F.col(own).alias("_text")).filter(F.length("_text") > 0).distinct()
     positions = texts.select("_text", F.explode(let(_chars(F.col("_text")), windows)).alias("_w"))
     ratios = _window_ratios(positions, model, order).checkpoint()
     rows, total = ratios.agg(F.count("*"), F.sum("n")).first()
@@ -137,7 +138,7 @@ def scored(df: DataFrame, text: Column, model: DataFrame, order: int = ORDER, br
         found = found.unionByName(rest.join(rare, "_w"))
     # written, so that a join with an often repeated text can be split
     scores = found.groupBy("_text").agg((F.sum("ratio") / UNIT / F.length("_text")).alias("score")).checkpoint()
-    return every.join(scores, "_text", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).select(*df.drop("score").columns, "score")
+    return every.join(scores.withColumnRenamed("_text", own), own, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).select(*df.drop("score").columns, "score")
 
 
 def calibrate(ruled: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import itertools
 import math
 import random
@@ -16,7 +17,7 @@ def brute(doc, item, masks=D.MASKS, window=D.WINDOW, similarity=D.SIMILARITY, le
     """All alignments, all runs: a mask hit inside (or around) a run that agrees enough."""
     d, b = tokens(doc), tokens(item)
     if len(b) < least:
-        return False
+        return bool(b) and any(tokens(line) == b for line in (doc or "").split("\n"))
     masks = list(masks) if len(b) >= max(map(len, masks)) else ["1" * len(b)]
     n = min(window, len(b))
     for shift in range(-len(b) + 1, len(d)):
@@ -100,3 +101,21 @@ def test_every_changed_passage_is_found(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {r.doc_id: r.item_ids for r in D.flag(df, bench).collect()} == want
+
+
+def test_short_items_match_equal_lines_only(spark):
+    items = spark.createDataFrame([(1, "What is it?"), (2, "one two three four five six seven"), (3, "-- !"), (4, None)], "item_id long, text string")
+    texts = ["x\nWHAT is, it\ny", "so what is it then", "what is it", "", None, "a one two three four five six seven b", "--"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in D.flag(docs, items).collect()}
+    assert got == {0: "1", 1: "", 2: "1", 3: "", 4: "", 5: "2", 6: ""}
+    assert {r.doc_id: r.item_ids for r in D.flag(docs, items, broadcast_words=0).collect()} == got
+    assert sorted(r.doc_id for r in D.drop_contaminated(docs, items).collect()) == [1, 3, 4, 6]
+
+
+def test_clashing_names_of_the_user_stay(spark):
+    names = ("bad_id", "bad_hash", "_bad_id", "_bad_hash", "doc_pos", "key", "near")
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "clean")], "doc_id long, text string").withColumns({n: F.lit("user") for n in names})
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    left = D.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and [(r.doc_id, *[r[n] for n in names]) for r in left.collect()] == [(2, *["user"] * len(names))]

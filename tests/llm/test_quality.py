@@ -75,3 +75,35 @@ def test_random_parts_fail(spark, sf):
     assert got["tail"].n_chunks == 3 and got["tail"].n_bad_chunks == 1
     assert [name for name, q in got.items() if q.kept] == ["prose"]
     assert len(texts) > 50  # the given texts are clean
+
+
+def plain_kept(text):
+    """The verdict step by step: base rules, whole text and chunks against the bands."""
+    import zstandard
+
+    n_words, _, _, _, repeats = brute(text)
+    raw = (text or "").encode()
+    pack = lambda x: len(x) / len(zstandard.ZstdCompressor(level=1).compress(x))
+
+    def fits(x):
+        top, low, high = [b for b in Q.BANDS if len(x) <= b[0]][0]
+        return low <= pack(x) <= high
+
+    chunks = [raw[i : i + Q.CHUNK] for i in range(0, len(raw), Q.CHUNK)] if len(raw) > Q.CHUNK else []
+    bad = sum(len(c) for c in chunks if not fits(c))
+    return not (n_words < 20 or 100 * repeats > 30 * n_words) and fits(raw) and bad <= Q.CHUNK_SHARE * len(raw)
+
+
+def test_kept_equals_a_plain_recomputation(spark, sf):
+    import base64
+    import random
+
+    rng = random.Random(9)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.collect()]
+    mixed = [t + base64.b64encode(rng.randbytes(n)).decode() for t in texts[:30] for n in (50, 900, 6000)] + [(t + " ") * 60 for t in texts[:5]]
+    every = docs.unionByName(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")).collect()
+    got = Q.quality(spark.createDataFrame(every, "doc_id long, text string")).collect()
+    kept = [r.quality.kept for r in got]
+    assert kept == [plain_kept(r.text) for r in got]
+    assert any(not k and not r.quality.base_failed for k, r in zip(kept, got))  # the bands reject some

@@ -19,9 +19,12 @@ def base(text):
 
 
 def high(candidate, c):
-    """Windows recomputed one by one."""
+    """Windows recomputed one by one; those that overlap an allowed stretch do not count."""
     runs = []
+    known = [m.span() for m in re.finditer("|".join(f"(?:{p})" for p in S.ALLOWED).replace("(?i)", ""), candidate, re.I)] if any(re.search(p, candidate) for p in S.ALLOWED) else []
     for i in range(len(candidate) - c.window + 1):
+        if any(a < i + c.window and b > i for a, b in known):
+            continue
         w = candidate[i : i + c.window]
         h = -sum(w.count(x) / c.window * math.log2(w.count(x) / c.window) for x in set(w))
         if h >= c.limit - 1e-12:
@@ -40,7 +43,7 @@ def every(text):
     blank, out = "".join(chars), list(found)
     for no, c in enumerate(S.CLASSES):
         for m in re.finditer(c.pattern, blank):
-            if re.search(c.needs, m.group()) and not any(re.search(p, m.group()) for p in S.ALLOWED):
+            if re.search(c.needs, m.group()):
                 out += [(m.start() + a, 3 + no, m.start() + b) for a, b in high(m.group(), c)]
     return sorted(out)
 
@@ -54,9 +57,19 @@ TEXTS = [
     "",
     None,
     "token=" * 5 + "a1" * 40,
+    "sampleZq3Xv9Lp2Rt7Wm4Kd8Bn1Hs6Jf5Gc0Ty2Ue7Io9PaSdFgHjKlZxCvBnM1qW2eR3tY4uI5oP6aS7dF8gH9jK0l",
+    "Zq3Xv9Lp2Rt7Wm4Kd8Bn1Hs6Jf5Gc0-dummy-Ty2Ue7Io9PaSdFgHjKlZxCvB5nM1 550e8400-e29b-41d4-a716-446655440000",
 ]
 
 
+def test_an_allowed_stretch_hides_only_what_overlaps_it(spark):
+    text = "sample" + "Zq3Xv9Lp2Rt7Wm4Kd8Bn1Hs6Jf5Gc0Ty2Ue7Io9PaSdFgHjKlZxCvBnM1qW2eR3tY4uI5oP6aS7dF8gH9jK0lQw"
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    got = {r.text: r.spans for r in S.scan(spark.createDataFrame([(1, text), (2, uuid), (3, "sampleAb1")], "doc_id long, text string")).collect()}
+    assert got[text] and got[text][0].start >= 6 and got[uuid] == [] == got["sampleAb1"]
+
+
+
 def test_spans_match_brute_force(spark, sf):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     docs = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))

@@ -60,3 +60,24 @@ def test_edges(spark, edge_docs, no_docs):
     assert S.shuffle_into_shards(no_docs, ["doc_id"]).count() == 0
     equal = spark.range(100).select(F.lit(1).alias("k"))
     assert sorted(r["count"] for r in S.shuffle_into_shards(equal, ["k"], n_shards=8).groupBy("shard").count().collect()) == [12] * 4 + [13] * 4
+
+
+def test_clashing_names_of_the_user_stay(spark):
+    names = ("_key", "_part", "_place", "_chunk", "_before", "_n", "sent", "row", "k0", "part", "n")
+    rows = spark.range(200).withColumns({c: F.lit("user") for c in names})
+    got = S.shuffle_into_shards(rows, ["id", "_key"], n_shards=4, partitions=3, chunks=2)
+    assert got.columns == [*rows.columns, "shard", "slot"]
+    out = got.collect()
+    assert sorted(r.id for r in out) == list(range(200)) and all(r[c] == "user" for r in out for c in names)
+    assert sorted((r.shard, r.slot) for r in out) == [(s, i) for s in range(4) for i in range(50)]
+
+
+def test_matrix_against_the_partitions_and_shards(spark):
+    """Row sums are the partitions' sizes, column sums the shards' quotas, whatever the sizes."""
+    sizes = [0, 1, 17, 300, 5, 1000, 2, 64]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes) if n], "part int, n long")
+    for shards in (1, 5, 24):
+        rows = {r.part: r.sent for r in S.communication_matrix(df, shards, 3).collect()}
+        assert {p: sum(x) for p, x in rows.items()} == {i: n for i, n in enumerate(sizes) if n}
+        total = sum(sizes)
+        assert [sum(c) for c in zip(*rows.values())] == [total // shards + (k < total % shards) for k in range(shards)]

@@ -120,3 +120,15 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90, -5: -5, 200: -5, 201: -5}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_leaves_the_users_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ("_id", "_hash", "_n", "id", "hash", "n", "root", "fp")
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z u v w q")], "doc_id long, text string").withColumns({n: F.lit("user") for n in names})
+    from rankframe.llm import simhash
+
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, *[r[n] for n in names]) for r in left.collect()) == [(1, *["user"] * len(names)), (3, *["user"] * len(names))]

@@ -98,3 +98,16 @@ def test_every_gram_counts_for_itself(spark):
         for r in got:
             longest = [next((ratios[w[-k:]] for k in range(len(w), 0, -1) if w[-k:] in ratios), 0.0) for w in (r.text[max(0, i - U.ORDER) : i] for i in range(1, len(r.text) + 1))]
             assert abs(r.score - sum(longest) / max(1, len(longest))) < 1e-6, r
+
+
+def test_clashing_names_of_the_user_stay(spark):
+    from pyspark.sql import functions as F
+
+    names = ("_text", "text", "_w", "n", "gram", "ratio", "_salt", "fold")
+    pages = spark.createDataFrame([(i, f"http://a{i}.org/x{i}") for i in range(20)] + [(30, f"http://b.example.com/de/{7}"), (31, None)], "page_id long, url string")
+    import rankframe.llm.urls as U
+
+    want = {r.page_id: (r.host, r.verdict, round(r.score, 9)) for r in U.judge(pages).collect()}
+    got = U.judge(pages.withColumns({n: F.lit("user") for n in names})).collect()
+    assert {r.page_id: (r.host, r.verdict, round(r.score, 9)) for r in got} == want
+    assert all(r[n] == "user" for r in got for n in names)
