@@ -58,9 +58,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over the ``documents`` of ``sf_dir``."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Rows of the last stage over the ``documents`` of ``sf_dir``. The stages' tables go to ``folder``, a new one that all executors share and that the
+    caller removes when the rows are no longer read (default: a fresh one under the checkpoint folder)."""
+    folder = folder or f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
