@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi (operator 5).
 
 The vocabulary comes from a given model file and is never trained. A text is cut into marked words: runs of spaces, written as
-U+2581, each with the characters up to the next space; pieces do not cross marked words. Each Arrow batch sorts its distinct marked
+U+2581, each with the characters up to the next space; pieces do not cross marked words. A marked word is cut further at line feeds, which
+no piece holds. Each Arrow batch sorts its distinct marked
 words and walks them as a trie, depth first: a word keeps the forward states of the prefix that it shares with the word before.
 
 * Unigram models: the state of a prefix is its best sum of piece scores and the last step to it.
@@ -34,7 +35,6 @@ _loaded: dict = {}
 
 # Stands for a U+2581 of the text while it is encoded; no decoded text holds a lone surrogate.
 LITERAL = "\udfff"
-UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Vocabulary:
@@ -76,6 +76,10 @@ class Vocabulary:
                 lengths.setdefault(piece[-3:], set()).add(len(piece))
         self.lengths = {end: (*sorted(n, reverse=True), 2, 1) for end, n in lengths.items()}
         self.known: dict[str, tuple[int, ...]] = {}
+        # a line feed that stands in no piece ends a marked word: the parts meet more equals
+        feed = "" if any("\n" in piece for piece in self.scores) else "\n"
+        self.units = re.compile(f"{MARK}+[^{MARK}{feed}]*" + (f"|{feed}|[^{MARK}{feed}]+" if feed else ""))
+        self.steps = {piece: (i,) for piece, (_, i) in self.scores.items()}
         # a character without a piece is worse than any piece
         self.lone_score = min(s for s, _ in self.scores.values()) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -116,75 +120,73 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _by_scores(word: str, keep: int, best: list, back: list, v: Vocabulary) -> None:
-    """Forward scores: ``best[d]`` of the first ``d`` characters, ``back[d]`` the last step to them; on equal scores the longer last piece wins."""
+def _by_scores(word: str, keep: int, state: list, v: Vocabulary) -> None:
+    """States ``(best score, steps)`` of the first ``d`` characters; on equal scores the longer last piece wins."""
     scores, lengths, short = v.scores, v.lengths, (2, 1)
     for d in range(keep + 1, len(word) + 1):
-        top, step = best[d - 1] + v.lone_score, None
+        top, step = state[d - 1][0] + v.lone_score, None
         for n in lengths.get(word[d - 3 : d], short) if d > 2 else short:
             if n > d:
                 continue
             found = scores.get(word[d - n : d])
             if found is not None:
-                total = best[d - n] + found[0]
+                total = state[d - n][0] + found[0]
                 if step is None or total > top:
-                    top, step = total, (d - n, (found[1],))
-        best.append(top)
-        back.append(step or (d - 1, v.lone(word[d - 1])))
+                    top, step = total, (state[d - n][1], (found[1],))
+        state.append((top, (state[d - 1][1], v.lone(word[d - 1])) if step is None else step))
 
 
-def _by_merges(word: str, keep: int, last: list, back: list, v: Vocabulary) -> None:
-    """Forward pieces: ``last[d]`` ends the merged segmentation of the first ``d`` characters, ``back[d]`` is the step to it."""
-    scores, lengths, short, pairs = v.scores, v.lengths, (2, 1), v.pairs
+def _by_merges(word: str, keep: int, state: list, v: Vocabulary) -> None:
+    """States ``(last piece, steps)`` of the merged segmentation of the first ``d`` characters."""
+    steps, lengths, short, pairs = v.steps, v.lengths, (2, 1), v.pairs
     for d in range(keep + 1, len(word) + 1):
-        step = None
         for n in lengths.get(word[d - 3 : d], short) if d > 2 else short:
             if n > d:
                 continue
             piece = word[d - n : d]
-            found = scores.get(piece)
-            if found is None:
+            step = steps.get(piece)
+            if step is None:
                 continue
-            before = last[d - n]
+            before, way = state[d - n]
             stands = pairs.get((before, piece))
             if v.stand(before, piece) if stands is None else stands:
-                step = (d - n, (found[1],))
+                state.append((piece, (way, step)))
                 break
-        if step is None:  # a character without a piece
-            piece, step = word[d - 1], (d - 1, v.lone(word[d - 1]))
-        last.append(piece)
-        back.append(step)
+        else:  # a character without a piece
+            state.append((word[d - 1], (state[d - 1][1], v.lone(word[d - 1]))))
 
 
 def encode_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
-    """Segmentation of each of the sorted, distinct marked words. States are cut back to the common prefix when the next word comes."""
+    """Segmentation of each of the sorted, distinct marked words. States are cut back to the common prefix when the next word comes; their steps are
+    linked lists (the steps before, the last ids), so that prefixes share them."""
     forward, first = (_by_merges, "") if v.kind == "bpe" else (_by_scores, 0.0)
-    state, back, last, out = [first], [(0, ())], "", []
+    state, last, out = [(first, None)], "", []
     for word in words:
         keep = 0
         for a, b in zip(last, word):
             if a != b:
                 break
             keep += 1
-        del state[keep + 1 :], back[keep + 1 :]
-        forward(word, keep, state, back, v)
-        ids, d = [], len(word)
-        while d:
-            d, part = back[d]
-            ids.append(part)
-        out.append(tuple([i for part in reversed(ids) for i in part]))
+        del state[keep + 1 :]
+        forward(word, keep, state, v)
+        way, parts = state[-1][1], []
+        while way is not None:
+            way, part = way
+            parts.append(part)
+        parts.reverse()
+        out.append(parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts)))
         last = word
     return out
 
 
-def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 50_000):
+def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 200_000):
     """Ids of all texts as one flat array, with the offsets of the texts and their numbers of words (spaces and one).
 
     A worker remembers the words it has encoded, up to ``memory`` of at most 64 characters; it forgets all when more come.
     """
     words, units, counts, number = [], [], [], {}
     for t in texts:
-        own = UNITS.findall(MARK + t.replace(MARK, LITERAL).replace(" ", MARK)) if t else []
+        own = v.units.findall(MARK + t.replace(MARK, LITERAL).replace(" ", MARK)) if t else []
         counts.append(t.count(" ") + 1 if t else 0)
         units.append(len(own))
         words.extend([number.setdefault(w, len(number)) for w in own])
@@ -251,7 +253,7 @@ def _schema(df: DataFrame, **new: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in new] + [T.StructField(n, t) for n, t in new.items()])
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", rows: int = 500) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", rows: int = 1000) -> DataFrame:
     """``docs`` with ``out`` (array of ids) and ``<out>_words`` (long, spaces and one).
 
     Null text: null ids, zero words; empty text: no ids. Rows are independent (no shuffle) and texts are encoded
@@ -275,9 +277,9 @@ def default_model(folder: str | None = None) -> str:
 
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     """Ids of every document and whether decoding them gives the text back."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, rows=4000)
     kept = docs.select("doc_id", "text")
-    encoder, decoder = _encoder("text", model_file, "ids", 500), _decoder("ids", model_file, "decoded")
+    encoder, decoder = _encoder("text", model_file, "ids", 4000), _decoder("ids", model_file, "decoded")
     new = {"ids": T.ArrayType(T.IntegerType()), "ids_words": T.LongType(), "decoded": T.StringType()}
     # both in one pass: one Python worker for each task instead of two
     both = kept.mapInArrow(lambda batches: decoder(encoder(batches)), _schema(kept, **new))

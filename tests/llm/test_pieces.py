@@ -38,8 +38,16 @@ def test_bpe_ids_are_the_librarys(vocab, spark, sf):
         assert len(P.encode_words([P.MARK + word], vocab)[0]) == 1
 
 
+def test_units_cover_every_text(vocab):
+    for t in made_texts(500, 4) + ["a.b,c\n\nd e.", "..", "x)y(z", "1.5a 2,b", "_a.b_", "Ünï,çødé."]:
+        marked = P.MARK + t.replace(" ", P.MARK)
+        units = vocab.units.findall(marked)
+        assert "".join(units) == marked and all(units)
+    assert vocab.units.findall("▁word,▁word.\nNext") == ["▁word,", "▁word.", "\n", "Next"]
+
+
 def test_prefix_sharing_changes_nothing(vocab):
-    words = sorted({u for t in made_texts(400, 2) for u in P.UNITS.findall(P.MARK + t.replace(" ", P.MARK))})
+    words = sorted({u for t in made_texts(400, 2) for u in vocab.units.findall(P.MARK + t.replace(" ", P.MARK))})
     assert P.encode_words(words, vocab) == [P.encode_words([w], vocab)[0] for w in words]
 
 
