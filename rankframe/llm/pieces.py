@@ -179,7 +179,7 @@ def encode_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     return out
 
 
-def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 200_000):
+def _encode_batch(texts: list[str | None], v: Vocabulary, memory: int = 150_000):
     """Ids of all texts as one flat array, with the offsets of the texts and their numbers of words (spaces and one).
 
     A worker remembers the words it has encoded, up to ``memory`` of at most 64 characters; it forgets all when more come.
@@ -240,9 +240,9 @@ def _decoder(ids_col: str, path: str, out: str):
         v = vocabulary(path)
         for batch in batches:
             lists = batch.column(ids_col)
-            flat, edges = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy()
+            flat, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             valid = lists.is_valid().to_numpy(zero_copy_only=False)
-            texts = [decode_ids(flat[a:b], v) if ok else None for a, b, ok in zip(edges[:-1], edges[1:], valid)]
+            texts = [decode_ids(flat[a:b].tolist(), v) if ok else None for a, b, ok in zip(edges[:-1], edges[1:], valid)]
             names = [n for n in batch.schema.names if n != out]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(texts, pa.string())], [*names, out])
 
@@ -277,9 +277,9 @@ def default_model(folder: str | None = None) -> str:
 
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     """Ids of every document and whether decoding them gives the text back."""
-    text_batches(docs.sparkSession, rows=4000)
+    text_batches(docs.sparkSession, rows=2500)
     kept = docs.select("doc_id", "text")
-    encoder, decoder = _encoder("text", model_file, "ids", 4000), _decoder("ids", model_file, "decoded")
+    encoder, decoder = _encoder("text", model_file, "ids", 2500), _decoder("ids", model_file, "decoded")
     new = {"ids": T.ArrayType(T.IntegerType()), "ids_words": T.LongType(), "decoded": T.StringType()}
     # both in one pass: one Python worker for each task instead of two
     both = kept.mapInArrow(lambda batches: decoder(encoder(batches)), _schema(kept, **new))
