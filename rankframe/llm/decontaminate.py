@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.key_filter import filter_words, key_filter, may_match
 from ..session import ensure_checkpoint_dir
 from .common import free_names, let, read_table
 
@@ -74,8 +75,8 @@ def contaminated(
     run that agrees enough at the given ``window`` and ``similarity``; other values need others. Items of fewer than ``least`` words
     match a line of the same words, no more and no fewer. Null and empty texts match nothing. Null ids are kept as
     null; rows with equal id and text share one result; empty tables give no rows; only the named columns are read.
-    The benchmark's windows (a fixed number of hashes each) are broadcast when it has at most ``broadcast_words`` words,
-    else joined by key.
+    The benchmark's windows (a fixed number of hashes each) are broadcast when it has at most ``broadcast_words`` words. Beyond, the
+    documents' windows first meet a filter of the benchmark's keys, of bounded size; those that may have a partner are joined by key.
     """
     if min(masks) > least:
         raise ValueError("items of ``least`` words need masks")
@@ -100,10 +101,15 @@ def contaminated(
     # an item has keys by the masks of its own family only
     grams = grams.filter(F.get(F.array(*[F.lit(k) for k, _ in chosen]), F.col("_mask")) == F.col("_family"))
     grams = grams.select("key", "span", "item_id", "item_pos", "item_n", F.col("near").alias("item_near"))
+    texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), hashes(docs[text_col]).alias("h"))
+    found_windows = _windows(texts, every, "doc_pos", back, ahead).drop("_mask")
     if (total or 0) <= broadcast_words:
         grams = F.broadcast(grams)
-    texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), hashes(docs[text_col]).alias("h"))
-    hits = _windows(texts, every, "doc_pos", back, ahead).join(grams, "key")
+    else:
+        n_words = filter_words(total * max(len(masks[k]) for k in present))
+        found_windows = may_match(found_windows, F.col("key"), key_filter(grams, "key", n_words), n_words)
+        grams = grams.hint("merge")  # Spark takes the exploded windows for as small as the benchmark's file and would broadcast them
+    hits = found_windows.join(grams, "key")
     length = F.least(F.lit(window), F.col("item_n"))
 
     def agrees(x):

@@ -119,3 +119,13 @@ def test_clashing_names_of_the_user_stay(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     left = D.drop_contaminated(docs, items)
     assert left.columns == docs.columns and [(r.doc_id, *[r[n] for n in names]) for r in left.collect()] == [(2, *["user"] * len(names))]
+
+
+def test_large_benchmark_is_not_broadcast(spark):
+    """Beyond the bound only the filter of keys is broadcast, and the documents' windows meet it before any exchange."""
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so one two three other five six seven"), (2, "clean")], "doc_id long, text string")
+    found = D.contaminated(docs, items, broadcast_words=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=merge" in plan and plan.count("strategy=broadcast") == 1
+    assert [r.doc_id for r in found.collect()] == [1]
