@@ -607,6 +607,25 @@ WITH {_VOCAB},
 {_LEMMA}
 SELECT * FROM lemma_map"""
 
+
+def _substrings(src: str) -> str:
+    """Every substring of up to 4 characters of the words of ``src``, as a subword piece."""
+    places = f"SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM {src}"
+    sizes = f"SELECT word, pos, unnest(range(1, least(4, length(word) - pos + 1) + 1)) AS n FROM ({places})"
+    return f"SELECT word, pos, n, CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(word, pos, n) AS piece FROM ({sizes})"
+
+
+ORACLE["subword_vocab"] = f"""
+WITH RECURSIVE {_VOCAB},
+qw AS (SELECT DISTINCT word FROM (SELECT unnest({S.tok('text')}) AS word FROM ({S.QUERIES}))),
+pieces AS (SELECT piece FROM ({_substrings('qw')}) GROUP BY piece HAVING count(DISTINCT word) >= 3),
+best AS (SELECT word, pos, max(n) AS n FROM ({_substrings('nv')}) JOIN pieces USING (piece) GROUP BY word, pos),
+walk AS (
+  SELECT word, CAST(1 AS BIGINT) AS at, '' AS form FROM nv
+  UNION ALL
+  SELECT w.word, w.at + b.n, CASE WHEN w.at > 1 THEN w.form || ' ##' ELSE '' END || substr(w.word, w.at, b.n) FROM walk w JOIN best b ON b.word = w.word AND b.pos = w.at)
+SELECT nv.word, coalesce(w.form, '[UNK]') AS form FROM nv LEFT JOIN walk w ON w.word = nv.word AND w.at = length(nv.word) + 1"""
+
 ORACLE["bm25_grid_lemmatized"] = f"""
 WITH {_VOCAB},
 {_LEMMA},

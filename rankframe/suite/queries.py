@@ -738,6 +738,11 @@ def lemma_vocab(spark, sf):
     return NZ.lemma_mapping(_vocab(spark, sf))
 
 
+def subword_vocab(spark, sf):
+    """N4 (re-aimed): subword pieces of every distinct word, by a vocabulary of the substrings that are frequent in the queries' words."""
+    return NZ.subword_mapping(_vocab(spark, sf), NZ.frequent_pieces(NZ.vocabulary_words(_io(spark, sf)[1])).checkpoint())
+
+
 def query_versions(spark, sf):
     """Original / stemmed / lemmatized versions of every query."""
     docs, queries = _io(spark, sf)
@@ -764,6 +769,7 @@ def run_all_models(spark, sf):
 QUERIES.update({
     "stem_vocab": stem_vocab,
     "lemma_vocab": lemma_vocab,
+    "subword_vocab": subword_vocab,
     "query_versions": query_versions,
     "variant_stats": variant_stats,
     "run_all_models": run_all_models,

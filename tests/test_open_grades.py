@@ -55,6 +55,14 @@ def test_subwords_have_no_caps(spark):
     assert got["a" * 150] == " ".join(["a"] + ["##a"] * 149)
 
 
+def test_frequent_pieces_count_words_once(spark):
+    words = spark.createDataFrame([("aab",), ("aab",), ("abc",), ("",), (None,)], "word string")
+    pieces = lambda least: sorted(r.piece for r in normalize.frequent_pieces(words, 2, least).collect())
+    assert pieces(2) == ["##b", "a"]
+    assert pieces(1) == sorted(["a", "aa", "ab", "##a", "##ab", "##b", "##bc", "##c"])
+    assert pieces(3) == []
+
+
 def test_embedding_store_keeps_null_and_repeated_items(spark, tmp_path):
     items = spark.createDataFrame([("1", "x y"), ("1", "x y"), ("2", None), ("3|z", "w")], "id string, text string")
     compute = lambda df: dense.hashed_embeddings(df, "id", "text", 8)
