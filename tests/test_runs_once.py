@@ -1,0 +1,63 @@
+"""Runs are searched once for an evaluation; tables of words hold only what changes a result."""
+import math
+
+from pyspark.sql import functions as F
+
+from rankframe.operators import evaluation, lexical, normalize
+from rankframe.suite import queries as Q
+
+
+def test_runs_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    run = spark.createDataFrame([("q1", "d1", 2.0), ("q1", "d2", 1.0), ("q2", "d1", 1.0)], "query_id string, doc_id string, s double")
+    run = run.select(F.lit("r").alias("run_name"), "query_id", "doc_id", counted("s").alias("score")).filter("score > 0")
+    qrels = spark.createDataFrame([("q1", "d2", 1), ("q2", "d1", 1)], "query_id string, doc_id string, relevance int")
+    evaluation.evaluate_runs(run, qrels).collect()
+    assert seen.value <= 6  # once for the filter and once for the column
+
+
+def test_only_words_with_another_form_travel(spark, monkeypatch):
+    docs = spark.createDataFrame([("1", "cats sit cats x"), ("2", None), ("3", "x y")], "doc_id string, text string")
+    forms = spark.createDataFrame([("cats", "cat", "cat"), ("sit", "sit", "sit"), ("x", "x", "x"), ("y", "y", "z")], "word string, stemmed string, lemmatized string")
+    sent = []
+    monkeypatch.setattr(normalize, "checked_broadcast", lambda df: sent.append(sorted(r.word for r in df.collect())) or df)
+    found = {r.doc_id: (r.stemmed, r.lemmatized) for r in normalize.rewritten(docs, "doc_id", forms).collect()}
+    assert found == {"1": ("cat sit cat x", "cat sit cat x"), "2": ("", ""), "3": ("x y", "x z")}
+    assert sent == [["cats", "y"]]
+
+
+def test_terms_of_one_document_need_no_table(spark, monkeypatch):
+    texts = ["a b b c", "a d", "a b e e", "f"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    queries = spark.createDataFrame([("q", "b e z"), ("r", "d a a")], "query_id string, text string")
+    idf = {t: math.log(5 / (1 + sum(t in x.split() for x in texts))) + 1 for t in "abcdef"}
+    unit = lambda words: {t: words.count(t) * idf[t] / math.sqrt(sum((words.count(u) * idf[u]) ** 2 for u in set(words))) for t in set(words)}
+    expected = {}
+    for q, text in (("q", "b e"), ("r", "d a a")):
+        for i, t in enumerate(texts):
+            a, b = unit(text.split()), unit(t.split())
+            if set(a) & set(b):
+                expected[q, str(i)] = round(sum(a[w] * b[w] for w in set(a) & set(b)), 9)
+    sent, plain = [], lexical.checked_broadcast
+    monkeypatch.setattr(lexical, "checked_broadcast", lambda df: sent.append(df) or plain(df))
+    for tasks in (10**6, 1):
+        monkeypatch.setattr(lexical, "PAIRS_PER_TASK", tasks, raising=False)
+        for keys in ([], ["variant"]):
+            d, q = (df.withColumn("variant", F.lit("v")) if keys else df for df in (docs, queries))
+            found = {(r.query_id, r.doc_id): round(r.score, 9) for r in lexical.tfidf_scores(d, q, keys).collect()}
+            assert found == expected
+    tables = [sorted(r.term for r in df.collect()) for df in sent if "idf" in df.columns and "qtf" not in df.columns]
+    assert tables and all(t == ["a", "b"] for t in tables)
+
+
+def test_judgements_of_both_splits_are_derived_once(spark, monkeypatch):
+    calls, plain = [], Q.derive_qrels
+    monkeypatch.setattr(Q, "derive_qrels", lambda *a: calls.append(1) or plain(*a))
+    Q.bm25_tuned_eval(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
